@@ -220,8 +220,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, chunk
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(4 * partitions, total // chunk_bytes + 1)
-    buckets = max(4 * partitions, PACKED * total // bucket_bytes + 1)
+    chunks = max(2 * partitions, total // chunk_bytes + 1)
+    buckets = max(2 * partitions, PACKED * total // bucket_bytes + 1)
     chunked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     packed = chunked.groupBy("chunk").applyInArrow(_pack(buckets, window, mer), _PACKED_SCHEMA)
     verdicts = packed.groupBy("bucket").applyInArrow(_count(window), _VERDICT_SCHEMA)
