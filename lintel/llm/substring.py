@@ -1,7 +1,7 @@
 """Exact substring dedup over word windows, by super-k-mer partitioning.
 
 Each document's windows of ``window`` words are cut into super-k-mers: runs of consecutive windows that share
-one minimiser (the smallest hash of ``mer`` consecutive words in the window). A run travels as one packed string
+one minimiser (the smallest hash of ``mer`` consecutive words in the window, long ones before short ones). A run travels as one packed string
 to the bucket of its minimiser, where all windows that could be equal meet; the bucket sorts them and compares
 neighbours word by word, so counts are exact and not hash-based.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lintel.llm.text import SOLID, SPACE, mixed, passes, span_hashes, utf8, word_bounds, word_codes, word_hashes
 
 WINDOW = 13
-#: Words of the minimiser.
-MER = 3
+#: Words of the minimiser, and their bytes from which it goes before all shorter ones.
+MER, MER_BYTES = 3, 18
 #: Text bytes of a chunk and packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Packed bytes for each byte of text, about.
@@ -72,7 +72,10 @@ class _Chunk:
             self.strings, self.lows, self.highs, self.minimiser = [], at, at, np.zeros(0, np.uint64)
             return
         every = np.arange(len(hashes) - mer + 1)
-        mers = span_hashes(hashes, every, every + mer)
+        # Few short words in a row are frequent everywhere; as minimisers they would gather unlike windows in one bucket.
+        bytes_ = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        short = (bytes_[every + mer] - bytes_[every] < MER_BYTES).astype(np.uint64)
+        mers = (span_hashes(hashes, every, every + mer) >> np.uint64(1)) | (short << np.uint64(63))
         views = np.lib.stride_tricks.sliding_window_view(mers, window - mer + 1)
         pick = np.concatenate([views[i : i + 65536].argmin(axis=1) for i in range(0, len(views), 65536)])[at] + at
         cut = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
