@@ -25,7 +25,8 @@ from lintel.llm.text import SOLID, mixed, passes, utf8, word_bounds, word_hashes
 
 FIT_ROWS, WORD_SLOTS, RANK = 4000, 1 << 14, 8
 BINS, THRESHOLD, SEED = 16, 0.7, 7
-EPOCHS, STEP, DECAY, BATCH = 12, 0.02, 1e-4, 128
+#: Steps of the fit, as many for any number of rows.
+STEPS, STEP, DECAY, BATCH = 400, 0.02, 1e-4, 128
 
 _UPPER, _LOWER, _DIGIT, _WIDE, _MARK = (np.zeros(256, bool) for _ in range(5))
 _UPPER[0x41:0x5B] = _LOWER[0x61:0x7B] = _DIGIT[0x30:0x3A] = _WIDE[0x80:] = True
@@ -105,28 +106,28 @@ class Machine:
         self.bias = float(np.log(share / (1 - share)))
         first = np.searchsorted(row, np.arange(len(labels) + 1))
         state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in ("linear", "factors")}
-        step = 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(labels))
-            for lo in range(0, len(order), BATCH):
-                step += 1
-                chosen = np.sort(order[lo : lo + BATCH])
-                n = first[chosen + 1] - first[chosen]
-                at = np.repeat(first[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                r, s, v = np.repeat(np.arange(len(chosen)), n), slot[at], value[at]
-                own = self.factors[s] * v[:, None]
-                sums = np.add.reduceat(own, np.cumsum(n) - n, axis=0)
-                error = 1 / (1 + np.exp(-self.margins(r, s, v, len(chosen)))) - labels[chosen]
-                self.bias -= STEP * float(error.mean())
-                pull = (error / len(chosen))[r]
-                used, inverse = np.unique(s, return_inverse=True)
-                gradients = {"linear": np.bincount(inverse, pull * v), "factors": np.stack([np.bincount(inverse, pull * v * (sums[r, f] - own[:, f])) for f in range(self.factors.shape[1])], axis=1)}
-                for k, g in gradients.items():
-                    w, (m, u) = getattr(self, k), state[k]
-                    g = g + DECAY * w[used]
-                    m[used] = 0.9 * m[used] + 0.1 * g
-                    u[used] = 0.99 * u[used] + 0.01 * g * g
-                    w[used] -= STEP * (m[used] / (1 - 0.9**step)) / (np.sqrt(u[used] / (1 - 0.99**step)) + 1e-8)
+        batches: list[np.ndarray] = []
+        for step in range(1, STEPS + 1):
+            if not batches:
+                order = rng.permutation(len(labels))
+                batches = [np.sort(order[lo : lo + BATCH]) for lo in range(0, len(order), BATCH)]
+            chosen = batches.pop()
+            n = first[chosen + 1] - first[chosen]
+            at = np.repeat(first[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            r, s, v = np.repeat(np.arange(len(chosen)), n), slot[at], value[at]
+            own = self.factors[s] * v[:, None]
+            sums = np.add.reduceat(own, np.cumsum(n) - n, axis=0)
+            error = 1 / (1 + np.exp(-self.margins(r, s, v, len(chosen)))) - labels[chosen]
+            self.bias -= STEP * float(error.mean())
+            pull = (error / len(chosen))[r]
+            used, inverse = np.unique(s, return_inverse=True)
+            gradients = {"linear": np.bincount(inverse, pull * v), "factors": np.stack([np.bincount(inverse, pull * v * (sums[r, f] - own[:, f])) for f in range(self.factors.shape[1])], axis=1)}
+            for k, g in gradients.items():
+                w, (m, u) = getattr(self, k), state[k]
+                g = g + DECAY * w[used]
+                m[used] = 0.9 * m[used] + 0.1 * g
+                u[used] = 0.99 * u[used] + 0.01 * g * g
+                w[used] -= STEP * (m[used] / (1 - 0.9**step)) / (np.sqrt(u[used] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
