@@ -71,8 +71,8 @@ def _sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """The decision for every row, and the draws.
 
-    The first frame has doc_id, source, size, source_size, target, copies and taken (copies * size) for each row of
-    docs (doc_id, text, source). The second has doc_id, text_hash, source, copy, shard and position in the shard's
+    The first frame has doc_id, source, size, source_size, target, copies, taken (copies * size) and shards (one for each
+    copy) for each row of docs (doc_id, text, source). The second has doc_id, text_hash, source, copy, shard and position in the shard's
     local shuffle (an order key, not a gapless number), one row for each copy.
     """
     spark = docs.sparkSession
@@ -97,25 +97,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     drawn = (F.col("part") > F.col("before")).cast("int")
     blocks = checkpointed(blocks.withColumn("draws", drawn).drop("part"))
 
-    within = Window.partitionBy("source_no", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    cell = cell.join(blocks.select("source_no", "block", "before", "draws"), ["source_no", "block"])
-    extra = (F.col("before") + F.col("ahead") + F.col("size") / 2 <= F.col("part")) & (F.col("part") > 0)
-    cell = cell.withColumn("copies", F.col("passes") + extra.cast("int"))
-    decisions = cell.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-    counts = {r.source_no: r.n for r in blocks.groupBy("source_no").agg(F.sum("draws").alias("n")).collect()}
-    held = {r.source_no: r.n for r in blocks.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
-    quotas = [p[4] * held.get(p[0], 0) + counts.get(p[0], 0) for p in plan]
+    counts = blocks.groupBy("source_no").agg(F.count("*").alias("n"), F.sum("draws").alias("extra")).collect()
+    held = {r.source_no: r for r in counts}
+    quotas = [p[4] * held[p[0]].n + held[p[0]].extra for p in plan]
     ends = [list(accumulate(x)) for x in split_quotas(quotas, shards, seed)]
     shares = spark.createDataFrame(list(enumerate(ends)), T.StructType([T.StructField("source_no", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
     # A source's draws in order: each pass over its blocks in an order of its own, then the part's blocks.
-    block_draws = blocks.join(sources.select("source_no", "passes"), "source_no")
-    block_draws = block_draws.select("source_no", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy"), "passes", "draws").where("copy < passes or draws = 1")
+    copies = F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy")
+    drawn = blocks.join(sources.select("source_no", "passes"), "source_no").select("source_no", "block", copies, "passes", "draws").where("copy < passes or draws = 1")
     by_pass = Window.partitionBy("source_no").orderBy("copy", F.xxhash64(F.lit(seed + 2), "copy", "block"), "block")
-    block_draws = block_draws.withColumn("draw", F.row_number().over(by_pass)).join(shares, "source_no")
-    block_draws = block_draws.select("source_no", "block", "copy", F.expr("cast(size(filter(ends, x -> x < draw)) as int)").alias("shard"))
-    copies = cell.select("doc_id", "text_hash", "source", "source_no", "block", "place", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("copy"), "copies").where("copy < copies")
-    draws = copies.join(block_draws, ["source_no", "block", "copy"])
-    draws = draws.select("doc_id", "text_hash", "source", "copy", "shard", F.xxhash64(F.lit(seed + 3), "shard", "place", "copy").alias("position"))
+    drawn = drawn.withColumn("draw", F.row_number().over(by_pass)).join(shares, "source_no")
+    shard = F.expr("cast(size(filter(ends, x -> x < draw)) as int)")
+    placed = drawn.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", shard.alias("shard")))).alias("placements"))
+    placed = blocks.select("source_no", "block", "before").join(placed, ["source_no", "block"], "left")
+
+    # A row goes where its block's draws go; in the part's last block, only the rows up to the nearest to the target.
+    within = Window.partitionBy("source_no", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(placed, ["source_no", "block"])
+    inside = F.col("before") + F.col("ahead") + F.col("size") / 2 <= F.col("part")
+    own = F.filter(F.coalesce("placements", F.array()), lambda p: (p["copy"] < F.col("passes")) | inside)
+    cell = cell.withColumn("placements", own).withColumn("copies", F.size("placements"))
+    decisions = cell.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("placements.shard").alias("shards"))
+    draws = cell.select("doc_id", "text_hash", "source", "place", F.explode("placements").alias("p")).select("doc_id", "text_hash", "source", F.col("p.copy").alias("copy"), F.col("p.shard").alias("shard"), "place")
+    draws = draws.withColumn("position", F.xxhash64(F.lit(seed + 3), "shard", "place", "copy")).drop("place")
     return decisions, draws

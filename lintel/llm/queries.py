@@ -34,7 +34,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions, _ = mixing.mix(_table(spark, sf_dir, "documents"))
-    return decisions.select("doc_id", "size", "source_size", "target", "taken")
+    return decisions.select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
