@@ -22,7 +22,7 @@ def values(spark, cases, build):
         (N.unit, {"each": "EA", "PRS": "PAIR", "": None, None: "EA", "box": "EA"}),
         (N.door_hardware_set, {"HW 5": "5", "-": None, "—": None, "set": None}),
         (N.fire_rating, {"NONE": None, "none": "none", "45 MIN": "45 MIN"}),
-        (N.join_id, {"HARDWARE SET 5": "SET 5", "7.0": "7", "Group #7": "#7", "N/A": "", "HW-3": "3"}),
+        (N.join_id, {"HARDWARE SET 5": "SET 5", "7.0": "7", "Group #7": "7", "N/A": "", "HW-3": "3"}),
         (N.reference_id, {"Set 5.0": "5", "Group 7.0": "7", None: ""}),
         (N.set_label, {"Hardware Set #7.0": "7", "HW-12A": "12A", ".5": "5", "a--b": "a-b"}),
         (N.set_key, {"Set 007": "7", "B | A": "A | B", "Hardware Group No. 4": "4", "hw-3": "3", "": ""}),
@@ -51,7 +51,7 @@ def test_pairs(spark):
 
 def test_from_to_and_sizes(spark):
     assert [tuple(r) for r in values(spark, ["HALL to ROOM", "A / B - C", "LOBBY", None], N.from_to)] == [("HALL", "ROOM"), ("A", "B / C"), ("", "LOBBY"), ("", "")]
-    assert [tuple(r) for r in values(spark, ["3'-0\" x 7'-0\"", "(2) 3'-0\" 7'-0\"", "x"], N.size_pair)] == [("3'-0\"", "7'-0\""), ("3'-0\"", "7'-0\""), (None, None)]
+    assert [tuple(r) for r in values(spark, ["3'-0\" x 7'-0\"", "(2) 3.0 7.0", "x"], N.size_pair)] == [("3'-0\"", "7'-0\""), ("3'-0\"", "7'-0\""), (None, None)]
 
 
 def test_components(spark):

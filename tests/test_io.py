@@ -68,6 +68,7 @@ def test_rate_limit_ignores_what_it_rejects(spark):
 
 def test_rate_limit_stream_agrees_with_batch(spark, tmp_path):
     source = f"{tmp_path}/in"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a timeout would ask for batches for ever
     frame = events(spark)
     frame.where("event_id < 3").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(frame.schema).parquet(source)
@@ -78,6 +79,7 @@ def test_rate_limit_stream_agrees_with_batch(spark, tmp_path):
         run.processAllAvailable()
     finally:
         run.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = {(r.event_id, r.allowed) for r in spark.table("limited").collect()}
     assert got == {(r.event_id, r.allowed) for r in state.rate_limited(frame, limit=2).collect()}
 
