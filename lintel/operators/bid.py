@@ -12,6 +12,11 @@ GAS_FROM_MILES, DRUG_TEST, UNLOAD_FIRST, UNLOAD_ABOVE = 40, 150.0, 25, 35
 LABOR_A_DOOR = 85
 
 
+def cents(c: Column) -> Column:
+    """An amount to the cent, halves up, by the same arithmetic in every engine."""
+    return F.floor(c * 100 + 0.5) / 100
+
+
 def with_master(estimations: DataFrame, masters: DataFrame) -> DataFrame:
     """The master component of the same description; the last of equals wins."""
     last = Window.partitionBy("key").orderBy(F.col("id").desc())
@@ -60,7 +65,7 @@ def bids(projects: DataFrame, estimations: DataFrame) -> DataFrame:
         "total_man_hours": "hours", "base_labor_cost": "base", "allowances": "allow", "labor_burden": "burden", "overhead": "over", "labor_markup": "mark", "offload_cost": "unload",
         "equipment_tax": "unload_tax", "total_labor_bid": "labor_bid", "raw_material_cost": "goods", "material_markup": "goods_mark", "sales_tax": "goods_tax", "total_material_bid": "goods_bid",
     }
-    return rows.select("project_id", *(F.round(v, 2).alias(k) for k, v in amounts.items()), F.round(F.col("labor_bid") + F.col("goods_bid"), 2).alias("total_bid"))
+    return rows.select("project_id", *(cents(F.col(v)).alias(k) for k, v in amounts.items()), cents(F.col("labor_bid") + F.col("goods_bid")).alias("total_bid"))
 
 
 def proposal_totals(doors: DataFrame, prices: DataFrame, markup: str) -> DataFrame:

@@ -356,7 +356,7 @@ joined AS (SELECT coalesce(p.project_id, w.project_id) AS project_id, coalesce(p
   CASE WHEN p.project_id IS NULL OR w.project_id IS NULL THEN '' ELSE array_to_string(list_filter([{_CONFLICTS}], lambda x: x IS NOT NULL), '; ') END AS hybrid_conflicts, p.project_id IS NULL AS added, p.project_id IS NOT NULL AND w.project_id IS NOT NULL AS both_, {_SCORE} AS score,
   {' + '.join(f"({blank('p.' + c)} AND NOT {blank('w.' + c)})::INT" for c in _FIELDS)} AS gained FROM ours p FULL JOIN theirs w ON p.project_id = w.project_id AND p.door_key = w.door_key),
 merged AS (SELECT * EXCLUDE (added, both_, score, gained), CASE WHEN added THEN 'direct_pdf_added' WHEN both_ AND hybrid_conflicts <> '' THEN 'direct_pdf_conflict;direct_pdf_confirmed' WHEN both_ THEN 'direct_pdf_confirmed' ELSE '' END AS hybrid_decision, CASE WHEN both_ THEN CAST(gained AS INT) ELSE 0 END AS fields_filled FROM joined WHERE NOT added OR score >= 2)"""
-_BID_OUT = "project_id, " + ", ".join(f"round({v}, 2) AS {k}" for k, v in {"total_man_hours": "hours", "base_labor_cost": "base", "allowances": "allow", "labor_burden": "burden", "overhead": "over_", "labor_markup": "mark", "offload_cost": "unload", "equipment_tax": "unload_tax", "total_labor_bid": "before_ + unload + unload_tax", "raw_material_cost": "goods", "material_markup": "goods_mark", "sales_tax": "goods_tax", "total_material_bid": "goods + goods_mark + goods_tax", "total_bid": "before_ + unload + unload_tax + (goods + goods_mark + goods_tax)"}.items())
+_BID_OUT = "project_id, " + ", ".join(f"floor(({v}) * 100 + 0.5) / 100 AS {k}" for k, v in {"total_man_hours": "hours", "base_labor_cost": "base", "allowances": "allow", "labor_burden": "burden", "overhead": "over_", "labor_markup": "mark", "offload_cost": "unload", "equipment_tax": "unload_tax", "total_labor_bid": "before_ + unload + unload_tax", "raw_material_cost": "goods", "material_markup": "goods_mark", "sales_tax": "goods_tax", "total_material_bid": "goods + goods_mark + goods_tax", "total_bid": "before_ + unload + unload_tax + (goods + goods_mark + goods_tax)"}.items())
 _RISKS = [
     ("set_label IS NULL", "high", "Hardware mapping", "opening(s) have no hardware set assigned in the schedule."),
     ("set_label IS NOT NULL AND coalesce(len(items), 0) = 0", "high", "Hardware set definitions", "opening(s) reference a hardware set without line items."),
