@@ -173,6 +173,6 @@ def set_state(components: DataFrame, doors: DataFrame) -> DataFrame:
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """One page of rows in this order, with the total and the number of pages; size is held between 1 and 100."""
-    size = max(1, min(100, size))
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size).crossJoin(total).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    size, total = max(1, min(100, size)), rows.count()
+    shown = rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+    return shown.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(-(-total // size)).cast("long")})

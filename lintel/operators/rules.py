@@ -7,10 +7,14 @@ from lintel.functions import vocabulary as V
 from lintel.functions.normalise import text
 
 
-def marks(c: Column, shown: int = 8) -> Column:
+#: Marks that a finding shows.
+SHOWN = 8
+
+
+def marks(head: Column, n: Column) -> Column:
     """The first marks of a list, and how many more there are."""
-    head = F.array_join(F.slice(c, 1, shown), ", ")
-    return F.when(F.size(c) > shown, F.concat(head, F.lit(", ...+"), (F.size(c) - shown).cast("string"), F.lit(" more"))).otherwise(head)
+    more = F.concat(F.lit(", ...+"), (n - F.size(head)).cast("string"), F.lit(" more"))
+    return F.concat(F.array_join(head, ", "), F.when(n > F.size(head), more).otherwise(""))
 
 
 def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
@@ -26,8 +30,12 @@ def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
         (said.rlike(V.ACCESS_WORDS), "high", "Access control / electrified", "{n} opening(s) involve electrified or access-control hardware."),
     ]
     holds = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(n).alias("note"))) for test, s, c, n in families)))
-    found = rows.select("project_id", "door_number", F.explode(holds).alias("rule")).groupBy("project_id", "rule").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("door_number")).alias("all"))
-    return found.select("project_id", "rule.severity", "rule.category", "n", F.replace("rule.note", F.lit("{n}"), F.col("n").cast("string")).alias("issue"), marks(F.col("all")).alias("openings"))
+    held = rows.select("project_id", "door_number", F.explode(holds).alias("rule"))
+    counts = held.groupBy("project_id", "rule").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("project_id", "rule").orderBy("door_number"))
+    heads = held.withColumn("nth", nth).where(F.col("nth") <= SHOWN).groupBy("project_id", "rule").agg(F.array_sort(F.collect_list("door_number")).alias("head"))
+    found = counts.join(heads, ["project_id", "rule"])
+    return found.select("project_id", "rule.severity", "rule.category", "n", F.replace("rule.note", F.lit("{n}"), F.col("n").cast("string")).alias("issue"), marks(F.col("head"), F.col("n")).alias("openings"))
 
 
 def merged_findings(first: DataFrame, second: DataFrame) -> DataFrame:

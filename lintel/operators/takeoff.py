@@ -22,11 +22,10 @@ def with_join_status(doors: DataFrame, components: DataFrame) -> DataFrame:
     The ids are one row each before they meet the doors; Spark broadcasts them if they are small.
     """
     ids = components.select(status_join_id(F.col("hardware_set_id")).alias("id")).where("id <> ''").distinct().withColumn("known", F.lit(True))
-    clean = status_join_id(F.col("hardware_set"))
-    checked = components.select(status_join_id(F.col("hardware_set_id")).alias("id")).where("id <> ''").limit(1).agg((F.count("*") > 0).alias("checked"))
-    joined = doors.withColumn("hardware_set_clean", clean).join(ids, F.col("hardware_set_clean") == F.col("id"), "left").crossJoin(checked)  # checked is one row
-    status = F.when(F.col("hardware_set_clean") == "", "missing").when(~F.col("checked"), "not_checked_no_hardware_components").when(F.col("known"), "matched").otherwise("unmatched")
-    return joined.withColumn("hardware_set_join_status", status).drop("id", "known", "checked")
+    joined = doors.withColumn("hardware_set_clean", status_join_id(F.col("hardware_set"))).join(ids, F.col("hardware_set_clean") == F.col("id"), "left")
+    unknown = "not_checked_no_hardware_components" if ids.isEmpty() else "unmatched"
+    status = F.when(F.col("hardware_set_clean") == "", "missing").when(F.col("known"), "matched").otherwise(unknown)
+    return joined.withColumn("hardware_set_join_status", status).drop("id", "known")
 
 
 def backfilled(doors: DataFrame, components: DataFrame) -> DataFrame:

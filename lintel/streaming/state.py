@@ -24,7 +24,10 @@ def allowed(times: list[float], recent: list[float], limit: int, span: float) ->
 
 
 def rate_limited(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S) -> DataFrame:
-    """M1, exactly, in batch: (event_id, user_id, ts, allowed, retry_after); a user's events in order of time and id."""
+    """M1, exactly, in batch: (event_id, user_id, ts, allowed, retry_after); a user's events in order of time and id.
+
+    Each decision depends on the ones before it, so a user's events are one group; the stream below keeps only the last span.
+    """
     schema = "event_id long, user_id long, ts timestamp, allowed boolean, retry_after int"
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
