@@ -340,3 +340,20 @@ def project_id(c: Column) -> Column:
     number = matched(c, r"[Pp]roject\s*[-_]?\s*(\d+)")
     bare = matched(c, r"(\d+)")
     return F.when(number.isNotNull(), F.concat(F.lit("project_"), number)).when(slug != "", slug).when(bare.isNotNull(), F.concat(F.lit("project_"), bare)).otherwise("unknown")
+
+
+def field_name(c: Column) -> Column:
+    """The field that a column name means, null if none."""
+    name = F.lower(strip(c))
+    out = F.lit(None).cast("string")
+    for field, names in V.FIELD_NAMES.items():
+        out = F.when(name.isin(names), field).otherwise(out)
+    return out
+
+
+def canonical_row(c: Column) -> Column:
+    """A map of named values as struct of fields (the last of equal ones) and extra (what no field means)."""
+    entries = F.map_entries(c)
+    named = F.filter(F.transform(entries, lambda e: F.struct(bound(e["key"], field_name).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
+    last = F.map_from_entries(F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"])))
+    return F.struct(last.alias("fields"), F.map_filter(c, lambda k, _: bound(k, field_name).isNull()).alias("extra"))

@@ -113,3 +113,41 @@ STATUS_NOTES = {
     "EMPTY": "(hardware set has no extracted items)",
     "ABSENT": "(hardware set not found in spec)",
 }
+
+# Names that columns of schedules and answers have, and the fields that they mean.
+FIELD_NAMES = {
+    "door_number": ["number", "door_number", "door number", "door_no", "mark", "door mark", "door_mark", "id", "door_id", "door id"],
+    "room_name": ["room name", "room_name", "location", "room"],
+    "door_type": ["door type", "door_type", "type"],
+    "frame_type": ["frame type", "frame_type", "frame"],
+    "door_width": ["width", "door_width", "door width"],
+    "door_height": ["height", "door_height", "door height"],
+    "door_thickness": ["thickness", "door_thickness", "door thickness", "thk"],
+    "door_material": ["material", "door_material", "door material", "dr matl"],
+    "door_finish": ["finish", "door_finish", "door finish", "dr fin", "dr finish"],
+    "frame_material": ["frame_material", "frame material", "fr matl"],
+    "frame_finish": ["frame_finish", "frame finish", "fr fin", "fr finish"],
+    "elevation": ["elevation", "elev", "door elev"],
+    "hardware_set": ["hardware set", "hardware_set", "hw set", "hdwr set"],
+    "fire_rating": ["fire rating", "fire_rating", "fire rate"],
+    "remarks": ["comments", "remarks", "notes"],
+    "door_slab_material": ["door_slab_material", "slab material"],
+    "vision_panel": ["vision panel", "vision_panel"],
+    "glazing_type": ["glazing", "glazing_type"],
+    "level_area": ["level", "level_area", "area"],
+    "is_pair": ["is_pair", "is pair"],
+    "door_leaves": ["door_leaves", "leaves"],
+    "frame_width": ["frame_width", "frame width"],
+    "frame_height": ["frame_height", "frame height"],
+    "head_jamb_sill_detail": ["head_jamb_sill_detail"],
+    "keyed_notes": ["keyed_notes"],
+    "hardware_set_id": ["hardware_set_id", "set", "set_id", "set id", "set no", "set no.", "group", "group no", "group no.", "hw", "hdwr", "hdwe"],
+    "hardware_set_name": ["hardware_set_name", "function"],
+    "qty": ["qty", "quantity"],
+    "qty_raw": ["qty_raw", "quantity_raw", "quantity raw"],
+    "unit": ["unit"],
+    "description": ["description", "desc", "component"],
+    "catalog_number": ["catalog_number", "catalog number", "catalog no", "catalog no.", "model"],
+    "finish_code": ["finish_code", "finish code"],
+    "manufacturer_code": ["manufacturer_code", "manufacturer", "mfr"],
+}

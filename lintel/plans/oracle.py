@@ -413,3 +413,10 @@ SQL |= {
     "j29_segments": chain(BOXES, "i AS (SELECT page_id, y0 + box_id % 5 AS y, x0 AS x, CASE WHEN box_id % 60 = 0 THEN 'SET ' ELSE 'item ' END || box_id AS text FROM boxes)", "h AS (SELECT page_id, y AS from_y, text AS header, coalesce(lead(y) OVER (PARTITION BY page_id ORDER BY y, text), 1e18) AS to_y FROM i WHERE starts_with(text, 'SET '))", select="SELECT page_id, header, y, x, text FROM i JOIN h USING (page_id) WHERE NOT starts_with(text, 'SET ') AND y >= from_y + 4 AND y < to_y - 2"),
     "x_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
 }
+
+_NAMES = [n for group in V.FIELD_NAMES.values() for n in group] + ["colour", "swing"]
+_FIELD = " ".join(f"WHEN lower(trim(value)) IN ({listed(names)}) THEN '{field}'" for field, names in V.FIELD_NAMES.items())
+SQL |= {
+    "p11_field_name": f"SELECT value, CASE {_FIELD} END AS result FROM (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN ' ' || upper(n) ELSE n END AS value FROM (SELECT l_suppkey, names[CAST(l_partkey % {len(_NAMES)} + 1 AS INT)] AS n FROM lineitem, (SELECT [{listed(_NAMES)}] AS names)))",
+    "s19_run_summaries": "SELECT run_id, count(*) AS events, min(ts) AS started, max(ts) AS ended, arg_min(event, (ts, event)) AS first_event, arg_max(event, (ts, event)) AS last_event FROM (SELECT CAST(user_id AS VARCHAR) AS run_id, ts, event_type || '-' || event_id AS event FROM events) GROUP BY run_id",
+}

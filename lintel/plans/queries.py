@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lintel.functions import normalise as N
 from lintel.functions import pages as G
 from lintel.functions import predicates as P
+from lintel.functions import vocabulary as V
 from lintel.operators import bid, layout, mapping, parse, reconcile, reports, retrieve, rules, takeoff
 from lintel.plans import views
 from lintel.plans.storage import settled
-from lintel.sources import sinks
+from lintel.sources import files, sinks
 from lintel.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,6 +469,22 @@ def m1_rate_limit(spark, sf_dir):
     return state.rate_limited(views.table(spark, sf_dir, "events"), limit=2)
 
 
+@query
+def p11_field_name(spark, sf_dir):
+    """Column names in odd case and spacing, some of them unknown."""
+    names = [n for group in V.FIELD_NAMES.values() for n in group] + ["colour", "swing"]
+    known = F.array(*(F.lit(n) for n in names))
+    name = F.element_at(known, (F.col("l_partkey") % len(names) + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit(" "), F.upper(name))).otherwise(name).alias("value")).distinct()
+    return rows.withColumn("result", N.field_name(F.col("value")))
+
+
+@query
+def s19_run_summaries(spark, sf_dir):
+    log = views.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), "ts", F.concat("event_type", F.lit("-"), "event_id").alias("event"))
+    return files.run_summaries(log)
+
+
 @query
 def x_event_windows(spark, sf_dir):
     return state.event_windows(views.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

@@ -70,3 +70,9 @@ def test_page_evidence(spark):
     row = spark.createDataFrame([(body,), (None,)], "b string").select(G.evidence(F.col("b")).alias("e")).select("e.*", *(c.alias(k) for k, c in G.judged(F.col("e")).items())).collect()
     assert row[0].real_door_numbers >= 2 and row[0].dimensions >= 4 and row[0].is_door_schedule and row[0].expected_door_rows == 2
     assert row[1].text_length == 0 and row[1].confidence == 0
+
+
+def test_canonical_row(spark):
+    frame = spark.sql("SELECT map('Mark', '101', 'WIDTH', '3', 'door width', '4', 'colour', 'red') AS m")
+    row = frame.select(N.canonical_row(F.col("m")).alias("r")).first().r
+    assert row.fields == {"door_number": "101", "door_width": "4"} and row.extra == {"colour": "red"}
