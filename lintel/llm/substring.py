@@ -29,7 +29,7 @@ WINDOW = 13
 #: Words of the minimiser, and their bytes from which it goes before all shorter ones.
 MER, MER_BYTES = 3, 18
 #: Text bytes of a chunk and packed bytes of a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: Packed bytes for each byte of text, about.
 PACKED = 3
 
