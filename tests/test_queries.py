@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -25,7 +26,7 @@ def engine():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: "" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, float) else str(v)
+    show = lambda v: "" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(show(v) for v in r) for r in frame.astype(object).itertuples(index=False))
 
 
