@@ -44,7 +44,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

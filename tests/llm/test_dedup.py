@@ -11,6 +11,8 @@ import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lintel.llm import exact_dedup, line_dedup, simhash, substring
 from lintel.llm.components import connected_components
 
@@ -202,5 +204,11 @@ def test_line_dedup_removes_the_later_block(spark):
     assert kept == {1: f"first\n{shared}\nend one", 2: "other start\nmore\nend two", 3: "nothing shared"}
 
 
+def test_line_dedup_in_slices(docs):
+    """Slices of one row each, and no texts, give the same digests."""
+    digests = lambda **x: sorted(tuple(r) for r in line_dedup.line_dedup(docs, **x).select(F.coalesce("doc_id", F.lit(-1)), "n_lines", "n_removed", "kept_sha256").collect())
+    assert digests(held_bytes=1) == digests(with_text=False) == digests()
+
+
 def test_line_dedup_empty(empty):
     assert line_dedup.line_dedup(empty).collect() == []
