@@ -3,7 +3,6 @@
 import os
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -24,15 +23,16 @@ def engine():
     return con
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    show = lambda v: "" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, float) else str(v)
-    return list(frame.columns), sorted(tuple(show(v) for v in r) for r in frame.astype(object).itertuples(index=False))
+def rows(table):
+    """Column names and sorted rows of an Arrow table, which keeps integers with nulls apart from floats."""
+    table = table.select(sorted(table.column_names))
+    show = lambda v: "" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    return table.column_names, sorted(tuple(show(v) for v in r) for r in zip(*(c.to_pylist() for c in table.columns)))
 
 
 @pytest.mark.parametrize("name", [n for n in ("p8_unit", "p21_set_key", "p22_alias_keys", "f1_components", "f3_door_mark", "j2_join_status", "a2_project_quantities", "a15_bids", "w1_most_complete_door", "j6_reconciled_doors", "j9_mapping", "r17_risks", "r19_triage", "s9_text_rows", "t5_nearest_vectors")])
 def test_query_matches_sql(spark, engine, name):
-    got, want = rows(QUERIES[name](spark, DATA).toPandas()), rows(engine.sql(oracle.SQL[name]).df())
+    got, want = rows(QUERIES[name](spark, DATA).toArrow()), rows(engine.sql(oracle.SQL[name]).to_arrow_table())
     assert got[0] == want[0]
     assert got[1] == want[1]
 
