@@ -1,15 +1,19 @@
-"""Line dedup by pairwise alignment: rare shared lines find overlapping documents, patience diff aligns them.
+"""Line dedup by pairwise alignment: shared blocks link overlapping documents, patience diff aligns them.
 
 Equal texts are one text first: a later copy is one common block with the first and loses all its lines. Over
-different texts, a line's rarity is the number of texts that have it. A text is linked by its shared lines that at
-most RARE texts have, and by its FEW rarest shared lines whatever their number, so that a text all of whose lines
-are frequent still has its links. A link goes to the first text that has the line and not to all of them:
-links grow with the lines and not with the square of a line's texts, and every text that shares a linking line
-is linked to the same first one.
+different texts the result is that of aligning each text with every earlier text (by first doc_id, then text).
+
+Links go by units: for each line, the shortest stretch that ends at it, and the shortest that begins at it, and
+is large enough to be removed. Each line of a removable block lies in such a unit within the block, so texts without a
+common unit have nothing to remove, and a line outside all shared units stays. A text is linked to the first text that
+has each of its units and not to all of them: links grow with lines and not with the square of a unit's texts. No
+link is left out, unless the caller bounds them by rare and few.
 
 Each linked pair is aligned with patience diff over line hashes: lines unique in both, longest increasing subsequence,
 recursion between, and matching ends. Aligned blocks of LEAST_LINES lines or LEAST_CHARS characters leave the later
-document (larger doc_id). Pairs carry line hashes and lengths and no texts.
+document (larger doc_id). So do blocks as large that both have and no alignment in order can pair: moved across a
+longer passage, or repeated. Thus a unit leaves whichever earlier text holds it, and one link for each unit
+gives what all pairs give. Pairs carry line hashes and lengths and no texts.
 
 Lines end at a newline; space at the ends of a line does not count; blank lines link nothing and never count for a
 block's size. Line equality is by 64-bit hash and length.
@@ -30,9 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.llm.storage import checkpointed
-from lintel.llm.text import passes
+from lintel.llm.text import mixed, passes, span_hashes
 
-RARE, FEW = 16, 3
 LEAST_LINES, LEAST_CHARS = 2, 40
 #: Bytes of text, or of line hashes, that a task takes out of an Arrow batch at a time.
 HELD_BYTES = 1 << 20
@@ -82,8 +85,25 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def units(lines: np.ndarray, chars: np.ndarray, least_lines: int, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end (exclusive) of a text's units: from each line, forwards and backwards, the least that may be removed."""
+    solid = np.flatnonzero(chars > 0)
+    m, k, at = len(solid), np.arange(len(solid)), np.arange(len(lines))
+    total = np.concatenate([[0], np.cumsum(chars[solid], dtype=np.int64)])
+    last = np.minimum(k + least_lines - 1, np.searchsorted(total, total[:-1] + least_chars) - 1)
+    first = np.maximum(k - least_lines + 1, np.searchsorted(total, total[1:] - least_chars, "right") - 1)
+    after, before = np.searchsorted(solid, at), np.searchsorted(solid, at, "right") - 1
+    ahead = at[after < m]
+    ahead = ahead[last[after[ahead]] < m]
+    behind = at[before >= 0]
+    behind = behind[first[before[behind]] >= 0]
+    begins = np.concatenate([ahead, solid[first[before[behind]]]])
+    ends = np.concatenate([solid[last[after[ahead]]], behind]) + 1
+    return span_hashes(lines.view(np.uint64), begins, ends).view(np.int64), begins, ends
+
+
 def common_lines(earlier: list, later: list, chars: list[int], least_lines: int, least_chars: int) -> list[int]:
-    """Places in the later document of the aligned blocks that are large enough; chars: its lines' lengths."""
+    """Places in the later document of the common blocks, aligned or moved, that are large enough; chars: its lines' lengths."""
     out, block = [], []
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
@@ -92,7 +112,40 @@ def common_lines(earlier: list, later: list, chars: list[int], least_lines: int,
                 out += places
             block = []
         block.append((i, j))
-    return out
+    if len(out) == len(later):
+        return out
+    # Lines of the earlier text that the later one lacks are in no common unit, whatever their length.
+    codes: dict = {}
+    own = mixed(np.array([codes.setdefault(x, len(codes)) for x in later], np.uint64))
+    size = dict(zip(later, chars))
+    other = mixed(np.array([codes.get(x, len(codes)) for x in earlier], np.uint64))
+    hashes, begins, ends = units(own, np.array(chars), least_lines, least_chars)
+    known = units(other, np.array([size.get(x, 1) for x in earlier]), least_lines, least_chars)[0]
+    met = np.isin(hashes, known)
+    change = np.zeros(len(later) + 1, np.int64)
+    np.add.at(change, begins[met], 1)
+    np.add.at(change, ends[met], -1)
+    return sorted({*out, *np.flatnonzero(np.cumsum(change)[:-1] > 0).tolist()})
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the bounds of its rows in them; null counts as empty."""
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), bounds
+
+
+def _with_units(least_lines: int, least_chars: int, held_bytes: int):
+    """The different units of each text."""
+
+    def batches(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in items:
+            for batch in _slices(whole, pc.multiply(pc.list_value_length(whole.column("lines")), 8), held_bytes):
+                (lines, bounds), (chars, _) = _numbers(batch.column("lines")), _numbers(batch.column("chars"))
+                found = [np.unique(units(lines[lo:hi], chars[lo:hi], least_lines, least_chars)[0]) for lo, hi in zip(bounds, bounds[1:])]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("text_no").take(row), batch.column("first_id").take(row), pa.array(np.concatenate(found))], ["text_no", "first_id", "unit"])
+
+    return batches
 
 
 def _slices(batch: pa.RecordBatch, sizes: pa.Array, held_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -136,8 +189,11 @@ def _kept(with_text: bool, held_bytes: int):
     return batches
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, few: int = FEW, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS, with_text: bool = True, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text (null unless with_text) and kept_sha256 for every row of docs (doc_id, text)."""
+def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS, with_text: bool = True, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text (null unless with_text) and kept_sha256 for every row of docs (doc_id, text).
+
+    Only a caller that gives rare or few bounds the links: to units that at most rare texts have, and the few rarest of a text.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("text_no", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     order = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
@@ -145,13 +201,14 @@ def line_dedup(docs: DataFrame, rare: int = RARE, few: int = FEW, least_lines: i
     hashed = rows.where("text <> ''").select("text_no", order.alias("first_id"), F.transform(clean, lambda x: F.xxhash64(x)).alias("lines"), F.transform(clean, lambda x: F.length(x)).alias("chars"))
     texts = checkpointed(hashed.groupBy("text_no").agg(F.min("first_id").alias("first_id"), F.first("lines").alias("lines"), F.first("chars").alias("chars")))
 
-    solid = F.expr("array_distinct(transform(filter(arrays_zip(lines, chars), x -> x.chars > 0), x -> struct(x.lines, x.chars)))")
-    lines = texts.select("text_no", "first_id", F.explode(solid).alias("line"))
-    shared = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "text_no")).alias("owner")).where("n > 1")
-    met = lines.join(shared, "line").where("text_no <> owner.text_no").select("text_no", "n", F.col("owner.text_no").alias("other"))
+    own_units = checkpointed(texts.mapInArrow(_with_units(least_lines, least_chars, held_bytes), "text_no binary, first_id long, unit long"))
+    owners = own_units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "text_no")).alias("owner")).where("n > 1")
+    met = own_units.join(owners, "unit").where("text_no <> owner.text_no").select("text_no", "n", F.col("owner.text_no").alias("other"))
     links = met.groupBy("text_no", "other").agg(F.min("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("text_no").orderBy("n", "other"))
-    links = links.withColumn("rank", rank).where((F.col("n") <= rare) | (F.col("rank") <= few))
+    if rare is not None or few is not None:
+        rank = F.row_number().over(Window.partitionBy("text_no").orderBy("n", "other"))
+        links = links.withColumn("rank", rank).where((F.col("n") <= (rare or 0)) | (F.col("rank") <= (few or 0)))
+
     earlier = texts.select(F.col("text_no").alias("other"), F.col("lines").alias("earlier"))
     pairs = links.select("text_no", "other").join(earlier, "other").join(texts.select("text_no", F.col("lines").alias("later"), "chars"), "text_no")
     aligned = pairs.select("text_no", "earlier", "later", "chars").mapInArrow(_aligned(least_lines, least_chars, held_bytes), "text_no binary, gone array<int>")

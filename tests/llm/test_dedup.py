@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -212,3 +213,34 @@ def test_line_dedup_in_slices(docs):
 
 def test_line_dedup_empty(empty):
     assert line_dedup.line_dedup(empty).collect() == []
+
+
+def all_pairs_brute(rows):
+    """Lines of each text in a large enough stretch that any earlier text has too: their number by doc_id; texts and ids differ."""
+    cut = {i: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for i, t in rows}
+    gone = {i: set() for i in cut}
+    for i, own in cut.items():
+        for other in (x for j, x in cut.items() if j < i):
+            for a, b in itertools.product(range(len(other)), range(len(own))):
+                n = 0
+                while a + n < len(other) and b + n < len(own) and other[a + n] == own[b + n]:
+                    n += 1
+                run = own[b : b + n]
+                if sum(x != "" for x in run) >= 2 or sum(map(len, run)) >= 40:
+                    gone[i] |= set(range(b, b + n))
+    return {i: len(x) for i, x in gone.items()}
+
+
+def test_line_dedup_aligns_every_earlier_text(spark):
+    """Blocks that the first text with a line does not have, or has in another order, and texts of many frequent passages."""
+    rng = random.Random(11)
+    long = [f"passage {k} is a line of well over forty characters in all" for k in range(8)]
+    rows = [(1, "L1\nalone one"), (2, "L2\nalone two"), (3, "x\nL1\nL2\ny"), (4, "p\nL1\nL2\nq")]
+    rows += [(5, "m1\nm2\nm3\nn1\nn2"), (6, "u\nn1\nn2\nv"), (7, "n1\nn2\nw\nm1\nm2\nm3")]
+    rows += [(10 + k, f"own {k}\n{long[k % 8]}\nand {k}") for k in range(160)]
+    rows += [(200, "\n-\n".join(f"{x}\nbetween {k}" for k, x in enumerate(long)))]
+    some = [rng.choice(["", "a", "b", "c", "d", "e", "f" * 41]) for _ in range(60)]
+    rows += [(300 + k, f"row {k}\n" + "\n".join(rng.choice(some) for _ in range(rng.randint(1, 12)))) for k in range(60)]
+    found = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == all_pairs_brute(rows)
+    assert found[4] == 2 and found[7] == 5 and found[200] == 8
