@@ -6,33 +6,43 @@ folder and reads it again for the next.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.llm import decontamination, mixing, quality, sharding, simhash
 from lintel.llm.storage import written
 
 
+def _own_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or above; no labels decide about a document."""
+    """Documents that the classifier scores at its threshold or above, all where no model can be fitted; no labels decide about a document."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not isinstance(model, quality.Machine):
+        return docs
     return quality.scored(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: that of the smallest doc_id, the first of rows that repeat it."""
-    found = simhash.simhash_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("again", F.row_number().over(again)).where("again = 1").select(docs.columns)
+    """One row of each near-duplicate component: of the smallest doc_id (null last) and text hash, the least of rows alike in both."""
+    # A component goes by its texts: named by their least hash, it is known for rows that repeat a doc_id or have none.
+    hashed = docs.withColumn("own_hash", _own_hash())
+    found = simhash.simhash_components(hashed.select(F.col("own_hash").alias("doc_id"), "text"))
+    named = found.groupBy(F.col("doc_id").alias("own_hash")).agg(F.min("component_id").alias("component"))
+    least = hashed.groupBy("own_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_hash")).alias("first"))
+    kept = least.join(named, "own_hash").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.own_hash").alias("kept_hash"))
+    met = hashed.join(kept, (F.col("own_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return met.groupBy("kept_hash", "kept_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window; all rows of a doc_id go together."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(docs.columns)
+    """Documents without any benchmark window; a row goes for its own text, whatever rows share its doc_id."""
+    hashed = docs.withColumn("own_hash", _own_hash())
+    found = decontamination.decontaminate(hashed.select(F.col("own_hash").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("own_hash")).distinct()
+    return hashed.join(hit, "own_hash", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,3 +175,17 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
         assert sorted(slots) == list(range(len(slots)))
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(tuple(r) for r in again.collect()) == Counter(tuple(r) for r in found.collect())
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
+    """Rows without a doc_id, or that repeat one, stay or go each for its own text; without a model all stay."""
+    unlike = [" ".join(f"{c}{i}{k * 31 % 97}" for k in range(40)) for i, c in enumerate("abcdef")]
+    rows = [(3, unlike[0]), (5, unlike[0]), (5, unlike[1]), (None, unlike[2]), (None, unlike[3]), (None, unlike[3]), (7, unlike[4]), (7, unlike[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = [rows[0], *rows[2:5], *rows[6:]]
+    assert Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == Counter(first)
+    spark.createDataFrame([(1, unlike[2]), (2, unlike[4])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [r for r in rows if r[1] not in (unlike[2], unlike[4])]
+    assert Counter(tuple(r) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == Counter(clean)
+    spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == len(rows)
