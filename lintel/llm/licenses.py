@@ -11,14 +11,19 @@ the text's windows lies wholly within that stretch and equals a template window,
 that are merely similar (Jaccard 0.8) collide with probability 1 - (1 - 0.64)^8 > 0.999 at 16 words.
 
 A collision gives the template and where it would begin; the share of its shingles that stand in the text around
-that place is then counted exactly, and 0.8 or more is a match. Templates are a parameter of bounded size;
+that place is then counted exactly, and 0.8 or more is a match. Collisions that no match covers are joined, from one match
+of their template to the next, into one stretch whose shingles are counted alike: words put into a template, however
+many, spoil no more than the shingles that they cut. Of overlapping matches of templates that are alike by half
+(versions, or one with a clause more) that with the most shingles stays. Templates are a parameter of bounded size;
 each text is scanned on its own, in one narrow stage without a shuffle.
 
 Defined cases: a null or empty text has no match; a text or template of fewer than 5 words is one shingle, its whole
 sequence; rows are reported one by one; columns other than doc_id and text are not read.
 """
 
+import pkgutil
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +36,54 @@ SHINGLE, CONTAINED = 5, 0.8
 #: From this many words of a template on: words of a window, stride in a text, bands, rows of a band.
 WINDOWS = ((0, 5, 1, 1, 1), (10, 8, 2, 4, 1), (32, 16, 4, 8, 2))
 
-#: Notices and headers of public licenses.
+_GIVEN = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_UNNAMED = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS “AS IS” AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_HEADER = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+
+
+def _whole(name: str) -> str:
+    return pkgutil.get_data("lintel.llm", f"license_texts/{name}.txt").decode()
+
+
+#: Notices, headers and whole texts of public licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the “Software”), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": _HEADER.format("program", ":", "Affero ", ",", "3"),
+    "apache-2.0-text": _whole("Apache-2.0"),
+    "bsd-2-clause": "Released under the BSD 2-Clause License.",
+    "bsd-2-clause-text": f"{_GIVEN} {_AS_IS}",
+    "bsd-3-clause": "Released under the BSD 3-Clause License.",
+    "bsd-3-clause-text": f"{_GIVEN} {_UNNAMED} {_AS_IS}",
+    "cc0-1.0-text": _whole("CC0-1.0"),
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": _HEADER.format("program", ";", "", ";", "2"),
+    "gpl-2.0-text": _whole("GPL-2"),
+    "gpl-3.0-text": _whole("GPL-3"),
+    "isc": "Released under the ISC License.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED “AS IS” AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-header": _HEADER.format("library", ";", "Lesser ", ";", "2.1"),
+    "lgpl-2.1-text": _whole("LGPL-2.1"),
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": _HEADER.format("library", ":", "Lesser ", ",", "3"),
+    "lgpl-3.0-text": _whole("LGPL-3"),
+    "mit-licensed": "Licensed under the MIT License.",
+    "mpl-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2.0-text": _whole("MPL-2.0"),
+} | {
+    f"{kind.lower().replace(' ', '-')}-{version}{end}": lead.format(f"{kind} {version}", f"{name} {version}")
+    for kind, name in {"CC BY": "Attribution", "CC BY-SA": "Attribution-ShareAlike", "CC BY-NC": "Attribution-NonCommercial", "CC BY-ND": "Attribution-NoDerivatives", "CC BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "CC BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()
+    for version in ("2.0", "3.0", "4.0")
+    for end, lead in {"": "Licensed under {0}.", "-header": "This work is licensed under a Creative Commons {1} International License.", "-unported": "This work is licensed under a Creative Commons {1} Unported License."}.items()
 }
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -103,6 +146,15 @@ class Templates:
             for table, values in zip(tables, _signatures(shingles, begins, window - shingle + 1, bands, rows)):
                 for begin, value in enumerate(values.tolist()):
                     table.setdefault(value, []).append((t, begin))
+        self.keys = {w: [np.fromiter(table, np.uint64, len(table)) for table in tables] for w, tables in self.bands.items()}
+        alike = lambda a, b: 2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)) > 0
+        self.rivals = {(x, y) for x, a in zip(self.names, self.sets) for y, b in zip(self.names, self.sets) if x != y and len(a) <= 2 * len(b) <= 4 * len(a) and alike(a, b)}
+
+
+@lru_cache(4)
+def _known(templates: tuple[tuple[str, str], ...]) -> Templates:
+    """The templates, made once in a Python worker."""
+    return Templates(dict(templates))
 
 
 def _scan(templates: dict[str, str], contained: float):
@@ -114,37 +166,49 @@ def _scan(templates: dict[str, str], contained: float):
         shingles = np.zeros(n, np.uint64)
         shingles[at] = span_hashes(words, at, at + k)
         guesses: set[tuple[int, int, int]] = set()  # row, template, word at which the template would begin
+        met: dict[tuple[int, int], set[tuple[int, int]]] = {}  # row, template: windows that collide
         for _, window, stride, bands, per_band in WINDOWS:
             tables = known.bands.get(window)
             if not tables or n < window:
                 continue
             whole = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
             begins = whole[((whole - first[row[whole]]) % stride == 0) | (np.append(row[whole][1:], -1) != row[whole])]
-            for table, values in zip(tables, _signatures(shingles, begins, window - k + 1, bands, per_band)):
-                for i in np.flatnonzero(np.isin(values, np.fromiter(table, np.uint64, len(table)))).tolist():
+            for table, keys, values in zip(tables, known.keys[window], _signatures(shingles, begins, window - k + 1, bands, per_band)):
+                for i in np.flatnonzero(np.isin(values, keys)).tolist():
                     for t, offset in table[int(values[i])]:
                         guesses.add((int(row[begins[i]]), t, int(begins[i]) - offset))
+                        met.setdefault((int(row[begins[i]]), t), set()).add((int(begins[i]), int(begins[i]) + window))
         for t, length in enumerate(known.lengths):
             if 0 < length < k:  # a whole sequence of few words, anywhere
                 spot = np.flatnonzero(row[: n - length + 1] == row[length - 1 :]) if n >= length else np.zeros(0, np.int64)
                 for i in spot[span_hashes(words, spot, spot + length) == known.sets[t][0]].tolist():
                     guesses.add((int(row[i]), t, i))
         out: list[list[tuple]] = [[] for _ in range(rows)]
-        for r, t, begin in sorted(guesses):
-            slack = known.lengths[t] // 5 + 1
-            lo, hi = max(begin - slack, int(first[r])), min(begin + known.lengths[t] + slack, int(first[r + 1]))
+
+        def count(r: int, t: int, lo: int, hi: int) -> None:
             size = min(known.lengths[t], k)
             spots = np.arange(lo, hi - size + 1)
-            around = span_hashes(words, spots, spots + size)
+            around = shingles[spots] if size == k else span_hashes(words, spots, spots + size)
             inside = np.isin(around, known.sets[t])
             share = len(np.unique(around[inside])) / len(known.sets[t])
             if share >= contained:
                 held = spots[inside]
-                out[r].append((known.names[t], share, int(held[0] - first[r]), int(held[-1] + size - first[r])))
-        return [_best(x) for x in out]
+                out[r].append((known.names[t], share, int(held[0] - first[r]), int(held[-1] + size - first[r]), round(share * len(known.sets[t]))))
+
+        for r, t, begin in sorted(guesses):
+            slack = known.lengths[t] // 5 + 1
+            count(r, t, max(begin - slack, int(first[r])), min(begin + known.lengths[t] + slack, int(first[r + 1])))
+        out = [_best(x) for x in out]
+        for (r, t), windows in met.items():
+            taken = sorted((m[2] + int(first[r]), m[3] + int(first[r])) for m in out[r] if m[0] == known.names[t])
+            for lo, hi in zip([int(first[r]), *(e for _, e in taken)], [*(b for b, _ in taken), int(first[r + 1])]):
+                rest = [w for w in windows if w[0] >= lo and w[1] <= hi]
+                if rest:  # the edges of a template may be too short for a window of their own
+                    count(r, t, max(lo, min(rest)[0] - known.lengths[t]), min(hi, max(e for _, e in rest) + known.lengths[t]))
+        return [[m[:4] for m in _strongest(_best(x), known.rivals)] for x in out]
 
     def batches(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates)
+        known = _known(tuple(sorted(templates.items())))
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
         for batch in items:
             data, bounds = utf8(batch.column("text"))
@@ -167,6 +231,12 @@ def _best(matches: list[tuple]) -> list[tuple]:
     return sorted(kept, key=lambda m: (m[2], m[0], m[3]))
 
 
+def _strongest(matches: list[tuple], rivals: set[tuple[str, str]]) -> list[tuple]:
+    """Without matches that overlap one of a rival template with more shingles, or as many and a higher containment."""
+    beats = lambda x, m: (x[4], x[1]) > (m[4], m[1]) and (x[0], m[0]) in rivals and m[2] < x[3] and x[2] < m[3]
+    return [m for m in matches if not any(beats(x, m) for x in matches)]
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words and matches (license, containment, begin and end in words) for every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -136,3 +136,20 @@ def test_license_scan_against_every_position(spark, docs, rows):
 
 def test_license_scan_empty(empty):
     assert licenses.license_scan(empty).collect() == []
+
+
+def test_license_scan_tells_common_licenses_apart(spark):
+    """Each default template is found under its own name, and under no rival's; words put into it do not hide it."""
+    t = licenses.TEMPLATES
+    rows = [(name, "lead words " + text + " tail words") for name, text in t.items()]
+    long = t["apache-2.0-header"].split()
+    rows.append(("cut", " ".join(long[:40]) + " holder" * 300 + " " + " ".join(long[40:])))
+    rows.append(("twice", f"{t['isc-text']} and {t['isc-text']}"))
+    frame = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {rows[r.doc_id][0]: [m.license for m in r.matches] for r in licenses.license_scan(frame).collect()}
+    known = licenses.Templates(t)
+    for name in t:
+        assert name in found[name], name
+        assert not any((name, x) in known.rivals and not name.endswith("-text") for x in found[name]), (name, found[name])
+    assert "bsd-2-clause-text" not in found["bsd-3-clause-text"] and "bsd-3-clause-text" not in found["bsd-2-clause-text"]
+    assert "apache-2.0-header" in found["cut"] and found["twice"] == ["isc-text", "isc-text"]
