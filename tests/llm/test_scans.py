@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -79,8 +81,10 @@ def scan_brute(text):
         base += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
     for m in re.finditer(secret_scan.CANDIDATE, text):
         if re.search("[0-9]", m[0]) and not any(re.search(p, m[0]) for p in secret_scan.ALLOW):
+            cuts = [(0, 0), *(x.span() for p in ["|".join(f"(?:{p})" for p in secret_scan.ALLOW_INSIDE)] for x in re.finditer(p, m[0])), (len(m[0]),) * 2]
             for order, kind in enumerate(secret_scan.CLASSES, 3):
-                more += [(m.start() + b, order, kind, m.start() + e) for b, e in entropy_spans(m[0], kind)]
+                for (_, lo), (hi, _) in zip(cuts, cuts[1:]):
+                    more += [(m.start() + lo + b, order, kind, m.start() + lo + e) for b, e in entropy_spans(m[0][lo:hi], kind)]
     show = lambda spans: ",".join(f"{k}:{b}:{e}" for b, _, k, e in sorted(spans))
     count = Counter(s[2] for s in base)
     return count["assign"], count["access"], count["hex"], hashlib.sha256(show(base).encode()).hexdigest(), show(base + more), len(more)
@@ -101,6 +105,20 @@ def test_secret_scan(spark):
     assert Counter(tuple(r) for r in secret_scan.scan(frame).collect()) == expected
 
 
+def test_secret_scan_of_long_candidates(spark):
+    """Spans that cross pieces, many of them, words of the allow-list inside; and a megabyte in time proportional to it."""
+    rng = random.Random(4)
+    token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [token(3000), "".join(token(rng.randint(10, 60)) + "-" * rng.randint(1, 40) for _ in range(80)), "sample_key=" + token(40), token(30) + "example" + token(50) + "/usr/local/lib/" + token(19), "9" * 255 + token(21), " ".join(token(24) for _ in range(700))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(tuple(r) for r in secret_scan.scan(frame).collect()) == Counter((i, *scan_brute(t)) for i, t in enumerate(texts))
+    scan = lambda n: secret_scan.scan(spark.createDataFrame([(1, token(n))], "doc_id long, text string")).first()
+    scan(1000)
+    began = time.time()
+    assert scan(1_000_000).n_entropy > 0
+    assert time.time() - began < 60
+
+
 def test_secret_scan_on_texts(docs, rows, empty):
     assert Counter(tuple(r) for r in secret_scan.scan(docs).collect()) == Counter((r[0], *scan_brute(r[1] or "")) for r in rows)
     assert secret_scan.scan(empty).collect() == []
