@@ -1,31 +1,34 @@
 """Exact dedup by Patricia tries that own partitions of the length and content hash.
 
-A trie keeps whole texts as UTF-8 bytes along compressed edges; the node where a text ends holds the smallest and
-the largest doc_id that have it and the number of rows. Equality is decided by walking the bytes, never by a hash.
+Each partition of (length, content hash) has one owner task, and each owner one compressed radix trie. It inserts
+the full UTF-8 bytes of all texts of its partition; texts with a common beginning share its edges, whatever their
+length. The node where a text ends holds the smallest and the largest doc_id that have it and the number of rows.
+Equality is decided by walking the bytes, never by a hash.
 
 Two passes over texts use the same trie. A combiner trie in each input task folds the copies that stand there, so
-a text with very many copies reaches its owner once a task and not once a row. The owner task of a (length, hash)
-partition then inserts the folded texts. They arrive sorted by owner key, so when the bytes held pass a limit, every
-subtree (all texts of one key) but the newest is complete and leaves the trie as result rows: memory stays at the
-limit, and nothing is written beside Spark's own sort and shuffle files. Verdicts meet the rows again on the key and
-the SHA-256 of the text; that join carries no texts, and adaptive execution splits its hot keys.
+a text with very many copies reaches its owner once a task and not once a row; when it holds too much, its heaviest
+subtrees go on to their owners. An owner gets its texts in the order of their bytes. When the bytes held pass the limit,
+all subtrees that lie before the text at hand are complete and leave the trie as result rows, those on its path
+stay: memory stays at the limit and one text, and nothing is written beside Spark's own sort and shuffle files. Verdicts
+meet the rows again on the length and the SHA-256 of the text; that join carries no texts, and adaptive execution splits
+its hot keys.
 
 Defined cases: a null text counts as empty; a null doc_id never wins over another; rows that repeat both doc_id and
-text count in group_size and all carry the verdict of their doc_id; other columns are not read.
+text count in group_size and all carry the verdict of their doc_id; a text longer than the limit is held alone; an
+empty table gives no rows; other columns are not read.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a trie holds before complete subtrees leave it.
-HELD_BYTES = 8 << 20
+#: Bytes that a trie holds before subtrees leave it, and what a node costs beside its label.
+HELD_BYTES, NODE_BYTES = 8 << 20, 256
 
-_SCHEMA = "length long, content_hash long, text binary, smallest long, largest long, group_size long"
-_VERDICT = "length long, content_hash long, text_sha256 string, smallest long, largest long, group_size long"
+_VERDICT = "length long, text_sha256 string, smallest long, largest long, group_size long"
 
 
 class _Node:
@@ -48,10 +51,9 @@ class Trie:
             child = node.children.get(text[at])
             if child is None:
                 child = node.children[text[at]] = _Node(text[at:])
-                self.held += len(text) - at
+                self.held += len(text) - at + NODE_BYTES
             elif not text.startswith(child.label, at):
-                self._split(node, child, _common(child.label, text, at))
-                child = node.children[text[at]]
+                child = self._split(node, child, _common(child.label, text, at))
             at += len(child.label)
             node = child
         if node.entry is None:
@@ -62,22 +64,67 @@ class Trie:
             e[1] = high if e[1] is None else e[1] if high is None else max(e[1], high)
             e[2] += rows
 
-    @staticmethod
-    def _split(node: _Node, child: _Node, keep: int) -> None:
+    def _split(self, node: _Node, child: _Node, keep: int) -> _Node:
+        """A node where the child's edge and another part."""
         upper = _Node(child.label[:keep])
         child.label = child.label[keep:]
         upper.children[child.label[0]] = child
         node.children[upper.label[0]] = upper
+        self.held += NODE_BYTES
+        return upper
 
-    def entries(self) -> Iterator[tuple[bytes, list]]:
-        stack = [(self.root, b"")]
+    def _removed(self, top: _Node, lead: bytes) -> Iterator[tuple[bytes, list]]:
+        """The texts of a subtree that is no longer in the trie."""
+        stack = [(top, lead)]
         while stack:
             node, text = stack.pop()
+            self.held -= len(node.label) + NODE_BYTES
             text += node.label
             if node.entry is not None:
                 yield text, node.entry
             stack += [(x, text) for x in node.children.values()]
 
+    def release_before(self, text: bytes) -> Iterator[tuple[bytes, list]]:
+        """Takes out all texts that come before this one in the order of bytes; no node on its path goes."""
+        node, at = self.root, 0
+        while True:
+            if node.entry is not None and at < len(text):
+                yield text[:at], node.entry
+                node.entry = None
+            ahead = text[at] if at < len(text) else -1
+            for key in sorted(k for k in node.children if k < ahead):
+                yield from self._removed(node.children.pop(key), text[:at])
+            child = node.children.get(ahead)
+            if child is None:
+                return
+            if not text.startswith(child.label, at):  # the whole edge is on one side of the text
+                if child.label < text[at : at + len(child.label)]:
+                    yield from self._removed(node.children.pop(ahead), text[:at])
+                return
+            node, at = child, at + len(child.label)
+
+    def release_heaviest(self, limit: int) -> Iterator[tuple[bytes, list]]:
+        """Takes out the subtrees under the first edges, those that hold most first, until at most limit is held."""
+        weights = {k: self._weight(x) for k, x in self.root.children.items()}
+        for key in sorted(weights, key=lambda k: -weights[k]):
+            if self.held <= limit:
+                return
+            yield from self._removed(self.root.children.pop(key), b"")
+
+    @staticmethod
+    def _weight(top: _Node) -> int:
+        total, stack = 0, [top]
+        while stack:
+            node = stack.pop()
+            total += len(node.label) + NODE_BYTES
+            stack += node.children.values()
+        return total
+
+    def release(self) -> Iterator[tuple[bytes, list]]:
+        """Takes out all texts."""
+        top, self.root, self.held = self.root, _Node(b""), self.held + NODE_BYTES
+        yield from self._removed(top, b"")
+
 
 def _common(label: bytes, text: bytes, at: int) -> int:
     """Length of the common prefix of label and text from at on."""
@@ -96,70 +143,65 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
 
 
-def _flushed(tries: dict[tuple, Trie], digest: bool) -> Iterator[pa.RecordBatch]:
-    """The entries of these tries in batches of bounded bytes."""
-    rows, size = [], 0
-    for key, trie in tries.items():
-        for text, entry in trie.entries():
-            rows.append((*key, hashlib.sha256(text).hexdigest() if digest else text, *entry))
-            size += 64 if digest else len(text)
-            if size > HELD_BYTES:
-                yield _batch(rows, digest)
-                rows, size = [], 0
-    if rows:
-        yield _batch(rows, digest)
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size_of: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if size > HELD_BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
 
 
-def _batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
-    names = ["length", "content_hash", "text_sha256" if digest else "text", "smallest", "largest", "group_size"]
-    kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _schema(*named: tuple[str, pa.DataType]) -> pa.Schema:
+    return pa.schema([*named, *((x, pa.int64()) for x in ("smallest", "largest", "group_size"))])
 
 
 def _combine(limit: int):
-    """Folds the copies in an input task; when the limit is passed, all that is held goes on and a new trie begins."""
+    """Folds the copies in an input task; the heaviest subtrees go on when the limit is passed, until half of it is held."""
 
-    def batches(items):
-        tries, held = {}, 0
-        for length, content, text, doc_id in _rows(items):
-            trie = tries.setdefault((length, content), Trie())
-            before = trie.held
+    def folded(items):
+        trie = Trie()
+        for text, doc_id in _rows(items):
             trie.insert(text, doc_id, doc_id, 1)
-            held += trie.held - before
-            if held > limit:
-                yield from _flushed(tries, False)
-                tries, held = {}, 0
-        yield from _flushed(tries, False)
+            if trie.held > limit:
+                yield from ((text, *e) for text, e in trie.release_heaviest(limit // 2))
+        yield from ((text, *e) for text, e in trie.release())
 
-    return batches
+    return lambda items: _batched(folded(items), _schema(("text", pa.binary())), lambda r: len(r[0]))
 
 
 def _own(limit: int):
-    """Inserts the texts of a partition in order of key; subtrees of earlier keys are complete and may leave."""
+    """Inserts the texts of a partition in the order of their bytes; complete subtrees leave when the limit is passed."""
 
-    def batches(items):
-        tries, held = {}, 0
-        for length, content, text, low, high, rows in _rows(items):
-            key = (length, content)
-            if held > limit and key not in tries:
-                yield from _flushed(tries, True)
-                tries, held = {}, 0
-            trie = tries.setdefault(key, Trie())
-            before = trie.held
+    def owned(items):
+        trie = Trie()
+        for text, low, high, rows in _rows(items):
+            if trie.held > limit:
+                yield from trie.release_before(text)
             trie.insert(text, low, high, rows)
-            held += trie.held - before
-        yield from _flushed(tries, True)
+        yield from trie.release()
+
+    def batches(items):
+        verdicts = ((len(text), hashlib.sha256(text).hexdigest(), *e) for text, e in owned(items))
+        return _batched(verdicts, _schema(("length", pa.int64()), ("text_sha256", pa.string())), lambda r: 96)
 
     return batches
 
 
 def exact_groups(docs: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """One row for each different text: its key, SHA-256, smallest and largest doc_id and number of rows."""
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
-        F.octet_length("text").cast("long").alias("length"), F.xxhash64("text").alias("content_hash"), F.encode("text", "utf-8").alias("text"), "doc_id"
-    )
-    folded = keyed.mapInArrow(_combine(held_bytes), _SCHEMA)
-    return folded.repartition("length", "content_hash").sortWithinPartitions("length", "content_hash").mapInArrow(_own(held_bytes), _VERDICT)
+    """One row for each different text: its length, SHA-256, smallest and largest doc_id and number of rows."""
+    texts = docs.select(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("text"), F.col("doc_id").cast("long"))
+    folded = texts.mapInArrow(_combine(held_bytes), "text binary, smallest long, largest long, group_size long")
+    dealt = folded.repartition(F.length("text"), F.xxhash64("text")).sortWithinPartitions("text")
+    return dealt.mapInArrow(_own(held_bytes), _VERDICT)
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest", held_bytes: int = HELD_BYTES) -> DataFrame:

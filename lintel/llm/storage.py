@@ -1,31 +1,17 @@
 """Tables that must outlive a task, in the folder every executor sees."""
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from lintel.plans.storage import remove_table, settled, shared_folder, write_table
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; where it names none (local tests), a new local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is not None:
-            return current
-        named = "file://" + tempfile.mkdtemp(prefix="lintel-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+__all__ = ["checkpointed", "remove_table", "shared_folder", "write_table", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as a Parquet table to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -57,7 +58,37 @@ def test_trie_holds_what_was_inserted(items):
         trie.insert(text, i, i, 1)
         e = expected.setdefault(text, [i, i, 0])
         e[:] = [min(e[0], i), max(e[1], i), e[2] + 1]
-    assert dict(trie.entries()) == expected
+    assert dict(trie.release()) == expected
+    assert trie.held == 0
+
+
+@given(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=40), st.binary(max_size=4).map(lambda b: bytes(x % 3 for x in b)))
+def test_trie_releases_what_comes_before(texts, cut):
+    trie = exact_dedup.Trie()
+    for text in texts:
+        trie.insert(text, 1, 1, 1)
+    assert {t for t, _ in trie.release_before(cut)} == {t for t in texts if t < cut}
+    assert {t for t, _ in trie.release()} == {t for t in texts if t >= cut}
+    assert trie.held == 0
+
+
+def _owned(texts, limit):
+    batch = pa.RecordBatch.from_pydict({"text": sorted(texts), "low": range(len(texts)), "high": range(len(texts)), "rows": [1] * len(texts)})
+    return [r for b in exact_dedup._own(limit)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_owner_trie_shares_beginnings_and_spills_complete_subtrees(monkeypatch):
+    shared = [b"x" * 10_000 + b"%03d" % i for i in range(100)]
+    apart = [b"%03d" % i + b"x" * 10_000 for i in range(100)]
+    most, calls = [], []
+    insert, before = exact_dedup.Trie.insert, exact_dedup.Trie.release_before
+    monkeypatch.setattr(exact_dedup.Trie, "insert", lambda self, *a: (insert(self, *a), most.append(self.held))[0])
+    monkeypatch.setattr(exact_dedup.Trie, "release_before", lambda self, t: calls.append(t) or before(self, t))
+    assert len(_owned(shared, 100_000)) == 100
+    assert max(most) < 100_000 and not calls  # one long edge, not a hundred
+    most.clear()
+    assert {r["text_sha256"] for r in _owned(apart, 100_000)} == {hashlib.sha256(t).hexdigest() for t in apart}
+    assert calls and max(most) < 120_000  # a limit and one text
 
 
 def substring_brute(rows, window):
