@@ -10,23 +10,25 @@ rarest, and so on, until none is left or all terms agree. What remains are exact
 term may stand up to that many words from its place (proximity matches). A document lies within one segment, so its
 result is complete there.
 
-The benchmark is the stated query set. It is read in blocks of a bounded number of bytes, each of which goes over the
-whole index; per-document results of the blocks are merged.
+The benchmark is the stated query set. It is read in blocks of BLOCK_BYTES (or of one item, where that is longer). A
+block's texts go over the whole index, and its result is written before the next block is read: the driver holds one block's
+texts and no windows, which each Python worker makes for itself. Results of the blocks are merged for each document, and
+the index is deleted once they are written.
 
 Defined cases: null or empty texts have no words and no hits; items with no words have no windows; a null item_id is
 the empty string in the digest; rows that repeat an id are rows of their own; a null doc_id is kept as null; other
-columns are not read.
+columns are not read; a very long text is a segment of its own; an empty table gives no rows, an empty benchmark no hits.
 """
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.storage import written
+from lintel.llm.storage import remove_table, write_table, written
 from lintel.llm.text import passes, utf8, word_bounds, word_codes
 
 WINDOW, SLOP = 10, 2
@@ -59,10 +61,10 @@ def _segments(segment_bytes: int):
     return batches
 
 
-def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The positional index of docs (doc_id, text), written to the shared folder, one row for each segment."""
+def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> str:
+    """The path of the positional index of docs (doc_id, text), a table in the shared folder of one row for each segment."""
     built = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_segments(segment_bytes), _INDEX)
-    return written(built.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    return write_table(built.withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -92,19 +94,33 @@ def intersect(postings: list[np.ndarray], slop: int = 0) -> np.ndarray:
     return starts
 
 
-def _search(items: list[tuple[str, list[tuple[bytes, ...]]]], slop: int):
+class _Lookup:
+    """The windows of a block's items as rows of term codes, and the items that have each."""
+
+    def __init__(self, items: tuple[tuple[str, str], ...], window: int):
+        found: dict[tuple[bytes, ...], list[str]] = {}
+        for item, text in items:
+            for w in sorted(item_windows(item_words(text), window)):
+                found.setdefault(w, []).append(item)
+        self.terms = {t: i for i, t in enumerate(sorted({t for w in found for t in w}))}
+        self.items = {tuple(self.terms[t] for t in w): x for w, x in found.items()}
+        by_length: dict[int, list[tuple[int, ...]]] = {}
+        for w in self.items:
+            by_length.setdefault(len(w), []).append(w)
+        self.matrices = [np.array(x) for x in by_length.values()]
+
+
+@lru_cache(1)
+def _looked_up(items: tuple[tuple[str, str], ...], window: int) -> _Lookup:
+    """A block's windows, made once in a Python worker."""
+    return _Lookup(items, window)
+
+
+def _search(items: tuple[tuple[str, str], ...], window: int, slop: int):
     """Looks the items' windows up in each segment; one row for each document."""
-    terms = {t: i for i, t in enumerate(sorted({t for _, ws in items for w in ws for t in w}))}
-    shared: dict[tuple[int, ...], list[str]] = {}
-    for item, windows in items:
-        for w in windows:
-            shared.setdefault(tuple(terms[t] for t in w), []).append(item)
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for w in shared:
-        by_length.setdefault(len(w), []).append(w)
-    matrices = [np.array(x) for x in by_length.values()]
-
-    def found(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+
+    def found(known_items: _Lookup, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        terms, shared, matrices = known_items.terms, known_items.items, known_items.matrices
         get = lambda name: batch.column(name)[k].as_py()
         first = np.array(get("first_words"), np.int64)
         own = get("terms")
@@ -118,26 +134,27 @@ def _search(items: list[tuple[str, list[tuple[bytes, ...]]]], slop: int):
         rows = len(first) - 1
         hits, near, spans = [set() for _ in range(rows)], [set() for _ in range(rows)], [[] for _ in range(rows)]
         for matrix in matrices:
-            for window in map(tuple, matrix[present[matrix].all(axis=1)].tolist()):
-                lists_ = [lists[t] for t in window]
+            for codes in map(tuple, matrix[present[matrix].all(axis=1)].tolist()):
+                lists_ = [lists[t] for t in codes]
                 close = intersect(lists_, slop)
                 for exact, starts in ((False, close), (True, intersect(lists_) if len(close) else close)):
                     place = np.searchsorted(first, starts, "right") - 1
                     whole = (place >= 0) & (place < rows)
-                    whole[whole] &= starts[whole] + len(window) <= first[place[whole] + 1]
+                    whole[whole] &= starts[whole] + len(codes) <= first[place[whole] + 1]
                     for p, s in zip(place[whole].tolist(), starts[whole].tolist()):
-                        (hits if exact else near)[p].update(shared[window])
+                        (hits if exact else near)[p].update(shared[codes])
                         if exact:
-                            spans[p].append((s - int(first[p]), s - int(first[p]) + len(window)))
+                            spans[p].append((s - int(first[p]), s - int(first[p]) + len(codes)))
         spans = [sorted(set(x)) for x in spans]
         columns = [[get("segment")] * rows, range(rows), get("doc_ids"), np.diff(first).tolist(), [sorted(x) for x in hits], [sorted(x) for x in near], [[b for b, _ in x] for x in spans], [[e for _, e in x] for x in spans]]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], ["segment", "place", "doc_id", "n_words", "items", "near_items", "begins", "ends"])
 
     def batches(segments: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_items = _looked_up(items, window)
         for batch in segments:
             for k in range(batch.num_rows):
-                yield found(batch, k)
+                yield found(known_items, batch, k)
 
     return batches
 
@@ -154,9 +171,9 @@ def find_items(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slo
     queries = queries.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     parts = []
     for block in range(blocks):
-        items = [(r.item_id, sorted(item_windows(item_words(r.text), window))) for r in queries.where(F.col("block") == block).orderBy("item_id", "text").collect()]
-        parts.append(index.mapInArrow(_search(items, slop), _FOUND))
-    if len(parts) == 1:
+        items = tuple((r.item_id, r.text) for r in queries.where(F.col("block") == block).orderBy("item_id", "text").collect())
+        parts.append(written(index.mapInArrow(_search(items, window, slop), _FOUND), "found"))
+    if blocks == 1:
         return parts[0].drop("segment", "place")
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))))
@@ -166,7 +183,10 @@ def find_items(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, items and spans of every document."""
-    found = find_items(build_index(docs), benchmark, window, slop)
+    spark = docs.sparkSession
+    path = build_index(docs)
+    found = find_items(spark.read.parquet(path), benchmark, window, slop)
+    remove_table(spark, path)
     # Spans are in order of begin: each adds what lies beyond the end of those before it.
     covered = F.aggregate(
         F.arrays_zip("begins", "ends"),
