@@ -1,31 +1,42 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's rows are permuted by a seeded hash and cut into blocks. The source's target, in words, is a number of
-whole passes over it and a part; the part is a prefix of its permuted blocks, the last of them cut inside at the
-document nearest to the target. Drawn blocks are a quota per source. A binary tree over the output shards
-splits the quotas: each node gives its left half an exact number of draws, taken from the sources by a multivariate
-hypergeometric draw, so every shard gets a random and exact share of every source. A shard's blocks are the next
-ones in permuted order, disjoint from all others, and its rows are ordered by a seeded hash.
-
-Rows per block is a parameter; a source has at most MAX_BLOCKS blocks, so the block table is bounded by the number of
-sources. One row for each source and the quotas are planned on the driver; rows of documents never are.
-
-Defined cases: a null text has size 0; null is a source of its own, the last; a source with no words has target 0;
-rows that repeat a doc_id are rows of their own; an empty table gives no rows.
+A source's rows are permuted by a seeded hash into blocks of about BLOCK_ROWS rows, at any size of the input. The
+source's target, in words, is a number of whole passes over it and a part. The part is a prefix of its permuted blocks; what
+is left of it at the cut is filled from the next ZONE blocks, the largest rows that fit first and then the one that comes
+nearest. Drawn blocks are a quota per source. A binary tree over the output shards splits the quotas: each node gives
+its left half an exact number of draws, taken from the sources by a multivariate hypergeometric draw, so every shard gets a
+random and exact share of every source. A shard's blocks are the next ones in an affine permutation of the block
+numbers, another one for each pass, disjoint from all others, and its rows are ordered by a seeded hash.
+
+Which copies of a row are drawn, and where they go, follows from the row's hash and its source's row of the plan alone: no
+row of documents is shuffled for it. Sums of blocks are shuffled (one row a block, added up in two steps), and the rows of
+the cut. The driver plans one row of under 3 KB for each source; with over BROADCAST_SOURCES of them the plan is joined by
+a shuffle instead of a broadcast.
+
+Defined cases: a null text has size 0, a very long one is counted whole; null is a source of its own, the last; a source
+with no words has target 0; rows that repeat a doc_id are rows of their own, and those alike in id and text share their fate; other
+columns are not read, mixed() hands them on; an empty table gives no rows.
 """
 
 from itertools import accumulate
+from math import gcd
 
 import numpy as np
-import pyspark.sql.types as T
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.llm.storage import checkpointed
 
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
 SHARDS, SEED = 24, 1
-BLOCK_ROWS, MAX_BLOCKS = 256, 1024
+#: Rows of a block, blocks from which the cut is filled, and blocks whose sizes are added up in one group.
+BLOCK_ROWS, ZONE, GROUP = 16, 16, 4096
+BROADCAST_SOURCES = 10_000
+#: Draws of which the exact hypergeometric generator can take a sum; beyond it the normal law is as good.
+EXACT_DRAWS = 1_000_000_000
+
+_PLAN = "source_no int, source string, source_size long, target double, passes int, n_blocks long"
+_CUT = "plan_no int, cut long, taken_places array<long>, part_blocks long, steps array<long>, ends array<long>"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, ceiling: float = CEILING) -> list[float]:
@@ -34,7 +45,7 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, ceilin
     left = share * sum(sizes)
     while open_:
         unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > ceiling * sizes[i]]
+        full = {i for i in open_ if unit * weights[i] > ceiling * sizes[i]}
         if not full:
             for i in open_:
                 out[i] = unit * weights[i]
@@ -42,7 +53,23 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, ceilin
         for i in full:
             out[i] = float(ceiling * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def _drawn(rng: np.random.Generator, left: list[int], draws: int) -> list[int]:
+    """A multivariate hypergeometric draw, source by source."""
+    out, rest = [], sum(left)
+    for own in left:
+        others = rest - own
+        if rest < EXACT_DRAWS:
+            n = int(rng.hypergeometric(own, others, draws)) if draws else 0
+        else:
+            mean = draws * own / rest
+            n = round(rng.normal(mean, (mean * others / rest * (rest - draws) / (rest - 1)) ** 0.5))
+            n = max(0, draws - others, min(n, own, draws))
+        out.append(n)
+        rest, draws = others, draws - n
     return out
 
 
@@ -51,21 +78,107 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> list[list[
     rng = np.random.Generator(np.random.PCG64(seed))
     totals = [sum(quotas) // shards + (i < sum(quotas) % shards) for i in range(shards)]
 
-    def split(left: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    def split(left: list[int], lo: int, hi: int) -> list[list[int]]:
         if hi - lo == 1:
             return [left]
         mid = (lo + hi) // 2
-        draws = sum(totals[lo:mid])
-        own = rng.multivariate_hypergeometric(left, draws, method="marginals") if left.sum() else left
-        return split(own, lo, mid) + split(left - own, mid, hi)
+        own = _drawn(rng, left, sum(totals[lo:mid]))
+        return split(own, lo, mid) + split([x - y for x, y in zip(left, own)], mid, hi)
 
-    return np.stack(split(np.array(quotas, np.int64), 0, shards), axis=1).tolist() if quotas else []
+    return [list(x) for x in zip(*split(list(quotas), 0, shards))]
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
+def _step(n: int, salt: int) -> int:
+    """A multiplier without a common factor with n, of an affine permutation of n numbers."""
+    step = max(1, int(n * ((0.6180339887 + 0.137 * salt) % 1)))
+    while gcd(step, n) > 1:
+        step += 1
+    return step
+
+
+def _measured(docs: DataFrame, seed: int) -> tuple[Column, Column, Column]:
+    """Size, text hash and place of a row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.withColumn("size", words.cast("long")).withColumn("text_hash", F.xxhash64(F.lit(0), text))
+    hashed = F.xxhash64(F.lit(0), text)
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), hashed, F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), hashed)
+
+
+def _block(place: Column, n_blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), place), n_blocks)
+
+
+def _filled(zone: Column, gap: Column) -> Column:
+    """Places of the rows (words, place) of a cut that fill its gap: the largest that fit, then the one that comes nearest."""
+    start = F.struct(gap.alias("left"), F.array().cast("array<long>").alias("taken"), F.lit(None).cast("struct<words:long,place:long>").alias("other"))
+    fits = lambda a, x: x["words"] <= a["left"]
+    step = lambda a, x: F.struct(
+        F.when(fits(a, x), a["left"] - x["words"]).otherwise(a["left"]).alias("left"),
+        F.when(fits(a, x), F.concat(a["taken"], F.array(x["place"]))).otherwise(a["taken"]).alias("taken"),
+        F.when(fits(a, x), a["other"]).otherwise(x).alias("other"),  # the smallest that did not fit
+    )
+    nearer = lambda a: F.coalesce(a["other"]["words"] < 2 * a["left"], F.lit(False))
+    return F.aggregate(F.sort_array(zone, asc=False), start, step, lambda a: F.when(nearer(a), F.concat(a["taken"], F.array(a["other"]["place"]))).otherwise(a["taken"]))
+
+
+def _planned(rows: DataFrame, weights: tuple[float, ...], share: float, ceiling: int, shards: int, seed: int, block_rows: int) -> DataFrame:
+    """One row for each source: its blocks, its cut and its draws; rows: source, size, place."""
+    spark = rows.sparkSession
+    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    stats.sort(key=lambda r: (r.source is None, r.source or ""))  # Python compares by code point
+    aims = targets([r.source_size for r in stats], [float(weights[i % len(weights)]) for i in range(len(stats))], share, ceiling)
+    plan = [(i, r.source, r.source_size, aim, int(aim // r.source_size) if r.source_size else 0, -(-r.n // block_rows)) for i, (r, aim) in enumerate(zip(stats, aims))]
+    sources = _small(spark.createDataFrame(plan, _PLAN), len(plan))
+
+    cell = rows.withColumnRenamed("source", "from").join(sources, F.col("from").eqNullSafe(F.col("source"))).withColumn("block", _block(F.col("place"), F.col("n_blocks"), seed))
+    cell = cell.select("source_no", "block", "place", F.col("size").alias("words"), (F.col("target") - F.col("passes") * F.col("source_size")).alias("part"))
+    blocks = cell.groupBy("source_no", "block", "part").agg(F.sum("words").alias("words")).withColumn("group", F.floor(F.col("block") / GROUP))
+    blocks = checkpointed(blocks)
+    ahead = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = blocks.groupBy("source_no", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("source_no", "group", F.coalesce(F.sum("words").over(ahead(["source_no"], "group")), F.lit(0)).alias("earlier"))
+    placed = blocks.withColumn("before", F.coalesce(F.sum("words").over(ahead(["source_no", "group"], "block")), F.lit(0))).join(groups, ["source_no", "group"])
+    placed = placed.withColumn("before", F.col("before") + F.col("earlier")).where(F.col("before") + F.col("words") > F.col("part"))
+    cuts = placed.groupBy("source_no").agg(F.min("block").alias("cut"), F.min_by(F.col("part") - F.col("before"), "block").alias("gap"))
+    cuts = _small(checkpointed(cuts), len(plan))
+    zone = cell.join(cuts, "source_no").where((F.col("block") >= F.col("cut")) & (F.col("block") < F.col("cut") + ZONE) & (F.col("gap") > 0))
+    # Rows alike in id and text are one entry; a zone has some ZONE * block_rows rows.
+    zone = zone.groupBy("source_no", "gap", "place").agg(F.sum("words").alias("words"))
+    taken = zone.groupBy("source_no", "gap").agg(F.collect_list(F.struct("words", "place")).alias("zone")).select("source_no", _filled(F.col("zone"), F.col("gap")).alias("taken"))
+    found = {r.source_no: r for r in cuts.join(taken, "source_no", "left").collect()}
+
+    shares, quotas, parts = [], [], []
+    for i, _, _, aim, passes, n_blocks in plan:
+        r = found.get(i)
+        inside = r is not None and r.gap > 0
+        cut = r.cut if r is not None else 0
+        parts.append((cut, list(r.taken or []) if inside else [], min(n_blocks, cut + ZONE) if inside else cut))
+        quotas.append(passes * n_blocks + parts[-1][2])
+    for (i, _, _, _, passes, n_blocks), (cut, chosen, part_blocks), draws in zip(plan, parts, split_quotas(quotas, shards, seed)):
+        shares.append((i, cut, chosen, part_blocks, [*(_step(n_blocks, c) for c in range(passes)), _step(max(part_blocks, 1), passes)], list(accumulate(draws))))
+    both = spark.createDataFrame(plan, _PLAN).join(spark.createDataFrame(shares, _CUT), F.col("source_no") == F.col("plan_no")).drop("plan_no")
+    return _small(both, len(plan))
+
+
+def _small(frame: DataFrame, rows: int) -> DataFrame:
+    """Broadcast, where it has few rows."""
+    return F.broadcast(frame) if rows <= BROADCAST_SOURCES else frame
+
+
+def _placements(place: Column, s: str, seed: int) -> Column:
+    """(copy, shard) of each drawn copy of a row; s: the struct column of its source's plan."""
+    p = F.col(s)
+    block = _block(place, p["n_blocks"], seed)
+
+    def placed(b: Column) -> Column:
+        draw = lambda c, n: c * p["n_blocks"] + (b * F.get(p["steps"], c) + c) % n + 1
+        shard = lambda d: F.size(F.filter(p["ends"], lambda e: e < d))
+        copy = lambda c, n: F.struct(c.alias("copy"), F.transform(F.array(draw(c, n)), shard)[0].alias("shard"))
+        whole = F.filter(F.sequence(F.lit(0), p["passes"]), lambda c: c < p["passes"])
+        in_part = (b < p["cut"]) | ((b < p["part_blocks"]) & F.array_contains(p["taken_places"], place))
+        part = F.when(in_part, F.array(copy(p["passes"], p["part_blocks"]))).otherwise(F.array().cast("array<struct<copy:int,shard:int>>"))
+        return F.concat(F.transform(whole, lambda c: copy(c, p["n_blocks"])), part)
+
+    return F.transform(F.array(block), placed)[0]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -75,49 +188,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     copy) for each row of docs (doc_id, text, source). The second has doc_id, text_hash, source, copy, shard and position in the shard's
     local shuffle (an order key, not a gapless number), one row for each copy.
     """
-    spark = docs.sparkSession
-    rows = _sizes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).drop("text")
-    rows = checkpointed(rows.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_hash")))
-    stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    stats.sort(key=lambda r: (r.source is None, r.source or ""))
-    weighed = [float(weights[i % len(weights)]) for i in range(len(stats))]
-    aims = targets([r.source_size for r in stats], weighed, share, ceiling)
-    plan = []
-    for i, (r, aim) in enumerate(zip(stats, aims)):
-        passes = int(aim // r.source_size) if r.source_size else 0
-        plan.append((i, r.source, r.source_size, aim, passes, aim - passes * r.source_size, max(1, min(MAX_BLOCKS, r.n // block_rows))))
-    schema = "source_no int, source string, source_size long, target double, passes int, part double, n_blocks int"
-    sources = spark.createDataFrame(plan, schema)  # one row for each source
-
-    cell = rows.withColumnRenamed("source", "from").join(sources, F.col("from").eqNullSafe(F.col("source"))).drop("from")
-    cell = cell.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), "n_blocks").cast("int"))
-    blocks = cell.groupBy("source_no", "block", "part").agg(F.sum("size").alias("block_size"))
-    in_order = Window.partitionBy("source_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(in_order), F.lit(0)))
-    drawn = (F.col("part") > F.col("before")).cast("int")
-    blocks = checkpointed(blocks.withColumn("draws", drawn).drop("part"))
-
-    counts = blocks.groupBy("source_no").agg(F.count("*").alias("n"), F.sum("draws").alias("extra")).collect()
-    held = {r.source_no: r for r in counts}
-    quotas = [p[4] * held[p[0]].n + held[p[0]].extra for p in plan]
-    ends = [list(accumulate(x)) for x in split_quotas(quotas, shards, seed)]
-    shares = spark.createDataFrame(list(enumerate(ends)), T.StructType([T.StructField("source_no", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]))
-    # A source's draws in order: each pass over its blocks in an order of its own, then the part's blocks.
-    copies = F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy")
-    drawn = blocks.join(sources.select("source_no", "passes"), "source_no").select("source_no", "block", copies, "passes", "draws").where("copy < passes or draws = 1")
-    by_pass = Window.partitionBy("source_no").orderBy("copy", F.xxhash64(F.lit(seed + 2), "copy", "block"), "block")
-    drawn = drawn.withColumn("draw", F.row_number().over(by_pass)).join(shares, "source_no")
-    shard = F.expr("cast(size(filter(ends, x -> x < draw)) as int)")
-    placed = drawn.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", shard.alias("shard")))).alias("placements"))
-    placed = blocks.select("source_no", "block", "before").join(placed, ["source_no", "block"], "left")
-
-    # A row goes where its block's draws go; in the part's last block, only the rows up to the nearest to the target.
-    within = Window.partitionBy("source_no", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cell = cell.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(placed, ["source_no", "block"])
-    inside = F.col("before") + F.col("ahead") + F.col("size") / 2 <= F.col("part")
-    own = F.filter(F.coalesce("placements", F.array()), lambda p: (p["copy"] < F.col("passes")) | inside)
-    cell = cell.withColumn("placements", own).withColumn("copies", F.size("placements"))
-    decisions = cell.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("placements.shard").alias("shards"))
+    size, hashed, place = _measured(docs, seed)
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), hashed.alias("text_hash"), place.alias("place")))
+    plan = _planned(rows, weights, share, ceiling, shards, seed, block_rows).select(F.struct("*").alias("plan"))
+    cell = rows.join(plan, F.col("source").eqNullSafe(F.col("plan.source"))).withColumn("placements", _placements(F.col("place"), "plan", seed)).withColumn("copies", F.size("placements"))
+    decisions = cell.select(
+        "doc_id", "text_hash", "source", "size", F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), "copies",
+        (F.col("copies") * F.col("size")).alias("taken"), F.col("placements.shard").alias("shards"),
+    )
     draws = cell.select("doc_id", "text_hash", "source", "place", F.explode("placements").alias("p")).select("doc_id", "text_hash", "source", F.col("p.copy").alias("copy"), F.col("p.shard").alias("shard"), "place")
     draws = draws.withColumn("position", F.xxhash64(F.lit(seed + 3), "shard", "place", "copy")).drop("place")
     return decisions, draws
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others), each as often as the mix draws it."""
+    size, _, place = _measured(docs, seed)
+    rows = checkpointed(docs.select(F.col("source").cast("string"), size.alias("size"), place.alias("place")))
+    plan = _planned(rows, weights, share, ceiling, SHARDS, seed, block_rows)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("from"), place.alias("place"))
+    met = whole.join(plan.select(F.struct("*").alias("plan")), F.col("from").eqNullSafe(F.col("plan.source")))
+    return met.select("row", F.explode(_placements(F.col("place"), "plan", seed))).select("row.*")

@@ -7,11 +7,13 @@ one-hot bucket. labels, lang, source and doc_id are no inputs.
 
 The model is fitted by Adam on at most FIT_ROWS labelled rows, those with the smallest hash of doc_id among the rows
 that are not held out; that bound is a parameter and does not grow with the data, so features of the sample may be
-collected. Scoring is one map over whole texts, with the model (a few MB at any input size) in the task.
+collected: 12 bytes for each different word of a sampled text, some MB as a rule, and hundreds of MB only if all FIT_ROWS of
+them had thousands of different words. Scoring is one map over whole texts, with the model (a few MB at any input size) in the task.
 
-Defined cases: a null or empty text is scored by its statistics; a null quality label is no label; where an
-id repeats in labels the largest label counts; no labels or labels of one kind give the constant score of their
-share (0.5 without any); other columns are not read, n_chars may be missing.
+Defined cases: a null or empty text is scored by its statistics, a very long one whole; a null quality label is no label; where an
+id repeats in labels the largest label counts, where it repeats in the documents each row is scored by its own text; ties in the sample's
+order go by doc_id and features; no labels or labels of one kind give the constant score of their
+share (0.5 without any); an empty table gives no rows; other columns are not read, n_chars may be missing.
 """
 
 import numpy as np

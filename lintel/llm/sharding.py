@@ -7,8 +7,9 @@ that holds the row count permutes the numbers; a result beyond the count is put
 differ by at most one, slots have no gap, and any row's shard and slot can be computed from its number, the row
 count and the seed alone, forwards and backwards.
 
-Defined cases: a null text has size 8 and checksum 0; null doc_ids come first; rows alike in doc_id, size and
-checksum are interchangeable; an empty table gives no rows.
+Defined cases: a null text has size 8 and checksum 0, a very long one is measured whole; null doc_ids come first; rows alike
+in doc_id, size and checksum are interchangeable, and the range partitioning splits them by their place in the
+input; other columns are not read; an empty table gives no rows.
 """
 
 import numpy as np
@@ -55,7 +56,9 @@ def permute(numbers: np.ndarray, rows: int, seed: int = SEED, inverse: bool = Fa
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """The rows with row_number (long, from 0) in this order, without a global window."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The input's own row id as the last key: rows alike in all others would be one range, however many.
+    tied = rows.withColumn("tie", F.monotonically_increasing_id())
+    sorted_ = tied.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
     placed = checkpointed(sorted_.withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition

@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lintel.llm import mixing, quality, sharding, simhash
+from lintel.llm import mixing, quality, sharding
 from lintel.llm.storage import written
 
 
@@ -64,7 +65,22 @@ def test_quotas_are_split_exactly(quotas, shards):
     assert max(totals) - min(totals) <= 1
 
 
-@pytest.mark.parametrize("block_rows", [256, 2])
+def _matched(rows, found):
+    """Each input row with its decision; rows alike in id and text have the same one."""
+    by_row = defaultdict(list)
+    for f in found:
+        by_row[f.doc_id, f.source, f["size"]].append(f)
+    return [(r, by_row[r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))].pop()) for r in rows]
+
+
+def test_quotas_beyond_the_exact_generator():
+    found = mixing.split_quotas([3_000_000_000, 5, 2_000_000_000], 3)
+    assert [sum(x) for x in found] == [3_000_000_000, 5, 2_000_000_000]
+    totals = [sum(x[i] for x in found) for i in range(3)]
+    assert max(totals) - min(totals) <= 1
+
+
+@pytest.mark.parametrize("block_rows", [16, 2])
 def test_mix(docs, rows, block_rows):
     decisions, draws = mixing.mix(docs, block_rows=block_rows)
     found = decisions.collect()
@@ -81,7 +97,10 @@ def test_mix(docs, rows, block_rows):
         assert r.taken == r.copies * r["size"] and 0 <= r.copies <= 2 and len(r.shards) == r.copies
         taken[r.source] += r.taken
     for s in names:
-        assert abs(taken[s] - aims[s]) <= max(size(r[1]) for r in rows if r[3] == s) / 2 + 1e-6
+        own = [size(r[1]) for r in rows if r[3] == s]
+        assert abs(taken[s] - aims[s]) <= max(own) / 2 + 1e-6
+        assert max(own) > aims[s] / 10 or abs(taken[s] - aims[s]) <= aims[s] / 100
+    assert Counter((r.doc_id, r.text) for r in mixing.mixed(docs, block_rows=block_rows).collect()) == sum((Counter({(r[0], r[1]): f.copies}) for r, f in _matched(rows, found)), Counter())
     drawn = draws.collect()
     assert Counter((r.doc_id, r.text_hash, r.source) for r in drawn) == sum((Counter({(r.doc_id, r.text_hash, r.source): r.copies}) for r in found), Counter())
     assert all(0 <= r.shard < mixing.SHARDS for r in drawn)
@@ -109,6 +128,19 @@ def test_margins_match_the_pairwise_sum():
     assert np.allclose(machine.margins(row, slot, value, 3), expected)
 
 
+def test_scores_are_the_double_sum(judged):
+    """The query's score of every row against sigmoid(w0 + sum + pair by pair)."""
+    docs, labels = judged
+    model = quality.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    for r in docs.where("doc_id % 40 = 0").collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        _, slot, value = quality.features(data, np.array([0, len(data)]), np.array([float(r.n_chars)]))
+        total = model.bias + sum(model.linear[s] * v for s, v in zip(slot, value))
+        total += sum(model.factors[slot[i]] @ model.factors[slot[j]] * value[i] * value[j] for j in range(len(slot)) for i in range(j))
+        assert math.isclose(scores[r.doc_id], 1 / (1 + math.exp(-total)), abs_tol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rng = random.Random(2)
@@ -145,43 +177,98 @@ def test_quality_edges(spark, docs, rows, empty, judged):
     assert quality.classify(docs.drop("n_chars"), labels).count() == len(rows)
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def near_brute(rows):
+    """Which rows stay: of each component of fingerprints within 3 bits, the first by (doc_id, null last)."""
+    prints = []
+    for r in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and part[i] != part[j]:
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+    groups = defaultdict(list)
+    for i, p in enumerate(part):
+        groups[p].append(i)
+    return [min((rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0) for i in g) for g in groups.values()], groups
+
+
+def hit_brute(text, benchmark):
+    terms = lambda t: TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for w in map(terms, benchmark) if w for i in range(max(1, len(w) - 9))}
+    own = terms(text)
+    return any(tuple(own[i : i + len(w)]) == w for w in windows for i in range(len(own) - len(w) + 1))
+
+
+CLASHES = {"row": "r", "number": 5, "text_hash": 6, "own_hash": 7, "copies": 8, "time": 9, "again": 1, "nth": 2, "alike": 3, "quality_score": 0.1, "component_id": 4, "placements": "p", "plan": "q", "from": "f", "place": 2, "given": 1.0, "kept": True}
+
+
 def test_pipeline_stages(spark, docs, rows, tmp_path):
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    """Each stage against brute force on its own input, with columns whose names the operators use as well."""
+    clashing = docs.where("size(split(coalesce(text, ''), ' ')) < 5000").withColumns({k: quality.F.lit(v) for k, v in CLASHES.items()})
+    clashing.write.parquet(f"{tmp_path}/documents.parquet")
     texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 25]
-    spark.createDataFrame([(1, " ".join(texts[0].split()[2:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    benchmark = [" ".join(texts[0].split()[2:20]), "one two", None]
+    spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     own = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = own
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, own, str(tmp_path))
-        assert out.columns == own.columns
-        got = out.select("doc_id", "text").collect()
-        if name == "simhash near-dedup":
-            parts = simhash.simhash_components(own).collect()
-            assert Counter(r.doc_id for r in got) == Counter({r.component_id for r in parts})
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: str(r.asDict())
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = own.collect()
+        own = written(stage(spark, own, str(tmp_path)), "stage")
+        after = own.collect()
+        assert own.columns == clashing.columns
+        assert not Counter(map(key, after)) - Counter({k: 2 * n for k, n in Counter(map(key, before)).items()})
+        if name == "quality classifier":
+            good = Counter(r.doc_id for r in quality.classify(spark.createDataFrame(before, own.schema), labels).where("predicted = 1").collect())
+            assert Counter(r.doc_id for r in after) == good and after
+        elif name == "simhash near-dedup":
+            first, groups = near_brute(before)
+            assert Counter((r.doc_id is None, r.doc_id or 0) for r in after) == Counter(first)
+            assert len(after) == len(groups) < len(before)
         elif name == "benchmark decontamination":
-            assert {r.doc_id for r in own.select("doc_id").collect()} - {r.doc_id for r in got}
+            assert Counter(map(key, after)) == Counter(key(r) for r in before if not hit_brute(r.text, benchmark))
         else:
-            decisions, _ = mixing.mix(own)
-            assert Counter(r.doc_id for r in got) == sum((Counter({r.doc_id: r.copies}) for r in decisions.collect()), Counter())
-        own = written(out, "stage")
-    kept = quality_kept = corpus_pipeline.quality_classifier(spark, seen, str(tmp_path))
-    scores = quality.classify(seen, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    assert Counter(r.doc_id for r in quality_kept.collect()) == Counter(r.doc_id for r in scores.where("predicted = 1").collect())
-    assert kept.columns == seen.columns
+            size = lambda r: len(WORD.findall(r.text or ""))
+            totals = defaultdict(int)
+            for r in before:
+                totals[r.source] += size(r)
+            names = sorted(totals, key=lambda s: (s is None, s or ""))
+            for s, aim in zip(names, mixing.targets([totals[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])):
+                assert abs(sum(size(r) for r in after if r.source == s) - aim) <= max(size(r) for r in before if r.source == s) / 2 + 1e-6
+    last = corpus_pipeline.shard(spark, own, str(tmp_path))
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter(tuple(r) for r in found.collect()) == Counter(tuple(r) for r in last.collect())
+    assert Counter((r.doc_id, r["size"]) for r in found.collect()) == Counter((r.doc_id, len((r.text or "").encode()) + 8) for r in own.collect())
     for shard, slots in found.groupBy("shard").agg(quality.F.collect_list("slot")).collect():
         assert sorted(slots) == list(range(len(slots)))
-    again = corpus_pipeline.run(spark, str(tmp_path))
-    assert Counter(tuple(r) for r in again.collect()) == Counter(tuple(r) for r in found.collect())
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
     """Rows without a doc_id, or that repeat one, stay or go each for its own text; without a model all stay."""
-    unlike = [" ".join(f"{c}{i}{k * 31 % 97}" for k in range(40)) for i, c in enumerate("abcdef")]
+    unlike = [" ".join(f"{c}{i}{k * 31 % 97}" for k in range(80)) for i, c in enumerate("abcdefg")]
+    six = list(zip([None, None, None, 3, 3, 4], unlike))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, frame(six), "").collect()) == Counter(six)
     rows = [(3, unlike[0]), (5, unlike[0]), (5, unlike[1]), (None, unlike[2]), (None, unlike[3]), (None, unlike[3]), (7, unlike[4]), (7, unlike[5])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = frame(rows)
     first = [rows[0], *rows[2:5], *rows[6:]]
     assert Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == Counter(first)
     spark.createDataFrame([(1, unlike[2]), (2, unlike[4])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
