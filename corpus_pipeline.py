@@ -1,20 +1,28 @@
 """A training corpus from documents: quality, near copies, benchmark passages, mixing, shards.
 
 Each stage takes the documents that its predecessor kept; run() writes each stage's result as Parquet to the shared
-folder and reads it again for the next.
+folder, reads it again for the next and then deletes the one before. All but the last return the columns of their input.
+
+Stages decide about rows, not about ids: where a decision is made elsewhere and comes back by a join, the stage first writes its
+rows with a number of their own. They carry the input's columns as one struct, so no column of it can clash with theirs.
+
+Defined cases: rows without a doc_id, or that repeat one, stay or go each for its own text; null and empty texts are one near-duplicate
+group, of which one row stays; very long texts are read whole; an empty table gives no rows; other columns go along.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import decontamination, mixing, quality, sharding, simhash
-from lintel.llm.storage import written
+from lintel.llm.storage import remove_table, write_table, written
 
 
-def _own_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, number, doc_id, text), written: the input's columns, and a number that no other row has."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    return written(whole, name).select("row", "number", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,42 +30,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not isinstance(model, quality.Machine):
         return docs
-    return quality.scored(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+    read = [c for c in ("text", "n_chars") if c in docs.columns]
+    scored = quality.scored(docs.select(F.struct(*docs.columns).alias("row"), *read), model)
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: of the smallest doc_id (null last) and text hash, the least of rows alike in both."""
-    # A component goes by its texts: named by their least hash, it is known for rows that repeat a doc_id or have none.
-    hashed = docs.withColumn("own_hash", _own_hash())
-    found = simhash.simhash_components(hashed.select(F.col("own_hash").alias("doc_id"), "text"))
-    named = found.groupBy(F.col("doc_id").alias("own_hash")).agg(F.min("component_id").alias("component"))
-    least = hashed.groupBy("own_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_hash")).alias("first"))
-    kept = least.join(named, "own_hash").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.own_hash").alias("kept_hash"))
-    met = hashed.join(kept, (F.col("own_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return met.groupBy("kept_hash", "kept_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    """One row of each near-duplicate component: that of the smallest doc_id, null last."""
+    rows = _numbered(docs, "near-dedup")
+    found = simhash.simhash_components(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))
+    kept = rows.select("number", "doc_id").join(found, "number").groupBy("component_id").agg(first.alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window; a row goes for its own text, whatever rows share its doc_id."""
-    hashed = docs.withColumn("own_hash", _own_hash())
-    found = decontamination.decontaminate(hashed.select(F.col("own_hash").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("own_hash")).distinct()
-    return hashed.join(hit, "own_hash", "left_anti").select(docs.columns)
+    """Documents without any benchmark window."""
+    rows = _numbered(docs, "decontaminate")
+    found = decontamination.decontaminate(rows.select(F.col("number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("number")), "number", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it; those not drawn go."""
-    decisions, _ = mixing.mix(docs)
-    drawn = decisions.where("copies > 0").select(F.col("doc_id").alias("drawn_id"), "text_hash", "source", "copies")
-    drawn = drawn.groupBy("drawn_id", "text_hash", F.col("source").alias("drawn_source")).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    text = F.xxhash64(F.lit(0), F.coalesce(F.col("text"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("own_hash") == F.col("text_hash")) & F.col("source").eqNullSafe(F.col("drawn_source"))
-    met = docs.withColumn("own_hash", text).join(drawn, same)
-    # Rows alike in id, text and source share their copies, the first ones getting what does not divide.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "own_hash", "source").orderBy(F.lit(1)))
-    met = met.withColumn("nth", F.when(F.col("alike") == 1, F.lit(1)).otherwise(nth))
-    times = F.expr("cast(copies div alike + if(nth <= copies % alike, 1, 0) as int)")
-    return met.withColumn("time", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +75,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        result = stage(spark, docs, sf_dir)
+        path = write_table(result, name.replace(" ", "-"))
+        if before:
+            remove_table(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(path), path
     return docs
