@@ -86,6 +86,55 @@ CID = r"\(cid:\d+\)"
 BROKEN_COLUMNS = [r"(?i)\bDOO\s*\|\s*R\b", r"(?i)\bSCH\s*\|\s*EDULE\b", r"(?i)\bNUM\s*\|\s*BER\b", r"(?i)\bFI\s*\|\s*RE\b", r"(?i)\bHAR\s*\|\s*DWARE\b"]
 ROW_WORDS = ["EXISTING", "NEW", "HM", "WD", "ALUM", "FRAME", "LOCK", "HINGE", "CLOSER", "PAIR", "PR ", "GL-", "HDWR", "HARDWARE"]
 
+# Cells of schedule tables.
+TABLE_DIMENSION = "\\d+\\s*['’]\\s*-\\s*\\d+(?:\\s+\\d+/\\d+)?\\s*\""
+MARK_CELL = r"^([A-Za-z]{0,3}\d{2,4}[A-Za-z]?)(?:\s+(\d{1,2}))?$"
+MARK_LEAD = r"^([A-Za-z]{0,3}\d{2,4}[A-Za-z]?)(?:\b|\s)(.*)$"
+TABLE_SOURCES = ["pdfplumber_tables", "pdfplumber_rows"]
+TABLE_SHAPES = ["compact", "formal", "opening_list", "packed_dimension"]
+SET_COLUMNS = ["HDW SET", "HDWR SET", "HDWE SET", "HARDWARE SET"]
+EXISTING_SET = ["E", "EXIST", "EXISTING", "EXISTING TO REMAIN"]
+STATUS_WORDS = ["NEW", "EXISTING", "EXIST", "EXISTING TO REMAIN"]
+COMPONENT_ROWS = ["HINGE", "LOCK", "CLOSER", "KICKPLATE", "KICK PLATE", "SWEEP", "THRESHOLD", "SILENCER"]
+TABLE_WORDS = ["DOOR", "DOORS", "FRAME", "TYPE", "TYPES", "NOTES", "SCHEDULE", "WIDTH", "HEIGHT", "HARDWARE", "DETAIL", "COMMENTS", "MATERIAL"]
+BAD_ROOMS = ["ELECTRICAL COMPONENTS", "PARTITION GENERAL NOTES", "DOOR GENERAL NOTES"]
+
+# Fields of door and component rows, those that extra fields may fill, and headings that are no row.
+DOOR_FIELDS = [
+    "door_number", "level_area", "room_name", "door_type", "frame_type", "frame_width", "frame_height", "door_width", "door_height", "hardware_set", "fire_rating", "head_jamb_sill_detail",
+    "keyed_notes", "remarks", "door_slab_material", "vision_panel", "glazing_type", "finish", "door_thickness", "door_material", "door_finish", "frame_material", "frame_finish", "elevation",
+]
+PROMOTED = [
+    "door_thickness", "door_material", "door_finish", "frame_material", "frame_finish", "elevation", "door_type", "room_name", "fire_rating", "hardware_set", "door_width", "door_height",
+    "frame_type", "finish", "remarks",
+]
+DOOR_HEADINGS = ["DOOR", "MARK", "NO", "NUMBER", "DOOR NUMBER", "DOOR NO"]
+COMPONENT_FIELDS = ["hardware_set_id", "hardware_set_name", "qty", "qty_raw", "unit", "description", "catalog_number", "finish_code", "manufacturer_code", "notes"]
+COMPONENT_HEADINGS = ["DESCRIPTION", "COMPONENT", "ITEM"]
+
+# Hardware layouts of page texts.
+VENDOR_COMPONENTS = [
+    "HINGE", "EXIT", "EXIT DEVICE", "CYLINDER", "CORE", "PULL", "CLOSER", "CONTINUOUS HINGE", "KICK PLATE", "ARMOR PLATE", "MOP PLATE", "PUSH PLATE", "THRESHOLD", "WEATHERSTRIP", "SEAL",
+    "GASKET", "DOOR BOTTOM", "ASTRAGAL", "GASKETING", "SWEEP", "RAIN GUARD", "LOCKSET", "LEVERSET", "DEADLOCK", "DEADBOLT", "FLUSH BOLT", "FLUSH PULL", "HEADER BOLT", "THRESHOLD BOLT",
+    "OVERHEAD HOLDER", "SILENCER", "STRIKE", "DUST PROOF STRIKE", "ELECTRIC STRIKE", "POWER TRANSFER", "HARNESS", "CARD READER", "POWER SUPPLY", "POINT-TO-POINT", "ELEVATION DIAGRAM",
+    "RISER DIAGRAM", "COORDINATOR", "WALL BUMPER", "FLOOR STOP", "DOOR STOP", "LATCH PROTECTOR", "HOLDER", "VIEWER", "STOP",
+]
+STRONG_COMPONENTS = [
+    "HINGE", "EXIT", "CLOSER", "LOCK", "DEAD", "STRIKE", "THRESHOLD", "WEATHER", "SEAL", "GASKET", "SWEEP", "STOP", "PULL", "BOLT", "HARNESS", "READER", "POWER", "SILENCER", "PLATE",
+]
+# Two more, which the side-by-side layout needs: its sample sheet counts locks and panic hardware as components.
+CELL_COMPONENTS = [*VENDOR_COMPONENTS, "LOCK", "PANIC"]
+VENDOR_MAKERS = ["CKN", "FL", "GL", "HA", "LO", "NO", "PE", "SC", "TR", "IVE", "LCN", "NGP", "SCH", "VON"]
+VENDOR_PAGE = r"(?i)\bSET\s*#?\s*[A-Z0-9.-]+\b"
+VENDOR_HEADER = r"(?i)^\s*SET\s*#?\s*([A-Z0-9.-]+)\s*(?:[-:]\s*(.+))?$"
+VENDOR_COMPONENT = r"(?i)^\s*\(?(\d+(?:-\d+/\d+)?|LOT)\)?\s+(?:(EA|EACH|SET|PR|PAIR)\s+)?(.+?)\s*$"
+HARDWARE_TITLE = r"(?i)\b(?:DOOR\s+HARDWARE\s+SCHEDULE|HARDWARE\s+SETS?|HARDWARE\s+GROUPS?)\b"
+GRID_PAGE = r"(?i)\b(?:HARDWARE\s+SCHEDULE|SET\s*:\s*[A-Z0-9.]+)\b"
+GRID_SET = r"(?i)\bSET\s*:\s*[A-Z0-9.]+\b"
+GRID_HEADER = r"(?i)\bSET\s*[:#]?\s*([A-Z0-9.]+)\b"
+GRID_COMPONENT = r"(?i)^(\d+(?:-\d+/\d+)?)\s*(?:(EA|EACH|SET|PR|PAIR)\.?)?\s+(.+?)$"
+GROUP_HEADER = r"(?i)\bHARDWARE\s+GROUP\s+NO\.?\s*([A-Z0-9.]+)\b"
+
 # Categories of a question, first match wins.
 CATEGORIES = [
     (r"hardware set|hw set|missing.*set|no hardware", "Hardware mapping"),
