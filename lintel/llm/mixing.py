@@ -30,7 +30,7 @@ from lintel.llm.storage import checkpointed
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
 SHARDS, SEED = 24, 1
 #: Rows of a block, blocks from which the cut is filled, and blocks whose sizes are added up in one group.
-BLOCK_ROWS, ZONE, GROUP = 16, 16, 4096
+BLOCK_ROWS, ZONE, GROUP = 16, 16, 64
 BROADCAST_SOURCES = 10_000
 #: Draws of which the exact hypergeometric generator can take a sum; beyond it the normal law is as good.
 EXACT_DRAWS = 1_000_000_000
