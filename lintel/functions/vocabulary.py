@@ -135,6 +135,53 @@ GRID_HEADER = r"(?i)\bSET\s*[:#]?\s*([A-Z0-9.]+)\b"
 GRID_COMPONENT = r"(?i)^(\d+(?:-\d+/\d+)?)\s*(?:(EA|EACH|SET|PR|PAIR)\.?)?\s+(.+?)$"
 GROUP_HEADER = r"(?i)\bHARDWARE\s+GROUP\s+NO\.?\s*([A-Z0-9.]+)\b"
 
+# Words and patterns of the page classifier and of the content score.
+SIGNAL_ROW_WORDS = ["EXISTING", "NEW", "HM", "WD", "AL", "FRAME", "LOCK", "HINGE", "GL-"]
+SIGNAL_HEADERS = [
+    "DOOR SCHEDULE", "DOOR NO", "DOOR NUMBER", "ROOM NAME", "WIDTH", "HEIGHT", "FRAME", "HARDWARE", "HDWR", "HDWE", "HDW", "FIRE RATING", "COMMENTS", "DOOR TYPE", "ROOM NAME", "RM NAME", "DR #",
+    "OPENING SCHEDULE",
+]
+SIGNAL_HARDWARE = ["HINGE", "BUTT", "PIVOT", "CLOSER", "LOCK", "LATCH", "DEADBOLT", "THRESHOLD", "WEATHERSTRIP", "DOOR STOP", "KICK PLATE", "EXIT DEVICE", "FLUSH BOLT"]
+SIGNAL_TITLES = [
+    "PROJECT LOCATION", "OWNER", "REVISIONS", "DRAWN BY", "CHECKED BY", "SHEET", "PHONE:", "WWW.", "ARCHITECTS", "SUITE", "STREET", "CITY", "ZIP", "FIRST ISSUED ON",
+]
+SCORED_HARDWARE = r"(?i)\b(?:HINGE|CLOSER|LOCK|STOP|THRESHOLD|SEAL)\b"
+SCHEDULE_TERMS = ["DOOR", "HARDWARE", "HDWR", "HDWE", "HW", "FRAME", "OPENING", "SCHED"]
+SET_BLOCKS = r"(?m)^\s*(?:HARDWARE\s+SETS?|SET\s*#?\s*\d+|SET\s+NO\.?|GROUP\s*#?\s*\d+)"
+SET_DESCRIPTIONS = r"\bHARDWARE\s+SET\s+DESCRIPTIONS?\b"
+PAGE_PARTS = r"\b(?:HINGE|CLOSER|LOCKSET|EXIT\s+DEVICE|CYLINDER|THRESHOLD|KICK\s+PLATE|SMOKE\s+SEAL|DOOR\s+BOTTOM|ASTRAGAL|WALL\s+BUMPER)\b"
+LATER_PARTS = r"(?:BUTT HINGE|SURFACE CLOSER|FLOOR STOP|WALL STOP|LOCKSET|DEADBOLT|KICK PLATE|THRESHOLD|DOOR STOP)"
+LATER_SETS = (
+    r"(?m)^\s*(?:HARDWARE\s+SET|HARDWARE\s+GROUP|HDWE\s+SET|HDWR\s+SET|HW\s+SET|SET\s*NO\.?|GROUP\s*NO\.?|HW\s*[#\-]?\s*\d+|SET\s*[#\-]?\s*\d+|GROUP\s*[#\-]?\s*\d+)"
+)
+SPEC_PROSE = [
+    "PART 1", "PART 2", "PART 3", "SUBMITTALS", "QUALITY ASSURANCE", "PRODUCT DATA", "SHOP DRAWINGS", "WARRANTY", "TEMPLATES", "KEYING", "INSTALLATION", "ADJUSTING", "CLEANING AND PROTECTION",
+    "OPERATION AND MAINTENANCE", "MAINTENANCE DATA", "CLOSEOUT",
+]
+BACKSTOP_WORDS = ["DOOR SCHEDULE", "DOOR NO", "DOOR NUMBER", "DOOR MARK", "HARDWARE SET", "HW SET", "HDWR SET", "FRAME TYPE", "FIRE RATING", "DOOR TYPE"]
+BACKSTOP_PARTS = ["HINGE", "CLOSER", "LOCKSET", "DEADBOLT", "THRESHOLD", "DOOR STOP", "KICK PLATE"]
+NATIVE_WORDS = [
+    "door", "frame", "schedule", "hardware", "width", "height", "thickness", "type", "material", "finish", "opening", "closer", "lock", "latch", "hinge", "set", "mark", "room",
+]
+NATIVE_DOORS = r"(?i)\bdoor\s+schedule\b|\bopening\s+(?:no|number|mark)\b|\bdoor\s+(?:no|number|mark)\b"
+NATIVE_HARDWARE = r"(?i)\bhardware\s+(?:set|sets|group|groups)\b|\bhw\s+set\b|\bhw\s+group\b|\bhardware\s+specification\b"
+
+# Set ids in raw text.
+TRUTH_SETS = [r"(?:set|SET|Set)\s*[#:.\-]?\s*(\d+[A-Za-z]?)", r"(?:HW|hw|Hw)\s*[#:.\-]?\s*(\d+[A-Za-z]?)", r"(?:Hardware Set|HARDWARE SET)\s*(?:No\.?\s*)?(\d+[A-Za-z]?)"]
+
+# Crop and door rows of the backend.
+CROP_SET = r"\b(?:SET|HW\s*SET|HARDWARE\s*SET)\s*#?\s*[A-Z]?\d+[A-Z]?\b"
+CROP_PARTS = r"\b(EXIT\s+DEVICE|CONTINUOUS\s+HINGE|HINGE|CLOSER|LOCKSET|LATCHSET|CYLINDER|THRESHOLD|WEATHERSTRIP|GASKET|SWEEP|PUSH\s+PLATE|PULL)\b"
+CROP_DOORS = r"\bDOOR\s+NUMBER\b|\bTYPE\s+WIDTH\b|\bWINDOW\s+NOTES\b|\bWINDOW\s+TYPES\b"
+NO_MARK = [
+    "", "-", "--", "---", "----", "—", "N/A", "NA", "NONE", "NULL", "UNKNOWN", "NOT SHOWN", "NOT PROVIDED", "TBD", "?", "DOOR NUMBER", "DOOR NO", "DOOR NO.", "NO.", "MARK", "TAG", "OPENING", "#",
+]
+ROOM_MARKS = [
+    "RESTROOM", "KITCHEN", "OFFICE", "BREAKRM", "BREAK ROOM", "STORAGE", "CORRIDOR", "HALL", "LOBBY", "VESTIBULE", "TOILET", "MECH", "MECHANICAL", "ELECTRICAL", "JANITOR", "CLOSET",
+]
+TYPE_LABEL = r"^(?:[A-Z]|[A-Z]{1,2}[-]?\d{1,2}[A-Z]?|HM|WD|FR|FG)$"
+CLOSED_SET = ["voided", "not_used", "void"]
+
 # Categories of a question, first match wins.
 CATEGORIES = [
     (r"hardware set|hw set|missing.*set|no hardware", "Hardware mapping"),
