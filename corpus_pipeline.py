@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import decontamination, mixing, quality, sharding, simhash
-from lintel.llm.storage import remove_table, write_table, written
+from lintel.llm.storage import checkpointed, remove_table, write_table, written
+
+#: Row numbers that may be broadcast (16 MB of them); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -25,6 +28,12 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(whole, name).select("row", "number", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The input's rows but for those of these numbers."""
+    gone = checkpointed(gone.select("number"))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "number", "left_anti").select("row.*")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above, all where no model can be fitted; no labels decide about a document."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,14 +50,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(rows.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number"))
     kept = rows.select("number", "doc_id").join(found, "number").groupBy("component_id").agg(first.alias("first")).select(F.col("first.number").alias("number"))
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    return _without(rows, rows.select("number").join(kept, "number", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     rows = _numbered(docs, "decontaminate")
     found = decontamination.decontaminate(rows.select(F.col("number").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("number")), "number", "left_anti").select("row.*")
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias("number")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
