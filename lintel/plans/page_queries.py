@@ -170,3 +170,218 @@ _shape("r4_packed_rows", "packed_dimension", ["door_number", "room_name", "door_
 _shape("r5_opening_rows", "opening_list", ["door_number", "hardware_set", "door_type", "frame_type"])
 _shape("r7_general_rows", "general", tables.FIELDS)
 _shape("w11_stream_rows", "stream", ["door_number", "room_name", "door_width", "door_height", "hardware_set"])
+
+
+_CODE = r"^(?:(?:US)?[0-9]{3}[A-Z]{0,2}|(?:US)?[0-9]{2}[A-Z]{1,2}|(?:US)?[A-Z]{2}[0-9]{2,4}[A-Z]?)$"
+
+
+def _finish(x: str) -> str:
+    return f"({x} <> '' AND len(list_filter(regexp_split_to_array({x}, '\\s*,\\s*'), lambda p: p <> '' AND NOT {O.has('p', _CODE)})) = 0)"
+
+
+def _both(x: str, any_maker: bool) -> tuple[str, str]:
+    """SQL of the finish and the maker of a cell that ends in a maker behind a finish code, else null."""
+    form = r"^\s*(\S+(?:\s+\S+)*)\s+(\S+)\s*$"
+    finish, maker = f"upper({O.squeeze(_ex(x, form, 1))})", f"upper({_ex(x, form, 2)})"
+    good = f"{O.has(x, form)} AND ({maker} IN ({O.listed(V.VENDOR_MAKERS)}){' OR ' + O.has(maker, '^[A-Z]{3}$') if any_maker else ''}) AND {_finish(finish)}"
+    return f"CASE WHEN {good} THEN {finish} END", f"CASE WHEN {good} THEN {maker} END"
+
+
+def _counted(x: str, form: str, words: list[str], sized: bool) -> str:
+    """SQL of a struct of quantity, unit and description of a cell that counts a component, else null."""
+    description, unit = f"trim({_ex(x, form, 3)}, ' .')", f"coalesce(nullif(upper({_ex(x, form, 2)}), ''), 'EA')"
+    size = "[0-9]+\\s*['’]\\s*-\\s*[0-9]+|[0-9]+/[0-9]+\""
+    bare = f" AND NOT ({O.has(description, size)} AND NOT {O.contains_any(f'upper({description})', V.STRONG_COMPONENTS)})" if sized else ""
+    return f"CASE WHEN {O.has(x, form)} AND {O.contains_any(f'upper({description})', words)}{bare} THEN {{'q': {_ex(x, form, 1)}, 'u': CASE {unit} WHEN 'PR' THEN 'PAIR' ELSE {unit} END, 'd': {description}}} END"
+
+
+_CELL = "trim(" + O.squeeze("coalesce(c, '')") + ", ' .')"
+_LINES = """
+lines0 AS (SELECT page_id, body, unnest(string_split(replace(body, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(body, chr(13), ''), chr(10)), 1) - 1 AS ln FROM bodies),
+rows_ AS (SELECT page_id, body, ln, line, CASE WHEN contains(line, '|') THEN list_transform(string_split(trim(trim(line), '|'), '|'), lambda x: nullif(trim(x), '')) END AS cells FROM lines0)"""
+_PLACED = ",\n".join(
+    f"""p{k} AS (SELECT * REPLACE (CASE WHEN NOT j AND NOT m AND catalog IS NULL THEN e ELSE catalog END AS catalog, CASE WHEN j THEN coalesce(finish, bf) WHEN NOT j AND NOT m AND catalog IS NOT NULL AND finish IS NULL AND {_finish('ue')} THEN ue ELSE finish END AS finish,
+  CASE WHEN j THEN coalesce(maker, bm) WHEN m THEN ue ELSE maker END AS maker) FROM (SELECT *, coalesce(bm IS NOT NULL AND catalog IS NOT NULL, false) AS j, NOT coalesce(bm IS NOT NULL AND catalog IS NOT NULL, false) AND coalesce(ue IN ({O.listed(V.VENDOR_MAKERS)}), false) AND maker IS NULL AS m
+  FROM (SELECT * EXCLUDE (e, ue, bf, bm, j, m), extras[{k}] AS e, upper(extras[{k}]) AS ue, {_both(f'extras[{k}]', False)[0]} AS bf, {_both(f'extras[{k}]', False)[1]} AS bm FROM p{k - 1})))"""
+    for k in range(1, hardware.EXTRAS + 1)
+)
+_HARDWARE = rf"""
+h0 AS (SELECT page_id, ln, cells, list_filter(list_transform(cells, lambda c: rtrim({_ex("coalesce(c, '')", V.GROUP_HEADER)}, '.')), lambda h: h <> '') AS hs FROM rows_ WHERE cells IS NOT NULL AND {O.has('body', V.GROUP_HEADER)}),
+h1 AS (SELECT *, last_value(CASE WHEN len(hs) > 0 THEN hs END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ln) AS gs FROM h0),
+h2 AS (SELECT page_id, ln, cells, unnest(gs) AS hardware_set_id, CAST(unnest(range(len(gs))) AS INT) AS k FROM h1 WHERE len(hs) = 0 AND gs IS NOT NULL AND len(cells) >= 3 * len(gs)),
+h3 AS (SELECT *, cells[3 * k + 1] AS c, cells[3 * k + 2] AS catalog, cells[3 * k + 3] AS f FROM h2),
+h4 AS (SELECT page_id, ln * 1000 + k AS pos, hardware_set_id, {_counted(_CELL, V.GRID_COMPONENT, V.CELL_COMPONENTS, True)} AS x, catalog, CASE WHEN {_both("coalesce(f, '')", True)[1]} IS NOT NULL THEN {_both("coalesce(f, '')", True)[0]} ELSE f END AS finish, {_both("coalesce(f, '')", True)[1]} AS maker FROM h3),
+groups_ AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM h4 WHERE x IS NOT NULL) WHERE n >= 3),
+g0 AS (SELECT page_id, ln, upper(line) AS said, unnest(coalesce(cells, [trim(line, {O.WS})])) AS c, CAST(unnest(range(len(coalesce(cells, [''])))) AS INT) AS col FROM rows_ WHERE {O.has('body', V.GRID_PAGE)}),
+g1 AS (SELECT *, nullif(rtrim({_ex("coalesce(c, '')", V.GRID_HEADER)}, '.'), '') AS header FROM g0),
+g2 AS (SELECT *, min(ln) FILTER (contains(said, 'HARDWARE SCHEDULE') OR contains(said, 'HARDWARE SET') OR header IS NOT NULL) OVER (PARTITION BY page_id) AS first_ FROM g1),
+g3 AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ln, col) AS any_, last_value(header IGNORE NULLS) OVER (PARTITION BY page_id, col ORDER BY ln) AS own FROM g2 WHERE ln >= first_),
+g4 AS (SELECT page_id, ln * 1000 + col AS pos, coalesce(own, any_) AS hardware_set_id, {_counted(_CELL, V.GRID_COMPONENT, V.CELL_COMPONENTS, True)} AS x FROM g3 WHERE header IS NULL AND coalesce(own, any_) IS NOT NULL),
+grid AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM g4 WHERE x IS NOT NULL) WHERE n >= 3),
+v0 AS (SELECT page_id, {O.has('body', V.HARDWARE_TITLE)} AS titled, list_filter(list_transform(regexp_split_to_array(body, '\s*\|\s*|\r?\n+'), lambda t: {O.squeeze('t')}), lambda t: t <> '') AS ts FROM bodies WHERE {O.has('body', V.VENDOR_PAGE)}),
+v1 AS (SELECT page_id, titled, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS pos FROM v0),
+v2 AS (SELECT *, CASE WHEN {O.has('t', V.VENDOR_HEADER)} THEN {{'id': {_ex('t', V.VENDOR_HEADER)}, 'name': nullif({O.strip(_ex('t', V.VENDOR_HEADER, 2))}, '')}} END AS header, CASE WHEN NOT {O.has('t', V.VENDOR_HEADER)} THEN {_counted('t', V.VENDOR_COMPONENT, V.VENDOR_COMPONENTS, False)} END AS x FROM v1),
+v3 AS (SELECT *, header IS NOT NULL OR x IS NOT NULL OR starts_with(upper(t), 'NOTE') AS stop FROM v2),
+v4 AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS held, {', '.join(f"lead(t, {k}) OVER o AS t{k}, coalesce(lead(stop, {k}) OVER o, true) AS s{k}" for k in range(1, hardware.EXTRAS + 1))} FROM v3 WINDOW o AS (PARTITION BY page_id ORDER BY pos)),
+v5 AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM v4 WHERE x IS NOT NULL AND held IS NOT NULL),
+p0 AS (SELECT page_id, pos, held, x, CASE WHEN s1 THEN [] WHEN s2 THEN [t1] WHEN s3 THEN [t1, t2] WHEN s4 THEN [t1, t2, t3] ELSE [t1, t2, t3, t4] END AS extras, CAST(NULL AS VARCHAR) AS catalog, CAST(NULL AS VARCHAR) AS finish, CAST(NULL AS VARCHAR) AS maker, NULL AS e, NULL AS ue, NULL AS bf, NULL AS bm, NULL AS j, NULL AS m FROM v5 WHERE n >= 3 OR titled),
+{_PLACED},
+every AS (SELECT page_id, 'group' AS layout, pos, hardware_set_id, NULL AS hardware_set_name, x, catalog AS catalog_number, finish AS finish_code, maker AS manufacturer_code FROM groups_ UNION ALL SELECT page_id, 'grid', pos, hardware_set_id, NULL, x, NULL, NULL, NULL FROM grid
+  UNION ALL SELECT page_id, 'vendor', pos, held.id, held.name, x, catalog, finish, maker FROM p{hardware.EXTRAS})"""
+_VALID = f"""
+q0 AS (SELECT page_id, layout, pos, CASE WHEN lower(hardware_set_id) IN ('', 'none', 'null', 'undefined', 'n/a') THEN '' ELSE {O.sub('trim(' + O.sub(O.strip('upper(hardware_set_id)'), '^(?:HW[.\\-\\s]*|HARDWARE[.\\-\\s]*|SET[.\\-\\s]*|GROUP[.\\-\\s]*)', '', '') + ", '. -')", '^([0-9]+)[.]0$', '\\1', '')} END AS hardware_set_id, hardware_set_name, x.d AS description, catalog_number, finish_code, manufacturer_code, NULL AS notes, x.q AS qty_raw, x.u AS unit FROM every),
+q1 AS (SELECT * FROM q0 WHERE upper(description) NOT IN ({O.listed(V.COMPONENT_HEADINGS)}) AND {O.component(O.FIELDS)}),
+q2 AS (SELECT *, count(*) FILTER (layout = 'group') OVER (PARTITION BY page_id) AS ng, count(*) FILTER (layout = 'grid') OVER (PARTITION BY page_id) AS nr, count(*) FILTER (layout = 'vendor') OVER (PARTITION BY page_id) AS nv FROM q1),
+q3 AS (SELECT q2.*, CASE WHEN ng > 0 AND ng >= greatest(nr, nv) THEN 'group' WHEN {O.has('body', V.GRID_SET)} AND nr > 0 THEN 'grid' WHEN nr > nv THEN 'grid' ELSE 'vendor' END AS best_ FROM q2 JOIN bodies USING (page_id))"""
+
+
+@query(O.chain(_planted_sql(_PARTS), _LINES, _HARDWARE, _VALID, select=f"""SELECT page_id, layout, CAST(pos AS BIGINT) AS pos, {O.sub(O.strip(O.sub('hardware_set_id', '^(?:set|hs|hw|hdwr|group|#|no[.]?)\\s*', '', 'i')), '^([0-9]+)[.]0$', '\\1', '')} AS hardware_set_id, {O.known('hardware_set_name')} AS hardware_set_name, qty_raw, unit, {O.known('description')} AS description, {O.known('catalog_number')} AS catalog_number, {O.known('finish_code')} AS finish_code,
+  {O.known('manufacturer_code')} AS manufacturer_code, CASE WHEN {O.has('qty_raw', '^[0-9]+$')} THEN greatest(1, CAST(qty_raw AS BIGINT)) END AS qty FROM q3 WHERE layout = best_"""))
+def r10_page_components(spark, sf_dir):
+    return hardware.page_components(_planted(spark, sf_dir, _PARTS)).withColumnRenamed("at", "pos")
+
+
+_RAW = "hardware_set_id, x.q AS qty_raw, x.u AS unit, x.d AS description"
+
+
+@query(O.chain(_planted_sql(_PARTS), _LINES, _HARDWARE, select=f"SELECT page_id, CAST(pos AS BIGINT) AS pos, {_RAW}, catalog AS catalog_number, finish AS finish_code, maker AS manufacturer_code FROM h4 WHERE x IS NOT NULL"))
+def r8_group_rows(spark, sf_dir):
+    return hardware.group_rows(_planted(spark, sf_dir, _PARTS)).withColumn("pos", F.col("at").cast("long")).drop("at", "hardware_set_name")
+
+
+@query(O.chain(_planted_sql(_PARTS), _LINES, _HARDWARE, select=f"SELECT page_id, CAST(pos AS BIGINT) AS pos, {_RAW} FROM grid"))
+def w9_grid_rows(spark, sf_dir):
+    return hardware.grid_rows(_planted(spark, sf_dir, _PARTS)).select("page_id", F.col("at").cast("long").alias("pos"), "hardware_set_id", "qty_raw", "unit", "description")
+
+
+@query(O.chain(_planted_sql(_PARTS), _LINES, _HARDWARE, select=f"SELECT page_id, CAST(pos AS BIGINT) AS pos, held.id AS hardware_set_id, held.name AS hardware_set_name, x.q AS qty_raw, x.u AS unit, x.d AS description, catalog AS catalog_number, finish AS finish_code, maker AS manufacturer_code FROM p{hardware.EXTRAS}"))
+def r9_vendor_rows(spark, sf_dir):
+    return hardware.vendor_rows(_planted(spark, sf_dir, _PARTS)).withColumnRenamed("at", "pos")
+
+
+#: Planted pages of every kind that the classifier tells apart; both groups above come after these.
+_KINDS = [
+    "nothing of the trade at all {n}", "Section 08711 | DOOR HARDWARE SCHEDULE\nOpening List\nOpening\nHdw Set\nD101A\n109\nD101B\n103\nD102A\n101\nD102B\n101", "HARDWARE SET DESCRIPTIONS\nset {n}",
+    "PART 1 GENERAL\nSUBMITTALS and door hardware schedule\nWARRANTY of frames, KEYING", "Manufacturer List\nhinge door codes {n}", "HARDWARE SETS\nSET 1\n3 HINGE\n1 CLOSER\n3'-0\" x 7'-0\"\n4'-0\"", "SET NO. {n}\n3 HINGE\n1 CLOSER 4040",
+    "door types 101 102 103 104\nBUTT HINGE, WALL STOP\nSET #4 {n}", "DRAWN BY door SHEET NO 4 CITY 1{n}", "| DOO | R | SCH | EDULE |\n| 101 | 3'-0\" | HM |\n| 102 | 3'-0\" | WD |",
+    "| " + " | ".join("A" for _ in range(30)) + " |\n| " + " | ".join("B1" for _ in range(30)) + " |\nframe 2{n}", "(cid:3)(cid:4) opening ‹›", "door 10", "",
+]
+_ANSWERS = ["MIXED", "door schedule page", "Hardware", "other", None, "both kinds"]
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, body, answer): planted pages of every kind, with a recorded answer."""
+    answers = F.array(*(F.lit(a).cast("string") for a in _ANSWERS))
+    return _planted(spark, sf_dir, [*_KINDS, *_TABLES, *_PARTS]).withColumn("answer", F.element_at(answers, (F.col("page_id") % len(_ANSWERS) + 1).cast("int")))
+
+
+_BODIES = _planted_sql([*_KINDS, *_TABLES, *_PARTS]) + f", asked AS (SELECT *, [{', '.join('NULL' if a is None else O.text(a) for a in _ANSWERS)}][CAST(page_id % {len(_ANSWERS)} + 1 AS INT)] AS answer FROM bodies)"
+
+
+def _n(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, {O.text(pattern)}))"
+
+
+def _said(x: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"contains({x}, {O.text(w)})::INT" for w in words) + ")"
+
+
+#: Marks stand alone among letters and digits; this engine's patterns cannot look around them, so its runs are taken apart.
+_RUN = "^[A-Za-z]{0,3}[0-9]{2,4}[A-Za-z]?$"
+
+
+def _runs(x: str) -> str:
+    return f"list_filter(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda r: {O.has('r', _RUN)})"
+
+
+def _unyear(runs: str) -> str:
+    return f"list_filter({runs}, lambda r: NOT (CAST(regexp_extract(r, '([0-9]+)', 1) AS INT) BETWEEN 1900 AND 2099))"
+
+
+def _line_count(words: list[str]) -> str:
+    return f"len(list_filter(string_split(replace(body, chr(13), ''), chr(10)), lambda x: len({_runs('x')}) > 0 AND ({O.has('x', V.DIMENSION)} OR {O.contains_any('upper(x)', words)})))"
+
+
+_BROKEN = " + ".join(f"{O.has('body', p)}::INT" for p in V.BROKEN_COLUMNS)
+_SIGNALS = f"""
+sig AS (SELECT *, len(list_filter(list_distinct({_unyear(_runs('body'))}), lambda r: true)) AS distinct_doors, len(list_distinct({_runs('body')})) AS marks, len({_unyear(_runs('body'))}) AS real_doors, {_n('body', V.DIMENSION)} AS dimensions, {_line_count(V.SIGNAL_ROW_WORDS)} AS row_lines, {_said('u', V.SIGNAL_HEADERS)} AS table_headers, {_said('u', V.SIGNAL_HARDWARE)} AS hw_keywords,
+  {_said('u', V.SIGNAL_TITLES)} AS title_block_markers, list_filter(string_split(replace(body, chr(13), ''), chr(10)), lambda x: starts_with(ltrim(x), '|'))[1:20] AS head FROM (SELECT *, upper(body) AS u FROM asked)),
+cut AS (SELECT *, len(head) > 0 AND ({_BROKEN} > 0 OR (len(array_to_string(head, '')) - len(replace(array_to_string(head, ''), '|', ''))) / greatest(len(head), 1) >= 18 AND list_sum(list_transform(list_filter(string_split(body, chr(10)), lambda x: contains(x, '|')), lambda x: len(list_filter(string_split(x, '|')[2:-2], lambda c: {O.has('c', r'''^\s*[A-Z0-9"'./-]{1,3}\s*$''')})))) >= 25) AS fragmented FROM sig),
+scored AS (SELECT *, CASE WHEN body = '' THEN 0.0 ELSE greatest(0.0, (({_n('body', r'\b[0-9]{3,4}[A-Za-z]?\b')} * 3.0 + {_n('body', chr(91) + "0-9]+'-[0-9]+" + chr(34))} * 2.0 + {_n('body', V.SCORED_HARDWARE)} * 5.0 + {_n('body', '===')} * 1.0 + {_n('body', '[|]')} * 0.1 + real_doors * 2.0 + dimensions * 1.5 + row_lines * 4.0 + table_headers * 1.5 + hw_keywords * 3.0) * CASE WHEN fragmented THEN 0.45 ELSE 1.0 END
+  - {_n('body', V.CID)} * 10.0 - {_n('body', '[^' + chr(92) + 'x20-' + chr(92) + 'x7E' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't]')} * 0.5) * CASE WHEN length(body) < 100 THEN 0.5 ELSE 1.0 END) END AS score FROM cut)"""
+
+
+@query(O.chain(_BODIES, _SIGNALS, select="SELECT page_id, CAST(real_doors AS INT) AS real_doors, CAST(dimensions AS INT) AS dimensions, CAST(row_lines AS INT) AS row_lines, table_headers, hw_keywords, title_block_markers, fragmented, round(score::DOUBLE, 4) AS score FROM scored"))
+def x16_page_signals(spark, sf_dir):
+    body = F.col("body")
+    return _pages(spark, sf_dir).select("page_id", C.signals(body).alias("s"), C.is_fragmented(body).alias("fragmented"), F.round(C.content_score(body), 4).alias("score")).select("page_id", "s.*", "fragmented", "score")
+
+
+_MIXED_LATER = f"{_n('u', V.LATER_PARTS)} >= 2 AND {O.has('u', V.LATER_SETS)}"
+_CLASS = f"""
+kinds AS (SELECT *, CASE WHEN NOT {O.contains_any('u', V.SCHEDULE_TERMS)} THEN 'other' WHEN contains(u, 'OPENING LIST') AND {O.contains_any('u', V.SET_COLUMNS)} AND marks >= 4 THEN 'door_schedule' WHEN {O.has('u', V.SET_DESCRIPTIONS)} THEN 'hardware_set'
+  WHEN {_said('u', V.SPEC_PROSE)} >= 3 AND NOT {O.has('u', V.SET_BLOCKS)} AND NOT ({O.contains_any('u', V.SET_COLUMNS)} AND marks >= 4) AND dimensions < 2 AND row_lines < 2 AND real_doors < 4 THEN 'other' WHEN {O.has('u', r'\b(?:MANUFACTURER|OPTION|FINISH)\s+LIST\b')} AND NOT {O.has('u', V.SET_BLOCKS)} THEN 'other'
+  WHEN {O.has('u', V.SET_BLOCKS)} AND {_n('u', V.PAGE_PARTS)} >= 2 THEN CASE WHEN dimensions >= 2 THEN 'mixed' ELSE 'hardware_set' END WHEN answer IS NULL THEN 'other' WHEN contains(upper(answer), 'MIXED') OR contains(upper(answer), 'BOTH') THEN 'mixed' WHEN contains(upper(answer), 'DOOR') THEN CASE WHEN {_MIXED_LATER} THEN 'mixed' ELSE 'door_schedule' END
+  WHEN contains(upper(answer), 'HARDWARE') OR contains(upper(answer), 'HDWR') THEN 'hardware_set' ELSE 'other' END AS kind FROM scored),
+ev AS (SELECT *, {_line_count(V.ROW_WORDS)} AS e_rows, {_n('body', V.PAGE_HEADER)} AS e_headers, {_n('body', V.SET_HEADER)} AS e_sets, {_n('body', V.PAGE_COMPONENT)} AS e_parts, {_n('body', V.PAGE_TITLE)} AS e_title, {_n('body', V.CID)} AS e_cid, {_n('body', V.CAD_SIZE)} AS e_cad, {_BROKEN} AS e_broken, length(body) AS e_len, distinct_doors AS e_doors, dimensions AS e_dims FROM kinds),
+jd AS (SELECT *, (e_rows >= 2 OR (e_doors >= 4 AND e_headers >= 3) OR (e_dims >= 3 AND e_doors >= 3)) AS is_door, (e_sets >= 1 AND e_parts >= 3) AS is_hw, greatest(e_dims // 3, e_cad) AS sized FROM ev),
+jj AS (SELECT *, CASE WHEN e_rows >= 3 THEN CASE WHEN weak >= e_rows * 2 THEN (e_rows + weak) // 2 ELSE e_rows END ELSE greatest(e_rows, weak) END AS expected_rows, CASE WHEN e_parts < 3 THEN 0 ELSE greatest(1, e_sets) END AS expected_sets FROM (SELECT *, CASE WHEN sized > 0 THEN least(e_doors, sized) ELSE 0 END AS weak FROM jd)),
+backed AS (SELECT *, CASE WHEN kind <> 'other' THEN kind WHEN {O.has('u', V.SET_DESCRIPTIONS)} AND NOT sized_ THEN 'hardware_set' WHEN is_door OR is_hw OR ({O.contains_any('u', V.BACKSTOP_WORDS)} AND (nums >= 2 OR sized_)) OR (nums >= 5 AND sized_) OR (nums >= 3 AND {O.contains_any('u', V.BACKSTOP_PARTS)}) THEN 'mixed' ELSE kind END AS final_kind
+  FROM (SELECT *, {O.has('body', "[0-9]+['’]\\s*-?\\s*[0-9]+" + chr(34))} AS sized_, len(list_filter(regexp_extract_all(body, {O.text(r'\b[0-9]{2,4}[A-Za-z]?\b')}), lambda r: NOT (CAST(regexp_extract(r, '([0-9]+)', 1) AS INT) BETWEEN 1900 AND 2099))) AS nums FROM jj))"""
+
+
+@query(O.chain(_BODIES, _SIGNALS, _CLASS, select="SELECT page_id, kind AS page_type, final_kind AS backstopped FROM backed"))
+def x19_page_types(spark, sf_dir):
+    typed = _pages(spark, sf_dir).withColumn("page_type", C.page_type(F.col("body"), F.col("answer")))
+    return typed.select("page_id", "page_type", C.backstopped(F.col("page_type"), F.col("body")).alias("backstopped"))
+
+
+@query(O.chain(_BODIES, select=f"""SELECT page_id, length(trim(body, {O.WS})) >= 2500 AND {' + '.join(f"{O.has('body', chr(92) + 'b' + w + chr(92) + 'b', 'i')}::INT" for w in V.NATIVE_WORDS)} >= 3 AND ({O.has('body', V.NATIVE_DOORS)} OR {O.has('body', V.NATIVE_HARDWARE)}) AS native FROM bodies"""))
+def x25_native_text(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", C.is_native_text(F.col("body")).alias("native"))
+
+
+@query()
+def x18_merged_backends(spark, sf_dir):
+    """A page's markup, tables, plain text, rows and images as one text of 14,000 characters; tested by hand on small cases."""
+    pages, body = _pages(spark, sf_dir), F.col("body")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.contains("|"))
+    return pages.select("page_id", C.merged_backends(F.lit(None).cast("string"), F.array_join(lines, "\n"), body, F.array_join(F.transform(lines, lambda x: F.replace(x, F.lit("|"), F.lit(" "))), "\n"), F.lit("")).alias("body"))
+
+
+_RESCUE = """
+cnt AS (SELECT *, page_id % 30 AS doors, page_id % 30 % 25 AS unique_, page_id % 30 % 25 * (page_id % 2) AS physical, page_id % 5 AS parts, page_id % 3 AS sets, page_id % 4 AS crops, page_id % 4 * (page_id % 2) AS door_crops FROM backed),
+f15 AS (SELECT *, final_kind <> 'hardware_set' AND (final_kind IN ('door_schedule', 'mixed') OR is_door) AND (is_door OR doors > 0) AND ((unique_ = 0 AND (expected_rows >= 5 OR (expected_rows >= 3 AND e_dims >= 3))) OR (expected_rows >= 20 AND unique_ < expected_rows * 0.3 AND expected_rows - unique_ >= 10)
+  OR (expected_rows BETWEEN 3 AND 14 AND unique_ > 0 AND unique_ < expected_rows) OR (expected_rows >= 15 AND unique_ > 0 AND unique_ < expected_rows * 0.8 AND expected_rows - unique_ >= 2)) AS door_rescue,
+  (final_kind IN ('hardware_set', 'mixed') OR is_hw) AND (is_hw OR parts > 0) AND ((expected_sets >= 2 AND sets = 0) OR (e_parts >= 8 AND parts < 3)) AS hardware_rescue FROM cnt)"""
+
+
+@query(O.chain(_BODIES, _SIGNALS, _CLASS, _RESCUE, select="""SELECT page_id, door_rescue, hardware_rescue, final_kind <> 'hardware_set' AND crops > 0 AND NOT ((unique_ >= 20 AND physical >= greatest(20, floor(unique_ * 0.8))) OR (final_kind = 'mixed' AND parts >= 50 AND unique_ >= 10 AND physical >= 10)) AND (door_rescue OR (final_kind IN ('door_schedule', 'mixed') AND doors = 0 AND door_crops > 0)
+  OR (final_kind IN ('door_schedule', 'mixed') AND door_crops >= 2 AND unique_ < 3 AND (e_doors >= 5 OR e_headers >= 2)) OR (doors > 0 AND physical = 0 AND door_crops > 0)) AS crop_door_rescue, crops > 0 AND (hardware_rescue OR (door_crops > 0 AND (final_kind IN ('hardware_set', 'mixed') OR is_hw) AND ((parts = 0 AND (final_kind IN ('hardware_set', 'mixed') OR e_parts >= 2 OR e_sets >= 1))
+  OR (final_kind IN ('hardware_set', 'mixed') AND door_crops >= 2 AND parts < 2 AND e_parts >= 4)))) AS crop_hardware_rescue, CAST(greatest(0, expected_rows - unique_) AS BIGINT) AS door_gap, CAST(greatest(greatest(0, expected_sets - sets) * 3, greatest(0, e_parts - parts)) AS BIGINT) AS hw_gap,
+  length(trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 30 OR (final_kind = 'other' AND page_id % 2 > 0 AND crops = 0) AS skipped FROM f15"""))
+def f15_rescue_gates(spark, sf_dir):
+    """F8, F15 to F18 and A27 on every page, with counts of what was found on it."""
+    k = F.col("page_id")
+    pages = _pages(spark, sf_dir).withColumn("kind", C.backstopped(C.page_type(F.col("body"), F.col("answer")), F.col("body"))).withColumn("e", G.evidence(F.col("body")))
+    e, j, kind = F.col("e"), G.judged(F.col("e")), F.col("kind")
+    doors, unique, parts, sets, crops = k % 30, k % 30 % 25, k % 5, k % 3, k % 4
+    physical, door_crops = unique * (k % 2), crops * (k % 2)
+    return pages.select(
+        "page_id", gates.needs_door_rescue(kind, e, j, doors, unique).alias("door_rescue"), gates.needs_hardware_rescue(kind, e, j, parts, sets).alias("hardware_rescue"),
+        gates.needs_crop_door_rescue(kind, e, j, doors, unique, physical, parts, crops, door_crops).alias("crop_door_rescue"), gates.needs_crop_hardware_rescue(kind, e, j, parts, sets, crops, door_crops).alias("crop_hardware_rescue"),
+        gates.gaps(e, j, unique, parts, sets).alias("g"), C.is_page_skipped(F.col("body"), kind, k % 2 == 0, crops).alias("skipped"),
+    ).select("*", "g.*").drop("g")
+
+
+@query(O.chain(_planted_sql(_TABLES), _CELLS, _SHAPES, _CHOICE, f"""t AS (SELECT page_id, upper(door_number) AS m, door_width, door_height, door_type, frame_type, frame_material, hardware_set, explicit_blank FROM picked WHERE family = chosen AND table_shape IN ('compact', 'formal')),
+d AS (SELECT page_id, n AS door_number, CASE WHEN n = '101A' THEN '3''-0" x 8''-0"' WHEN n = '102A' THEN 'Door General Notes' ELSE 'HALL' END AS room_name, CASE WHEN page_id % 2 = 0 THEN '9' END AS door_width, 'existing' AS hardware_set FROM pages, (SELECT unnest(['101A', '102A', '140a', '213', '999']) AS n))""",
+    select="""SELECT d.page_id, d.door_number, CASE WHEN d.door_number IN ('101A', '102A') THEN NULL ELSE room_name END AS room_name, coalesce(t.door_width, d.door_width) AS door_width, CASE WHEN t.hardware_set IS NULL AND coalesce(explicit_blank, false) THEN NULL ELSE coalesce(t.hardware_set, d.hardware_set) END AS hardware_set FROM d LEFT JOIN t ON d.page_id = t.page_id AND upper(d.door_number) = t.m"""))
+def j18_table_fields(spark, sf_dir):
+    pages = _planted(spark, sf_dir, _TABLES)
+    none = F.lit(None).cast("string")
+    room = F.when(F.col("door_number") == "101A", "3'-0\" x 8'-0\"").when(F.col("door_number") == "102A", "Door General Notes").otherwise("HALL")
+    doors = pages.select("page_id", F.explode(F.array(*(F.lit(m) for m in ("101A", "102A", "140a", "213", "999")))).alias("door_number")).select(
+        "page_id", "door_number", room.alias("room_name"), F.when(F.col("page_id") % 2 == 0, "9").alias("door_width"), none.alias("door_height"), none.alias("door_type"), none.alias("frame_type"), none.alias("frame_material"), F.lit("existing").alias("hardware_set"),
+    )
+    return tables.with_table_fields(doors, tables.table_doors(pages)).select("page_id", "door_number", "room_name", "door_width", "hardware_set")
