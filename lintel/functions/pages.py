@@ -40,7 +40,7 @@ def unstuttered(c: Column) -> Column:
         bare = F.btrim(x)
         letters = F.regexp_count(bare, F.lit(r"\p{L}"))
         lead = F.regexp_extract(x, r"^(\s*)", 1)
-        doubled = (F.length(bare) >= 4) & bare.rlike(r"^(?:(.)\1)+$") & (letters > F.length(bare) * 0.6)
+        doubled = (F.length(bare) >= 4) & (letters > F.length(bare) * 0.6) & (F.regexp_replace(bare, r"(.)\1", "") == "")
         return F.when(doubled, F.concat(lead, F.regexp_replace(bare, r"(.)\1", "$1"))).otherwise(x)
 
     return F.array_join(F.transform(F.split(c, "\n"), line), "\n")

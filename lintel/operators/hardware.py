@@ -29,11 +29,11 @@ def cell_component(c: Column) -> Column:
 
 def finish_and_maker(c: Column, any_maker: bool = False) -> Column:
     """(finish, maker) of a cell that ends in a known maker (or any of three capitals) behind a finish code, else nulls."""
-    form = r"^\s*(\S+(?:\s+\S+)*)\s+(\S+)\s*$"
-    both = F.struct(F.upper(squeeze(F.regexp_extract(c, form, 1))).alias("finish"), F.upper(F.regexp_extract(c, form, 2)).alias("maker"))
+    words = F.split(F.upper(squeeze(c)), " ")  # no pattern over all words: its groups would nest as deep as a text is long
+    both = bound(words, lambda w: F.struct(F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " ").alias("finish"), F.element_at(w, -1).alias("maker")))
     none = F.struct(F.lit(None).cast("string").alias("finish"), F.lit(None).cast("string").alias("maker"))
     known = lambda m: m.isin(V.VENDOR_MAKERS) | (m.rlike("^[A-Z]{3}$") if any_maker else F.lit(False))
-    return bound(both, lambda x: F.when(c.rlike(form) & known(x["maker"]) & is_finish_code(x["finish"]), x).otherwise(none))
+    return bound(both, lambda x: F.when((x["finish"] != "") & known(x["maker"]) & is_finish_code(x["finish"]), x).otherwise(none))
 
 
 def _lines(pages: DataFrame) -> DataFrame:

@@ -40,17 +40,21 @@ def nearest_values(anchors: DataFrame, items: DataFrame, band: float) -> DataFra
 
 def segments(items: DataFrame, is_header: Column) -> DataFrame:
     """Items (page_id, y, x, text) with the header that they stand under: from 4 below it to 2 above the next."""
-    headers = items.where(is_header).select("page_id", F.col("y").alias("from_y"), F.col("text").alias("header"))
-    following = F.lead("from_y").over(Window.partitionBy("page_id").orderBy("from_y", "header"))
-    spans = headers.withColumn("to_y", F.coalesce(following, F.lit(1e18)))
-    inside = (F.col("y") >= F.col("from_y") + 4) & (F.col("y") < F.col("to_y") - 2)
-    return items.where(~is_header).join(spans, "page_id").where(inside).select("page_id", "header", "y", "x", "text")
+    head = F.when(is_header, F.struct(F.col("y").alias("from_y"), F.col("text").alias("header")))
+    rows = items.select("page_id", "y", "x", "text", head.alias("head"))
+    order = Window.partitionBy("page_id").orderBy("y", F.col("head").isNull(), "text")
+    above = F.last("head", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("head", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("above", above).withColumn("to_y", F.coalesce(below["from_y"], F.lit(1e18)))
+    inside = F.col("head").isNull() & (F.col("y") >= F.col("above.from_y") + 4) & (F.col("y") < F.col("to_y") - 2)
+    return rows.where(inside).select("page_id", F.col("above.header").alias("header"), "y", "x", "text")
 
 
 def distinct_rectangles(boxes: DataFrame, most: float = 0.75) -> DataFrame:
     """Of rectangles (page_id, rotation, box_id, x0, y0, x1, y1) that overlap by more than this, the first.
 
-    Greedy and in order, which no join can express: each page's boxes are folded in one pass, pages apart.
+    Greedy and in order, which no join can express: each page's boxes are folded in one pass, pages apart. A page is what one
+    group holds; more pages are more groups.
     """
     schema = boxes.select("page_id", "rotation", "box_id", "x0", "y0", "x1", "y1").schema
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import alias_keys, is_placeholder_label, set_key, set_label
 from lintel.functions.predicates import any_of, is_set_item, remains
+from lintel.operators.distinct import with_distinct
 
 
 def set_table(components: DataFrame) -> DataFrame:
@@ -33,15 +34,22 @@ def resolved(doors: DataFrame, lookup: DataFrame) -> DataFrame:
     own = F.when(~is_placeholder_label(F.col("hardware_set")), set_label(F.col("hardware_set")))
     short = lambda c: F.when(F.length(F.btrim(c)) <= 15, set_key(F.col(c)))
     said = F.regexp_extract(F.coalesce("remarks", F.lit("")), r"(?i)\b(?:group|set|hw(?:\s*set)?|type|spec)\s*#?\s*([a-z0-9]+)\b", 1)
-    keys = {"own": set_key(own), "door_type": short("door_type"), "frame_type": short("frame_type"), "remarks": set_key(said), "mark": set_key(F.col("door_number"))}
-    rows = doors.withColumn("own_label", own)
-    for name, key in keys.items():
+    # Labels and types have few different values; marks have many, and only those of doors that nothing else resolves are looked up.
+    rows = with_distinct(doors, ["hardware_set"], own_label=own, key_own=set_key(own))
+    rows = with_distinct(rows, ["door_type"], key_door_type=short("door_type"))
+    rows = with_distinct(rows, ["frame_type"], key_frame_type=short("frame_type"))
+    rows = with_distinct(rows, ["remarks"], key_remarks=set_key(said))
+    names = ["own", "door_type", "frame_type", "remarks", "mark"]
+    for name in names:
+        if name == "mark":
+            open_ = F.col("own_label").isNull() & F.coalesce("by_door_type", "by_frame_type", "by_remarks").isNull()
+            rows = rows.withColumn("key_mark", F.when(open_, set_key(F.col("door_number"))))
         found = lookup.select(F.col("key").alias(f"key_{name}"), F.col("hardware_set").alias(f"by_{name}"))
-        rows = rows.withColumn(f"key_{name}", key).join(found, f"key_{name}", "left").drop(f"key_{name}")
-    guesses = [n for n in keys if n != "own"]
+        rows = rows.join(found, f"key_{name}", "left").drop(f"key_{name}")
+    guesses = [n for n in names if n != "own"]
     label = F.when(F.col("own_label").isNotNull(), F.coalesce("by_own", "own_label")).otherwise(F.coalesce(*(f"by_{n}" for n in guesses)))
     origin = F.when(F.col("own_label").isNotNull(), "own").otherwise(F.coalesce(*(F.when(F.col(f"by_{n}").isNotNull(), n) for n in guesses)))
-    return rows.withColumn("set_label", label).withColumn("resolved_from", origin).drop("own_label", *(f"by_{n}" for n in keys))
+    return rows.withColumn("set_label", label).withColumn("resolved_from", origin).drop("own_label", *(f"by_{n}" for n in names))
 
 
 def mapped(doors: DataFrame, sets: DataFrame) -> DataFrame:

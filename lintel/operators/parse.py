@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import squeeze, strip
 from lintel.functions.pages import repaired_json, split_row
-from lintel.functions.predicates import is_mark_token, is_set_token
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -20,19 +19,6 @@ def table_cells(pages: DataFrame) -> DataFrame:
     return lines.select("page_id", "line_no", F.posexplode(split_row(F.col("line"))).alias("cell_no", "cell"))
 
 
-def door_rows(pages: DataFrame) -> DataFrame:
-    """Doors of pipe rows whose first six cells hold a mark: the mark, the dimensions and the set behind it."""
-    cells = split_row(F.col("line"))
-    first = F.slice(cells, 1, 6)
-    at = F.array_position(F.transform(first, lambda x: F.coalesce(is_mark_token(F.btrim(x, F.lit("[]"))), F.lit(False))), True)
-    tail = F.slice(F.col("cells"), (F.col("at") + 1).cast("int"), F.size("cells"))
-    known = lambda c, test: F.filter(c, lambda x: F.coalesce(test(x), F.lit(False)))
-    sizes = known(tail, lambda x: x.rlike(V.DIMENSION))
-    sets = known(tail, is_set_token)
-    rows = page_lines(pages).where(F.col("line").contains("|")).withColumn("cells", cells).withColumn("at", at).where("at > 0")
-    return rows.select("page_id", "line_no", F.btrim(F.element_at("cells", F.col("at").cast("int")), F.lit("[]")).alias("door_number"), F.get(sizes, F.lit(0)).alias("door_width"), F.get(sizes, F.lit(1)).alias("door_height"), F.get(sets, F.size(sets) - 1).alias("hardware_set"))
-
-
 def carried_sets(pages: DataFrame) -> DataFrame:
     """Component lines with the set header that they stand under, the last one above them on the page."""
     header = F.when(F.col("line").rlike(r"(?i)^\s*(?:HARDWARE\s+)?(?:SET|GROUP)\b\s*(?:NO\.?|#)?\s*\S+"), F.regexp_extract("line", r"(?i)(?:SET|GROUP)\b\s*(?:NO\.?|#)?\s*([A-Za-z0-9.-]+)", 1))

@@ -1,26 +1,58 @@
 """Nearest vectors to stated queries, exactly."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass compares with all vectors; they are the side that is broadcast, and this bounds it.
-BLOCK = 2000
+from lintel.plans.storage import settled
+
+#: Queries that go over all vectors at once: a block travels with the tasks and bounds what the driver holds.
+BLOCK = 4096
+#: Queries that one numpy step compares with a batch of vectors.
+STEP = 16
+
+
+def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
+    """The k nearest vectors of each batch to each query of a block."""
+
+    def batches(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in items:
+            own = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            vectors = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)) if len(own) else np.zeros((0, queries.shape[1]), queries.dtype)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for lo in range(0, len(ids) if len(own) else 0, STEP):
+                part = queries[lo : lo + STEP]
+                distance = np.square((vectors[None] - part[:, None]).astype(np.float64)).sum(axis=2)
+                distance[own[None] == ids[lo : lo + STEP, None]] = np.inf
+                for i, row in enumerate(distance):
+                    order = np.lexsort((own, row))[:k]
+                    order = order[row[order] < np.inf]
+                    found.append((np.full(len(order), ids[lo + i]), own[order], row[order]))
+            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "distance"])
+
+    return batches
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """T5: the k nearest of vectors (vec_id, embedding) to each of queries (query_id, query) by squared distance, ties by id.
 
-    Queries go in blocks of bounded size over all vectors. The rank is limited, so Spark keeps k rows a query in each task
-    before it shuffles.
+    Queries go in blocks of bounded size over all vectors, k rows a query leave each batch, and the best k of those stay. Where
+    there is more than one block, each one's result is settled before the next block is read. A query is not its own neighbour.
     """
     blocks = 2 * queries.count() // BLOCK + 1  # hashed into twice as many as needed, so that none is over the bound
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    distance = F.aggregate(F.zip_with("embedding", "query", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda a, x: a + x)
     out = None
     for block in range(blocks):
-        part = F.broadcast(numbered.where(F.col("block") == block).drop("block"))
-        met = vectors.join(part, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", distance.alias("distance"))
-        own = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        found = met.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+        part = numbered.where(F.col("block") == block).select(F.col("query_id").cast("long"), "query").toArrow()
+        if not part.num_rows:
+            continue
+        ids, rows = part.column("query_id").to_numpy(), np.stack(part.column("query").to_numpy())
+        met = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_nearest(ids, rows, k), "query_id long, vec_id long, distance double")
+        found = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+        found = settled(found) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double, rank int")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import text
+from lintel.plans.storage import settled
 
 
 #: Marks that a finding shows.
@@ -30,7 +31,7 @@ def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
         (said.rlike(V.ACCESS_WORDS), "high", "Access control / electrified", "{n} opening(s) involve electrified or access-control hardware."),
     ]
     holds = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(n).alias("note"))) for test, s, c, n in families)))
-    held = rows.select("project_id", "door_number", F.explode(holds).alias("rule"))
+    held = settled(rows.select("project_id", "door_number", F.explode(holds).alias("rule")))  # counted and looked into
     counts = held.groupBy("project_id", "rule").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("project_id", "rule").orderBy("door_number"))
     heads = held.withColumn("nth", nth).where(F.col("nth") <= SHOWN).groupBy("project_id", "rule").agg(F.array_sort(F.collect_list("door_number")).alias("head"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lintel.functions.normalise import join_id, quantity, status_join_id, strip
 from lintel.functions.predicates import is_component, is_real_door
+from lintel.operators.distinct import with_distinct
+from lintel.plans.storage import settled
 
 DIMENSIONS = ("door_width", "door_height", "frame_width", "frame_height")
 PHYSICAL = ("door_thickness", "door_material", "door_finish", "frame_material", "frame_finish", "fire_rating")
@@ -21,8 +23,8 @@ def with_join_status(doors: DataFrame, components: DataFrame) -> DataFrame:
 
     The ids are one row each before they meet the doors; Spark broadcasts them if they are small.
     """
-    ids = components.select(status_join_id(F.col("hardware_set_id")).alias("id")).where("id <> ''").distinct().withColumn("known", F.lit(True))
-    joined = doors.withColumn("hardware_set_clean", status_join_id(F.col("hardware_set"))).join(ids, F.col("hardware_set_clean") == F.col("id"), "left")
+    ids = settled(components.select(status_join_id(F.col("hardware_set_id")).alias("id")).where("id <> ''").distinct().withColumn("known", F.lit(True)))
+    joined = with_distinct(doors, ["hardware_set"], hardware_set_clean=status_join_id(F.col("hardware_set"))).join(ids, F.col("hardware_set_clean") == F.col("id"), "left")
     unknown = "not_checked_no_hardware_components" if ids.isEmpty() else "unmatched"
     status = F.when(F.col("hardware_set_clean") == "", "missing").when(F.col("known"), "matched").otherwise(unknown)
     return joined.withColumn("hardware_set_join_status", status).drop("id", "known")

@@ -1,7 +1,9 @@
 """The registered queries as SQL for an independent engine."""
 
 from lintel.functions import vocabulary as V
+from lintel.functions.pages import REVERSED_WORDS
 from lintel.plans import views
+from lintel.sources.sinks import SCHEDULE
 
 
 def text(s: str) -> str:
@@ -18,7 +20,7 @@ raw AS (SELECT DISTINCT CASE WHEN l_partkey % 13 <> 0 THEN replace(samples[CAST(
   CASE WHEN l_suppkey % 11 <> 0 THEN replace(samples[CAST((l_partkey * 7 + l_linenumber) % {len(views.SAMPLES)} + 1 AS INT)], '{{n}}', CAST(l_suppkey % 97 AS VARCHAR)) END AS other
   FROM lineitem, (SELECT [{listed(views.SAMPLES)}] AS samples))"""
 DOORS = """
-doors AS (SELECT 'project_' || (l_orderkey % 50) AS project_id,
+doors AS (SELECT 'project_' || (l_orderkey // 400) AS project_id,
   CASE l_linenumber % 5 WHEN 0 THEN 'Division 8 HARDWARE.pdf' WHEN 1 THEN 'Door and Hardware.pdf' ELSE 'Door Schedule.pdf' END AS source_file, l_linenumber AS page, l_orderkey || chr(64 + l_linenumber) AS door_number,
   CASE l_suppkey % 6 WHEN 0 THEN 'HW-' || (l_partkey % 40) WHEN 1 THEN 'Set ' || (l_partkey % 40) || '.0' WHEN 2 THEN '' WHEN 4 THEN 'N/A' WHEN 5 THEN ' hardware set ' || (l_partkey % 40) || ' ' END AS hardware_set,
   CASE CAST(floor(l_quantity) AS INT) % 6 WHEN 0 THEN '3''-0"' WHEN 1 THEN '6''-0"' WHEN 2 THEN '' || (24 + CAST(floor(l_quantity) AS INT)) WHEN 3 THEN '3''-0" x 3''-0"' WHEN 4 THEN 'N/A' END AS door_width,
@@ -29,7 +31,7 @@ doors AS (SELECT 'project_' || (l_orderkey % 50) AS project_id,
   CASE WHEN l_partkey % 17 = 0 THEN 'existing to remain' WHEN l_partkey % 19 = 0 THEN 'coiling shutter' WHEN l_partkey % 23 = 0 THEN 'card reader' WHEN l_partkey % 29 = 0 THEN 'set ' || (l_partkey % 40) END AS remarks, l_partkey AS row_key
   FROM lineitem)"""
 COMPONENTS = """
-parts AS (SELECT 'project_' || (p_partkey % 50) AS project_id,
+parts AS (SELECT 'project_' || (p_partkey // 50) AS project_id,
   CASE p_partkey % 4 WHEN 0 THEN 'SET ' || (p_partkey % 37) WHEN 1 THEN 'HW-' || (p_partkey % 37) WHEN 2 THEN (p_partkey % 37) || '.0' ELSE 'Group #' || (p_partkey % 37) END AS hardware_set_id,
   CASE p_size % 8 WHEN 0 THEN 'HINGE' WHEN 1 THEN 'surface closer' WHEN 2 THEN 'Mortise lock' WHEN 3 THEN 'HARDWARE SET' WHEN 4 THEN 'SEE NOTE 4' WHEN 5 THEN 'TRASH CAN' WHEN 6 THEN 'kick plate' ELSE p_name END AS description,
   CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS catalog_number, CASE p_partkey % 3 WHEN 0 THEN '626' WHEN 1 THEN 'US26D, 630' END AS finish_code,
@@ -293,11 +295,11 @@ mapping AS (SELECT project_id, door_number AS door_mark, row_key, CASE WHEN coal
 _ALL = (DOORS, COMPONENTS, SETS, RESOLVED)
 
 MASTERS = """
-masters AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Hinge ' WHEN 1 THEN 'SURFACE CLOSER' WHEN 2 THEN 'kick plate' ELSE p_name END AS description, CAST(5 + p_partkey % 40 AS DOUBLE) AS install_time_mins, p_retailprice AS default_unit_price FROM part WHERE p_partkey <= 400),
+masters AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Hinge ' WHEN 1 THEN 'SURFACE CLOSER' WHEN 2 THEN 'kick plate' ELSE p_name END AS description, CAST(5 + p_partkey % 40 AS DOUBLE) AS install_time_mins, p_retailprice AS default_unit_price FROM part),
 prices AS (SELECT lower(trim(description)) AS key, max(id) AS mapped_master_id, arg_max(install_time_mins, id) AS install_time_mins, arg_max(default_unit_price, id) AS default_unit_price FROM masters GROUP BY 1)"""
 PROJECTS = """
 projects AS (SELECT 'project_' || (c_custkey - 1) AS project_id, CAST(c_custkey % 90 AS DOUBLE) AS miles, CASE WHEN c_custkey % 9 > 0 THEN 40.0 + c_custkey ELSE 0.0 END AS wage, CASE WHEN c_custkey % 7 > 0 THEN 25.0 ELSE 0.0 END AS profit,
-  c_custkey % 2 = 0 AS drug, c_custkey % 3 = 0 AS parking, c_custkey % 4 = 0 AS outstation, c_custkey % 5 = 0 AS taxed FROM customer WHERE c_custkey <= 50)"""
+  c_custkey % 2 = 0 AS drug, c_custkey % 3 = 0 AS parking, c_custkey % 4 = 0 AS outstation, c_custkey % 5 = 0 AS taxed FROM customer)"""
 _LEVELS = SQL["p49_levels"].partition("SELECT project_id, count")[2]
 BID = f"""
 levels AS (SELECT project_id, count{_LEVELS}),
@@ -330,9 +332,9 @@ triage AS (SELECT row_key, run_id, status, array_to_string(i, ';') AS issues, CA
   CASE WHEN duplicate_doors = 0 AND doors > 0 AND s THEN 'merged-cell failure' END, CASE WHEN duplicate_doors = 0 AND doors > 0 AND s THEN 'row segmentation failure' END, CASE WHEN hardware > 0 AND doors = 0 AND NOT contains(n, 'hardware') THEN 'wrong page classification' END], lambda x: x IS NOT NULL) AS kinds FROM sized),
 kinds AS (SELECT * EXCLUDE (kinds), array_to_string(list_filter(kinds, lambda x, p: list_position(kinds, x) = p), ';') AS failure_taxonomy FROM triage)"""
 PAGES = f"""
-bodies AS (SELECT page_id, concat_ws(chr(10), {', '.join(f"replace(lines[CAST((page_id * {i + 1} + {i * i}) % {len(views.LINES)} + 1 AS INT)], '{{n}}', CAST(page_id % 83 AS VARCHAR))" for i in range(10))}) AS body FROM pages, (SELECT [{listed(views.LINES)}] AS lines))"""
+bodies AS (SELECT page_id, concat_ws(chr(10), {', '.join(f"replace(lines[CAST((page_id * {i + 1} + {i * i}) % {len(views.LINES)} + 1 AS INT)], '{{n}}', CAST(page_id % 83 AS VARCHAR))" for i in range(10))}, html) AS body FROM pages, (SELECT [{listed(views.LINES)}] AS lines))"""
 BOXES = """
-boxes AS (SELECT user_id % 40 AS page_id, event_id % 2 * 90 AS rotation, event_id AS box_id, CAST(event_id % 37 * 3 AS DOUBLE) AS x0, CAST(event_id % 23 * 5 AS DOUBLE) AS y0, CAST(event_id % 37 * 3 + 30 AS DOUBLE) AS x1, CAST(event_id % 23 * 5 + 20 AS DOUBLE) AS y1 FROM events)"""
+boxes AS (SELECT event_id // 200 AS page_id, event_id % 2 * 90 AS rotation, event_id AS box_id, CAST(event_id % 37 * 3 AS DOUBLE) AS x0, CAST(event_id % 23 * 5 AS DOUBLE) AS y0, CAST(event_id % 37 * 3 + 30 AS DOUBLE) AS x1, CAST(event_id % 23 * 5 + 20 AS DOUBLE) AS y1 FROM events)"""
 _FIELDS = ("door_width", "door_height", "door_type", "door_material", "frame_type", "fire_rating", "hardware_set")
 _BEST = SQL["w1_most_complete_door"].partition("SELECT * EXCLUDE (n, nth)")
 WITNESS = f"""
@@ -406,10 +408,10 @@ SQL |= {
     "w8_carried_sets": chain(PAGES, select=f"""SELECT page_id, line_no, hardware_set_id, line FROM (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no) AS hardware_set_id
       FROM (SELECT *, CASE WHEN {has('line', r'^\s*(?:HARDWARE\s+)?(?:SET|GROUP)\b\s*(?:NO\.?|#)?\s*\S+', 'i')} THEN regexp_extract(line, '(?i)(?:SET|GROUP)\\b\\s*(?:NO\\.?|#)?\\s*([A-Za-z0-9.-]+)', 1) END AS header
       FROM (SELECT page_id, unnest(string_split(body, chr(10))) AS line, CAST(generate_subscripts(string_split(body, chr(10)), 1) - 1 AS INT) AS line_no FROM bodies))) WHERE header IS NULL AND {has('line', V.COMPONENT_WORDS, 'i')}"""),
-    "w12_page_context": "SELECT conv_id, turn, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_mark FROM (SELECT *, CASE WHEN role = 'user' THEN text[1:12] END AS mark FROM conversations)",
+    "w12_page_context": "SELECT conv_id, turn, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_mark FROM (SELECT *, CASE WHEN role = 'user' THEN text END AS mark FROM conversations)",
     "s9_text_rows": chain(BOXES, select="""SELECT page_id, "row", string_agg(CASE WHEN before IS NULL THEN word WHEN x0 - before > gap THEN ' | ' || word ELSE ' ' || word END, '' ORDER BY x0, x1, word) AS line FROM (SELECT *, lag(x1) OVER (PARTITION BY page_id, "row" ORDER BY x0, x1, word) AS before
       FROM (SELECT page_id, x0, x1, CAST(box_id AS VARCHAR) AS word, CAST(round(y0 / greatest(3, least(8, h * 0.8))) AS BIGINT) AS "row", greatest(12, least(30, h * 2)) AS gap FROM boxes JOIN (SELECT page_id, quantile_cont(7.0 + box_id % 3, 0.5) AS h FROM boxes GROUP BY page_id) USING (page_id))) GROUP BY page_id, "row\""""),
-    "j27_nearest_values": chain(BOXES, select="SELECT page_id, anchor_id, arg_min(text, (d, iy, ix, text)) AS text FROM (SELECT a.page_id, a.box_id AS anchor_id, CAST(b.box_id AS VARCHAR) AS text, abs(b.x0 - a.x1) AS d, b.y0 AS iy, b.x0 AS ix FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND abs(b.y0 - a.y1) <= 12 WHERE a.box_id % 50 = 0) GROUP BY ALL").replace("GROUP BY ALL", "GROUP BY page_id, anchor_id"),
+    "j27_nearest_values": chain(BOXES, select="SELECT page_id, anchor_id, arg_min(text, (d, iy, ix, text)) AS text FROM (SELECT a.page_id, a.box_id AS anchor_id, CAST(b.box_id AS VARCHAR) AS text, abs(b.x0 - a.x1) AS d, b.y0 AS iy, b.x0 AS ix FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND abs(b.y0 - a.y1) <= 12 WHERE a.box_id % 20 = 0) GROUP BY ALL").replace("GROUP BY ALL", "GROUP BY page_id, anchor_id"),
     "j29_segments": chain(BOXES, "i AS (SELECT page_id, y0 + box_id % 5 AS y, x0 AS x, CASE WHEN box_id % 60 = 0 THEN 'SET ' ELSE 'item ' END || box_id AS text FROM boxes)", "h AS (SELECT page_id, y AS from_y, text AS header, coalesce(lead(y) OVER (PARTITION BY page_id ORDER BY y, text), 1e18) AS to_y FROM i WHERE starts_with(text, 'SET '))", select="SELECT page_id, header, y, x, text FROM i JOIN h USING (page_id) WHERE NOT starts_with(text, 'SET ') AND y >= from_y + 4 AND y < to_y - 2"),
     "x_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
 }
@@ -420,3 +422,63 @@ SQL |= {
     "p11_field_name": f"SELECT value, CASE {_FIELD} END AS result FROM (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN ' ' || upper(n) ELSE n END AS value FROM (SELECT l_suppkey, names[CAST(l_partkey % {len(_NAMES)} + 1 AS INT)] AS n FROM lineitem, (SELECT [{listed(_NAMES)}] AS names)))",
     "s19_run_summaries": "SELECT run_id, count(*) AS events, min(ts) AS started, max(ts) AS ended, arg_min(event, (ts, event)) AS first_event, arg_max(event, (ts, event)) AS last_event FROM (SELECT CAST(user_id AS VARCHAR) AS run_id, ts, event_type || '-' || event_id AS event FROM events) GROUP BY run_id",
 }
+
+# Text repairs, chunks and component lines of page texts; schedule lines; the richest door of a mark.
+_UNREVERSED = "body"
+for _wrong, _right in REVERSED_WORDS.items():
+    _UNREVERSED = f"replace({_UNREVERSED}, {text(_wrong)}, {text(_right)})"
+_DOUBLED = rf"length(b) >= 4 AND length(b) % 2 = 0 AND len(list_filter(range(1, length(b), 2), lambda i: b[i] <> b[i + 1])) = 0 AND len(regexp_extract_all(b, '\p{{L}}')) > length(b) * 0.6"
+_PAGE_LINES = "ls AS (SELECT page_id, unnest(string_split(body, chr(10))) AS line, CAST(generate_subscripts(string_split(body, chr(10)), 1) - 1 AS INT) AS line_no FROM bodies)"
+_COMPONENT_LINE = text(r"(?i)^\s*([0-9]+)\s+(?:(EA|EACH|PR|PAIR|SET)\b\.?\s+)?(.+?)(?:\s+((?:US)?[0-9]{2,3}[A-Z]{0,2}))?(?:\s+([A-Z]{3}))?\s*$")
+_W8 = SQL["w8_carried_sets"].partition("SELECT page_id, line_no, hardware_set_id, line FROM")
+_BIG = text("^([^Xx×]*)[Xx×](.*)$")
+_READ = "^[0-9]{1,2}'-[0-9]{1,2}\"$"
+
+
+def _part(k: int) -> str:
+    return f"nullif(regexp_extract(line, {_COMPONENT_LINE}, {k}), '')"
+
+
+def _side(x: str) -> str:
+    forms = " ".join(f"WHEN {has('s', p)} THEN {_DIM.format(p=text(p))}" for p in _FORMS)
+    return f"(SELECT CASE WHEN g = '' THEN NULL {forms} ELSE g END FROM (SELECT g, {_OCR} AS s FROM (SELECT {txt(x)} AS g)))"
+
+
+def _csv(x: str) -> str:
+    s = rf"trim(regexp_replace(coalesce({x}, ''), '\r?\n', ' ', 'g'))"
+    return f"""CASE WHEN {has(s, '[",' + chr(13) + chr(9) + ']')} THEN '"' || replace({s}, '"', '""') || '"' ELSE {s} END"""
+
+
+_LINE = {
+    "Opening Number": "door_number", "From": "CASE WHEN row_key % 2 = 0 THEN 'HALL' ELSE '' END", "To": "CASE WHEN row_key % 2 = 0 THEN 'ROOM ' || page ELSE '' END", "Quantity": "'1'", "Door Width": "door_width", "Door Height": "door_height",
+    "Door Material": "door_material", "Door Type": "door_type", "Door Label": "fire_rating", "Frame Type": "frame_type", "Frame Label": "fire_rating", "Hardware Set": "hardware_set", "Remarks": "remarks", "Source Page": "CAST(page AS VARCHAR)",
+}
+_DOOR_COLUMNS = ["project_id", "source_file", "door_number", "hardware_set", "door_width", "door_height", "door_type", "door_material", "frame_type", "fire_rating", "level_area", "remarks"]
+SQL |= {
+    "x1_unreversed": chain(PAGES, select=f"SELECT page_id, {_UNREVERSED} AS body FROM bodies"),
+    "x3_unstuttered": chain(PAGES, _PAGE_LINES, select=rf"SELECT page_id, string_agg(CASE WHEN {_DOUBLED} THEN lead_ || array_to_string(list_transform(range(1, length(b), 2), lambda i: b[i]), '') ELSE line END, chr(10) ORDER BY line_no) AS body FROM (SELECT *, trim(line) AS b, regexp_extract(line, '^(\s*)', 1) AS lead_ FROM ls) GROUP BY page_id"),
+    "x22_chunks": chain(PAGES, _PAGE_LINES, """pk AS (SELECT page_id, line_no, line AS chunk, 0 AS no FROM ls WHERE line_no = 0 UNION ALL SELECT ls.page_id, ls.line_no, CASE WHEN length(chunk) + 1 + length(line) <= 80 THEN chunk || chr(10) || line ELSE line END, CASE WHEN length(chunk) + 1 + length(line) <= 80 THEN no ELSE no + 1 END
+      FROM pk JOIN ls ON pk.page_id = ls.page_id AND ls.line_no = pk.line_no + 1)""", select="SELECT page_id, no AS chunk_no, arg_max(chunk, line_no) AS chunk FROM pk GROUP BY page_id, no").replace("WITH ", "WITH RECURSIVE ", 1),
+    "r9_component_fields": f"{_W8[0]}SELECT page_id, line_no, hardware_set_id, TRY_CAST({_part(1)} AS INT) AS qty, upper({_part(2)}) AS unit, {squeeze(f'upper({_part(3)})')} AS description, {_part(4)} AS finish_code, {_part(5)} AS manufacturer_code FROM{_W8[2]}",
+    "r13_json_rows": "SELECT event_id AS answer_id, CAST(r AS INT) AS row_no, CASE r WHEN 0 THEN 'D' || user_id ELSE 'E' END AS mark, CASE r WHEN 0 THEN '3' END AS width FROM events, (SELECT unnest([0, 1]) AS r)",
+    "k10_schedule_lines": chain(DOORS, select="SELECT concat_ws(',', " + ", ".join(_csv(_LINE.get(c, "''")) for c in SCHEDULE) + ") AS line FROM doors"),
+    "p37_size_pair": chain(
+        DIRTY, rf"s0 AS (SELECT value, other, regexp_replace(translate(upper(replace({txt('value')}, '`', chr(39))), 'OI', '01'), '^\s*\([0-9]+\)\s*', '') AS s FROM raw)",
+        rf"s1 AS (SELECT *, CASE WHEN regexp_matches(s, '[Xx×]') THEN [regexp_extract(regexp_replace(s, '\s+', '', 'g'), {_BIG}, 1), regexp_extract(regexp_replace(s, '\s+', '', 'g'), {_BIG}, 2)] ELSE regexp_extract_all(s, {text(chr(91) + '0-9]+' + chr(92) + 's*[' + chr(39) + '.-]' + chr(92) + 's*[0-9]+' + chr(92) + 's*' + chr(34) + '?')}) END AS p FROM s0)",
+        f"s2 AS (SELECT value, other, {_side('p[1]')} AS w, {_side('p[2]')} AS h, len(p) AS n FROM s1)", select=f"SELECT value, other, CASE WHEN n >= 2 AND {has('w', _READ)} AND {has('h', _READ)} THEN w || ' x ' || h ELSE '' END AS result FROM s2",
+    ),
+    "w2_richest_door": chain(DOORS, select=f"SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY upper({txt('door_number')}) ORDER BY {' + '.join(f'(NOT {blank(c)})::INT' for c in ('door_width', 'door_height', 'door_type', 'fire_rating'))} DESC, page, row_key, {', '.join(c + ' NULLS FIRST' for c in _DOOR_COLUMNS)}) AS nth FROM doors WHERE {txt('door_number')} <> '') WHERE nth = 1"),
+}
+
+# Folds in order, as recursion over places.
+_IOU = "greatest(0, least(s.x1, k.x1) - greatest(s.x0, k.x0)) * greatest(0, least(s.y1, k.y1) - greatest(s.y0, k.y0))"
+_AREA = "({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0)"
+SQL |= {
+    "w10_repaired_sequence": """WITH RECURSIVE s AS (SELECT *, row_number() OVER w AS i, lead(number) OVER w AS nxt FROM (SELECT event_id // 200 AS page_id, event_id AS pos, event_id % 4 + event_id % 3 AS number FROM events) WINDOW w AS (PARTITION BY page_id ORDER BY pos, number)),
+      r AS (SELECT page_id, pos, number, i FROM s WHERE i = 1 UNION ALL SELECT s.page_id, s.pos, CASE WHEN s.nxt = r.number + 2 AND s.number <> r.number + 1 THEN r.number + 1 ELSE s.number END, s.i FROM r JOIN s ON s.page_id = r.page_id AND s.i = r.i + 1) SELECT page_id, pos, number FROM r""",
+    "m1_rate_limit": """WITH RECURSIVE s AS (SELECT event_id, user_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      r AS (SELECT event_id, user_id, ts, i, true AS allowed, 0 AS retry_after, [t] AS recent FROM s WHERE i = 1 UNION ALL SELECT event_id, user_id, ts, i, len(kept) < 2, CAST(CASE WHEN len(kept) < 2 THEN 0 ELSE trunc(greatest(1, 3600 - (t - kept[1]))) END AS INT), CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT s.*, list_filter(r.recent, lambda x: x >= s.t - 3600) AS kept FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)) SELECT event_id, user_id, ts, allowed, retry_after FROM r""",
+    "j26_distinct_rectangles": chain(BOXES, "s AS (SELECT *, row_number() OVER (PARTITION BY page_id, rotation ORDER BY box_id, x0, y0) AS i, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} AS b FROM boxes)", f"""r AS (SELECT page_id, rotation, i, true AS kept_, [b] AS held FROM s WHERE i = 1 UNION ALL SELECT page_id, rotation, i, fresh, CASE WHEN fresh THEN list_append(held, b) ELSE held END
+      FROM (SELECT s.page_id, s.rotation, s.i, s.b, r.held, len(list_filter(r.held, lambda k: {_IOU} > 0.75 * ({_AREA.format('s')} + {_AREA.format('k')} - {_IOU}))) = 0 AS fresh FROM r JOIN s ON s.page_id = r.page_id AND s.rotation = r.rotation AND s.i = r.i + 1))""", select="SELECT page_id, rotation, box_id, x0, y0, x1, y1 FROM s JOIN r USING (page_id, rotation, i) WHERE kept_").replace("WITH ", "WITH RECURSIVE ", 1),
+}

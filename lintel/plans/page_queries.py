@@ -385,3 +385,13 @@ def j18_table_fields(spark, sf_dir):
         "page_id", "door_number", room.alias("room_name"), F.when(F.col("page_id") % 2 == 0, "9").alias("door_width"), none.alias("door_height"), none.alias("door_type"), none.alias("frame_type"), none.alias("frame_material"), F.lit("existing").alias("hardware_set"),
     )
     return tables.with_table_fields(doors, tables.table_doors(pages)).select("page_id", "door_number", "room_name", "door_width", "hardware_set")
+
+
+_BODY = "(e_rows >= 2 OR e_dims >= 2 OR e_parts >= 3 OR e_sets >= 1)"
+_TITLE_ONLY = f"(e_title >= 2 AND NOT {_BODY} AND e_doors <= 3)"
+SQL["x10_page_evidence"] = O.chain(
+    O.PAGES, "asked AS (SELECT *, NULL AS answer FROM bodies)", _SIGNALS, _CLASS,
+    select=f"""SELECT page_id, CAST(e_doors AS INT) AS real_door_numbers, CAST(e_rows AS INT) AS row_lines, e_dims AS dimensions, e_cad AS cad_shorthand, e_headers AS schedule_headers, e_sets AS hw_set_headers, e_parts AS hw_components, e_title AS title_block_markers, e_cid AS cid_garbage, e_broken AS broken_columns, e_len AS text_length,
+  is_door AS is_door_schedule, is_hw AS is_hardware_schedule, {_TITLE_ONLY} AS is_title_block_only, e_len > 0 AND (e_cid / greatest(e_len, 1) > 0.05 OR e_broken >= 1) AS is_corrupt, expected_rows AS expected_door_rows, expected_sets AS expected_hw_sets,
+  CASE WHEN e_len <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (e_rows * 4.0 + e_dims * 1.5 + e_headers * 1.5 + e_parts * 2.0 + e_sets * 3.0 + least(e_doors, 50) * 0.5 - (e_cid * 2.0 + e_broken * 8.0 + CASE WHEN {_TITLE_ONLY} THEN e_title * 1.0 ELSE 0.0 END)) / 60.0)) END::DOUBLE AS confidence FROM jj""",
+)

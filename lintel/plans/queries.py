@@ -10,6 +10,7 @@ from lintel.functions import pages as G
 from lintel.functions import predicates as P
 from lintel.functions import vocabulary as V
 from lintel.operators import bid, layout, mapping, parse, reconcile, reports, retrieve, rules, takeoff
+from lintel.operators.distinct import with_distinct
 from lintel.plans import views
 from lintel.plans.storage import settled
 from lintel.sources import files, sinks
@@ -90,7 +91,7 @@ def _checked(spark, sf_dir):
 
 def _aggregate(spark, sf_dir):
     pair = N.is_pair(F.col("door_width"), F.col("door_type"))
-    doors = _checked(spark, sf_dir).withColumn("is_pair", pair).withColumn("door_leaves", F.when(F.col("is_pair"), 2).otherwise(1))
+    doors = with_distinct(_checked(spark, sf_dir), ["door_width", "door_type"], is_pair=pair).withColumn("door_leaves", F.when(F.col("is_pair"), 2).otherwise(1))
     return takeoff.door_aggregate(doors)
 
 
@@ -388,11 +389,6 @@ def r1_table_cells(spark, sf_dir):
     return parse.table_cells(views.page_texts(spark, sf_dir))
 
 
-@query
-def r2_door_rows(spark, sf_dir):
-    return parse.door_rows(views.page_texts(spark, sf_dir))
-
-
 @query
 def w8_carried_sets(spark, sf_dir):
     return parse.carried_sets(views.page_texts(spark, sf_dir))
@@ -406,20 +402,20 @@ def r9_component_fields(spark, sf_dir):
 
 @query
 def r13_json_rows(spark, sf_dir):
-    doors = views.table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    doors = views.table(spark, sf_dir, "events")
     body = F.concat(F.lit('<think>x</think>```json\n[{"mark": "D'), F.col("user_id").cast("string"), F.lit('", "width": "3",}, {"mark": "E"'), F.when(F.col("event_id") % 2 == 0, F.lit("}]```")).otherwise(F.lit("")))
     return parse.json_rows(doors.select(F.col("event_id").alias("answer_id"), body.alias("answer")), "mark: string, width: string")
 
 
 @query
 def w12_page_context(spark, sf_dir):
-    turns = views.table(spark, sf_dir, "conversations").withColumn("mark", F.when(F.col("role") == "user", F.substring("text", 1, 12)))
+    turns = views.table(spark, sf_dir, "conversations").withColumn("mark", F.when(F.col("role") == "user", F.col("text")))
     return parse.page_context(turns, "conv_id", "turn", ["mark"]).select("conv_id", "turn", "mark", "last_mark")
 
 
 def _boxes(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 40).alias("page_id"), (F.col("event_id") % 2 * 90).alias("rotation"), F.col("event_id").alias("box_id"), (F.col("event_id") % 37 * 3).cast("double").alias("x0"), (F.col("event_id") % 23 * 5).cast("double").alias("y0"), (F.col("event_id") % 37 * 3 + 30).cast("double").alias("x1"), (F.col("event_id") % 23 * 5 + 20).cast("double").alias("y1"))
+    return e.select(F.floor(F.col("event_id") / 200).alias("page_id"), (F.col("event_id") % 2 * 90).alias("rotation"), F.col("event_id").alias("box_id"), (F.col("event_id") % 37 * 3).cast("double").alias("x0"), (F.col("event_id") % 23 * 5).cast("double").alias("y0"), (F.col("event_id") % 37 * 3 + 30).cast("double").alias("x1"), (F.col("event_id") % 23 * 5 + 20).cast("double").alias("y1"))
 
 
 @query
@@ -437,7 +433,7 @@ def s9_text_rows(spark, sf_dir):
 def j27_nearest_values(spark, sf_dir):
     b = _boxes(spark, sf_dir)
     items = b.select("page_id", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("box_id").cast("string").alias("text"))
-    return layout.nearest_values(b.where("box_id % 50 = 0").select("page_id", F.col("box_id").alias("anchor_id"), F.col("x1").alias("x"), F.col("y1").alias("y")), items, 12.0)
+    return layout.nearest_values(b.where("box_id % 20 = 0").select("page_id", F.col("box_id").alias("anchor_id"), F.col("x1").alias("x"), F.col("y1").alias("y")), items, 12.0)
 
 
 @query
@@ -448,7 +444,7 @@ def j29_segments(spark, sf_dir):
 
 @query
 def w10_repaired_sequence(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("page_id"), F.col("event_id").alias("pos"), (F.col("event_id") % 4 + F.col("event_id") % 3).alias("number"))
+    rows = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("page_id"), F.col("event_id").alias("pos"), (F.col("event_id") % 4 + F.col("event_id") % 3).alias("number"))
     return layout.repaired_sequence(rows)
 
 

@@ -32,7 +32,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Door schedule rows from lineitem."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat('project_', l_orderkey % 50) as project_id",
+        "concat('project_', l_orderkey div 400) as project_id",
         "case l_linenumber % 5 when 0 then 'Division 8 HARDWARE.pdf' when 1 then 'Door and Hardware.pdf' else 'Door Schedule.pdf' end as source_file",
         "l_linenumber as page",
         "concat(l_orderkey, chr(64 + l_linenumber)) as door_number",
@@ -52,7 +52,7 @@ def doors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hardware component rows from part."""
     return table(spark, sf_dir, "part").selectExpr(
-        "concat('project_', p_partkey % 50) as project_id",
+        "concat('project_', p_partkey div 50) as project_id",
         "case p_partkey % 4 when 0 then concat('SET ', p_partkey % 37) when 1 then concat('HW-', p_partkey % 37) when 2 then concat(p_partkey % 37, '.0') else concat('Group #', p_partkey % 37) end as hardware_set_id",
         "case p_size % 8 when 0 then 'HINGE' when 1 then 'surface closer' when 2 then 'Mortise lock' when 3 then 'HARDWARE SET' when 4 then 'SEE NOTE 4' when 5 then 'TRASH CAN' when 6 then 'kick plate' else p_name end as description",
         "case when p_partkey % 5 > 0 then p_brand end as catalog_number",
@@ -68,7 +68,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost parameters of projects from customer."""
-    return table(spark, sf_dir, "customer").where("c_custkey <= 50").selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "concat('project_', c_custkey - 1) as project_id",
         "cast(c_custkey % 90 as double) as distance_miles",
         "case when c_custkey % 9 > 0 then 40.0D + c_custkey end as wage_scale_carpenter",
@@ -80,7 +80,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master components from part: price and time by description; a description may repeat."""
-    return table(spark, sf_dir, "part").where("p_partkey <= 400").selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "p_partkey as id",
         "case p_partkey % 5 when 0 then 'Hinge ' when 1 then 'SURFACE CLOSER' when 2 then 'kick plate' else p_name end as description",
         "cast(5 + p_partkey % 40 as double) as install_time_mins",
@@ -117,8 +117,8 @@ LINES = [
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, body): ten schedule lines for each page, chosen by its number."""
+    """(page_id, body): ten schedule lines for each page, chosen by its number, and the page's whole markup."""
     lines = F.array(*(F.lit(s) for s in LINES))
-    pages = table(spark, sf_dir, "pages").select("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
     line = lambda i: F.replace(F.element_at(lines, ((F.col("page_id") * (i + 1) + i * i) % len(LINES) + 1).cast("int")), F.lit("{n}"), (F.col("page_id") % 83).cast("string"))
-    return pages.select("page_id", F.concat_ws("\n", *(line(i) for i in range(10))).alias("body"))
+    return pages.select("page_id", F.concat_ws("\n", *(line(i) for i in range(10)), "html").alias("body"))

@@ -26,17 +26,26 @@ def allowed(times: list[float], recent: list[float], limit: int, span: float) ->
 def rate_limited(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S) -> DataFrame:
     """M1, exactly, in batch: (event_id, user_id, ts, allowed, retry_after); a user's events in order of time and id.
 
-    Each decision depends on the ones before it, so a user's events are one group; the stream below keeps only the last span.
+    Each decision depends on the ones before it. Events arrive sorted, and a task keeps the accepted attempts of its current
+    user's last span: limit of them at most, however long the history.
     """
-    schema = "event_id long, user_id long, ts timestamp, allowed boolean, retry_after int"
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        seconds = (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        ok, wait, _ = allowed(seconds, [], limit, span)
-        return rows.assign(allowed=ok, retry_after=wait)[["event_id", "user_id", "ts", "allowed", "retry_after"]]
-
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(decide, schema)
+    schema = f"event_id long, user_id long, ts {events.schema['ts'].dataType.simpleString()}, allowed boolean, retry_after int"
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, recent = object(), []
+        for rows in batches:
+            ok, wait = [], []
+            seconds = (rows["ts"] - pd.Timestamp(0)).dt.total_seconds()
+            for own, times in seconds.groupby((rows["user_id"] != rows["user_id"].shift()).cumsum(), sort=False):
+                if rows["user_id"].loc[times.index[0]] != user:
+                    user, recent = rows["user_id"].loc[times.index[0]], []
+                good, waits, recent = allowed(times.tolist(), recent, limit, span)
+                ok += good
+                wait += waits
+            yield rows.assign(allowed=ok, retry_after=wait)
+
+    sorted_ = events.select("event_id", "user_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return sorted_.mapInPandas(decide, schema)
 
 
 def rate_limited_stream(events: DataFrame, limit: int = LIMIT, span: float = SPAN_S) -> DataFrame:

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lintel.plans import oracle
-from lintel.plans.queries import QUERIES
+from lintel.plans import oracle, page_queries, queries, report_queries
+
+QUERIES = queries.QUERIES | report_queries.QUERIES | page_queries.QUERIES
+SQL = oracle.SQL | report_queries.SQL | page_queries.SQL
 
 DATA = os.environ.get("LINTEL_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,9 +32,9 @@ def rows(table):
     return table.column_names, sorted(tuple(show(v) for v in r) for r in zip(*(c.to_pylist() for c in table.columns)))
 
 
-@pytest.mark.parametrize("name", [n for n in ("p8_unit", "p21_set_key", "p22_alias_keys", "f1_components", "f3_door_mark", "j2_join_status", "a2_project_quantities", "a15_bids", "w1_most_complete_door", "j6_reconciled_doors", "j9_mapping", "r17_risks", "r19_triage", "s9_text_rows", "t5_nearest_vectors")])
+@pytest.mark.parametrize("name", [n for n in SQL if n in QUERIES])
 def test_query_matches_sql(spark, engine, name):
-    got, want = rows(QUERIES[name](spark, DATA).toArrow()), rows(engine.sql(oracle.SQL[name]).to_arrow_table())
+    got, want = rows(QUERIES[name](spark, DATA).toArrow()), rows(engine.sql(SQL[name]).to_arrow_table())
     assert got[0] == want[0]
     assert got[1] == want[1]
 
