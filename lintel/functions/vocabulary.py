@@ -247,3 +247,34 @@ FIELD_NAMES = {
     "finish_code": ["finish_code", "finish code"],
     "manufacturer_code": ["manufacturer_code", "manufacturer", "mfr"],
 }
+
+# The browser's rules: severities as risk and as question ('' for none) and patterns of each family.
+FAMILIES = {
+    "Hardware mapping": ("high", "high"), "Hardware set definitions": ("high", "high"), "Voided hardware set": ("high", "high"), "Fire-rated openings": ("medium", ""), "Fire / smoke rating": ("", "medium"),
+    "Stair enclosures": ("", "medium"), "Exterior / weather": ("medium", "medium"), "Access control / electrified": ("high", "high"), "ADA / automatic operators": ("medium", "medium"),
+    "Egress / exit devices": ("medium", "medium"), "Pair / double-leaf openings": ("medium", "medium"), "High-security openings": ("medium", "medium"), "Keying / cylinders": ("medium", "medium"),
+    "Acoustic / STC-rated": ("medium", "medium"), "Existing conditions": ("medium", "medium"), "Glazing / vision lites": ("", "low"), "Schedule legibility": ("low", ""), "Schedule completeness": ("", "low"),
+    "Submittal / lead time": ("low", "low"),
+}
+POWER_BY_EC = [
+    r"(?i)\b(EC|electrical contractor|division\s*26|div\.?\s*26)\b[^.]{0,80}\b(provide|supply|by)\b[^.]{0,40}\b(120\s*v|power|line\s*voltage)\b",
+    r"(?i)\b120\s*v[^.]{0,40}\b(by|provided by)\b[^.]{0,30}\b(EC|electrical contractor)\b",
+]
+CABLING_BY_OTHERS = r"(?i)\b(low[-\s]?voltage|cabling|access\s*control|EAC|head[-\s]?end)\b[^.]{0,60}\b(by|provided by|N\.?I\.?C\.?|not in contract)\b"
+KEYING_DEFINED = r"(?i)\b(master|grand\s*master|sub[-\s]?master|keyway|SFIC|LFIC|construction\s*core|restricted)\b"
+LEGEND_ACCESS = r"(?i)reader|card|electric|maglock|magnetic|access|operator|REX|EPT|power\s*transfer|delayed\s*egress|panic|exit"
+VOIDED_WORDS = r"(?i)void|cross|strike|withdrawn|deleted"
+STAIR_WORDS = r"(?i)stair|exit stair|stairwell"
+EXTERIOR_WORDS = r"(?i)exterior|exit\s*to\s*exterior|out\s*to\s*grade"
+ELECTRIFIED_WORDS = (
+    r"(?i)\bCR\b|\bEL\b|\bDPS\b|\bRX\b|\bEH\b|\bAO\b|panic|card reader|access control|electrified|magnetic\s*lock|maglock|electric\s*strike|electric\s*latch|automatic\s*operator|push\s*paddle|"
+    r"power\s*supply|power\s*transfer|EPT|REX|request[-\s]to[-\s]exit|delayed\s*egress|stand[-\s]?alone\s*lock"
+)
+OPERATOR_WORDS = r"(?i)\bAO\b|automatic\s*operator|low\s*energy\s*operator|push\s*paddle|barrier[-\s]?free|accessible|ADA"
+PANIC_WORDS = r"(?i)panic|exit\s*device|crash\s*bar|push\s*pad|cvr|surface\s*vertical\s*rod|mortise\s*exit|rim\s*exit"
+PAIR_OPENINGS = r"(?i)pair|double|2[\s-]?leaf|astragal|coordinator|flush\s*bolt"
+SECURITY_WORDS = (
+    r"(?i)vault|safe\s*room|secure|secured\s*entry|bullet|ballistic|detention|holding|interview|interrogation|server|IDF|MDF|telecom|comm\s*room|electrical\s*closet"
+)
+ACOUSTIC_WORDS = r"(?i)STC|acoustic|sound\s*(?:seal|rated|attenuat)"
+EXISTING_WORDS = r"(?i)existing|EX\b|re-?use|salvage|relocate|infill"

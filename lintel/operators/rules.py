@@ -51,3 +51,58 @@ def numbered_findings(findings: DataFrame, group: str) -> DataFrame:
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
     nth = F.row_number().over(Window.partitionBy(group).orderBy(rank, "category", "issue"))
     return findings.withColumn("rfi_no", F.format_string("RFI-%03d", nth))
+
+
+def contexts(projects: DataFrame) -> DataFrame:
+    """What the notes of a project (project_id, general_notes, hardware_preamble, keying_notes: arrays; legend: a map) already answer:
+    who brings power and cabling, the keying, and the abbreviations of its legend that mean electrified hardware."""
+    none = F.array().cast("array<string>")
+    keying = F.coalesce("keying_notes", none)
+    said = F.array_join(F.concat(F.coalesce("general_notes", none), F.coalesce("hardware_preamble", none), keying), " \n ")
+    power = said.rlike(V.POWER_BY_EC[0]) | said.rlike(V.POWER_BY_EC[1])
+    short = F.map_keys(F.map_filter(F.coalesce("legend", F.map_from_arrays(none, none)), lambda _, v: v.rlike(V.LEGEND_ACCESS)))
+    return projects.select(
+        "project_id", (power & said.rlike(V.CABLING_BY_OTHERS)).alias("split_settled"), ((F.size(keying) > 0) & F.array_join(keying, " ").rlike(V.KEYING_DEFINED)).alias("keying_settled"), short.alias("abbreviations"),
+    )
+
+
+def browser_findings(doors: DataFrame, sets: DataFrame, context: DataFrame) -> DataFrame:
+    """Risks and questions of each project by 18 families of rules: (project_id, kind, severity, category, n, openings).
+
+    doors: project_id, mark, set_label, fire_rating, door_type, opening_type, room_or_location, remarks, interior_or_exterior, glazing,
+    confidence, width, height. sets: project_id, set_label, items, note. context: from contexts(). A door holds each family once; the
+    families that look at a project as a whole (voided sets, keying, completeness, lead time) come from its counts. Questions
+    that the project's notes answer are left out.
+    """
+    full = sets.groupBy("project_id", "set_label").agg(F.max(F.size(F.coalesce("items", F.array()))).alias("n_items"))
+    rows = doors.join(full, ["project_id", "set_label"], "left").join(context, "project_id", "left")
+    words = lambda *c: F.concat_ws(" ", *c)
+    usual = words("remarks", "door_type", "room_or_location")
+    labelled = F.exists(F.coalesce("abbreviations", F.array().cast("array<string>")), lambda a: F.regexp_like(usual, F.concat(F.lit(r"(?i)\b\Q"), a, F.lit(r"\E\b"))))
+    fire = (F.coalesce("fire_rating", F.lit("")) != "") & (F.col("fire_rating") != "-") & ~F.col("fire_rating").rlike(r"(?i)^non|^n/a$")
+    unset = F.coalesce("set_label", F.lit("")) == ""
+    tests = {
+        "Hardware mapping": unset, "Hardware set definitions": ~unset & (F.coalesce("n_items", F.lit(0)) == 0), "Fire-rated openings": fire, "Fire / smoke rating": fire, "Stair enclosures": fire & usual.rlike(V.STAIR_WORDS),
+        "Exterior / weather": (F.col("interior_or_exterior") == "Exterior") | words("room_or_location", "remarks").rlike(V.EXTERIOR_WORDS), "Access control / electrified": usual.rlike(V.ELECTRIFIED_WORDS) | labelled,
+        "ADA / automatic operators": usual.rlike(V.OPERATOR_WORDS), "Egress / exit devices": usual.rlike(V.PANIC_WORDS), "Pair / double-leaf openings": words("remarks", "door_type", "opening_type").rlike(V.PAIR_OPENINGS),
+        "High-security openings": usual.rlike(V.SECURITY_WORDS), "Acoustic / STC-rated": usual.rlike(V.ACOUSTIC_WORDS), "Existing conditions": usual.rlike(V.EXISTING_WORDS),
+        "Glazing / vision lites": (F.coalesce("glazing", F.lit("")) != "") & ~F.col("glazing").rlike(r"(?i)^(none|-|n/a)$"), "Schedule legibility": F.coalesce("confidence", F.lit(1.0)) < 0.6,
+        "Schedule completeness": (F.coalesce("width", F.lit("")) == "") | (F.coalesce("height", F.lit("")) == ""),
+    }
+    held = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items())))
+    held = settled(rows.select("project_id", "mark", F.explode(held).alias("family")))
+    family = Window.partitionBy("project_id", "family")
+    first = held.withColumn("n", F.count("*").over(family)).withColumn("nth", F.row_number().over(family.orderBy("mark"))).where(F.col("nth") <= SHOWN)
+    found = first.groupBy("project_id", "family", "n").agg(F.array_sort(F.collect_list("mark")).alias("head")).select("project_id", "family", "n", marks(F.col("head"), F.col("n")).alias("openings"))
+    counts = doors.groupBy("project_id").agg(F.count("*").alias("doors"))
+    voided = sets.where(F.coalesce("note", F.lit("")).rlike(V.VOIDED_WORDS)).groupBy("project_id").agg(F.count_distinct("set_label").alias("n")).select("project_id", F.lit("Voided hardware set").alias("family"), "n", F.lit("").alias("openings"))
+    whole = counts.select("project_id", F.explode(F.array_compact(F.array(F.lit("Submittal / lead time"), F.when(F.col("doors") >= 5, "Keying / cylinders")))).alias("family"), F.lit(0).cast("long").alias("n"), F.lit("").alias("openings"))
+    all_ = found.unionByName(voided).unionByName(whole).join(counts, "project_id").join(context.select("project_id", "split_settled", "keying_settled"), "project_id", "left")
+    complete = (F.col("family") == "Schedule completeness") & (F.col("n") >= F.col("doors"))
+    answered = (F.col("family") == "Keying / cylinders") & F.coalesce("keying_settled", F.lit(False))
+    kinds = F.create_map(*(F.lit(x) for name, (risk, rfi) in V.FAMILIES.items() for x in (name, f"{risk}|{rfi}")))
+    severity = F.split(kinds[F.col("family")], r"\|")
+    settled_rfi = (F.col("family") == "Access control / electrified") & F.coalesce("split_settled", F.lit(False))
+    kind = F.explode(F.array(F.struct(F.lit("risk").alias("kind"), severity[0].alias("severity")), F.struct(F.lit("rfi").alias("kind"), F.when(~settled_rfi, severity[1]).otherwise("").alias("severity"))))
+    out = all_.where(~complete & ~answered).select("project_id", "family", "n", "openings", kind.alias("k"))
+    return out.where("k.severity <> ''").select("project_id", "k.kind", "k.severity", F.col("family").alias("category"), "n", "openings")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lintel.functions import normalise as N
 from lintel.functions import vocabulary as V
-from lintel.operators import gates, mapping, merge, reconcile, reports, summaries, validate
+from lintel.operators import gates, mapping, merge, reconcile, reports, rules, summaries, validate
+from lintel.operators.distinct import with_distinct
 from lintel.plans import oracle as O
 from lintel.plans import views
 
@@ -415,3 +416,42 @@ def s21_ground_truth(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " SET #12A hw 7 Hardware Set No. 3").otherwise(" door 1204B"))
     return docs.select("doc_id", summaries.ground_truth(text).alias("t")).select("doc_id", "t.*")
+
+
+_ROOM = "CASE row_key % 11 WHEN 0 THEN 'STAIR 2' WHEN 1 THEN 'exit to exterior' WHEN 2 THEN 'SERVER room' WHEN 3 THEN 'KP lobby' ELSE level_area END"
+_SAID = "CASE row_key % 13 WHEN 0 THEN 'STC 50, AO' WHEN 1 THEN 'exit device pair' WHEN 2 THEN 'relocate' ELSE remarks END"
+_USUAL = "concat_ws(' ', said, door_type, room)"
+_FIRE18 = f"coalesce(fire_rating, '') <> '' AND fire_rating <> '-' AND NOT {O.has('fire_rating', '^non|^n/a$', 'i')}"
+_TESTS18 = {
+    "Hardware mapping": "coalesce(set_label, '') = ''", "Hardware set definitions": "coalesce(set_label, '') <> '' AND coalesce(n_items, 0) = 0", "Fire-rated openings": _FIRE18, "Fire / smoke rating": _FIRE18,
+    "Stair enclosures": f"{_FIRE18} AND {O.has(_USUAL, V.STAIR_WORDS)}", "Exterior / weather": f"row_key % 17 = 0 OR {O.has("concat_ws(' ', room, said)", V.EXTERIOR_WORDS)}",
+    "Access control / electrified": f"{O.has(_USUAL, V.ELECTRIFIED_WORDS)} OR (project_no % 3 = 0 AND {O.has(_USUAL, '(?i)' + chr(92) + 'bKP' + chr(92) + 'b')})", "ADA / automatic operators": O.has(_USUAL, V.OPERATOR_WORDS), "Egress / exit devices": O.has(_USUAL, V.PANIC_WORDS),
+    "Pair / double-leaf openings": O.has("concat_ws(' ', said, door_type)", V.PAIR_OPENINGS), "High-security openings": O.has(_USUAL, V.SECURITY_WORDS), "Acoustic / STC-rated": O.has(_USUAL, V.ACOUSTIC_WORDS), "Existing conditions": O.has(_USUAL, V.EXISTING_WORDS),
+    "Glazing / vision lites": "row_key % 6 = 1", "Schedule legibility": "row_key % 10 < 6", "Schedule completeness": "coalesce(door_width, '') = '' OR coalesce(door_height, '') = ''",
+}
+_HELD18 = " UNION ALL ".join(f"SELECT project_id, project_no, door_number AS mark, {O.text(k)} AS family FROM d18 WHERE {v}" for k, v in _TESTS18.items())
+_KINDS18 = ", ".join(f"({O.text(k)}, '{kind}', '{s}')" for k, pair in V.FAMILIES.items() for kind, s in zip(("risk", "rfi"), pair) if s)
+
+
+@query(O.chain(O.DOORS, O.COMPONENTS, f"""s18 AS (SELECT project_id, {O.join_id('hardware_set_id', V.BLANK)} AS set_label, max(row_key % 3) AS n_items, bool_or(row_key % 23 = 0) AS voided FROM parts GROUP BY ALL),
+d18 AS (SELECT doors.*, {_ROOM} AS room, {_SAID} AS said, {O.join_id('hardware_set', V.BLANK)} AS set_label, n_items, CAST(substr(doors.project_id, 9) AS INT) AS project_no FROM doors LEFT JOIN s18 ON doors.project_id = s18.project_id AND {O.join_id('hardware_set', V.BLANK)} = s18.set_label),
+h18 AS ({_HELD18}), c18 AS (SELECT project_id, any_value(project_no) AS project_no, count(*) AS doors FROM d18 GROUP BY 1),
+f18 AS (SELECT project_id, family, count(*) AS n, list_sort(list(mark))[1:8] AS head FROM h18 GROUP BY ALL UNION ALL SELECT project_id, 'Voided hardware set', count(*), [] FROM s18 WHERE voided GROUP BY 1 UNION ALL SELECT project_id, 'Submittal / lead time', 0, [] FROM c18 UNION ALL SELECT project_id, 'Keying / cylinders', 0, [] FROM c18 WHERE doors >= 5)""",
+    select=f"""SELECT f.project_id, k.kind, k.severity, family AS category, n, array_to_string(head, ', ') || CASE WHEN n > len(head) AND len(head) > 0 THEN ', ...+' || (n - len(head)) || ' more' ELSE '' END AS openings FROM f18 f JOIN c18 c USING (project_id) JOIN (VALUES {_KINDS18}) k(f_, kind, severity) ON f.family = k.f_
+  WHERE NOT (family = 'Schedule completeness' AND n >= doors) AND NOT (family = 'Keying / cylinders' AND project_no % 2 = 0) AND NOT (family = 'Access control / electrified' AND k.kind = 'rfi' AND project_no % 4 = 0)"""))
+def r18_browser_findings(spark, sf_dir):
+    k, none = F.col("row_key"), F.lit(None).cast("string")
+    room = F.when(k % 11 == 0, "STAIR 2").when(k % 11 == 1, "exit to exterior").when(k % 11 == 2, "SERVER room").when(k % 11 == 3, "KP lobby").otherwise(F.col("level_area"))
+    said = F.when(k % 13 == 0, "STC 50, AO").when(k % 13 == 1, "exit device pair").when(k % 13 == 2, "relocate").otherwise(F.col("remarks"))
+    doors = with_distinct(views.doors(spark, sf_dir), ["hardware_set"], set_label=N.join_id(F.col("hardware_set"))).select(
+        "project_id", F.col("door_number").alias("mark"), "set_label", "fire_rating", "door_type", none.alias("opening_type"), room.alias("room_or_location"), said.alias("remarks"), F.when(k % 17 == 0, "Exterior").alias("interior_or_exterior"),
+        F.when(k % 6 == 1, "tempered").when(k % 6 == 2, "none").alias("glazing"), ((k % 10) / 10).alias("confidence"), F.col("door_width").alias("width"), F.col("door_height").alias("height"),
+    )
+    sets = views.components(spark, sf_dir).select("project_id", N.join_id(F.col("hardware_set_id")).alias("set_label"), F.array_repeat(F.lit(1), (k % 3).cast("int")).alias("items"), F.when(k % 23 == 0, "crossed out").alias("note"))
+    number = F.substring("project_id", 9, 9).cast("int")
+    texts = lambda test, x: F.when(test, F.array(F.lit(x)))
+    context = rules.contexts(doors.select("project_id").distinct().select(
+        "project_id", texts(number % 4 == 0, "EC to provide all 120 V power. Low-voltage cabling by others.").alias("general_notes"), texts(F.lit(False), "").alias("hardware_preamble"), texts(number % 2 == 0, "SFIC cores, restricted").alias("keying_notes"),
+        F.when(number % 3 == 0, F.create_map(F.lit("KP"), F.lit("card reader"), F.lit("NO"), F.lit("normally open"))).alias("legend"),
+    ))
+    return rules.browser_findings(doors, sets, context)
