@@ -278,3 +278,14 @@ SECURITY_WORDS = (
 )
 ACOUSTIC_WORDS = r"(?i)STC|acoustic|sound\s*(?:seal|rated|attenuat)"
 EXISTING_WORDS = r"(?i)existing|EX\b|re-?use|salvage|relocate|infill"
+
+# Keys of an answer that is a row itself; words of tables that OCR reads.
+ROW_KEYS = ["door_number", "number", "hardware_set_id", "set_id", "opening", "room", "door"]
+HEADER_WORDS = {
+    "number": ["NUMBER", "NO", "DOOR NO", "DOOR NUMBER", "MARK", "TAG", "OPENING", "#"], "room": ["ROOM", "ROOM NAME", "ROOMNAME"], "size": ["SIZE"], "type": ["TYPE"], "hardware": ["HARDWARE", "HDW", "HW"],
+    "rating": ["RATING"], "remarks": ["REMARK", "REMARKS"],
+}
+OCR_HEADER = ["NUMBER", "ROOM", "SIZE", "TYPE", "HARDWARE", "SET", "RATING", "REMARKS"]
+NUMBER_WORDS = ["NO.", "NO", "DOOR NO", "DOOR NO."]
+OCR_EXCLUDED = {"door_type": ["TYPE"], "door_width": ["WIDTH"], "door_height": ["HEIGHT"], "door_thickness": ["THICKNESS", "THICKNESSTHICKNESS", "DOOR"], "hardware_set": ["HARDWARE", "SET"]}
+OCR_NOISE = ["SCHEDULE", "ASSEMBLY", "LOCATION", "DIMENSIONS"]

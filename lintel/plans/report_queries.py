@@ -1,16 +1,20 @@
 """Queries of short reports, merges and row filters, each with its SQL."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import normalise as N
+from lintel.functions import pages as G
 from lintel.functions import vocabulary as V
-from lintel.operators import gates, mapping, merge, reconcile, reports, rules, summaries, validate
+from lintel.operators import answers, gates, mapping, merge, ocr, parse, reconcile, reports, rules, summaries, takeoff, validate
 from lintel.operators.distinct import with_distinct
 from lintel.plans import oracle as O
 from lintel.plans import views
+from lintel.plans.storage import shared_folder
+from lintel.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -455,3 +459,198 @@ def r18_browser_findings(spark, sf_dir):
         F.when(number % 3 == 0, F.create_map(F.lit("KP"), F.lit("card reader"), F.lit("NO"), F.lit("normally open"))).alias("legend"),
     ))
     return rules.browser_findings(doors, sets, context)
+
+
+@query(O.chain(O.DIRTY, select=f"SELECT value, other, concat_ws(';', 'a=' || {O.known('value')}, 'b=' || {O.known('other')}) AS result FROM raw"))
+def p2_extra_fields(spark, sf_dir):
+    clean = N.clean_extra_fields(F.create_map(F.lit("a"), F.col("value"), F.lit("b"), F.col("other")))
+    entries = F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return views.dirty(spark, sf_dir).withColumn("result", F.array_join(entries, ";"))
+
+
+@query(O.chain(O.DIRTY, select="SELECT value, other, CASE WHEN coalesce(value, '') = '' THEN '0' ELSE '1' || value END AS result FROM raw"))
+def p28_string_list(spark, sf_dir):
+    listed = N.string_list(F.col("value"))
+    return views.dirty(spark, sf_dir).withColumn("result", F.concat(F.size(listed).cast("string"), F.coalesce(F.get(listed, F.lit(0)), F.lit(""))))
+
+
+@query(O.chain(O.DOORS, select=f"SELECT project_id, door_number, row_key, {' + '.join(f'(NOT {O.blank(c)})::INT' for c in ('door_width', 'door_height', 'door_type', 'fire_rating'))} AS filled FROM doors"))
+def p40_filled_fields(spark, sf_dir):
+    return views.doors(spark, sf_dir).select("project_id", "door_number", "row_key", N.filled_count(*(F.col(c) for c in ("door_width", "door_height", "door_type", "fire_rating"))).alias("filled"))
+
+
+@query(O.chain(O.PAGES, select="SELECT page_id, CASE WHEN page_id % 2 = 0 THEN body ELSE replace(body, 'Z', chr(61530)) END AS body FROM bodies"))
+def x2_private_text(spark, sf_dir):
+    """Pages of which every other one is wholly in private-use code points, which are read, and the rest has one letter so, which stays."""
+    plain, private = "".join(chr(i) for i in range(1, 256)), "".join(chr(0xF000 + i) for i in range(1, 256))
+    body = F.when(F.col("page_id") % 2 == 0, F.translate("body", plain, private)).otherwise(F.translate("body", "Z", chr(0xF05A)))
+    return views.page_texts(spark, sf_dir).select("page_id", G.unprivate(body).alias("body"))
+
+
+@query(O.chain(O.PAGES, select=f"""SELECT page_id, coalesce(before IN ('door_schedule', 'hardware_set', 'mixed') AND NOT {O.has(O.strip('string_split(body, chr(10))[1]'), V.PAGE_HEADER)}, false) AS is_continuation
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY page_id // 10 ORDER BY page_id) AS before FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN 'door_schedule' WHEN 1 THEN 'other' WHEN 2 THEN 'mixed' ELSE 'hardware_set' END AS kind FROM bodies))"""))
+def x21_continuations(spark, sf_dir):
+    k = F.col("page_id")
+    kind = F.when(k % 4 == 0, "door_schedule").when(k % 4 == 1, "other").when(k % 4 == 2, "mixed").otherwise("hardware_set")
+    pages = views.page_texts(spark, sf_dir).select(F.floor(k / 10).alias("file"), k.alias("page"), "page_id", kind.alias("page_type"), "body")
+    return parse.continuation(pages).select("page_id", "is_continuation")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS table_id, l_linenumber * 1000000 + l_partkey AS row_no, CASE WHEN l_partkey % 3 > 0 THEN 'D' || l_linenumber ELSE ' ' END AS first_, l_returnflag || l_linenumber AS rest FROM lineitem)
+SELECT table_id, min(row_no) AS row_no, max(first_) AS first, string_agg(rest, ' ' ORDER BY row_no, rest) AS rest FROM (SELECT *, count(*) FILTER (trim(first_) <> '') OVER (PARTITION BY table_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS g FROM t) GROUP BY table_id, g""")
+def w13_merged_rows(spark, sf_dir):
+    n = F.col("l_linenumber")
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), (n * 1_000_000 + F.col("l_partkey")).alias("row_no"), F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("D"), n)).otherwise(" ").alias("first"), F.concat("l_returnflag", n).alias("rest"))
+    return parse.merged_split_rows(rows)
+
+
+@query(O.chain(O.RUNS, select="SELECT DISTINCT run_id FROM runs WHERE run_id NOT IN (SELECT run_id FROM runs WHERE row_key % 5 = 0)"))
+def f27_new_runs(spark, sf_dir):
+    """Runs that no earlier list has; a fifth of the rows is that list."""
+    runs = views.runs(spark, sf_dir)
+    return runs.select("run_id").distinct().join(runs.where("row_key % 5 = 0").select("run_id").distinct(), "run_id", "left_anti")
+
+
+@query(O.chain(O.COMPONENTS, O.GOOD, select=f"SELECT project_id, set_id, sum(q * p)::DOUBLE AS set_price FROM (SELECT project_id, {O.join_id('hardware_set_id', V.BLANK)} AS set_id, coalesce({O.quantity('qty_raw')}, 1) AS q, CAST(price AS DECIMAL(18, 2)) AS p FROM good) GROUP BY ALL"))
+def a14_set_prices(spark, sf_dir):
+    """The price of each set of a project: quantities, one if not given, times unit prices."""
+    good = takeoff.plausible_components(views.components(spark, sf_dir))
+    price = F.coalesce(N.quantity(F.col("qty_raw")), F.lit(1)) * F.col("price").cast("decimal(18,2)")
+    return good.groupBy("project_id", N.join_id(F.col("hardware_set_id")).alias("set_id")).agg(F.sum(price).cast("double").alias("set_price"))
+
+
+@query(O.chain(*O._ALL, select="SELECT DISTINCT set_label FROM found JOIN sets_ ON set_label = sets_.hardware_set WHERE coalesce(len(items), 0) = 0"))
+def j20_empty_references(spark, sf_dir):
+    """Sets that doors name and that have no items."""
+    from lintel.plans import queries
+
+    sets = queries._sets(spark, sf_dir)
+    named = queries._resolved(spark, sf_dir, sets).select("set_label").distinct()
+    return named.join(sets.where("coalesce(size(items), 0) <= 0").select(F.col("hardware_set").alias("set_label")), "set_label", "left_semi")
+
+
+@query(O.chain(*O._ALL, select="SELECT set_label, n AS doors, item.desc AS description, item.part AS part, item.qty AS qty FROM (SELECT set_label, count(*) AS n FROM found WHERE set_label IS NOT NULL GROUP BY 1) JOIN (SELECT hardware_set, unnest(items) AS item FROM sets_) ON set_label = hardware_set"))
+def j24_takeoff_lines(spark, sf_dir):
+    """Each item of each set that doors name, with the number of those doors."""
+    from lintel.plans import queries
+
+    sets = queries._sets(spark, sf_dir)
+    named = queries._resolved(spark, sf_dir, sets).where("set_label is not null").groupBy("set_label").agg(F.count("*").alias("doors"))
+    items = sets.select(F.col("hardware_set").alias("set_label"), F.explode("items").alias("item"))
+    return named.join(items, "set_label").select("set_label", "doors", F.col("item.desc").alias("description"), F.col("item.part").alias("part"), F.col("item.qty").alias("qty"))
+
+
+@query(O.chain(O.COMPONENTS, f"""i17 AS (SELECT {O.set_key('hardware_set_id')} AS set_key, description AS "desc", coalesce(catalog_number, '') AS part, coalesce(qty_raw, '') AS qty, row_key % 3 = 0 AS rescued, row_key FROM parts), o17 AS (SELECT DISTINCT set_key FROM i17 WHERE NOT rescued),
+t17 AS (SELECT i17.*, o17.set_key IS NOT NULL AS known FROM i17 LEFT JOIN o17 USING (set_key)), k17 AS (SELECT *, row_number() OVER (PARTITION BY set_key, lower(trim("desc")), lower(trim(part)), lower(trim(qty)) ORDER BY rescued, row_key) AS nth FROM t17 WHERE NOT rescued OR known OR set_key IN ('1', '2', '3'))""",
+    select="SELECT set_key, \"desc\", row_key, CASE WHEN rescued THEN 'rescued' ELSE 'ours' END AS origin FROM k17 WHERE NOT rescued OR nth = 1"))
+def j17_merged_sets(spark, sf_dir):
+    """A third of the components is the rescued side; sets that ours lack are taken for three ids."""
+    none = F.lit(None).cast("string")
+    items = views.components(spark, sf_dir).select(F.col("hardware_set_id").alias("hardware_set"), "row_key", F.col("qty_raw").alias("qty"), none.alias("unit"), F.col("description").alias("desc"), F.col("catalog_number").alias("part"), none.alias("mfr"), none.alias("finish"))
+    allowed = spark.createDataFrame([("1",), ("Set 2",), ("HW-3",)], "hardware_set string")
+    return merge.merged_sets(items.where("row_key % 3 > 0"), items.where("row_key % 3 = 0"), allowed).select("set_key", "desc", "row_key", "origin")
+
+
+def _stored(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(O.chain(O.COMPONENTS, select="SELECT row_key, project_id, CASE WHEN row_key // 50 = 1 THEN 'new' ELSE 'old' END AS version FROM parts WHERE NOT (row_key // 50 = 1 AND row_key % 2 = 0)"))
+def k3_replaced_projects(spark, sf_dir):
+    """Estimations written, then those of one project replaced by half of its rows, and read again."""
+    path, rows = _stored(spark, "estimations"), views.components(spark, sf_dir).select("row_key", "project_id")
+    sinks.replace_projects(rows.withColumn("version", F.lit("old")), path)
+    sinks.replace_projects(rows.where("row_key div 50 = 1 and row_key % 2 = 1").withColumn("version", F.lit("new")), path)
+    return spark.read.schema("row_key long, version string, project_id string").parquet(path)
+
+
+@query("SELECT run_id, CAST(i AS INT) AS log_no, CASE i % 3 WHEN 0 THEN 'warn' ELSE 'info' END AS level, 'm' || i AS message FROM (SELECT 'run_' || o_orderkey AS run_id, unnest(range(least(o_custkey % 4, 2))) AS i FROM orders)")
+def k5_run_logs(spark, sf_dir):
+    """Child rows of runs with nested logs, two kept of each run."""
+    log = lambda i: F.struct(F.when(i % 3 == 0, "warn").when(i % 3 == 1, "odd").otherwise("info").alias("level"), F.concat(F.lit("m"), i).alias("message"))
+    n = (F.col("o_custkey") % 4).cast("int")
+    logs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), log))
+    runs = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("run_"), "o_orderkey").alias("run_id"), logs.alias("logs"), F.array(F.struct(F.lit("1").alias("mark"))).alias("doors"))
+    return sinks.run_children(runs, most=2)["logs"]
+
+
+@query("SELECT event_id, event_type, n FROM events, (SELECT unnest([1, 2]) AS n)")
+def k6_appended_log(spark, sf_dir):
+    """Events appended twice to a log, and read again."""
+    path, rows = _stored(spark, "log"), views.table(spark, sf_dir, "events").select("event_id", "event_type")
+    for n in (1, 2):
+        sinks.append_log(rows.withColumn("n", F.lit(n)), path)
+    return spark.read.schema("event_id long, event_type string, n int").json(path)
+
+
+@query(O.chain(O.DOORS, select="SELECT project_id, door_number, row_key FROM doors WHERE row_key % 3 = 0"))
+def k8_witness_file(spark, sf_dir):
+    """Witness rows written as JSON lines, and read again."""
+    path = _stored(spark, "witness")
+    sinks.write_witness(views.doors(spark, sf_dir).where("row_key % 3 = 0").select("project_id", "door_number", "row_key"), path)
+    return spark.read.schema("project_id string, door_number string, row_key long").json(path)
+
+
+@query(O.chain(O.DOORS, O.COMPONENTS, select="SELECT 'doors' AS sheet, count(*) AS n, count(DISTINCT project_id) AS projects FROM doors UNION ALL SELECT 'components', count(*), count(DISTINCT project_id) FROM parts UNION ALL SELECT 'set csv', count(*), count(DISTINCT project_id) FROM parts"))
+def k1_sheets(spark, sf_dir):
+    """A workbook's sheets as datasets, the CSV set of those that have rows, and what each holds when read again."""
+    folder, csv = _stored(spark, "sheets"), _stored(spark, "csv")
+    doors, parts = views.doors(spark, sf_dir).select("project_id", "row_key"), views.components(spark, sf_dir).select("project_id", "row_key")
+    sinks.write_sheets({"doors": doors, "components": parts}, folder)
+    sinks.write_csv_sets({"components": parts, "none": parts.limit(0)}, csv)
+    held = [("doors", spark.read.parquet(f"{folder}/doors")), ("components", spark.read.parquet(f"{folder}/components")), ("set csv", files.chunks(spark, f"{csv}/*"))]
+    out = [x.agg(F.count("*").alias("n"), F.count_distinct("project_id").alias("projects")).select(F.lit(n).alias("sheet"), "n", "projects") for n, x in held]
+    return out[0].union(out[1]).union(out[2])
+
+
+
+@query("SELECT event_id AS answer_id, CAST(r AS INT) AS row_no, CASE r WHEN 0 THEN 'D' || user_id ELSE 'E' END AS mark FROM events, (SELECT unnest([0, 1]) AS r) WHERE event_id % 3 > 0 OR r = 0")
+def r15_nested_rows(spark, sf_dir):
+    """Rows of answers in three nestings: a list of objects under two keys, under one, and an object that is a row."""
+    k, u = F.col("event_id"), F.col("user_id").cast("string")
+    row = F.concat(F.lit('{"mark": "D'), u, F.lit('"}'))
+    two = F.concat(F.lit('[' ), row, F.lit(', {"mark": "E"}]'))
+    text = F.when(k % 3 == 0, F.concat(F.lit('{"door": 1, "mark": "D'), u, F.lit('"}'))).when(k % 3 == 1, F.concat(F.lit('{"n": "x", "rows": '), two, F.lit("}"))).otherwise(F.concat(F.lit('{"Door Schedule": {"Doors": '), two, F.lit("}}")))
+    rows = views.table(spark, sf_dir, "events").select(k.alias("answer_id"), F.posexplode(answers.found_rows(text)).alias("row_no", "row"))
+    return rows.select("answer_id", "row_no", F.get_json_object("row", "$.mark").alias("mark"))
+
+
+@query("SELECT event_id AS answer_id, CAST(r AS INT) AS row_no, CASE r WHEN 0 THEN 'D' || user_id ELSE 'E' END AS mark FROM events, (SELECT unnest([0, 1]) AS r) WHERE event_id % 2 = 0")
+def r16_named_rows(spark, sf_dir):
+    """Rows under a named key, which every other answer has, spelt its own way and nested."""
+    two = F.concat(F.lit('[{"mark": "D'), F.col("user_id").cast("string"), F.lit('"}, {"mark": "E"}]'))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": {"Door Rows": '), two, F.lit("}}"))).otherwise(F.concat(F.lit('{"a": {"others": '), two, F.lit("}}")))
+    rows = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("answer_id"), F.posexplode(answers.named_rows(text, ["doorrows"])).alias("row_no", "row"))
+    return rows.select("answer_id", "row_no", F.get_json_object("row", "$.mark").alias("mark"))
+
+
+@query("SELECT event_id // 200 AS page_id, CAST(20 + event_id // 200 % 50 AS INT) AS header_y, 100 AS number_x, NULL AS room_x, 600 AS size_x, 800 AS type_x FROM events GROUP BY ALL")
+def t14_best_headers(spark, sf_dir):
+    """The header line of each page: two lines of labels, of which the second has more."""
+    pages = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("page_id")).distinct()
+    top = (F.lit(20) + F.col("page_id") % 50).cast("int")
+    word = lambda dy, x, t: F.struct((top + dy).cast("int").alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text"))
+    items = pages.select("page_id", F.explode(F.array(word(0, 100, "NUMBER"), word(0, 600, "SIZE"), word(0, 800, "TYPE"), word(5, 90, "hall"), word(300, 90, "NO."), word(300, 500, "SIZE"))).alias("w")).select("page_id", "w.*")
+    return ocr.best_header(items).select("page_id", "header_y", "number_x", F.col("room_x").cast("string").alias("room_x"), "size_x", "type_x")
+
+
+@query("SELECT event_id // 200 AS page_id, CAST(101 + r AS VARCHAR) AS door_number, 'HALL' AS room_name, '3''-0\"' AS door_width, '7''-0\"' AS door_height, CAST(r AS VARCHAR) AS hardware_set FROM events, (SELECT unnest(range(5)) AS r) GROUP BY ALL")
+def r11_horizontal_rows(spark, sf_dir):
+    """Five doors under each page's header, one number misread."""
+    pages = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("page_id")).distinct()
+    words = [(50, 100, "NUMBER"), (50, 300, "ROOM"), (50, 600, "SIZE"), (50, 800, "TYPE"), (50, 1000, "HARDWARE")]
+    for i, mark in enumerate(["101", "1O2", "193", "104", "105"]):
+        words += [(104 + 40 * i, 105, mark), (105 + 40 * i, 310, "HALL"), (104 + 40 * i, 590, "3'-O\" X 7'-0\""), (104 + 40 * i, 1005, str(i))]
+    items = pages.select("page_id", F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text")) for y, x, t in words))).alias("w")).select("page_id", "w.*")
+    return ocr.horizontal_rows(items).select("page_id", "door_number", "room_name", "door_width", "door_height", "hardware_set")
+
+
+@query("SELECT event_id // 200 AS page_id, CAST(101 + r AS VARCHAR) AS door_number, 'R' || r AS room_name, (2 + r) || '''-0\"' AS door_width, CAST(4 + r AS VARCHAR) AS hardware_set FROM events, (SELECT unnest(range(4)) AS r) GROUP BY ALL")
+def r12_vertical_rows(spark, sf_dir):
+    """Four doors in columns on each page."""
+    pages = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("page_id")).distinct()
+    words = [(20, 900, "NO."), (200, 900, "WIDTH"), (400, 900, "HARDWARE SET")]
+    for i in range(4):
+        words += [(22, 100 + 100 * i, str(101 + i)), (60, 105 + 100 * i, f"R{i}"), (205, 95 + 100 * i, f"{2 + i}.O"), (410, 100 + 100 * i, str(4 + i))]
+    items = pages.select("page_id", F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text")) for y, x, t in words))).alias("w")).select("page_id", "w.*")
+    return ocr.vertical_rows(items).select("page_id", "door_number", "room_name", "door_width", "hardware_set")
