@@ -2,13 +2,14 @@
 
 Texts and templates are lower-cased words [^\\x20\\x09-\\x0D]+ without punctuation at their ends; a shingle is 5
 consecutive words. Windows of a text overlap by a stride; windows of a template start at every word. Window lengths
-go with the template: a template of under 10 words gives windows of 5 words (stride 1), of under 32 words windows of
+go with the template: a template of under 10 words gives windows of 5 words (stride 1), of under 57 words windows of
 8 (stride 2), else windows of 16 (stride 4). A window's MinHash signature is cut into bands.
 
-Why retrieval is complete for containment >= 0.8: each edit inside a template spoils up to 5 shingles, so with at most
-a fifth spoiled some stretch of the template is untouched and as long as a window plus its stride; one of
-the text's windows lies wholly within that stretch and equals a template window, which collides in every band. Windows
-that are merely similar (Jaccard 0.8) collide with probability 1 - (1 - 0.64)^8 > 0.999 at 16 words.
+Why retrieval is complete for containment >= 0.8 where single words of a template are changed: k changes spoil up to 5k
+shingles, at most a fifth of n - 4, so n >= 25k + 4, and one of the k + 1 stretches between them has (n - k) / (k + 1)
+words or more: 9 at least for n >= 10, and 19 from n = 57 on. A stretch of a window plus its stride less one holds one of the
+text's windows whole, which equals a template window and collides in every band. Windows that are merely similar
+(Jaccard 0.8) collide with probability 1 - (1 - 0.64)^8 > 0.999 at 16 words.
 
 A collision gives the template and where it would begin; the share of its shingles that stand in the text around
 that place is then counted exactly, and 0.8 or more is a match. Collisions that no match covers are joined, from one match
@@ -18,7 +19,8 @@ many, spoil no more than the shingles that they cut. Of overlapping matches of t
 each text is scanned on its own, in one narrow stage without a shuffle.
 
 Defined cases: a null or empty text has no match; a text or template of fewer than 5 words is one shingle, its whole
-sequence; rows are reported one by one; columns other than doc_id and text are not read.
+sequence; a very long text is scanned whole; rows are reported one by one, repeated or not; of equally good matches the first
+stays; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 import pkgutil
@@ -34,7 +36,7 @@ from lintel.llm.text import SOLID, mixed, passes, span_hashes, utf8, word_bounds
 
 SHINGLE, CONTAINED = 5, 0.8
 #: From this many words of a template on: words of a window, stride in a text, bands, rows of a band.
-WINDOWS = ((0, 5, 1, 1, 1), (10, 8, 2, 4, 1), (32, 16, 4, 8, 2))
+WINDOWS = ((0, 5, 1, 1, 1), (10, 8, 2, 4, 1), (57, 16, 4, 8, 2))
 
 _GIVEN = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _UNNAMED = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."

@@ -152,6 +152,30 @@ def test_license_scan_against_every_position(spark, docs, rows):
     assert licenses.license_scan(frame, {}).where("size(matches) > 0").count() == 0
 
 
+def test_license_scan_against_brute_force(spark):
+    """Texts of pieces of templates, changed words and noise: found if and only if four fifths of a template's shingles stand in the text."""
+    rng = random.Random(8)
+    templates = {f"t{n}": [f"{c}{i * 7919 % 997}" for i in range(n)] for c, n in zip("abcdef", (7, 20, 37, 55, 79, 160))}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, expected = [], []
+    for i in range(300):
+        name = rng.choice(sorted(templates))
+        own = list(templates[name])
+        for _ in range(rng.randint(0, 1 + len(own) // 30)):
+            own[rng.randrange(len(own))] = "changed"
+        if len(own) > 100 and rng.random() < 0.3:
+            cut = rng.randrange(40, 120)
+            own = own[:cut] + ["inserted"] * 50 + own[cut:]
+        if rng.random() < 0.2:
+            own = own[: len(own) // 2]
+        text = ["noise"] * rng.randint(0, 9) + own + ["more"] * rng.randint(0, 9)
+        rows.append((i, " ".join(text)))
+        expected.append({n for n, t in templates.items() if 5 * len(shingles(t) & shingles(text)) >= 4 * len(shingles(t))})
+    found = {r.doc_id: {m.license for m in r.matches} for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), {n: " ".join(t) for n, t in templates.items()}).collect()}
+    assert [found[i] for i in range(len(rows))] == expected
+    assert 50 < sum(map(bool, expected)) < 290
+
+
 def test_license_scan_empty(empty):
     assert licenses.license_scan(empty).collect() == []
 
