@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from lintel.llm import exact_dedup, line_dedup, simhash, substring
+from lintel.llm import components, exact_dedup, line_dedup, simhash, substring
 from lintel.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -176,6 +176,21 @@ def test_no_link_is_lost(spark, monkeypatch, block, run):
         assert (prints[r.a] ^ prints[r.b]).bit_count() <= 3
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components_with_hubs(spark, monkeypatch, hot):
+    """Stars, paths between them and chance edges, with and without keys that count as hot."""
+    monkeypatch.setattr(components, "HOT", hot)
+    rng = random.Random(hot)
+    edges = [(h, h + k) for h in (1000, 2000, 3000) for k in range(1, 40)] + [(1005, 2007), (5000, 5001)] + [(rng.randint(1, 200), rng.randint(1, 200)) for _ in range(120)]
+    part = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in part:
+        for a, b in edges:
+            if a != b:
+                part[a] = part[b] = min(part[a], part[b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == part
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
