@@ -3,27 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.llm.hot import hot_keys, looked_up
 from lintel.llm.storage import checkpointed
 
-#: Rows of one key from which it counts as hot, and hot keys that are broadcast.
-HOT, BROADCAST_KEYS = 1000, 100_000
-
-
-def _hot(rows: DataFrame, key: str) -> DataFrame | None:
-    """The keys that very many rows have, a small table; null if there are none, or too many to broadcast."""
-    hot = checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select(key))
-    n = hot.count()
-    return hot if 0 < n <= BROADCAST_KEYS else None
-
-
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """rows with their key's row of table. Rows of hot keys stay where they are and get it by broadcast; only the others are shuffled."""
-    if hot is None:
-        return rows.join(table, key)
-    known = F.broadcast(hot)
-    own = F.broadcast(checkpointed(table.join(known, key, "left_semi")))
-    return rows.join(own, key).unionByName(rows.join(known, key, "left_anti").join(table, key))
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); a component is named by its smallest node.
@@ -35,14 +17,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    hubs = _hot(both, "b")
+    hubs = hot_keys(both, "b")
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
     while True:
-        met = _looked_up(both, "b", labels.withColumnRenamed("node", "b"), hubs)
+        met = looked_up(both, "b", labels.withColumnRenamed("node", "b"), hubs)
         far = met.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         stepped = checkpointed(labels.join(far, "node").select("node", "component", F.least("component", "near").alias("next")))
         parent = stepped.select(F.col("node").alias("next"), F.col("next").alias("root"))
-        moved = _looked_up(stepped, "next", parent, _hot(stepped, "next"))
+        moved = looked_up(stepped, "next", parent, hot_keys(stepped, "next"))
         moved = checkpointed(moved.select("node", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")))
         labels = moved.select("node", "component")
         if moved.where("moved").isEmpty():

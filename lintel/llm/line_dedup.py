@@ -13,7 +13,8 @@ Each linked pair is aligned with patience diff over line hashes: lines unique in
 recursion between, and matching ends. Aligned blocks of LEAST_LINES lines or LEAST_CHARS characters leave the later
 document (larger doc_id). So do blocks as large that both have and no alignment in order can pair: moved across a
 longer passage, or repeated. Thus a unit leaves whichever earlier text holds it, and one link for each unit
-gives what all pairs give. Pairs carry line hashes and lengths and no texts.
+gives what all pairs give. Pairs carry line hashes and lengths and no texts. A unit that very many texts have, and a text that
+very many are linked to, goes to their rows by broadcast, up to a size that is checked; those rows never gather on it.
 
 Lines end at a newline; space at the ends of a line does not count; blank lines link nothing and never count for a
 block's size. Line equality is by 64-bit hash and length.
@@ -33,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintel.llm import hot
 from lintel.llm.storage import checkpointed
 from lintel.llm.text import mixed, passes, span_hashes
 
@@ -40,6 +42,8 @@ LEAST_LINES, LEAST_CHARS = 2, 40
 #: Bytes of text, or of line hashes, that a task takes out of an Arrow batch at a time.
 HELD_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
+#: Line hashes of texts with very many links that are broadcast (32 MB).
+BROADCAST_LINES = 4_000_000
 
 
 def patience(one: list, two: list) -> list[tuple[int, int]]:
@@ -189,6 +193,15 @@ def _kept(with_text: bool, held_bytes: int):
     return batches
 
 
+def _light(links: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """The texts that very many others are linked to, if their lines may be broadcast."""
+    owners = hot.hot_keys(links, "other")
+    if owners is None:
+        return None
+    lines = texts.join(F.broadcast(owners), F.col("text_no") == F.col("other"), "left_semi").agg(F.sum(F.size("lines"))).first()[0]
+    return owners if lines <= BROADCAST_LINES else None
+
+
 def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS, with_text: bool = True, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text (null unless with_text) and kept_sha256 for every row of docs (doc_id, text).
 
@@ -202,15 +215,18 @@ def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None,
     texts = checkpointed(hashed.groupBy("text_no").agg(F.min("first_id").alias("first_id"), F.first("lines").alias("lines"), F.first("chars").alias("chars")))
 
     own_units = checkpointed(texts.mapInArrow(_with_units(least_lines, least_chars, held_bytes), "text_no binary, first_id long, unit long"))
-    owners = own_units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "text_no")).alias("owner")).where("n > 1")
-    met = own_units.join(owners, "unit").where("text_no <> owner.text_no").select("text_no", "n", F.col("owner.text_no").alias("other"))
+    owners = checkpointed(own_units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "text_no")).alias("owner")).where("n > 1"))
+    met = hot.looked_up(own_units, "unit", owners, hot.few(owners.where(F.col("n") >= hot.HOT).select("unit")))
+    met = met.where("text_no <> owner.text_no").select("text_no", "n", F.col("owner.text_no").alias("other"))
     links = met.groupBy("text_no", "other").agg(F.min("n").alias("n"))
     if rare is not None or few is not None:
         rank = F.row_number().over(Window.partitionBy("text_no").orderBy("n", "other"))
         links = links.withColumn("rank", rank).where((F.col("n") <= (rare or 0)) | (F.col("rank") <= (few or 0)))
 
     earlier = texts.select(F.col("text_no").alias("other"), F.col("lines").alias("earlier"))
-    pairs = links.select("text_no", "other").join(earlier, "other").join(texts.select("text_no", F.col("lines").alias("later"), "chars"), "text_no")
+    links = checkpointed(links.select("text_no", "other"))
+    pairs = links.join(texts.select("text_no", F.col("lines").alias("later"), "chars"), "text_no")
+    pairs = hot.looked_up(pairs, "other", earlier, _light(links, texts))
     aligned = pairs.select("text_no", "earlier", "later", "chars").mapInArrow(_aligned(least_lines, least_chars, held_bytes), "text_no binary, gone array<int>")
     gone = aligned.where("size(gone) > 0").groupBy("text_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 

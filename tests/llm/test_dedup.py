@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from lintel.llm import components, exact_dedup, line_dedup, simhash, substring
+from lintel.llm import exact_dedup, line_dedup, simhash, substring
+from lintel.llm import hot as hot_module
 from lintel.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -179,7 +180,7 @@ def test_no_link_is_lost(spark, monkeypatch, block, run):
 @pytest.mark.parametrize("hot", [3, 1000])
 def test_components_with_hubs(spark, monkeypatch, hot):
     """Stars, paths between them and chance edges, with and without keys that count as hot."""
-    monkeypatch.setattr(components, "HOT", hot)
+    monkeypatch.setattr(hot_module, "HOT", hot)
     rng = random.Random(hot)
     edges = [(h, h + k) for h in (1000, 2000, 3000) for k in range(1, 40)] + [(1005, 2007), (5000, 5001)] + [(rng.randint(1, 200), rng.randint(1, 200)) for _ in range(120)]
     part = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -277,8 +278,10 @@ def all_pairs_brute(rows):
     return {i: len(x) for i, x in gone.items()}
 
 
-def test_line_dedup_aligns_every_earlier_text(spark):
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_line_dedup_aligns_every_earlier_text(spark, monkeypatch, hot):
     """Blocks that the first text with a line does not have, or has in another order, and texts of many frequent passages."""
+    monkeypatch.setattr(hot_module, "HOT", hot)
     rng = random.Random(11)
     long = [f"passage {k} is a line of well over forty characters in all" for k in range(8)]
     rows = [(1, "L1\nalone one"), (2, "L2\nalone two"), (3, "x\nL1\nL2\ny"), (4, "p\nL1\nL2\nq")]
