@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 
 from lintel.llm.storage import checkpointed
 
-#: Rows of one key from which it counts as hot, and hot keys that are broadcast.
-HOT, BROADCAST_KEYS = 1000, 100_000
+#: Rows of one key from which it counts as hot, and hot keys that are broadcast: if there are more, those with most rows.
+HOT, BROADCAST_KEYS = 200, 100_000
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """The keys that very many rows have, a small table; none if there are none, or too many to broadcast."""
-    return few(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select(key))
+    """The keys that very many rows have, a small table; none if there are none."""
+    return hottest(rows.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def few(keys: DataFrame) -> DataFrame | None:
-    """A table of keys, settled; none if it is empty or too large to broadcast."""
-    settled = checkpointed(keys)
-    return settled if 0 < settled.count() <= BROADCAST_KEYS else None
+def hottest(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys with most rows of a table of keys and numbers of rows n, a small table; none if no key is hot."""
+    hot = checkpointed(counts.where(F.col("n") >= HOT).orderBy(F.col("n").desc(), key).limit(BROADCAST_KEYS).select(key))
+    return None if hot.isEmpty() else hot
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:

@@ -216,7 +216,7 @@ def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None,
 
     own_units = checkpointed(texts.mapInArrow(_with_units(least_lines, least_chars, held_bytes), "text_no binary, first_id long, unit long"))
     owners = checkpointed(own_units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("first_id", "text_no")).alias("owner")).where("n > 1"))
-    met = hot.looked_up(own_units, "unit", owners, hot.few(owners.where(F.col("n") >= hot.HOT).select("unit")))
+    met = hot.looked_up(own_units, "unit", owners, hot.hottest(owners, "unit"))
     met = met.where("text_no <> owner.text_no").select("text_no", "n", F.col("owner.text_no").alias("other"))
     links = met.groupBy("text_no", "other").agg(F.min("n").alias("n"))
     if rare is not None or few is not None:
