@@ -1,7 +1,9 @@
 """Exact substring dedup over word windows, by super-k-mer partitioning.
 
 Each document's windows of ``window`` words are cut into super-k-mers: runs of consecutive windows that share
-one minimiser (the smallest hash of ``mer`` consecutive words in the window, long ones before short ones). A run travels as one packed string
+one minimiser (the smallest hash of ``mer`` consecutive words in the window that have MER_BYTES bytes together). A window without any so long
+is one of short words, which are frequent in every text: its minimiser is the smallest hash of twice as many words, so that
+it does not gather with all others that have three such words. A run travels as one packed string
 to the bucket of its minimiser, where all windows that could be equal meet; the bucket sorts them and compares
 neighbours word by word, so counts are exact and not hash-based.
 
@@ -11,8 +13,8 @@ smallest and largest doc_id that hold them, so a passage shared by a third of al
 once a chunk and not once a document. Chunks and buckets grow in number with the bytes of text, not in size.
 
 Defined cases: a null or empty text has no words and nothing removed; a null doc_id counts as the largest; rows
-that repeat a doc_id do not remove from one another (no smaller doc_id); columns of the input other than
-doc_id and text are not read, so their names cannot clash.
+that repeat a doc_id do not remove from one another (no smaller doc_id); a very long text is a chunk's like any other; an empty table gives no
+rows; columns of the input other than doc_id and text are not read, so their names cannot clash.
 """
 
 import hashlib
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from lintel.llm.text import SOLID, SPACE, mixed, passes, span_hashes, utf8, word_bounds, word_codes, word_hashes
 
 WINDOW = 13
-#: Words of the minimiser, and their bytes from which it goes before all shorter ones.
+#: Words of the minimiser, and the bytes that they must have together.
 MER, MER_BYTES = 3, 18
 #: Text bytes of a chunk and packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
@@ -71,13 +73,21 @@ class _Chunk:
             self.begin = self.count = self.slot = at
             self.strings, self.lows, self.highs, self.minimiser = [], at, at, np.zeros(0, np.uint64)
             return
-        every = np.arange(len(hashes) - mer + 1)
-        # Few short words in a row are frequent everywhere; as minimisers they would gather unlike windows in one bucket.
-        bytes_ = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
-        short = (bytes_[every + mer] - bytes_[every] < MER_BYTES).astype(np.uint64)
-        mers = (span_hashes(hashes, every, every + mer) >> np.uint64(1)) | (short << np.uint64(63))
-        views = np.lib.stride_tricks.sliding_window_view(mers, window - mer + 1)
-        pick = np.concatenate([views[i : i + 65536].argmin(axis=1) for i in range(0, len(views), 65536)])[at] + at
+        sums = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+
+        def smallest(words: int, least: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the minimiser of each of these windows stands, and its hash: of so many words, those of least bytes first."""
+            every = np.arange(len(hashes) - words + 1)
+            short = (sums[every + words] - sums[every] < least).astype(np.uint64)
+            mers = (span_hashes(hashes, every, every + words) >> np.uint64(1)) | (short << np.uint64(63))
+            views = np.lib.stride_tricks.sliding_window_view(mers, window - words + 1)
+            place = np.concatenate([views[at[i : i + 65536]].argmin(axis=1) for i in range(0, len(at), 65536)]) + at if len(at) else at
+            return place, mers[place]
+
+        pick, key = smallest(mer, MER_BYTES, at)
+        plain = np.flatnonzero(key >> np.uint64(63))  # windows of short words only
+        place, longer = smallest(min(2 * mer, window), 0, at[plain])
+        pick[plain], key[plain] = place + len(hashes), mixed(longer)  # no place of the other kind
         cut = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
         self.begin, self.count = at[cut], np.diff(np.concatenate([cut, [len(at)]]))
         last = self.begin + self.count + window - 2
@@ -90,7 +100,7 @@ class _Chunk:
         np.minimum.at(self.lows, self.slot, owner)
         np.maximum.at(self.highs, self.slot, owner)
         self.minimiser = np.zeros(len(slots), np.uint64)
-        self.minimiser[self.slot] = mers[pick[cut]]
+        self.minimiser[self.slot] = key[cut]
 
 
 def _pack(buckets: int, window: int, mer: int):
