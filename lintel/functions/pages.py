@@ -80,7 +80,7 @@ def evidence(c: Column) -> Column:
 
 
 def judged(e: Column) -> dict[str, Column]:
-    """What a page's evidence says."""
+    """What a page's evidence says. Its thresholds and weights are fixed values, which results depend on."""
     door = (e["row_lines"] >= 2) | ((e["real_door_numbers"] >= 4) & (e["schedule_headers"] >= 3)) | ((e["dimensions"] >= 3) & (e["real_door_numbers"] >= 3))
     hardware = (e["hw_set_headers"] >= 1) & (e["hw_components"] >= 3)
     body = (e["row_lines"] >= 2) | (e["dimensions"] >= 2) | (e["hw_components"] >= 3) | (e["hw_set_headers"] >= 1)

@@ -76,10 +76,10 @@ def is_set_item(description: Column, set_id: Column, part: Column, maker: Column
 def is_hardware_dimension(c: Column) -> Column:
     """a bare size below 12 inches, which a door is not."""
     s = text(c)
-    whole = F.regexp_extract(s, r'^(\d+)(?:\s+\d+/\d+)?\s*"?$', 1).try_cast("double")
-    decimal = F.regexp_extract(s, r'^(\d+\.\d+)\s*"?$', 1).try_cast("double")
-    over, under = (F.regexp_extract(s, r'^\d+\s+(\d+)/(\d+)\s*"?$', k).try_cast("double") for k in (1, 2))
-    mixed = F.when(s.rlike(r'^\d+\s+\d+/\d+\s*"?$'), F.when(under != 0, whole + over / under)).otherwise(whole)
+    whole = F.regexp_extract(s, V.INCHES_WHOLE, 1).try_cast("double")
+    decimal = F.regexp_extract(s, V.INCHES_DECIMAL, 1).try_cast("double")
+    over, under = (F.regexp_extract(s, V.INCHES_FRACTION, k).try_cast("double") for k in (1, 2))
+    mixed = F.when(s.rlike(V.INCHES_FRACTION), F.when(under != 0, whole + over / under)).otherwise(whole)
     return ~s.rlike(r"\d\s*['’]") & F.coalesce(F.coalesce(mixed, decimal) < 12, F.lit(False))
 
 
@@ -93,21 +93,19 @@ def is_mark_token(c: Column) -> Column:
     """a cell that reads like a door mark; years do not."""
     s = text(c)
     year = s.rlike(r"^\d{2,4}[A-Za-z]?$") & F.regexp_extract(s, r"^(\d+)", 1).try_cast("int").between(1900, 2099)
-    return ~F.upper(s).isin("", "MARK", "DOOR", "NO", "NUMBER") & s.rlike(r"^(?:\d{2,4}[A-Za-z]?|[A-Za-z]{1,3}\d{2,4}[A-Za-z]?)$") & ~F.coalesce(year, F.lit(False))
+    return ~F.upper(s).isin(V.NO_MARK_TOKEN) & s.rlike(V.MARK_TOKEN) & ~F.coalesce(year, F.lit(False))
 
 
 def is_set_token(c: Column) -> Column:
     """a cell that reads like a hardware set id and no dimension."""
     s = text(c)
-    form = r"(?i)^(?:[A-Z]?\d{1,4}[A-Z]{0,3}(?:-[A-Z0-9]+)?|[A-Z]+-?\d{1,4}[A-Z0-9-]*|\d{1,2}\.\d)$"
-    return ~s.rlike(r"[/'\"]") & s.rlike(form)
+    return ~s.rlike(r"[/'\"]") & s.rlike(V.SET_TOKEN)
 
 
 def is_finish_code(c: Column) -> Column:
     """a finish code, or several between commas."""
-    code = r"(?:(?:US)?\d{3}[A-Z]{0,2}|(?:US)?\d{2}[A-Z]{1,2}|(?:US)?[A-Z]{2}\d{2,4}[A-Z]?)"
     s = F.upper(text(c))
-    return (s != "") & F.forall(F.filter(F.split(s, r"\s*,\s*"), lambda p: p != ""), lambda p: p.rlike("^" + code + "$"))
+    return (s != "") & F.forall(F.filter(F.split(s, r"\s*,\s*"), lambda p: p != ""), lambda p: p.rlike(V.FINISH_CODE))
 
 
 def is_quote_file(c: Column) -> Column:

@@ -210,7 +210,7 @@ STATUS_NOTES = {
     "ABSENT": "(hardware set not found in spec)",
 }
 
-# Names that columns of schedules and answers have, and the fields that they mean.
+# Names that columns of schedules and answers have, grouped by the field that they mean: each group is used as one list.
 FIELD_NAMES = {
     "door_number": ["number", "door_number", "door number", "door_no", "mark", "door mark", "door_mark", "id", "door_id", "door id"],
     "room_name": ["room name", "room_name", "location", "room"],
@@ -289,3 +289,12 @@ OCR_HEADER = ["NUMBER", "ROOM", "SIZE", "TYPE", "HARDWARE", "SET", "RATING", "RE
 NUMBER_WORDS = ["NO.", "NO", "DOOR NO", "DOOR NO."]
 OCR_EXCLUDED = {"door_type": ["TYPE"], "door_width": ["WIDTH"], "door_height": ["HEIGHT"], "door_thickness": ["THICKNESS", "THICKNESSTHICKNESS", "DOOR"], "hardware_set": ["HARDWARE", "SET"]}
 OCR_NOISE = ["SCHEDULE", "ASSEMBLY", "LOCATION", "DIMENSIONS"]
+
+# Forms of cells and codes.
+MARK_TOKEN = r"^(?:\d{2,4}[A-Za-z]?|[A-Za-z]{1,3}\d{2,4}[A-Za-z]?)$"
+NO_MARK_TOKEN = ["", "MARK", "DOOR", "NO", "NUMBER"]
+SET_TOKEN = r"(?i)^(?:[A-Z]?\d{1,4}[A-Z]{0,3}(?:-[A-Z0-9]+)?|[A-Z]+-?\d{1,4}[A-Z0-9-]*|\d{1,2}\.\d)$"
+FINISH_CODE = r"^(?:(?:US)?\d{3}[A-Z]{0,2}|(?:US)?\d{2}[A-Z]{1,2}|(?:US)?[A-Z]{2}\d{2,4}[A-Z]?)$"
+INCHES_WHOLE = r'^(\d+)(?:\s+\d+/\d+)?\s*"?$'
+INCHES_DECIMAL = r'^(\d+\.\d+)\s*"?$'
+INCHES_FRACTION = r'^\d+\s+(\d+)/(\d+)\s*"?$'
