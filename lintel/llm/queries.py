@@ -82,3 +82,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BI
        sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(p, x[2])), lambda x: x[1]), ' '), '') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)""",
 }
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _spans_sql(name: str, source: str, column: str, pattern: str, group: int) -> str:
+    """A CTE of the matches of a pattern: r, begin, end (code points), part; places from the pieces between the matches."""
+    p = _quoted(pattern)
+    return f"""{name} AS (SELECT r, k, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS b, length(whole[k]) AS n, parts[k] AS part
+  FROM (SELECT r, pieces, whole, parts, unnest(range(1, len(whole) + 1)) AS k FROM (SELECT r, regexp_split_to_array({column}, {p}) AS pieces, regexp_extract_all({column}, {p}) AS whole, regexp_extract_all({column}, {p}, {group}) AS parts FROM {source} WHERE regexp_matches({column}, {p}))))"""
+
+
+def _secret_scan_sql() -> str:
+    base = [_spans_sql(f"m_{kind}", "t", "text", pattern, group) for kind, (pattern, group, _) in secret_scan.BASE.items()]
+    held = " UNION ALL ".join(f"SELECT r, b, {order} AS o, '{kind}' AS kind, b + n AS e FROM m_{kind} WHERE length(part) >= {least}" for order, (kind, (_, _, least)) in enumerate(secret_scan.BASE.items()))
+    allowed = " OR ".join(f"regexp_matches(part, {_quoted(p)})" for p in secret_scan.ALLOW[1:])
+    # The first allowed form has a back reference, which this engine's patterns lack: one character over and over, or a sequence.
+    allowed = f"len(list_distinct(string_split(lower(part), ''))) = 1 OR regexp_matches(part, '^(0123456789|(?i:abcdefghij)|1234567890)') OR {allowed}"
+    inside = _quoted("|".join(f"(?:{p})" for p in secret_scan.ALLOW_INSIDE))
+    window = 20
+    hot = " UNION ALL ".join(
+        f"SELECT r, c, b + i AS b, {order} AS o, '{kind}' AS kind FROM chars WHERE len(list_filter(w, lambda x: NOT contains({_quoted(alphabet)}, x))) = 0 AND log2({float(size)}) - list_sum(list_transform(map_values(list_aggregate(w, 'histogram')), lambda x: x * log2(x))) / {size} >= {threshold} - 1e-9"
+        for order, (kind, (alphabet, size, threshold)) in enumerate(secret_scan.CLASSES.items(), len(secret_scan.BASE))
+    )
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(base)}, {_spans_sql("m_candidate", "t", "text", secret_scan.CANDIDATE, 0)},
+candidates AS (SELECT r, b, part, row_number() OVER () AS c FROM m_candidate WHERE regexp_matches(part, '[0-9]') AND NOT ({allowed})),
+cuts AS (SELECT r, c, b, unnest(range(1, len(pieces) + 1)) AS k, pieces, whole FROM (SELECT *, regexp_split_to_array(part, {inside}) AS pieces, regexp_extract_all(part, {inside}) AS whole FROM candidates)),
+parts AS (SELECT r, c, b + coalesce(list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS b, pieces[k] AS part, c * 1000 + k AS p FROM cuts WHERE length(pieces[k]) >= {window}),
+chars AS (SELECT r, p AS c, b, i, string_split(substr(part, CAST(i + 1 AS BIGINT), {window}), '') AS w FROM (SELECT r, p, b, part, unnest(range(length(part) - {window} + 1)) AS i FROM parts)),
+hot AS ({hot}),
+joined AS (SELECT r, o, kind, min(b) AS b, max(b) + {window} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY r, c, o ORDER BY b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN b <= lag(b) OVER (PARTITION BY r, c, o ORDER BY b) + {window} THEN 0 ELSE 1 END AS fresh FROM hot)) GROUP BY r, c, o, kind, g),
+base AS ({held}), every AS (SELECT r, b, o, kind, e FROM base UNION ALL SELECT r, b, o, kind, e FROM joined),
+said AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, o, kind, e) FILTER (o < {len(secret_scan.BASE)}), '') AS based,
+  string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, o, kind, e) AS spans, count(*) FILTER (o >= {len(secret_scan.BASE)}) AS n_entropy FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM t LEFT JOIN said USING (r)"""
+
+
+ORACLE_SQL["op2_secret_scan"] = _secret_scan_sql()

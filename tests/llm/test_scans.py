@@ -7,9 +7,12 @@ import re
 import time
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from lintel.llm import decontamination, licenses, secret_scan
+from lintel.llm.queries import ORACLE_SQL
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -119,6 +122,13 @@ def test_secret_scan_of_long_candidates(spark):
     assert time.time() - began < 60
 
 
+def test_secret_scan_sql():
+    """The query's SQL on the same texts."""
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(SECRETS))), "text": SECRETS}))
+    assert sorted(con.sql(ORACLE_SQL["op2_secret_scan"]).fetchall()) == [(i, *scan_brute(t or "")) for i, t in enumerate(SECRETS)]
+
+
 def test_secret_scan_on_texts(docs, rows, empty):
     assert Counter(tuple(r) for r in secret_scan.scan(docs).collect()) == Counter((r[0], *scan_brute(r[1] or "")) for r in rows)
     assert secret_scan.scan(empty).collect() == []
