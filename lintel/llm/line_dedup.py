@@ -193,13 +193,13 @@ def _kept(with_text: bool, held_bytes: int):
     return batches
 
 
-def _light(links: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """The texts that very many others are linked to, if their lines may be broadcast."""
-    owners = hot.hot_keys(links, "other")
-    if owners is None:
+def _light(links: DataFrame, key: str, texts: DataFrame) -> DataFrame | None:
+    """The texts that have very many links on this side, if their lines may be broadcast."""
+    held = hot.hot_keys(links, key)
+    if held is None:
         return None
-    lines = texts.join(F.broadcast(owners), F.col("text_no") == F.col("other"), "left_semi").agg(F.sum(F.size("lines"))).first()[0]
-    return owners if lines <= BROADCAST_LINES else None
+    lines = texts.join(F.broadcast(held.select(F.col(key).alias("text_no"))), "text_no", "left_semi").agg(F.sum(F.size("lines"))).first()[0]
+    return held if lines <= BROADCAST_LINES else None
 
 
 def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS, with_text: bool = True, held_bytes: int = HELD_BYTES) -> DataFrame:
@@ -225,8 +225,8 @@ def line_dedup(docs: DataFrame, rare: int | None = None, few: int | None = None,
 
     earlier = texts.select(F.col("text_no").alias("other"), F.col("lines").alias("earlier"))
     links = checkpointed(links.select("text_no", "other"))
-    pairs = links.join(texts.select("text_no", F.col("lines").alias("later"), "chars"), "text_no")
-    pairs = hot.looked_up(pairs, "other", earlier, _light(links, texts))
+    pairs = hot.looked_up(links, "text_no", texts.select("text_no", F.col("lines").alias("later"), "chars"), _light(links, "text_no", texts))
+    pairs = hot.looked_up(pairs, "other", earlier, _light(links, "other", texts))
     aligned = pairs.select("text_no", "earlier", "later", "chars").mapInArrow(_aligned(least_lines, least_chars, held_bytes), "text_no binary, gone array<int>")
     gone = aligned.where("size(gone) > 0").groupBy("text_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
