@@ -654,3 +654,11 @@ def r12_vertical_rows(spark, sf_dir):
         words += [(22, 100 + 100 * i, str(101 + i)), (60, 105 + 100 * i, f"R{i}"), (205, 95 + 100 * i, f"{2 + i}.O"), (410, 100 + 100 * i, str(4 + i))]
     items = pages.select("page_id", F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text")) for y, x, t in words))).alias("w")).select("page_id", "w.*")
     return ocr.vertical_rows(items).select("page_id", "door_number", "room_name", "door_width", "hardware_set")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def s18_sheets(spark, sf_dir):
+    """Three sheets: one that is there, one that is not, and one without the columns."""
+    read = lambda name, schema: files.sheet(spark, f"{sf_dir}/{name}.parquet", schema)
+    rows = [read(n, "n_nationkey long, n_name string") for n in ("nation", "no_such_sheet", "region")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -1,5 +1,6 @@
 """Inputs: file discovery, run logs, master lists, delimited chunks."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,13 @@ def master_list(spark: SparkSession, path: str) -> DataFrame:
     words = lambda c: F.btrim(F.col(f"`{c}`")) if c else F.lit(None).cast("string")
     rows = given.select(words(found["description"]).alias("description"), words(found["category"]).alias("category"), number(found["install_time_mins"]).alias("install_time_mins"), number(found["default_unit_price"]).alias("default_unit_price"))
     return rows.where("description <> ''")
+
+
+def sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sheet's dataset in this schema; an empty one where there is none or it cannot be read as such."""
+    try:
+        found = spark.read.parquet(path)
+        names = [c.split()[0] for c in schema.split(", ")]
+        return found.select(names).to(spark.createDataFrame([], schema).schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
