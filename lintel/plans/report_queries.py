@@ -496,11 +496,11 @@ def x21_continuations(spark, sf_dir):
     return parse.continuation(pages).select("page_id", "is_continuation")
 
 
-@query("""WITH t AS (SELECT l_orderkey AS table_id, l_linenumber * 1000000 + l_partkey AS row_no, CASE WHEN l_partkey % 3 > 0 THEN 'D' || l_linenumber ELSE ' ' END AS first_, l_returnflag || l_linenumber AS rest FROM lineitem)
+@query("""WITH t AS (SELECT l_orderkey AS table_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100 + CAST(floor(l_quantity) AS BIGINT) AS row_no, CASE WHEN l_partkey % 3 > 0 THEN 'D' || l_linenumber ELSE ' ' END AS first_, l_returnflag || l_linenumber AS rest FROM lineitem)
 SELECT table_id, min(row_no) AS row_no, max(first_) AS first, string_agg(rest, ' ' ORDER BY row_no, rest) AS rest FROM (SELECT *, count(*) FILTER (trim(first_) <> '') OVER (PARTITION BY table_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS g FROM t) GROUP BY table_id, g""")
 def w13_merged_rows(spark, sf_dir):
     n = F.col("l_linenumber")
-    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), (n * 1_000_000 + F.col("l_partkey")).alias("row_no"), F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("D"), n)).otherwise(" ").alias("first"), F.concat("l_returnflag", n).alias("rest"))
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.expr("l_linenumber * 1000000000000 + l_partkey * 10000000 + l_suppkey * 100 + cast(floor(l_quantity) as bigint)").alias("row_no"), F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("D"), n)).otherwise(" ").alias("first"), F.concat("l_returnflag", n).alias("rest"))
     return parse.merged_split_rows(rows)
 
 
