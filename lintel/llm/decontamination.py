@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.storage import remove_table, write_table, written
-from lintel.llm.text import passes, utf8, word_bounds, word_codes
+from lintel.llm.text import slices, utf8, word_bounds, word_codes
 
 WINDOW, SLOP = 10, 2
 #: Text of a segment, and of a block of the benchmark.
@@ -48,9 +48,9 @@ _FOUND = "segment long, place int, doc_id long, n_words long, items array<string
 def _segments(segment_bytes: int):
     def batches(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
-            data, bounds = utf8(batch.column("text"))
-            for lo, hi in passes(bounds, segment_bytes):
-                piece, at = _FOLD[data[bounds[lo] : bounds[hi]]], bounds[lo : hi + 1] - bounds[lo]
+            for lo, hi in slices(batch.column("text"), segment_bytes):
+                piece, at = utf8(batch.column("text").slice(lo, hi - lo))
+                piece = _FOLD[piece]
                 starts, ends, first = word_bounds(piece, at, _TERM)
                 codes, terms = word_codes(piece, starts, ends, _TERM)
                 positions = np.argsort(codes, kind="stable").astype(np.int32)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.text import SOLID, mixed, passes, span_hashes, utf8, word_bounds, word_hashes
+from lintel.llm.text import SOLID, mixed, slices, span_hashes, utf8, word_bounds, word_hashes
 
 SHINGLE, CONTAINED = 5, 0.8
 #: From this many words of a template on: words of a window, stride in a text, bands, rows of a band.
@@ -213,10 +213,9 @@ def _scan(templates: dict[str, str], contained: float):
         known = _known(tuple(sorted(templates.items())))
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
         for batch in items:
-            data, bounds = utf8(batch.column("text"))
             n_words, found = [], []
-            for lo, hi in passes(bounds):
-                words, first = _words(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            for lo, hi in slices(batch.column("text")):
+                words, first = _words(*utf8(batch.column("text").slice(lo, hi - lo)))
                 n_words += np.diff(first).tolist()
                 found += [[dict(zip(("license", "containment", "begin", "end"), m)) for m in x] for x in matches_of(words, first, known)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "matches"])

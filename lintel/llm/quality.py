@@ -17,13 +17,12 @@ share (0.5 without any); an empty table gives no rows; other columns are not rea
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.text import SOLID, mixed, passes, utf8, word_bounds, word_hashes
+from lintel.llm.text import SOLID, mixed, slices, utf8, word_bounds, word_hashes
 
 FIT_ROWS, WORD_SLOTS, RANK = 4000, 1 << 14, 8
 BINS, THRESHOLD, SEED = 16, 0.7, 7
@@ -161,11 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine
 
 def _featured(batches):
     for batch in batches:
-        data, bounds = utf8(batch.column("text"))
         given = batch.column("given").to_numpy(zero_copy_only=False)
         slots, parts = [], []
-        for lo, hi in passes(bounds):
-            row, slot, value = features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], given[lo:hi])
+        for lo, hi in slices(batch.column("text")):
+            row, slot, value = features(*utf8(batch.column("text").slice(lo, hi - lo)), given[lo:hi])
             cuts = np.searchsorted(row, np.arange(1, hi - lo))
             slots += np.split(slot.astype(np.int32), cuts)
             parts += np.split(value, cuts)
@@ -175,14 +173,13 @@ def _featured(batches):
 def scored(docs: DataFrame, model: Machine | float) -> DataFrame:
     """docs with the column quality_score, a double from 0 to 1."""
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series, given: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array, given: pa.Array) -> pa.Array:
         if not isinstance(model, Machine):
-            return pd.Series(np.full(len(text), model))
-        data, bounds = utf8(pa.array(text, pa.string(), from_pandas=True))
-        given = given.to_numpy(float)
-        out = [model.margins(*features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], given[lo:hi]), hi - lo) for lo, hi in passes(bounds)]
-        return pd.Series(1 / (1 + np.exp(-np.concatenate(out))) if out else np.zeros(0))
+            return pa.array(np.full(len(text), model))
+        given = given.to_numpy(zero_copy_only=False)
+        out = [model.margins(*features(*utf8(text.slice(lo, hi - lo)), given[lo:hi]), hi - lo) for lo, hi in slices(text)]
+        return pa.array(1 / (1 + np.exp(-np.concatenate(out))) if out else np.zeros(0))
 
     return docs.withColumn("quality_score", score(F.col("text").cast("string"), _given(docs)))
 

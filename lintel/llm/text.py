@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass looks at; a longer text is one pass of its own.
 PASS_BYTES = 1 << 20
@@ -40,6 +41,12 @@ def passes(bounds: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, i
         row = min(end, rows)
 
 
+def slices(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a string column with up to limit bytes each, of one row at least; nothing of it is copied."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    yield from passes(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), limit)
+
+
 def word_bounds(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of is_word bytes within a row), and each row's first word."""
     inside = np.zeros(len(data) + 2, bool)
