@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import decontamination, exact_dedup, licenses, line_dedup, mixing, quality, secret_scan, sharding, simhash, substring
+from lintel.llm import decontamination, exact_dedup, filter_audit, licenses, line_dedup, mixing, quality, secret_scan, sharding, simhash, spelling, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_exact_dedup, op4_quality, op5_sharding, op6_mixing, op7_license_scan, op8_line_dedup, op9_simhash, op10_substring_dedup)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_exact_dedup, op4_quality, op5_sharding, op6_mixing, op7_license_scan, op8_line_dedup, op9_simhash, op10_substring_dedup, op12_filter_audit, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
@@ -81,6 +89,40 @@ gone AS (SELECT r, list_distinct(flatten(list(range(i, i + 13)))) AS p FROM win
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
        sha256(CASE WHEN p IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(p, x[2])), lambda x: x[1]), ' '), '') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+fails AS (SELECT r, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS e
+  FROM d LEFT JOIN known ON d.doc_id = known.doc_id),
+failing AS (SELECT r, part, good, bad, unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([a, b, c, d, e]) AS failed, a::INT + b::INT + c::INT + d::INT + e::INT AS n FROM fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT v.f || w.f || x.f || y.f || z.f AS o FROM letters v JOIN letters w ON w.f <> v.f JOIN letters x ON x.f NOT IN (v.f, w.f) JOIN letters y ON y.f NOT IN (v.f, w.f, x.f) JOIN letters z ON z.f NOT IN (v.f, w.f, x.f, y.f)),
+steps AS (SELECT o, s, o[s] AS f FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders)),
+first_ AS (SELECT r, part, good, bad, o, min(s) AS s FROM failing JOIN steps USING (f) WHERE failed GROUP BY ALL),
+sizes AS (SELECT part, count(*) AS total FROM fails GROUP BY part),
+gone AS (SELECT part, o, s, count(*) AS removed, count(*) FILTER (good) AS good_lost, count(*) FILTER (bad) AS toxic_lost FROM first_ GROUP BY ALL),
+alone AS (SELECT part, f, count(*) FILTER (failed) AS failing, count(*) FILTER (failed AND n = 1) AS unique_fails FROM failing GROUP BY ALL),
+every AS (SELECT part, o, s, f, total, coalesce(removed, 0) AS removed, failing - coalesce(removed, 0) AS redundant, unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost
+  FROM sizes CROSS JOIN steps JOIN alone USING (part, f) LEFT JOIN gone USING (part, o, s))
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(total - sum(removed) OVER (PARTITION BY part, o ORDER BY s) AS BIGINT) AS kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM every""",
+    # CRC-32 by its rule: a table of 256, folded over the bytes. Near words share what is left without one position, or are left with the other.
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(1, strlen(s) + 1), lambda j: CAST('0x' || substr(hex(encode(s)), 2 * j - 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs WHERE length(run) >= 5), crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS (SELECT word, n, i, left(word, i - 1) AS before, substr(word, i + 1) AS after FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT x.word, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.before = y.before AND x.after = y.after AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.before || g.after UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.before || g.after),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root_ FROM named UNION ALL SELECT walk.word, named.form FROM walk JOIN named ON named.word = walk.root_ WHERE named.form IS NOT NULL),
+ends AS (SELECT walk.word, root_ FROM walk JOIN named ON named.word = walk.root_ WHERE named.form IS NULL)
+SELECT word, form, root_ AS root, n, n_near, form_n FROM named JOIN ends USING (word)""",
 }
 
 
