@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import decontamination, exact_dedup, filter_audit, licenses, line_dedup, mixing, quality, secret_scan, sharding, simhash, spelling, substring
+from lintel.llm import decontamination, exact_dedup, filter_audit, licenses, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash, spelling, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.scan(_table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_exact_dedup, op4_quality, op5_sharding, op6_mixing, op7_license_scan, op8_line_dedup, op9_simhash, op10_substring_dedup, op12_filter_audit, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_exact_dedup, op4_quality, op5_sharding, op6_mixing, op7_license_scan, op8_line_dedup, op9_simhash, op10_substring_dedup, op11_pii, op12_filter_audit, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
@@ -165,3 +169,56 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 
 ORACLE_SQL["op2_secret_scan"] = _secret_scan_sql()
+
+
+def _rewrite_sql(name: str, source: str, pattern: str, replacement: str) -> str:
+    """Two CTEs of a transducer over (r, s, b, e, d): s with each match x changed; each character's source begin, end and whether it was edited."""
+    p = _quoted(pattern)
+    begin = "CAST(coalesce(list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS BIGINT)"
+    each = lambda piece, one: f"flatten(list_transform(starts, lambda a, k: list_concat({piece}, list_transform(range(coalesce(length(fresh[k]), 0)), lambda i: {one}))))"
+    own = lambda c: f"{c}[a + 1:a + length(pieces[k])]"
+    return f"""{name}_cut AS (SELECT *, list_transform(whole, lambda x: {replacement}) AS fresh, list_transform(range(1, len(pieces) + 1), lambda k: {begin}) AS starts
+  FROM (SELECT r, s, b, e, d, regexp_split_to_array(s, {p}) AS pieces, regexp_extract_all(s, {p}) AS whole FROM {source})),
+{name} AS (SELECT r, array_to_string(flatten(list_transform(pieces, lambda x, k: [x, coalesce(fresh[k], '')])), '') AS s, {each(own("b"), "b[a + length(pieces[k]) + 1]")} AS b,
+  {each(own("e"), "e[a + length(pieces[k]) + length(whole[k])]")} AS e, {each(own("d"), "true")} AS d FROM {name}_cut)"""
+
+
+def _pii_sql() -> str:
+    words = "x"
+    words = f"regexp_replace({words}, {_quoted(f'(?i) {{1,2}}(?:{pii.DOT}) {{1,2}}')}, '.', 'g')"
+    for word, digit in pii.DIGIT_OF.items():
+        form = word.replace("é", "[éÉ]").replace("ü", "[üÜ]")
+        words = f"regexp_replace({words}, '(?i)\\b{form}\\b', '{digit}', 'g')"
+    label = _quoted(rf"(?i)^ +(?:{pii.AT}) +([a-z0-9.-]+)(?: |[\[({{<])")
+    at = ", ".join(_quoted(w) for w in pii.AT.split("|"))
+    sign = f"CASE WHEN regexp_matches(x, '(?i)^{pii.PLUS}') THEN '+' || right(x, 1) WHEN regexp_extract(x, {label}, 1) <> '' THEN '@' || regexp_extract(x, {label}, 1) || '.' WHEN lower(trim(x, ' [](){{}}<>')) IN ({at}) THEN '@' ELSE '.' END"
+    digits = "regexp_replace(part, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(list_reverse(string_split({digits}, '')), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) ELSE 2 * CAST(x AS INT) - CASE WHEN CAST(x AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(part, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {luhn} ELSE false END"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    }
+    plain = [_spans_sql(f"m_{k}", "t", "text", p, 0) for k, (p, _) in kinds.items()]
+    hidden = [_spans_sql(f"h_{k}", "normal", "s", p, 0) for k, (p, _) in kinds.items()]
+    union = lambda prefix: " UNION ALL ".join(f"SELECT r, {o} AS o, '{k}' AS kind, b, b + n AS e FROM {prefix}_{k} WHERE {good}" for o, (k, (_, good)) in enumerate(kinds.items()))
+    invisible, alike, plain_form = _quoted(pii.INVISIBLE), _quoted("".join(pii.LOOK_ALIKES)), _quoted("".join(pii.LOOK_ALIKES.values()))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+chars AS (SELECT r, c, list_filter(range(1, len(c) + 1), lambda i: NOT contains({invisible}, c[i])) AS kept FROM (SELECT r, regexp_extract_all(text, '(?s).') AS c FROM t)),
+folded AS (SELECT r, translate(array_to_string(list_transform(kept, lambda i: c[i]), ''), {alike}, {plain_form}) AS s, list_transform(kept, lambda i: i - 1) AS b, kept AS e, list_transform(kept, lambda i: contains({alike}, c[i])) AS d FROM chars),
+{_rewrite_sql("spelled", "folded", pii.SPELLED, f"regexp_replace({words}, '[ ,-]', '', 'g')")},
+{_rewrite_sql("normal", "spelled", pii.SIGNS, sign)},
+{", ".join(plain)}, {", ".join(hidden)},
+base AS ({union("m")}), met AS ({union("h")}),
+back AS (SELECT DISTINCT r, o, kind, normal.b[met.b + 1] AS b, normal.e[met.e] AS e FROM met JOIN normal USING (r)
+  WHERE len(list_filter(range(met.b + 1, met.e + 1), lambda i: normal.d[i] OR (i < met.e AND normal.b[i + 1] > normal.e[i]))) > 0),
+added AS (SELECT * FROM back WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = back.r AND base.kind = back.kind AND base.b <= back.b AND base.e >= back.e)),
+every AS (SELECT *, true AS plain FROM base UNION ALL SELECT *, false FROM added),
+said AS (SELECT r, {", ".join(f"count(*) FILTER (plain AND kind = '{k}') AS n_{k}" for k in kinds)}, string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY o, b, e) FILTER (plain) AS based,
+  string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY o, b, e) AS spans, count(*) FILTER (NOT plain) AS n_disguised FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_disguised, 0) AS n_disguised FROM t LEFT JOIN said USING (r)"""
+
+
+ORACLE_SQL["op11_pii"] = _pii_sql()
