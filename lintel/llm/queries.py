@@ -1,5 +1,7 @@
 """The registered queries of the numbered operators, and SQL for those that SQL can express."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,11 +145,13 @@ def _spans_sql(name: str, source: str, column: str, pattern: str, group: int) ->
 
 def _secret_scan_sql() -> str:
     base = [_spans_sql(f"m_{kind}", "t", "text", pattern, group) for kind, (pattern, group, _) in secret_scan.BASE.items()]
-    held = " UNION ALL ".join(f"SELECT r, b, {order} AS o, '{kind}' AS kind, b + n AS e FROM m_{kind} WHERE length(part) >= {least}" for order, (kind, (_, _, least)) in enumerate(secret_scan.BASE.items()))
-    allowed = " OR ".join(f"regexp_matches(part, {_quoted(p)})" for p in secret_scan.ALLOW[1:])
+    plain = " UNION ALL ".join(f"SELECT r, b, {order} AS o, '{kind}' AS kind, b + n AS e FROM m_{kind} WHERE length(part) >= {least}" for order, (kind, (_, _, least)) in enumerate(secret_scan.BASE.items()))
+    held = lambda form: f"regexp_matches(part, {_quoted(form)})" if isinstance(form, str) else f"(regexp_matches(part, {_quoted(form[0])}) AND NOT regexp_matches(part, {_quoted(form[1])}))"
+    allowed = " OR ".join(map(held, secret_scan.ALLOW[1:]))
     # The first allowed form has a back reference, which this engine's patterns lack: one character over and over, or a sequence.
     allowed = f"len(list_distinct(string_split(lower(part), ''))) = 1 OR regexp_matches(part, '^(0123456789|(?i:abcdefghij)|1234567890)') OR {allowed}"
-    inside = _quoted("|".join(f"(?:{p})" for p in secret_scan.ALLOW_INSIDE))
+    # Possessive quantifiers are plain ones here: this engine never gives back.
+    inside = _quoted(re.sub(r"([*+?}])\+", r"\1", "|".join(f"(?:{p})" for p in secret_scan.ALLOW_INSIDE)))
     window = 20
     hot = " UNION ALL ".join(
         f"SELECT r, c, b + i AS b, {order} AS o, '{kind}' AS kind FROM chars WHERE len(list_filter(w, lambda x: NOT contains({_quoted(alphabet)}, x))) = 0 AND log2({float(size)}) - list_sum(list_transform(map_values(list_aggregate(w, 'histogram')), lambda x: x * log2(x))) / {size} >= {threshold} - 1e-9"
@@ -162,7 +166,7 @@ parts AS (SELECT r, c, b + coalesce(list_sum(list_transform(pieces[1:k - 1], lam
 chars AS (SELECT r, p AS c, b, i, string_split(substr(part, CAST(i + 1 AS BIGINT), {window}), '') AS w FROM (SELECT r, p, b, part, unnest(range(length(part) - {window} + 1)) AS i FROM parts)),
 hot AS ({hot}),
 joined AS (SELECT r, o, kind, min(b) AS b, max(b) + {window} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY r, c, o ORDER BY b ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN b <= lag(b) OVER (PARTITION BY r, c, o ORDER BY b) + {window} THEN 0 ELSE 1 END AS fresh FROM hot)) GROUP BY r, c, o, kind, g),
-base AS ({held}), every AS (SELECT r, b, o, kind, e FROM base UNION ALL SELECT r, b, o, kind, e FROM joined),
+base AS ({plain}), every AS (SELECT r, b, o, kind, e FROM base UNION ALL SELECT r, b, o, kind, e FROM joined),
 said AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, o, kind, e) FILTER (o < {len(secret_scan.BASE)}), '') AS based,
   string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, o, kind, e) AS spans, count(*) FILTER (o >= {len(secret_scan.BASE)}) AS n_entropy FROM every GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM t LEFT JOIN said USING (r)"""

@@ -37,14 +37,16 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 4.0),
 }
-#: Forms of a whole candidate with no secret in it: test vectors, UUIDs, identifiers with words, numbers.
-ALLOW = (
+#: Forms of a whole candidate with no secret in it: test vectors, UUIDs, numbers, and identifiers with words. A pair is a form and
+#: what it must not hold. No pattern repeats a group that may be given back: matchers do that by recursion, as deep as the text is long.
+ALLOW: tuple[str | tuple[str, str], ...] = (
     r"(?i)^(.)\1+$|^(0123456789|abcdefghij|1234567890)",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[a-z]+([_-][a-z]+)*[_-]?[0-9]*$|^[0-9_=+/-]+$",
+    r"^[0-9_=+/-]+$",
+    (r"^[a-z][a-z_-]*[0-9]*$", r"[_-][_-]"),
 )
-#: Words and paths that cut a candidate.
-ALLOW_INSIDE = (r"(?i:example|sample|placeholder|dummy|changeme|lorem)(?:[_=-]|(?i:key))*", r"(?:/[a-z]+){3,}/?")
+#: Words and paths that cut a candidate. Possessive: what is taken is never given back, in a loop and not by recursion.
+ALLOW_INSIDE = (r"(?i:example|sample|placeholder|dummy|changeme|lorem)(?:[_=-]|(?i:key))*+", r"(?:/[a-z]++){3,}+/?+")
 
 #: Begins of windows that a piece of a candidate holds; rows of a block whose places are added up at once.
 PIECE, BLOCK = 256, 256
@@ -167,7 +169,14 @@ def _entropy_spans(candidates: Column, kind: str, order: int) -> Column:
     return F.flatten(F.transform(candidates, lambda m: F.transform(hot_spans(m["part"], alphabet, window, threshold), lambda s: span(m, s))))
 
 
-def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, allow_inside: tuple[str, ...] = ALLOW_INSIDE) -> DataFrame:
+def _allowed(part: Column, forms: tuple[str | tuple[str, str], ...]) -> Column:
+    held = F.lit(False)
+    for form in forms:
+        held = held | (part.rlike(form) if isinstance(form, str) else part.rlike(form[0]) & ~part.rlike(form[1]))
+    return held
+
+
+def scan(docs: DataFrame, allow: tuple[str | tuple[str, str], ...] = ALLOW, allow_inside: tuple[str, ...] = ALLOW_INSIDE) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans, for every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = []
@@ -175,8 +184,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, allow_inside: tuple[st
         kept = F.filter(_matches(F.col("text"), pattern, group), lambda m: F.length(m["part"]) >= least)
         rows = rows.withColumn(kind, F.transform(kept, lambda m: F.struct(m["begin"].alias("begin"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), m["end"].alias("end"))))
         named.append(kind)
-    allowed = lambda part: F.exists(F.array(*(F.lit(x) for x in allow)), lambda p: F.regexp_like(part, p)) if allow else F.lit(False)
-    candidates = F.filter(_matches(F.col("text"), CANDIDATE), lambda m: m["part"].rlike("[0-9]") & ~allowed(m["part"]))
+    candidates = F.filter(_matches(F.col("text"), CANDIDATE), lambda m: m["part"].rlike("[0-9]") & ~_allowed(m["part"], allow))
     if allow_inside:
         cut = F.flatten(F.transform(candidates, lambda m: _between(m, "|".join(f"(?:{p})" for p in allow_inside))))
         candidates = F.filter(cut, lambda m: F.length(m["part"]) >= min(w for _, w, _ in CLASSES.values()))

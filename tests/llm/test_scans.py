@@ -57,6 +57,23 @@ def test_decontamination_empty(spark, empty, docs, rows, items):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).where("not contaminated").count() == len(rows)
 
 
+def test_secrets_of_long_repetitions(spark):
+    """Paths, joined words, dashes and key words of a megabyte: no recursion as deep as the text."""
+    texts = ["/a" * 500_000 + "1", "a_" * 500_000 + "a1", "example" + "-" * 1_000_000 + "1", "example" + "key" * 300_000 + "1 " + "aB3dE5gH7jK9mN1pQ3sT", "/abc" * 2 + "/" + "q" * 200_000 + "1/" * 3]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert {r.doc_id: r.spans for r in found.collect()} == {i: scan_brute(t)[4] for i, t in enumerate(texts)}
+    long_hex = secret_scan.scan(spark.createDataFrame([(1, "0f" * 500_000)], "doc_id long, text string")).collect()
+    assert long_hex[0].spans == "hex:0:1000000"
+
+
+def test_allowed_forms():
+    """The form of joined words as a pair of patterns is the one with a repeated group."""
+    rng = random.Random(14)
+    for _ in range(20_000):
+        part = "".join(rng.choice("ab_-1") for _ in range(rng.randint(1, 9)))
+        assert allowed_form(secret_scan.ALLOW[3], part) == bool(re.search(r"^[a-z]+([_-][a-z]+)*[_-]?[0-9]*$", part))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b x c d e f g h i j"), (3, "j i h g f e d c b a"), (4, "a b x y z q r c d e f g h i j")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
@@ -64,6 +81,10 @@ def test_proximity(spark):
     assert near == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def allowed_form(form, part):
+    return bool(re.search(form, part)) if isinstance(form, str) else bool(re.search(form[0], part)) and not re.search(form[1], part)
+
+
 def entropy_spans(part, kind):
     alphabet, window, threshold = secret_scan.CLASSES[kind]
     spans = []
@@ -83,7 +104,7 @@ def scan_brute(text):
     for order, (kind, (pattern, group, least)) in enumerate([("assign", secret_scan.BASE["assign"]), ("access", secret_scan.BASE["access"]), ("hex", (r"[0-9a-f]+", 0, 32))]):
         base += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
     for m in re.finditer(secret_scan.CANDIDATE, text):
-        if re.search("[0-9]", m[0]) and not any(re.search(p, m[0]) for p in secret_scan.ALLOW):
+        if re.search("[0-9]", m[0]) and not any(allowed_form(p, m[0]) for p in secret_scan.ALLOW):
             cuts = [(0, 0), *(x.span() for p in ["|".join(f"(?:{p})" for p in secret_scan.ALLOW_INSIDE)] for x in re.finditer(p, m[0])), (len(m[0]),) * 2]
             for order, kind in enumerate(secret_scan.CLASSES, 3):
                 for (_, lo), (hi, _) in zip(cuts, cuts[1:]):
