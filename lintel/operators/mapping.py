@@ -7,29 +7,40 @@ from lintel.functions import vocabulary as V
 from lintel.functions.normalise import alias_keys, is_placeholder_label, set_key, set_label
 from lintel.functions.predicates import any_of, is_set_item, remains
 from lintel.operators.distinct import with_distinct
+from lintel.operators.skew import spread_join
+from lintel.plans.storage import settled
 
 
-def set_table(components: DataFrame) -> DataFrame:
-    """One row for each set key: its first label and its items, in order, each once."""
-    good = components.where(~is_placeholder_label(F.col("hardware_set_id"))).withColumn("set_key", set_key(F.col("hardware_set_id")))
-    label = good.groupBy("set_key").agg(F.min_by(set_label(F.col("hardware_set_id")), F.struct("row_key")).alias("hardware_set"))
+def set_items(components: DataFrame) -> DataFrame:
+    """The items of each project's sets as rows, each once, numbered in order: (project_id, set_key, item_no, row_key, desc, part, mfr, finish, qty)."""
     item = is_set_item(F.col("description"), F.col("hardware_set_id"), F.col("catalog_number"), F.col("manufacturer_code"), F.col("notes"), F.col("qty_raw"))
-    once = Window.partitionBy("set_key", F.lower(F.btrim("description")), F.lower(F.btrim(F.coalesce("catalog_number", F.lit(""))))).orderBy("row_key")
-    items = good.where(item).withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    fields = F.struct("row_key", F.col("description").alias("desc"), F.col("catalog_number").alias("part"), F.col("manufacturer_code").alias("mfr"), F.col("finish_code").alias("finish"), F.col("qty_raw").alias("qty"))
-    return label.join(items.groupBy("set_key").agg(F.array_sort(F.collect_list(fields)).alias("items")), "set_key", "left")
+    good = components.where(~is_placeholder_label(F.col("hardware_set_id")) & item)
+    rows = with_distinct(good, ["hardware_set_id"], set_key=set_key(F.col("hardware_set_id")))
+    fields = {"row_key": F.col("row_key"), "desc": F.col("description"), "part": F.col("catalog_number"), "mfr": F.col("manufacturer_code"), "finish": F.col("finish_code"), "qty": F.col("qty_raw")}
+    same = [F.lower(F.btrim("description")).alias("same_desc"), F.lower(F.btrim(F.coalesce("catalog_number", F.lit("")))).alias("same_part")]
+    once = rows.groupBy("project_id", "set_key", *same).agg(F.min_by(F.struct(*(c.alias(k) for k, c in fields.items())), "row_key").alias("item"))
+    return once.select("project_id", "set_key", F.row_number().over(Window.partitionBy("project_id", "set_key").orderBy("item.row_key")).alias("item_no"), "item.*")
 
 
-def set_lookup(sets: DataFrame) -> DataFrame:
-    """(key, hardware_set): a set's own key, or an alias that only one set has."""
-    alias = sets.select("set_key", "hardware_set", F.explode(alias_keys(F.col("hardware_set"))).alias("key"))
-    single = alias.groupBy("key").agg(F.count_distinct("set_key").alias("n"), F.min("hardware_set").alias("by_alias")).where("n = 1").drop("n")
-    own = sets.select(F.col("set_key").alias("key"), F.col("hardware_set").alias("exact"))
-    return own.join(single, "key", "full_outer").select("key", F.coalesce("exact", "by_alias").alias("hardware_set"))
+def set_table(components: DataFrame, items: DataFrame) -> DataFrame:
+    """The directory of each project's sets: (project_id, set_key, hardware_set, n_items); the label is the set's first one."""
+    good = components.where(~is_placeholder_label(F.col("hardware_set_id")))
+    rows = with_distinct(good, ["hardware_set_id"], set_key=set_key(F.col("hardware_set_id")), label=set_label(F.col("hardware_set_id")))
+    labels = rows.groupBy("project_id", "set_key").agg(F.min_by("label", "row_key").alias("hardware_set"))
+    counts = items.groupBy("project_id", "set_key").agg(F.count("*").alias("n_items"))
+    return labels.join(counts, ["project_id", "set_key"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("int"))
+
+
+def set_lookup(sets: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, key, hardware_set): a set's own key, or an alias that only one set of its scope has."""
+    alias = sets.select(*scope, "set_key", "hardware_set", F.explode(alias_keys(F.col("hardware_set"))).alias("key"))
+    single = alias.groupBy(*scope, "key").agg(F.count_distinct("set_key").alias("n"), F.min("hardware_set").alias("by_alias")).where("n = 1").drop("n")
+    own = sets.select(*scope, F.col("set_key").alias("key"), F.col("hardware_set").alias("exact"))
+    return own.join(single, [*scope, "key"], "full_outer").select(*scope, "key", F.coalesce("exact", "by_alias").alias("hardware_set"))
 
 
 def resolved(doors: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Doors with set_label: their own set's label as the lookup has it, or for doors without one the set that the
+    """Doors with set_label: their own set's label as their project's lookup has it, or for doors without one the set that the
     door type, frame type, remarks or mark names, in this order; resolved_from says which."""
     own = F.when(~is_placeholder_label(F.col("hardware_set")), set_label(F.col("hardware_set")))
     short = lambda c: F.when(F.length(F.btrim(c)) <= 15, set_key(F.col(c)))
@@ -44,46 +55,63 @@ def resolved(doors: DataFrame, lookup: DataFrame) -> DataFrame:
         if name == "mark":
             open_ = F.col("own_label").isNull() & F.coalesce("by_door_type", "by_frame_type", "by_remarks").isNull()
             rows = rows.withColumn("key_mark", F.when(open_, set_key(F.col("door_number"))))
-        found = lookup.select(F.col("key").alias(f"key_{name}"), F.col("hardware_set").alias(f"by_{name}"))
-        rows = rows.join(found, f"key_{name}", "left").drop(f"key_{name}")
+        found = lookup.select("project_id", F.col("key").alias(f"key_{name}"), F.col("hardware_set").alias(f"by_{name}"))
+        rows = rows.join(found, ["project_id", f"key_{name}"], "left").drop(f"key_{name}")
     guesses = [n for n in names if n != "own"]
     label = F.when(F.col("own_label").isNotNull(), F.coalesce("by_own", "own_label")).otherwise(F.coalesce(*(f"by_{n}" for n in guesses)))
     origin = F.when(F.col("own_label").isNotNull(), "own").otherwise(F.coalesce(*(F.when(F.col(f"by_{n}").isNotNull(), n) for n in guesses)))
     return rows.withColumn("set_label", label).withColumn("resolved_from", origin).drop("own_label", *(f"by_{n}" for n in names))
 
 
-def mapped(doors: DataFrame, sets: DataFrame) -> DataFrame:
+def label_items(labels: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame:
+    """What each label (project_id, set_label) stands for, as rows: the items of its set, or of all sets that a compound
+    label names if each has items, else one row without an item. there: whether the set is in its project's directory."""
+    place = ["project_id", "set_label"]
+    parts = F.filter(F.transform(F.split("set_label", r"(?i)\s*(?:,|&|\band\b)\s*"), lambda p: F.btrim(p)), lambda p: p != "")
+    named = sets.select("project_id", F.col("hardware_set").alias("part_set"), "set_key", "n_items")
+    lookup = set_lookup(sets, ["project_id"]).select("project_id", F.col("key").alias("part_key"), F.col("hardware_set").alias("part_set"))
+    cut = labels.select(*place, F.posexplode(parts).alias("nth", "part")).withColumn("part_key", set_key(F.col("part")))
+    cut = cut.join(lookup, ["project_id", "part_key"], "left").join(named, ["project_id", "part_set"], "left")
+    whole = Window.partitionBy(*place)
+    before = whole.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.bool_and(F.coalesce("n_items", F.lit(0)) > 0).over(whole) & (F.count("*").over(whole) > 1)
+    compound = cut.select(*place, "set_key", F.coalesce(F.sum("n_items").over(before), F.lit(0)).alias("offset"), full.alias("full")).where("full").drop("full")
+    direct = labels.join(compound.select(*place).distinct(), place, "left_anti").join(named.withColumnRenamed("part_set", "set_label"), place, "left")
+    listed = compound.unionByName(direct.where("n_items > 0").select(*place, "set_key", F.lit(0).cast("long").alias("offset")))
+    held = spread_join(listed, items, ["project_id", "set_key"])
+    fields = ["desc", "part", "mfr", "finish", "qty"]
+    none = direct.where(F.coalesce("n_items", F.lit(0)) <= 0).select(*place, F.lit(None).cast("int").alias("item_no"), *(F.lit(None).cast("string").alias(c) for c in fields), F.col("set_key").isNotNull().alias("there"))
+    return held.select(*place, (F.col("item_no") + F.col("offset")).cast("int").alias("item_no"), *fields, F.lit(True).alias("there")).unionByName(none)
+
+
+def mapped(doors: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each item of each opening, and one status row for an opening that has none; doors from resolved().
 
     Status, the first that holds: BY_OTHERS, EXISTING_TO_REMAIN, COILING_SYSTEM, NO_HW_SET, OK with items (of several
     sets, if all of the sets that a compound label names have items), FAILED_EXTRACTION_REVIEW_REQUIRED.
+
+    Openings meet the sets of their own project alone, so rows grow with openings; a label that very many share is split.
     """
     words = lambda *c: F.upper(F.concat_ws(" ", *c))
     # 'NIC' counts anywhere, inside MECHANICAL too.
     by_others = any_of(words("door_material", "door_type", "frame_type", "remarks"), V.BY_OTHERS)
     coiling = any_of(words("door_material", "door_type", "remarks"), V.COILING)
     kind = F.when(by_others, "BY_OTHERS").when(remains("remarks", "door_material", "door_type"), "EXISTING_TO_REMAIN").when(F.col("set_label").isNull() & coiling, "COILING_SYSTEM").when(F.col("set_label").isNull(), "NO_HW_SET")
-    rows = doors.withColumn("kind", kind).withColumn("opening", F.struct("project_id", "door_number", "row_key", "page"))
-    parts = F.filter(F.transform(F.split("set_label", r"(?i)\s*(?:,|&|\band\b)\s*"), F.btrim), lambda p: p != "")
-    lookup = set_lookup(sets).select(F.col("key").alias("part_key"), F.col("hardware_set").alias("part_set"))
-    content = sets.select(F.col("hardware_set").alias("part_set"), "items")
-    # Each part of each open label is resolved once, whatever the number of doors that have it.
-    labels = rows.where("kind is null").select("set_label").distinct()
-    cut = labels.select("set_label", F.posexplode(parts).alias("nth", "part")).withColumn("part_key", set_key(F.col("part")))
-    cut = cut.join(lookup, "part_key", "left").join(content, "part_set", "left")
-    whole = cut.groupBy("set_label").agg(F.count("*").alias("n"), F.bool_and(F.size(F.coalesce("items", F.array())) > 0).alias("complete"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "items"))), lambda x: x["items"])).alias("all_items"))
-    direct = labels.join(sets.select(F.col("hardware_set").alias("set_label"), F.lit(True).alias("there"), F.col("items").alias("own_items")), "set_label", "left")
-    chosen = direct.join(whole, "set_label", "left").select("set_label", F.coalesce("there", F.lit(False)).alias("there"), F.when((F.col("n") > 1) & F.col("complete"), F.col("all_items")).otherwise(F.col("own_items")).alias("items"))
-    joined = rows.join(chosen, "set_label", "left").select("opening", "set_label", "kind", "there", F.posexplode_outer(F.when(F.col("kind").isNull(), F.col("items"))).alias("at", "item"))
-    status = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("item").isNotNull(), "OK").otherwise("FAILED_EXTRACTION_REVIEW_REQUIRED")
-    note = F.col("item.desc")
+    rows = doors.select("project_id", F.col("door_number").alias("door_mark"), "row_key", "set_label", kind.alias("kind"))
+    open_ = rows.where("kind is null")
+    content = settled(label_items(open_.select("project_id", "set_label").distinct(), sets, items))
+    joined = spread_join(open_, content, ["project_id", "set_label"])
+    closed = rows.where("kind is not null")
+    joined = joined.unionByName(closed, allowMissingColumns=True)
+    got = F.col("item_no").isNotNull()
+    status = F.when(F.col("kind").isNotNull(), F.col("kind")).when(got, "OK").otherwise("FAILED_EXTRACTION_REVIEW_REQUIRED")
+    note = F.when(got, F.col("desc")).when(F.col("there"), V.STATUS_NOTES["EMPTY"]).otherwise(V.STATUS_NOTES["ABSENT"])
     for name in ("BY_OTHERS", "EXISTING_TO_REMAIN", "COILING_SYSTEM", "NO_HW_SET"):
         note = F.when(F.col("kind") == name, V.STATUS_NOTES[name]).otherwise(note)
-    note = F.when(status == "FAILED_EXTRACTION_REVIEW_REQUIRED", F.when(F.col("there"), V.STATUS_NOTES["EMPTY"]).otherwise(V.STATUS_NOTES["ABSENT"])).otherwise(note)
     shown = F.when(~F.coalesce(F.col("kind").isin("BY_OTHERS", "COILING_SYSTEM", "NO_HW_SET"), F.lit(False)), F.col("set_label"))
     return joined.select(
-        F.col("opening.project_id").alias("project_id"), F.col("opening.door_number").alias("door_mark"), F.col("opening.row_key").alias("row_key"), shown.alias("hardware_set"), (F.col("at") + 1).alias("item_no"),
-        F.col("item.qty").alias("qty"), note.alias("description"), F.col("item.part").alias("catalog_number"), F.col("item.mfr").alias("manufacturer"), F.col("item.finish").alias("finish"), status.alias("status"),
+        "project_id", "door_mark", "row_key", shown.alias("hardware_set"), "item_no", "qty", note.alias("description"),
+        F.col("part").alias("catalog_number"), F.col("mfr").alias("manufacturer"), "finish", status.alias("status"),
     )
 
 

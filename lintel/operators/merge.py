@@ -53,10 +53,11 @@ def signed_findings(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def with_missing_sets(sets: DataFrame, doors: DataFrame) -> DataFrame:
-    """Sets (hardware_set, status, confidence, n_items) and one of status missing for each label that only doors name."""
-    absent = doors.select("hardware_set").where("hardware_set <> ''").distinct().join(sets.select("hardware_set"), "hardware_set", "left_anti")
-    added = absent.select("hardware_set", F.lit("missing").alias("status"), F.lit(0.3).alias("confidence"), F.lit(0).alias("n_items"))
-    return sets.select("hardware_set", "status", "confidence", "n_items").unionByName(added)
+    """Each project's sets (project_id, hardware_set, status, confidence, n_items), and one of status missing for each label that only its doors name."""
+    place = ["project_id", "hardware_set"]
+    absent = doors.select(*place).where("hardware_set <> ''").distinct().join(sets.select(*place), place, "left_anti")
+    added = absent.select(*place, F.lit("missing").alias("status"), F.lit(0.3).alias("confidence"), F.lit(0).alias("n_items"))
+    return sets.select(*place, "status", "confidence", "n_items").unionByName(added)
 
 
 def merged_sets(ours: DataFrame, theirs: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def merged_sets(ours: DataFrame, theirs: DataFrame, allowed: DataFrame) -> DataF
     known = keyed(ours).groupBy("set_key").agg(F.min_by(set_label(F.col("hardware_set")), "row_key").alias("hardware_set"))
     labels = keyed(theirs).select("hardware_set", "set_key").distinct()
     keys = labels.select("hardware_set", "set_key", F.explode(F.concat(F.array("set_key"), alias_keys(F.col("hardware_set")))).alias("key"), F.monotonically_increasing_id().alias("no"))
-    found = set_lookup(known).withColumnRenamed("hardware_set", "target").join(known.select(F.col("hardware_set").alias("target"), F.col("set_key").alias("target_key")), "target")
+    found = set_lookup(known, []).withColumnRenamed("hardware_set", "target").join(known.select(F.col("hardware_set").alias("target"), F.col("set_key").alias("target_key")), "target")
     exact = labels.join(found.select(F.col("key").alias("set_key"), F.col("target_key").alias("by_key")), "set_key", "left")
     alias = keys.join(found, "key").groupBy("hardware_set").agg(F.min("target_key").alias("by_alias"))
     permitted = allowed.select(F.explode(F.concat(F.array(set_key(F.col("hardware_set"))), alias_keys(F.col("hardware_set")))).alias("key")).where("key <> ''").distinct()

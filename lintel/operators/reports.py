@@ -153,8 +153,8 @@ def item_takeoff(mapping: DataFrame) -> DataFrame:
 
 def validation(doors: DataFrame, sets: DataFrame) -> DataFrame:
     """A project's failed mappings, doors with missing fields, and its status."""
-    content = sets.select(F.col("hardware_set").alias("set_label"), F.lit(True).alias("there"), (F.size(F.coalesce("items", F.array())) > 0).alias("full"))
-    rows = doors.join(content, "set_label", "left")
+    content = sets.select("project_id", F.col("hardware_set").alias("set_label"), F.lit(True).alias("there"), (F.col("n_items") > 0).alias("full"))
+    rows = doors.join(content, ["project_id", "set_label"], "left")
     code = F.when(F.col("set_label").isNull(), None).when(F.col("there").isNull(), "HW_SET_MISSING_FROM_SPEC").when(~F.col("full"), "HW_SET_NO_ITEMS")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     missing = F.col("set_label").isNull() | blank("door_width") | blank("door_height") | blank("door_material")

@@ -20,8 +20,8 @@ def marks(head: Column, n: Column) -> Column:
 
 def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
     """Rules over each project's openings, all in one pass; doors from resolved(). {n} in an issue is the number of openings."""
-    content = sets.select(F.col("hardware_set").alias("set_label"), (F.size(F.coalesce("items", F.array())) > 0).alias("full"))
-    rows = doors.join(content, "set_label", "left")
+    content = sets.select("project_id", F.col("hardware_set").alias("set_label"), (F.col("n_items") > 0).alias("full"))
+    rows = doors.join(content, ["project_id", "set_label"], "left")
     said = F.concat_ws(" ", "remarks", "door_type")
     rated = (F.coalesce("fire_rating", F.lit("")) != "") & ~F.col("fire_rating").rlike(r"(?i)^(-|none|non|n/a)$")
     families = [

@@ -66,11 +66,12 @@ def found_doors(doors: DataFrame, words: str, risk: str = "all") -> DataFrame:
     return doors.where(hit & (F.lit(risk == "all") | (F.lower(F.coalesce("risk_level", F.lit(""))) == risk)))
 
 
-def found_sets(sets: DataFrame, words: str) -> DataFrame:
-    """sets (hardware_set, items) whose label, or an item's description or part, contains the words in any case."""
-    low = words.lower()
-    inside = lambda i: F.lower(F.coalesce(i["desc"], F.lit(""))).contains(low) | F.lower(F.coalesce(i["part"], F.lit(""))).contains(low)
-    return sets.where(F.lower("hardware_set").contains(low) | F.exists(F.coalesce("items", F.array()), inside))
+def found_sets(sets: DataFrame, items: DataFrame, words: str) -> DataFrame:
+    """sets (project_id, set_key, hardware_set) whose label, or an item's description or part, contains the words in any case."""
+    low, own = words.lower(), F.lower("hardware_set").contains(words.lower())
+    inside = F.lower(F.coalesce("desc", F.lit(""))).contains(low) | F.lower(F.coalesce("part", F.lit(""))).contains(low)
+    by_item = items.where(inside).select("project_id", "set_key").distinct()
+    return sets.where(own).unionByName(sets.where(~own).join(by_item, ["project_id", "set_key"], "left_semi").select(sets.columns))
 
 
 def own_rows(rows: DataFrame, organization: Column, user: Column) -> DataFrame:
@@ -131,11 +132,13 @@ def tagged_witness(rows: DataFrame, pdf_name: Column, project_id: Column, decisi
     return rows.withColumns(tags)
 
 
-def legacy_sets(sets: DataFrame) -> DataFrame:
-    """Sets in the older form: name from the note or the label, and items whose quantity is 1 where it is no number or zero."""
-    amount = lambda q: F.coalesce(F.nullif(q.try_cast("double"), F.lit(0.0)), F.lit(1.0))
-    item = lambda i: F.struct(amount(i["qty"]).alias("qty"), *(F.coalesce(i[c], F.lit("")).alias(c) for c in ("desc", "part", "mfr", "finish")))
-    return sets.select(F.col("hardware_set").alias("id"), F.coalesce("estimator_note", "hardware_set").alias("name"), F.transform(F.coalesce("items", F.array()), item).alias("items"))
+def legacy_sets(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Each project's sets in the older form: name from the note or the label, and items whose quantity is 1 where it is no number or zero."""
+    amount = F.coalesce(F.nullif(F.col("qty").try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    item = F.struct("item_no", amount.alias("qty"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("desc", "part", "mfr", "finish")))
+    held = items.groupBy("project_id", "set_key").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    named = sets.select("project_id", "set_key", F.col("hardware_set").alias("id"), F.coalesce("estimator_note", "hardware_set").alias("name"))
+    return named.join(held, ["project_id", "set_key"], "left").select("project_id", "id", "name", F.coalesce("items", F.array()).alias("items"))
 
 
 def proposal_index(runs: DataFrame) -> DataFrame:

@@ -263,12 +263,12 @@ SETS = f"""
 keyed AS (SELECT *, {set_key('hardware_set_id')} AS set_key, {label('hardware_set_id')} AS lab,
   trim({sub(f"upper({txt('description')})", r'\s+', ' ')}, ' .:-') AS d, trim({sub(f"upper({txt('hardware_set_id')})", r'\s+', ' ')}, ' .:-') AS h, {txt('catalog_number')} AS c, {txt('manufacturer_code')} AS m,
   upper(coalesce(description, '')) || ' ' || upper(coalesce(catalog_number, '')) || ' ' || upper(coalesce(manufacturer_code, '')) || ' ' || upper(coalesce(notes, '')) AS w FROM parts WHERE NOT {placeholder('hardware_set_id')}),
-labels_ AS (SELECT set_key, arg_min(lab, row_key) AS hardware_set FROM keyed GROUP BY set_key),
-items_ AS (SELECT *, row_number() OVER (PARTITION BY set_key, lower(trim(description)), lower(trim(coalesce(catalog_number, ''))) ORDER BY row_key) AS nth FROM keyed
+labels_ AS (SELECT project_id, set_key, arg_min(lab, row_key) AS hardware_set FROM keyed GROUP BY project_id, set_key),
+items_ AS (SELECT *, row_number() OVER (PARTITION BY project_id, set_key, lower(trim(description)), lower(trim(coalesce(catalog_number, ''))) ORDER BY row_key) AS nth FROM keyed
   WHERE NOT (d = '' OR d IN ({listed(V.HEADINGS)}) OR {has('d', V.SET_TITLE)} OR {has('upper(m)', V.MADE_UP_MAKERS)} OR {has('w', V.EQUIPMENT_NOISE)} OR {has('d', V.SCHEDULE_NOISE)} OR {has('w', V.SCHEDULE_NOISE)} OR {_ITEM_STARTS})
   AND ({has('d', V.COMPONENT_WORDS)} OR NOT ({has('w', V.ACCESS_NOISE)} OR {has('d', V.FINISH_NOISE)} OR {has('w', V.FINISH_NOISE)} OR d IN ({listed(V.ROOM_NAMES)}) OR {has('d', r'\bSIDELIGHTS?\b')} OR (h IN ({listed(V.NO_SET_ID)}) AND c = '' AND m = '') OR NOT (c <> '' OR m <> '' OR coalesce(qty_raw, '') <> '')))),
-sets_ AS (SELECT set_key, hardware_set, items FROM labels_ LEFT JOIN (SELECT set_key, list({{'row_key': row_key, 'desc': description, 'part': catalog_number, 'mfr': manufacturer_code, 'finish': finish_code, 'qty': qty_raw}} ORDER BY row_key) AS items FROM items_ WHERE nth = 1 GROUP BY set_key) USING (set_key)),{aliases('sets_', 'set_key, hardware_set', 'hardware_set')},
-lookup AS (SELECT key, coalesce(exact, by_alias) AS hardware_set FROM (SELECT set_key AS key, hardware_set AS exact FROM sets_) FULL JOIN (SELECT key, min(hardware_set) AS by_alias FROM aliases GROUP BY key HAVING count(DISTINCT set_key) = 1) USING (key))"""
+sets_ AS (SELECT project_id, set_key, hardware_set, items FROM labels_ LEFT JOIN (SELECT project_id, set_key, list({{'row_key': row_key, 'desc': description, 'part': catalog_number, 'mfr': manufacturer_code, 'finish': finish_code, 'qty': qty_raw}} ORDER BY row_key) AS items FROM items_ WHERE nth = 1 GROUP BY project_id, set_key) USING (project_id, set_key)),{aliases('sets_', 'project_id, set_key, hardware_set', 'hardware_set')},
+lookup AS (SELECT project_id, key, coalesce(exact, by_alias) AS hardware_set FROM (SELECT project_id, set_key AS key, hardware_set AS exact FROM sets_) FULL JOIN (SELECT project_id, key, min(hardware_set) AS by_alias FROM aliases GROUP BY project_id, key HAVING count(DISTINCT set_key) = 1) USING (project_id, key))"""
 
 
 def _short(c: str) -> str:
@@ -280,13 +280,13 @@ wanted AS (SELECT *, {set_key('own_label')} AS k0, {_short('door_type')} AS k1,
   FROM (SELECT *, CASE WHEN NOT {placeholder('hardware_set')} THEN {label('hardware_set')} END AS own_label FROM doors)),
 found AS (SELECT w.* EXCLUDE (own_label, k0, k1, k2, k3, k4), CASE WHEN own_label IS NOT NULL THEN coalesce(l0.hardware_set, own_label) ELSE coalesce(l1.hardware_set, l2.hardware_set, l3.hardware_set, l4.hardware_set) END AS set_label,
   CASE WHEN own_label IS NOT NULL THEN 'own' WHEN l1.hardware_set IS NOT NULL THEN 'door_type' WHEN l2.hardware_set IS NOT NULL THEN 'frame_type' WHEN l3.hardware_set IS NOT NULL THEN 'remarks' WHEN l4.hardware_set IS NOT NULL THEN 'mark' END AS resolved_from
-  FROM wanted w LEFT JOIN lookup l0 ON k0 = l0.key LEFT JOIN lookup l1 ON k1 = l1.key LEFT JOIN lookup l2 ON k2 = l2.key LEFT JOIN lookup l3 ON k3 = l3.key LEFT JOIN lookup l4 ON k4 = l4.key)"""
+  FROM wanted w LEFT JOIN lookup l0 ON k0 = l0.key AND w.project_id = l0.project_id LEFT JOIN lookup l1 ON k1 = l1.key AND w.project_id = l1.project_id LEFT JOIN lookup l2 ON k2 = l2.key AND w.project_id = l2.project_id LEFT JOIN lookup l3 ON k3 = l3.key AND w.project_id = l3.project_id LEFT JOIN lookup l4 ON k4 = l4.key AND w.project_id = l4.project_id)"""
 _REMAINS = has("concat_ws(' ', remarks, door_material, door_type)", r"existing[\s_-]*to[\s_-]*remain|\bETR\b|e\.t\.r\.", "i")
 _NOTE = " ".join(f"WHEN kind = '{k}' THEN {text(V.STATUS_NOTES[k])}" for k in ("BY_OTHERS", "EXISTING_TO_REMAIN", "COILING_SYSTEM", "NO_HW_SET"))
 MAPPED = f"""
 kinds AS (SELECT *, CASE WHEN {contains_any(words_of('door_material', 'door_type', 'frame_type', 'remarks'), V.BY_OTHERS)} THEN 'BY_OTHERS' WHEN {_REMAINS} THEN 'EXISTING_TO_REMAIN'
   WHEN set_label IS NULL AND {contains_any(words_of('door_material', 'door_type', 'remarks'), V.COILING)} THEN 'COILING_SYSTEM' WHEN set_label IS NULL THEN 'NO_HW_SET' END AS kind FROM found),
-opened AS (SELECT k.*, s.hardware_set IS NOT NULL AS there, items FROM kinds k LEFT JOIN sets_ s ON kind IS NULL AND k.set_label = s.hardware_set),
+opened AS (SELECT k.*, s.hardware_set IS NOT NULL AS there, items FROM kinds k LEFT JOIN sets_ s ON kind IS NULL AND k.set_label = s.hardware_set AND k.project_id = s.project_id),
 spread AS (SELECT *, unnest(items) AS item, generate_subscripts(items, 1) AS item_no FROM opened WHERE kind IS NULL AND len(items) > 0
   UNION ALL SELECT *, NULL, NULL FROM opened WHERE kind IS NOT NULL OR coalesce(len(items), 0) = 0),
 mapping AS (SELECT project_id, door_number AS door_mark, row_key, CASE WHEN coalesce(kind, '') NOT IN ('BY_OTHERS', 'COILING_SYSTEM', 'NO_HW_SET') THEN set_label END AS hardware_set, item_no, item.qty AS qty,
@@ -365,7 +365,7 @@ _RISKS = [
     (f"coalesce(fire_rating, '') <> '' AND NOT {has('fire_rating', '^(-|none|non|n/a)$', 'i')}", "medium", "Fire-rated openings", "fire-rated opening(s) require coordinated UL-listed door, frame and hardware assemblies."),
     (has("concat_ws(' ', remarks, door_type)", V.ACCESS_WORDS), "high", "Access control / electrified", "opening(s) involve electrified or access-control hardware."),
 ]
-RISKS = "tagged AS (SELECT f.*, items FROM found f LEFT JOIN sets_ s ON f.set_label = s.hardware_set), risks AS (" + " UNION ALL ".join(f"SELECT project_id, '{s}' AS severity, '{c}' AS category, count(*) AS n, count(*) || ' {t}' AS issue, list_sort(list(door_number)) AS all_ FROM tagged WHERE {test} GROUP BY project_id" for test, s, c, t in _RISKS) + ")"
+RISKS = "tagged AS (SELECT f.*, items FROM found f LEFT JOIN sets_ s ON f.set_label = s.hardware_set AND f.project_id = s.project_id), risks AS (" + " UNION ALL ".join(f"SELECT project_id, '{s}' AS severity, '{c}' AS category, count(*) AS n, count(*) || ' {t}' AS issue, list_sort(list(door_number)) AS all_ FROM tagged WHERE {test} GROUP BY project_id" for test, s, c, t in _RISKS) + ")"
 _CELLS = "list_transform(string_split(trim(trim(line), '|'), '|'), lambda x: nullif(trim(x), ''))"
 
 SQL |= {
@@ -388,7 +388,7 @@ SQL |= {
     "w4_first_component": chain(COMPONENTS, select=f"SELECT row_key, hardware_set_id, description FROM (SELECT *, row_number() OVER (PARTITION BY {join_id('hardware_set_id', V.BLANK)}, upper({txt('description')}) ORDER BY row_key) AS nth FROM parts) WHERE nth = 1"),
     "w7_last_run": chain(RUNS, select="SELECT run_id, row_key, status, doors FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY completed_at DESC, row_key DESC) AS nth FROM runs) WHERE nth = 1"),
     "f28_open_runs": chain(RUNS, select="SELECT DISTINCT run_id FROM runs WHERE run_id NOT IN (SELECT run_id FROM runs WHERE status = 'ok')"),
-    "w5_set_table": chain(COMPONENTS, SETS, select="SELECT set_key, hardware_set, CAST(coalesce(len(items), 0) AS INT) AS n_items, array_to_string(list_transform(items, lambda x: x.desc), ';') AS item_list FROM sets_"),
+    "w5_set_table": chain(COMPONENTS, SETS, select="SELECT project_id, set_key, hardware_set, CAST(coalesce(len(items), 0) AS INT) AS n_items, array_to_string(list_transform(items, lambda x: x.desc), ';') AS item_list FROM sets_"),
     "j11_set_lookup": chain(COMPONENTS, SETS, select="SELECT * FROM lookup"),
     "j12_resolved_doors": chain(*_ALL, select="SELECT project_id, door_number, row_key, hardware_set, set_label, resolved_from FROM found"),
     "j9_mapping": chain(*_ALL, MAPPED, select="SELECT * FROM mapping"),
@@ -396,7 +396,7 @@ SQL |= {
     "j15_noted_openings": chain(DOORS, select="SELECT row_key, bool_or(i % 4 IN (0, 2)) AS existing_to_remain FROM (SELECT row_key, unnest(regexp_extract_all(coalesce(remarks, ''), '[0-9]+')) AS number FROM doors) JOIN (SELECT i, CAST(i AS VARCHAR) AS number FROM range(40) t(i)) USING (number) GROUP BY row_key"),
     "a10_rollup": chain(*_ALL, select="SELECT project_id, count(*) AS total_openings, count(DISTINCT set_label) AS sets_referenced, count(*) FILTER (row_key % 5 = 0) AS high_risk, count(*) FILTER (row_key % 5 > 1) AS medium_risk, count(*) FILTER (row_key % 5 = 1) AS low_risk, count(*) FILTER (row_key % 6 = 1) AS access_control, count(*) FILTER (trim(coalesce(fire_rating, '')) <> '' AND NOT regexp_matches(fire_rating, '^(none|non|n/a|null|-)$', 'i')) AS fire_rated FROM found GROUP BY project_id"),
     "a11_item_takeoff": chain(*_ALL, MAPPED, select="SELECT lower(coalesce(description, '')) AS item, lower(coalesce(catalog_number, '')) AS part, lower(coalesce(finish, '')) AS finish, sum(CASE WHEN coalesce(TRY_CAST(qty AS DOUBLE), 0) = 0 THEN 1.0::DOUBLE ELSE TRY_CAST(qty AS DOUBLE) END) AS qty, count(DISTINCT hardware_set) AS sets, array_to_string(list_sort(list(DISTINCT hardware_set)), ';') AS set_ids FROM mapping WHERE status = 'OK' GROUP BY 1, 2, 3"),
-    "a24_validation": chain(*_ALL, select="SELECT *, CASE WHEN with_set = 0 OR failed_mappings > doors * 0.3 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS status FROM (SELECT project_id, count(*) AS doors, count(*) FILTER (set_label IS NOT NULL AND coalesce(len(items), 0) = 0) AS failed_mappings, count(*) FILTER (set_label IS NULL OR coalesce(door_width, '') = '' OR coalesce(door_height, '') = '' OR coalesce(door_material, '') = '') AS doors_with_missing_fields, count(set_label) AS with_set FROM found f LEFT JOIN sets_ s ON f.set_label = s.hardware_set GROUP BY project_id)").replace("SELECT *, CASE WHEN with_set", "SELECT * EXCLUDE (with_set), CASE WHEN with_set"),
+    "a24_validation": chain(*_ALL, select="SELECT *, CASE WHEN with_set = 0 OR failed_mappings > doors * 0.3 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS status FROM (SELECT f.project_id, count(*) AS doors, count(*) FILTER (set_label IS NOT NULL AND coalesce(len(items), 0) = 0) AS failed_mappings, count(*) FILTER (set_label IS NULL OR coalesce(door_width, '') = '' OR coalesce(door_height, '') = '' OR coalesce(door_material, '') = '') AS doors_with_missing_fields, count(set_label) AS with_set FROM found f LEFT JOIN sets_ s ON f.set_label = s.hardware_set AND f.project_id = s.project_id GROUP BY f.project_id)").replace("SELECT *, CASE WHEN with_set", "SELECT * EXCLUDE (with_set), CASE WHEN with_set"),
     "r17_risks": chain(*_ALL, RISKS, select="SELECT project_id, severity, category, n, issue, array_to_string(all_[1:8], ', ') || CASE WHEN len(all_) > 8 THEN ', ...+' || (len(all_) - 8) || ' more' ELSE '' END AS openings FROM risks"),
     "w14_numbered_findings": chain(*_ALL, RISKS, select="SELECT project_id, printf('RFI-%03d', row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, category, issue)) AS rfi_no, severity, category, n FROM risks"),
     "r19_triage": chain(RUNS, TRIAGE, select="SELECT row_key, run_id, issues, severity, failure_taxonomy FROM kinds"),

@@ -95,19 +95,25 @@ def _aggregate(spark, sf_dir):
     return takeoff.door_aggregate(doors)
 
 
-def _sets(spark, sf_dir):
-    """The sets, which plans below read in several joins."""
-    return settled(mapping.set_table(views.components(spark, sf_dir)))
+def _items(spark, sf_dir):
+    """The items of each project's sets, which plans below read in several joins."""
+    return settled(mapping.set_items(views.components(spark, sf_dir)))
+
+
+def _sets(spark, sf_dir, items=None):
+    """The sets of each project, which plans below read in several joins."""
+    return settled(mapping.set_table(views.components(spark, sf_dir), _items(spark, sf_dir) if items is None else items))
 
 
 def _resolved(spark, sf_dir, sets=None):
-    lookup = settled(mapping.set_lookup(_sets(spark, sf_dir) if sets is None else sets))
+    lookup = settled(mapping.set_lookup(_sets(spark, sf_dir) if sets is None else sets, ["project_id"]))
     return mapping.resolved(views.doors(spark, sf_dir), lookup)
 
 
 def _mapped(spark, sf_dir):
-    sets = _sets(spark, sf_dir)
-    return mapping.mapped(settled(_resolved(spark, sf_dir, sets)), sets)
+    items = _items(spark, sf_dir)
+    sets = _sets(spark, sf_dir, items)
+    return mapping.mapped(settled(_resolved(spark, sf_dir, sets)), sets, items)
 
 
 @query
@@ -224,12 +230,15 @@ def f28_open_runs(spark, sf_dir):
 
 @query
 def w5_set_table(spark, sf_dir):
-    return _sets(spark, sf_dir).select("set_key", "hardware_set", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.array_join(F.col("items.desc"), ";").alias("item_list"))
+    items = _items(spark, sf_dir)
+    shown = items.groupBy("project_id", "set_key").agg(F.array_sort(F.collect_list(F.struct("item_no", "desc"))).alias("said"))
+    named = _sets(spark, sf_dir, items).join(shown, ["project_id", "set_key"], "left")
+    return named.select("project_id", "set_key", "hardware_set", "n_items", F.array_join(F.col("said.desc"), ";").alias("item_list"))
 
 
 @query
 def j11_set_lookup(spark, sf_dir):
-    return mapping.set_lookup(_sets(spark, sf_dir))
+    return mapping.set_lookup(_sets(spark, sf_dir), ["project_id"])
 
 
 @query

@@ -95,9 +95,10 @@ def f22_found_doors(spark, sf_dir):
     return summaries.found_doors(doors, "SET", "low").select("project_id", "door_number", "row_key", "remarks")
 
 
-@query(O.chain(O.COMPONENTS, O.SETS, select="SELECT set_key, hardware_set FROM sets_ WHERE contains(lower(hardware_set), 'clos') OR len(list_filter(coalesce(items, []), lambda i: contains(lower(coalesce(i.desc, '')), 'clos') OR contains(lower(coalesce(i.part, '')), 'clos'))) > 0"))
+@query(O.chain(O.COMPONENTS, O.SETS, select="SELECT project_id, set_key, hardware_set FROM sets_ WHERE contains(lower(hardware_set), 'clos') OR len(list_filter(coalesce(items, []), lambda i: contains(lower(coalesce(i.desc, '')), 'clos') OR contains(lower(coalesce(i.part, '')), 'clos'))) > 0"))
 def f23_found_sets(spark, sf_dir):
-    return summaries.found_sets(mapping.set_table(views.components(spark, sf_dir)), "Clos").select("set_key", "hardware_set")
+    items = mapping.set_items(views.components(spark, sf_dir))
+    return summaries.found_sets(mapping.set_table(views.components(spark, sf_dir), items), items, "Clos").select("project_id", "set_key", "hardware_set")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey % 4 = 1 AND o_orderkey % 3 = 2")
@@ -205,13 +206,13 @@ def u8_signed_findings(spark, sf_dir):
     return merge.signed_findings(ours, theirs).select("project_id", "category", "severity", F.col("openings")[0].alias("opening"), "issue", "status")
 
 
-@query(O.chain(*O._ALL, select="SELECT hardware_set, 'found' AS status, 1.0::DOUBLE AS confidence, CAST(coalesce(len(items), 0) AS INT) AS n_items FROM sets_ UNION ALL SELECT DISTINCT set_label, 'missing', 0.3::DOUBLE, 0 FROM found WHERE set_label <> '' AND set_label NOT IN (SELECT hardware_set FROM sets_)"))
+@query(O.chain(*O._ALL, select="SELECT project_id, hardware_set, 'found' AS status, 1.0::DOUBLE AS confidence, CAST(coalesce(len(items), 0) AS INT) AS n_items FROM sets_ UNION ALL SELECT DISTINCT project_id, set_label, 'missing', 0.3::DOUBLE, 0 FROM found WHERE set_label <> '' AND NOT EXISTS (SELECT 1 FROM sets_ WHERE sets_.project_id = found.project_id AND hardware_set = set_label)"))
 def j14_with_missing_sets(spark, sf_dir):
     from lintel.plans import queries
 
     sets = queries._sets(spark, sf_dir)
-    held = sets.select("hardware_set", F.lit("found").alias("status"), F.lit(1.0).alias("confidence"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"))
-    return merge.with_missing_sets(held, queries._resolved(spark, sf_dir, sets).select(F.col("set_label").alias("hardware_set")))
+    held = sets.select("project_id", "hardware_set", F.lit("found").alias("status"), F.lit(1.0).alias("confidence"), "n_items")
+    return merge.with_missing_sets(held, queries._resolved(spark, sf_dir, sets).select("project_id", F.col("set_label").alias("hardware_set")))
 
 
 @query(O.chain(O.COMPONENTS, select="""SELECT row_key, hardware_set_id, side FROM (SELECT *, row_number() OVER (PARTITION BY upper(trim(hardware_set_id)) ORDER BY side, row_key) AS nth FROM (SELECT row_key, lower(hardware_set_id) AS hardware_set_id, 1 AS side FROM parts WHERE row_key % 3 > 0
@@ -257,10 +258,11 @@ def p39_tagged_witness(spark, sf_dir):
     return summaries.tagged_witness(rows, F.lit("x.pdf"), F.col("project_id"), F.when(F.col("row_key") % 2 == 0, "direct_pdf_added").otherwise("direct_pdf_confirmed"))
 
 
-@query(O.chain(O.COMPONENTS, O.SETS, select="SELECT hardware_set AS id, coalesce(CASE WHEN length(set_key) = 1 THEN 'note ' || set_key END, hardware_set) AS name, CAST(coalesce(len(items), 0) AS INT) AS n_items, coalesce(list_sum(list_transform(items, lambda i: CASE WHEN coalesce(TRY_CAST(i.qty AS DOUBLE), 0) = 0 THEN 1.0 ELSE TRY_CAST(i.qty AS DOUBLE) END)), 0)::DOUBLE AS qty FROM sets_"))
+@query(O.chain(O.COMPONENTS, O.SETS, select="SELECT project_id, hardware_set AS id, coalesce(CASE WHEN length(set_key) = 1 THEN 'note ' || set_key END, hardware_set) AS name, CAST(coalesce(len(items), 0) AS INT) AS n_items, coalesce(list_sum(list_transform(items, lambda i: CASE WHEN coalesce(TRY_CAST(i.qty AS DOUBLE), 0) = 0 THEN 1.0 ELSE TRY_CAST(i.qty AS DOUBLE) END)), 0)::DOUBLE AS qty FROM sets_"))
 def p44_legacy_sets(spark, sf_dir):
-    sets = mapping.set_table(views.components(spark, sf_dir)).withColumn("estimator_note", F.when(F.length("set_key") == 1, F.concat(F.lit("note "), "set_key")))
-    return summaries.legacy_sets(sets).select("id", "name", F.size("items").alias("n_items"), F.aggregate("items", F.lit(0.0), lambda a, i: a + i["qty"]).alias("qty"))
+    items = mapping.set_items(views.components(spark, sf_dir))
+    sets = mapping.set_table(views.components(spark, sf_dir), items).withColumn("estimator_note", F.when(F.length("set_key") == 1, F.concat(F.lit("note "), "set_key")))
+    return summaries.legacy_sets(sets, items).select("project_id", "id", "name", F.size("items").alias("n_items"), F.aggregate("items", F.lit(0.0), lambda a, i: a + i["qty"]).alias("qty"))
 
 
 @query("""SELECT coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'P-' || o_orderkey END, substr('run_' || o_orderkey, 1, 8)) AS id, coalesce(nullif(CASE WHEN o_custkey % 3 > 0 THEN CASE o_custkey % 3 WHEN 1 THEN '' ELSE 'a ' || o_orderstatus END END, ''), 'user ' || o_custkey) AS client, CAST(coalesce(CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 40 END, 7) AS INT) AS doors,
@@ -519,25 +521,27 @@ def a14_set_prices(spark, sf_dir):
     return good.groupBy("project_id", N.join_id(F.col("hardware_set_id")).alias("set_id")).agg(F.sum(price).cast("double").alias("set_price"))
 
 
-@query(O.chain(*O._ALL, select="SELECT DISTINCT set_label FROM found JOIN sets_ ON set_label = sets_.hardware_set WHERE coalesce(len(items), 0) = 0"))
+@query(O.chain(*O._ALL, select="SELECT DISTINCT found.project_id, set_label FROM found JOIN sets_ ON set_label = sets_.hardware_set AND found.project_id = sets_.project_id WHERE coalesce(len(items), 0) = 0"))
 def j20_empty_references(spark, sf_dir):
-    """Sets that doors name and that have no items."""
+    """Sets that doors of their project name and that have no items."""
     from lintel.plans import queries
 
     sets = queries._sets(spark, sf_dir)
-    named = queries._resolved(spark, sf_dir, sets).select("set_label").distinct()
-    return named.join(sets.where("coalesce(size(items), 0) <= 0").select(F.col("hardware_set").alias("set_label")), "set_label", "left_semi")
+    named = queries._resolved(spark, sf_dir, sets).select("project_id", "set_label").distinct()
+    return named.join(sets.where("n_items = 0").select("project_id", F.col("hardware_set").alias("set_label")), ["project_id", "set_label"], "left_semi")
 
 
-@query(O.chain(*O._ALL, select="SELECT set_label, n AS doors, item.desc AS description, item.part AS part, item.qty AS qty FROM (SELECT set_label, count(*) AS n FROM found WHERE set_label IS NOT NULL GROUP BY 1) JOIN (SELECT hardware_set, unnest(items) AS item FROM sets_) ON set_label = hardware_set"))
+@query(O.chain(*O._ALL, select="SELECT project_id, set_label, n AS doors, item.desc AS description, item.part AS part, item.qty AS qty FROM (SELECT project_id, set_label, count(*) AS n FROM found WHERE set_label IS NOT NULL GROUP BY ALL) JOIN (SELECT project_id, hardware_set AS set_label, unnest(items) AS item FROM sets_) USING (project_id, set_label)"))
 def j24_takeoff_lines(spark, sf_dir):
-    """Each item of each set that doors name, with the number of those doors."""
+    """Each item of each set that doors of its project name, with the number of those doors."""
     from lintel.plans import queries
 
-    sets = queries._sets(spark, sf_dir)
-    named = queries._resolved(spark, sf_dir, sets).where("set_label is not null").groupBy("set_label").agg(F.count("*").alias("doors"))
-    items = sets.select(F.col("hardware_set").alias("set_label"), F.explode("items").alias("item"))
-    return named.join(items, "set_label").select("set_label", "doors", F.col("item.desc").alias("description"), F.col("item.part").alias("part"), F.col("item.qty").alias("qty"))
+    items = queries._items(spark, sf_dir)
+    sets = queries._sets(spark, sf_dir, items)
+    place = ["project_id", "set_label"]
+    named = queries._resolved(spark, sf_dir, sets).where("set_label is not null").groupBy(*place).agg(F.count("*").alias("doors"))
+    labelled = sets.select("project_id", "set_key", F.col("hardware_set").alias("set_label")).join(items, ["project_id", "set_key"])
+    return named.join(labelled, place).select(*place, "doors", F.col("desc").alias("description"), "part", "qty")
 
 
 @query(O.chain(O.COMPONENTS, f"""i17 AS (SELECT {O.set_key('hardware_set_id')} AS set_key, description AS "desc", coalesce(catalog_number, '') AS part, coalesce(qty_raw, '') AS qty, row_key % 3 = 0 AS rescued, row_key FROM parts), o17 AS (SELECT DISTINCT set_key FROM i17 WHERE NOT rescued),

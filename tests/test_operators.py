@@ -1,6 +1,11 @@
 """Relational operators on small cases."""
 
-from lintel.operators import bid, layout, mapping, parse, reconcile, reports, rules, takeoff
+from collections import Counter
+
+import pytest
+
+from lintel.functions import vocabulary as V
+from lintel.operators import bid, layout, mapping, parse, reconcile, reports, rules, skew, takeoff
 
 DOORS = "project_id string, source_file string, page int, door_number string, hardware_set string, door_width string, door_height string, door_type string, door_material string, frame_type string, fire_rating string, level_area string, remarks string, row_key long"
 PARTS = "project_id string, hardware_set_id string, description string, catalog_number string, finish_code string, manufacturer_code string, qty_raw string, notes string, row_key long"
@@ -58,8 +63,9 @@ def test_mapping(spark):
         [door("1", "HW-1", 1), door("2", "9", 2), door("3", None, 3), door("4", "1", 4, remarks="NIC"), door("5", "1", 5, remarks="existing to remain"), door("6", None, 6, door_type="coiling"), door("7", "1 & 2", 7), door("8", "1, 9", 8), door("2A", None, 9)], DOORS
     )
     parts = spark.createDataFrame([part("Set 1", "HINGE", "3", 1), part("1.0", "LOCK", "1", 2), part("1.0", "hinge", "3", 3), part("2", "CLOSER", "1", 4), part("2A", "STOP", "1", 5)], PARTS)
-    sets = mapping.set_table(parts)
-    found = mapping.mapped(mapping.resolved(doors, mapping.set_lookup(sets)), sets)
+    items = mapping.set_items(parts)
+    sets = mapping.set_table(parts, items)
+    found = mapping.mapped(mapping.resolved(doors, mapping.set_lookup(sets, ["project_id"])), sets, items)
     rows: dict = {}
     for r in found.collect():
         rows.setdefault(r.door_mark, []).append((r.status, r.description))
@@ -70,6 +76,31 @@ def test_mapping(spark):
     assert rows["8"][0][0] == "FAILED_EXTRACTION_REVIEW_REQUIRED" and rows["2A"] == [("OK", "STOP")]
 
 
+def test_mapping_stays_in_its_project(spark):
+    """Two projects with sets of one name keep their items; a compound label takes its sets in order, or fails whole."""
+    other = lambda row: ("q", *row[1:])
+    doors = spark.createDataFrame([door("1", "1", 1), other(door("1", "1", 2)), door("2", "2 and 1", 3), other(door("2", "1 & 2", 4)), other(door("3", "3", 5))], DOORS)
+    parts = spark.createDataFrame([part("1", "HINGE", "3", 1), part("2", "LOCK", "1", 2), part("2", "CLOSER", "1", 3), other(part("1", "STOP", "1", 4)), other(part("3", "HARDWARE SET", None, 5))], PARTS)
+    items = mapping.set_items(parts)
+    sets = mapping.set_table(parts, items)
+    found = mapping.mapped(mapping.resolved(doors, mapping.set_lookup(sets, ["project_id"])), sets, items).collect()
+    rows = {(r.project_id, r.door_mark, r.item_no): (r.status, r.description) for r in found}
+    absent, empty = (V.STATUS_NOTES[k] for k in ("ABSENT", "EMPTY"))
+    failed = "FAILED_EXTRACTION_REVIEW_REQUIRED"
+    assert rows == {("p", "1", 1): ("OK", "HINGE"), ("q", "1", 1): ("OK", "STOP"), ("p", "2", 1): ("OK", "LOCK"), ("p", "2", 2): ("OK", "CLOSER"), ("p", "2", 3): ("OK", "HINGE"), ("q", "2", None): (failed, absent), ("q", "3", None): (failed, empty)}
+
+
+@pytest.mark.parametrize("limit", [1, 6, 40, 10**9])
+def test_spread_join(spark, limit):
+    """Whatever is split, the join is the join: hot keys on either side, on both, repeated rows, nulls, empty sides."""
+    left = [(k % 3, i, "x") for k in (0, 0, 0, 0, 1, 2, 3, 5) for i in range(9)] + [(None, 1, "n"), (4, 0, "x"), (4, 0, "x")]
+    right = [(k, j) for k, n in ((0, 2), (1, 30), (2, 11), (4, 1), (9, 4)) for j in range(n)] + [(None, 5)]
+    lefts, rights = spark.createDataFrame(left, "k int, i int, c string"), spark.createDataFrame(right, "k int, j int")
+    want = Counter((a[0], a[1], a[2], b[1]) for a in left for b in right if a[0] is not None and a[0] == b[0])
+    assert Counter(map(tuple, skew.spread_join(lefts, rights, ["k"], limit).select("k", "i", "c", "j").collect())) == want
+    assert skew.spread_join(lefts.limit(0), rights, ["k"], limit).collect() == []
+
+
 def test_bid_overrides_of_zero_count(spark):
     projects = spark.createDataFrame([("p", 50.0, 60.0, 0.5, 100.0, 10.0, 5.0, 250.0, 10.0, 20.0, 25.0, 8.0, 10.0, True, False, True, True, 2, 1)], "project_id string, distance_miles double, wage_scale_carpenter double, gas_allowance_per_mile double, hotel_allowance_per_day double, meal_allowance_per_day double, parking_allowance_per_day double, tool_mobilization_allowance double, labor_burden_pct double, overhead_pct double, profit_markup_pct double, sales_tax_pct double, material_markup_pct double, drug_testing boolean, parking_required boolean, outstation_stay boolean, apply_tax_to_equipment boolean, doors_level_1 int, doors_above_level_1 int")
     rows = spark.createDataFrame([("p", 4, 30.0, 100.0, None, 0.0), ("p", 2, 60.0, 50.0, 0.0, None), ("p", 1, None, None, None, None)], "project_id string, total_qty_project int, install_time_mins double, default_unit_price double, override_install_time_mins double, override_unit_price double")
@@ -83,8 +114,9 @@ def test_bid_overrides_of_zero_count(spark):
 
 def test_risks_and_marks(spark):
     doors = spark.createDataFrame([door(str(i), None, i) for i in range(10)], DOORS)
-    sets = mapping.set_table(spark.createDataFrame([], PARTS))
-    row = rules.risks(mapping.resolved(doors, mapping.set_lookup(sets)), sets).first()
+    parts = spark.createDataFrame([], PARTS)
+    sets = mapping.set_table(parts, mapping.set_items(parts))
+    row = rules.risks(mapping.resolved(doors, mapping.set_lookup(sets, ["project_id"])), sets).first()
     assert (row.category, row.n, row.openings) == ("Hardware mapping", 10, "0, 1, 2, 3, 4, 5, 6, 7, ...+2 more")
 
 
