@@ -409,8 +409,9 @@ SQL |= {
       FROM (SELECT *, CASE WHEN {has('line', r'^\s*(?:HARDWARE\s+)?(?:SET|GROUP)\b\s*(?:NO\.?|#)?\s*\S+', 'i')} THEN regexp_extract(line, '(?i)(?:SET|GROUP)\\b\\s*(?:NO\\.?|#)?\\s*([A-Za-z0-9.-]+)', 1) END AS header
       FROM (SELECT page_id, unnest(string_split(body, chr(10))) AS line, CAST(generate_subscripts(string_split(body, chr(10)), 1) - 1 AS INT) AS line_no FROM bodies))) WHERE header IS NULL AND {has('line', V.COMPONENT_WORDS, 'i')}"""),
     "w12_page_context": "SELECT conv_id, turn, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_mark FROM (SELECT *, CASE WHEN role = 'user' THEN text END AS mark FROM conversations)",
-    "s9_text_rows": chain(BOXES, select="""SELECT page_id, "row", string_agg(CASE WHEN before IS NULL THEN word WHEN x0 - before > gap THEN ' | ' || word ELSE ' ' || word END, '' ORDER BY x0, x1, word) AS line FROM (SELECT *, lag(x1) OVER (PARTITION BY page_id, "row" ORDER BY x0, x1, word) AS before
-      FROM (SELECT page_id, x0, x1, CAST(box_id AS VARCHAR) AS word, CAST(round(y0 / greatest(3, least(8, h * 0.8))) AS BIGINT) AS "row", greatest(12, least(30, h * 2)) AS gap FROM boxes JOIN (SELECT page_id, quantile_cont(7.0 + box_id % 3, 0.5) AS h FROM boxes GROUP BY page_id) USING (page_id))) GROUP BY page_id, "row\""""),
+    "s9_text_rows": chain(BOXES, "words AS (SELECT *, CASE WHEN box_id % 7 = 0 THEN 0.0 ELSE 5.0 + page_id % 9 + box_id % 3 END AS tall FROM (SELECT * REPLACE (CASE WHEN box_id % 1000 < 15 THEN -1 - box_id // 1000 ELSE page_id END AS page_id) FROM boxes))", select="""SELECT page_id, "row", string_agg(CASE WHEN before IS NULL THEN word WHEN x0 - before > gap THEN '  |  ' || word ELSE ' ' || word END, '' ORDER BY x0, x1, word) AS line FROM (SELECT *, lag(x1) OVER (PARTITION BY page_id, "row" ORDER BY x0, x1, word) AS before
+      FROM (SELECT page_id, x0, x1, trim(w) AS word, CAST(round_even(y0 / greatest(3, least(8, h * 0.8)), 0) AS BIGINT) AS "row", greatest(12, least(30, h * 2.4)) AS gap
+      FROM (SELECT *, CASE WHEN box_id % 11 = 0 THEN ' ' ELSE ' w' || box_id || ' ' END AS w FROM words) JOIN (SELECT page_id, coalesce(quantile_cont(tall, 0.5) FILTER (tall > 0), 6) AS h, count(*) AS n FROM words GROUP BY page_id) USING (page_id) WHERE n >= 20 AND trim(w) <> '')) GROUP BY page_id, "row\""""),
     "j27_nearest_values": chain(BOXES, select="SELECT page_id, anchor_id, arg_min(text, (d, iy, ix, text)) AS text FROM (SELECT a.page_id, a.box_id AS anchor_id, CAST(b.box_id AS VARCHAR) AS text, abs(b.x0 - a.x1) AS d, b.y0 AS iy, b.x0 AS ix FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND abs(b.y0 - a.y1) <= 12 WHERE a.box_id % 20 = 0) GROUP BY ALL").replace("GROUP BY ALL", "GROUP BY page_id, anchor_id"),
     "j29_segments": chain(BOXES, "i AS (SELECT page_id, y0 + box_id % 5 AS y, x0 AS x, CASE WHEN box_id % 60 = 0 THEN 'SET ' ELSE 'item ' END || box_id AS text FROM boxes)", "h AS (SELECT page_id, y AS from_y, text AS header, coalesce(lead(y) OVER (PARTITION BY page_id ORDER BY y, text), 1e18) AS to_y FROM i WHERE starts_with(text, 'SET '))", select="SELECT page_id, header, y, x, text FROM i JOIN h USING (page_id) WHERE NOT starts_with(text, 'SET ') AND y >= from_y + 4 AND y < to_y - 2"),
     "x_sessions": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",

@@ -434,8 +434,11 @@ def j26_distinct_rectangles(spark, sf_dir):
 
 @query
 def s9_text_rows(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
-    return layout.text_rows(b.select("page_id", "x0", "x1", F.col("y0").alias("top"), (F.col("y0") + 7 + F.col("box_id") % 3).alias("bottom"), F.col("box_id").cast("string").alias("word")))
+    """Word boxes of pages with heights of 0, blank words, and now and then too few words for lines."""
+    b = _boxes(spark, sf_dir).withColumn("page_id", F.when(F.col("box_id") % 1000 < 15, -1 - F.floor(F.col("box_id") / 1000)).otherwise(F.col("page_id")))
+    tall = F.when(F.col("box_id") % 7 == 0, 0.0).otherwise(5.0 + F.col("page_id") % 9 + F.col("box_id") % 3)
+    word = F.when(F.col("box_id") % 11 == 0, " ").otherwise(F.concat(F.lit(" w"), F.col("box_id").cast("string"), F.lit(" ")))
+    return layout.text_rows(b.select("page_id", "x0", "x1", F.col("y0").alias("top"), (F.col("y0") + tall).alias("bottom"), word.alias("word")))
 
 
 @query
@@ -464,6 +467,13 @@ def t5_nearest_vectors(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
 
 
+@query
+def t5_indexed_vectors(spark, sf_dir):
+    vectors = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = retrieve.nearest_by_index(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
+    return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query
 def k10_schedule_lines(spark, sf_dir):
     return sinks.schedule_lines(views.doors(spark, sf_dir).withColumn("room_or_location", F.when(F.col("row_key") % 2 == 0, F.concat(F.lit("HALL to ROOM "), F.col("page")))))

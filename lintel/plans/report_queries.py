@@ -1,5 +1,6 @@
 """Queries of short reports, merges and row filters, each with its SQL."""
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lintel.functions import normalise as N
 from lintel.functions import pages as G
 from lintel.functions import vocabulary as V
-from lintel.operators import answers, gates, mapping, merge, ocr, parse, reconcile, reports, rules, summaries, takeoff, validate
+from lintel.operators import answers, gates, mapping, merge, ocr, ordinals, parse, reconcile, reports, rules, summaries, takeoff, validate
 from lintel.operators.distinct import with_distinct
 from lintel.plans import oracle as O
 from lintel.plans import views
@@ -150,12 +151,12 @@ def t2_missing_references(spark, sf_dir):
     return merge.missing_references(views.doors(spark, sf_dir), views.components(spark, sf_dir), "project_id")
 
 
-@query(O.chain(O.DIRTY, select=f"SELECT value, CAST(row_number() OVER (ORDER BY CASE WHEN {O.has('value', '^[0-9]+$')} THEN 0 ELSE 1 END, CASE WHEN {O.has('value', '^[0-9]+$')} THEN CAST(value AS BIGINT) ELSE 0 END, value) AS INT) AS place FROM (SELECT DISTINCT value FROM raw WHERE value IS NOT NULL)"))
+@query(O.chain(O.DIRTY, select=f"SELECT value, CAST(row_number() OVER (ORDER BY CASE WHEN {O.has('value', '^[0-9]+$')} THEN 0 ELSE 1 END, CASE WHEN {O.has('value', '^[0-9]+$')} THEN CAST(value AS BIGINT) ELSE 0 END, value) AS BIGINT) AS place FROM (SELECT DISTINCT value FROM (SELECT value FROM raw UNION ALL SELECT p_name FROM part UNION ALL SELECT CAST(c_custkey AS VARCHAR) FROM customer) WHERE value IS NOT NULL)"))
 def t1_natural_order(spark, sf_dir):
-    """Places of the different dirty values, a few thousand at any size, in natural order."""
-    values = views.dirty(spark, sf_dir).select("value").where("value is not null").distinct()
-    ordered = F.array_sort(F.collect_list(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(merge.natural_order(F.col("value")))))))
-    return values.agg(ordered.alias("rows")).select(F.posexplode("rows").alias("at", "r")).select(F.col("r.k2").alias("value"), (F.col("at") + 1).alias("place"))
+    """Places of the different values in natural order: dirty values, and the names of all parts and customers."""
+    names = [views.dirty(spark, sf_dir).select("value"), views.table(spark, sf_dir, "part").select("p_name"), views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"))]
+    values = functools.reduce(DataFrame.union, names).where("value is not null").distinct()
+    return ordinals.numbered(values, merge.natural_order(F.col("value")))
 
 
 @query(f"SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower({O.txt('text')}) ORDER BY turn) AS nth FROM (SELECT conv_id, turn, role || ' ' || substr(coalesce(text, ''), 1, 2) AS text FROM conversations)) WHERE nth = 1")
