@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
+from lintel.functions.normalise import bound, strip
 from lintel.functions.predicates import any_of
 
 _SIGNALS = {"dimensions": V.DIMENSION, "cad_shorthand": V.CAD_SIZE, "schedule_headers": V.PAGE_HEADER, "hw_set_headers": V.SET_HEADER, "hw_components": V.PAGE_COMPONENT, "title_block_markers": V.PAGE_TITLE, "cid_garbage": V.CID}
@@ -118,8 +119,42 @@ def split_row(c: Column) -> Column:
     return F.when(c.contains("|"), F.transform(cells, lambda x: F.nullif(F.btrim(x), F.lit("")))).otherwise(F.array().cast("array<string>"))
 
 
-def repaired_json(c: Column) -> Column:
-    """JSON without trailing commas and with the closing brackets that are missing."""
-    s = F.regexp_replace(F.btrim(c), r",\s*([}\]])", "$1")
-    missing = lambda a, b: F.greatest(F.lit(0), F.regexp_count(s, F.lit(a)) - F.regexp_count(s, F.lit(b)))
-    return F.concat(s, F.repeat(F.lit("}"), missing(r"\{", r"\}")), F.repeat(F.lit("]"), missing(r"\[", r"\]")))
+#: Pieces of a JSON text: a string, whole or broken off, a bracket, or what stands between. Possessive, so that no matcher recurses.
+_JSON_PIECES = r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}\[\]]|[^"{}\[\]]++'
+
+
+def salvaged_json(c: Column) -> tuple[Column, Column]:
+    """A broken JSON text mended in two ways: its open brackets closed in order where it ends with a whole value, and cut back to
+    the last whole object or list with the brackets around it closed; null where a way does not apply.
+
+    One fold over strings, brackets and the rest: brackets inside strings do not count, commas before a closing bracket go,
+    what follows the first whole value is dropped.
+    """
+    state = lambda stack, cut, held, done: F.struct(stack.alias("stack"), cut.alias("cut"), held.alias("held"), done.alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        opens, closes = x["piece"].isin("{", "["), x["piece"].isin("}", "]")
+        popped = F.substring(a["stack"], F.lit(1), F.length(a["stack"]) - 1)
+        return F.when(a["done"], a).when(opens, state(F.concat(a["stack"], x["piece"]), a["cut"], a["held"], a["done"])).when(closes, state(popped, x["at"], popped, popped == "")).otherwise(a)
+
+    def closed(pieces: Column, n: Column, stack: Column) -> Column:
+        kept = F.slice(pieces, F.lit(1), n)
+        before_end = lambda x, i: F.coalesce(F.get(kept, i + 1).isin("}", "]"), i + 1 == n) & ~x.startswith('"')
+        text = F.array_join(F.transform(kept, lambda x, i: F.when(before_end(x, i), F.regexp_replace(x, r",\s*$", "")).otherwise(x)), "")
+        return F.concat(text, F.reverse(F.translate(stack, "{[", "}]")))
+
+    def mended(pieces: Column) -> Column:
+        numbered = F.transform(pieces, lambda x, i: F.struct(x.alias("piece"), (i + 1).alias("at")))
+        zero = state(F.lit(""), F.lit(0), F.lit(""), F.lit(False))
+        last = F.get(pieces, F.size(pieces) - 1)
+        whole = last.isin("}", "]") | (last.startswith('"') & last.endswith('"') & (F.length(last) > 1))
+        return bound(
+            F.aggregate(numbered, zero, step),
+            lambda a: F.struct(
+                F.when(a["done"], closed(pieces, a["cut"], F.lit(""))).when(whole, closed(pieces, F.size(pieces), a["stack"])).alias("closed"),
+                F.when(a["cut"] > 0, closed(pieces, a["cut"], a["held"])).alias("cut"),
+            ),
+        )
+
+    found = bound(F.regexp_extract_all(strip(c), F.lit(_JSON_PIECES), F.lit(0)), mended)
+    return found["closed"], found["cut"]

@@ -298,3 +298,14 @@ FINISH_CODE = r"^(?:(?:US)?\d{3}[A-Z]{0,2}|(?:US)?\d{2}[A-Z]{1,2}|(?:US)?[A-Z]{2
 INCHES_WHOLE = r'^(\d+)(?:\s+\d+/\d+)?\s*"?$'
 INCHES_DECIMAL = r'^(\d+\.\d+)\s*"?$'
 INCHES_FRACTION = r'^\d+\s+(\d+)/(\d+)\s*"?$'
+
+# Signals that a page's reading must not lose, the marker between pages, cells and optical rows.
+DOOR_SIGNAL = r"(?i)\bdoor\s+schedule\b|\bopening\s+(?:no|number|mark)\b|\bdoor\s+(?:no|number|mark)\b"
+HARDWARE_SIGNAL = r"(?i)\bhardware\s+(?:set|sets|group|groups)\b|\bhw\s+set\b|\bhw\s+group\b|\bhardware\s+specification\b"
+PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
+CELL_LENGTH, ROW_HEIGHT, LEAST_CONFIDENCE = 80, 15, 0.3
+
+# Tokens of a model's context and of an answer by the model's name, the first that fits; what an image and the reserve take.
+CONTEXT_TOKENS = [("^(gpt-4o|gpt-4[.]1|gpt-5|o1|o3)", 128000), ("llama-3[.]3|70b", 128000), ("qwen3", 32768), ("qwen2[.]5", 32768), ("llama3[.]1", 128000)]
+OUTPUT_TOKENS = [("^(gpt-4o|gpt-4[.]1|gpt-5|o1|o3)", 12000), ("qwen3-vl", 4096), ("qwen|llama|mistral", 6144)]
+USUAL_CONTEXT, USUAL_OUTPUT, IMAGE_TOKENS, RESERVED_TOKENS, LEAST_TOKENS = 8192, 4096, 1200, 768, 512

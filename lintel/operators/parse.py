@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import squeeze, strip
-from lintel.functions.pages import repaired_json, split_row
+from lintel.functions.pages import salvaged_json, split_row
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -55,10 +55,11 @@ def sections(docs: DataFrame, mark: str = "## ") -> DataFrame:
 
 
 def json_rows(answers: DataFrame, fields: str) -> DataFrame:
-    """Rows of a JSON array in each answer (answer_id, answer), without thinking and code fences, repaired."""
+    """Rows of a JSON array in each answer (answer_id, answer), without thinking and code fences; a broken one is mended, a truncated one cut back to its last whole row."""
     bare = F.regexp_replace("answer", r"(?s)<think>.*?</think>|```(?:json)?", "")
     whole = F.regexp_extract(bare, r"(?s)(\[.*)", 1)
-    parsed = F.coalesce(F.from_json(whole, f"array<struct<{fields}>>"), F.from_json(repaired_json(whole), f"array<struct<{fields}>>"))
+    read = lambda text: F.from_json(text, f"array<struct<{fields}>>")
+    parsed = F.coalesce(read(whole), *map(read, salvaged_json(whole)))
     return answers.select("answer_id", F.posexplode(parsed).alias("row_no", "row")).select("answer_id", "row_no", "row.*")
 
 

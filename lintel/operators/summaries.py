@@ -141,6 +141,24 @@ def legacy_sets(sets: DataFrame, items: DataFrame) -> DataFrame:
     return named.join(held, ["project_id", "set_key"], "left").select("project_id", "id", "name", F.coalesce("items", F.array()).alias("items"))
 
 
+def valid_requests(requests: DataFrame, sessions: DataFrame, users: DataFrame, bin_s: int = 86_400) -> DataFrame:
+    """Requests (request_id, token, ts) of live sessions of active users: (request_id, session_id, user_id), the session issued last.
+
+    sessions: session_id, user_id, token_hash, issued_at, expires_at, revoked_at. Only the hashes of tokens are stored and compared. A
+    session stands in a bin for each stretch of time that it lives in, a request in one: an equi-join on (hash, bin), so that a token
+    in long use does not meet its whole history. users: user_id, status.
+    """
+    at = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bin_s)
+    ends = F.least("expires_at", F.coalesce("revoked_at", "expires_at"))
+    live = sessions.withColumn("ends_at", ends).where("ends_at > issued_at")
+    binned = live.select("session_id", "user_id", "token_hash", "issued_at", "ends_at", F.explode(F.sequence(at("issued_at"), at("ends_at"))).alias("bin"))
+    asked = requests.select("request_id", "ts", F.sha2("token", 256).alias("token_hash"), at("ts").alias("bin"))
+    met = asked.join(binned, ["token_hash", "bin"]).where((F.col("ts") >= F.col("issued_at")) & (F.col("ts") < F.col("ends_at")))
+    active = met.join(users.where("status = 'active'").select("user_id"), "user_id")
+    latest = active.groupBy("request_id").agg(F.max_by(F.struct("session_id", "user_id"), F.struct("issued_at", "session_id")).alias("s"))
+    return latest.select("request_id", "s.session_id", "s.user_id")
+
+
 def proposal_index(runs: DataFrame) -> DataFrame:
     """A run as a row of the proposal list: its id, client, doors, status and day."""
     review = F.col("status") == "review_required"

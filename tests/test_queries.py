@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lintel.plans import oracle, page_queries, queries, report_queries
+from lintel.plans import document_queries, oracle, page_queries, queries, report_queries
 
-QUERIES = queries.QUERIES | report_queries.QUERIES | page_queries.QUERIES
-SQL = oracle.SQL | report_queries.SQL | page_queries.SQL
+QUERIES = queries.QUERIES | report_queries.QUERIES | page_queries.QUERIES | document_queries.QUERIES
+SQL = oracle.SQL | report_queries.SQL | page_queries.SQL | document_queries.SQL
 
 DATA = os.environ.get("LINTEL_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
