@@ -1,5 +1,6 @@
 """Queries of document texts, extracted tables, broken answers and sessions, each with its SQL."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from lintel.functions import vocabulary as V
 from lintel.operators import parse, summaries, texts
 from lintel.plans import oracle as O
 from lintel.plans import views
+from lintel.plans.storage import remove_table, settled, shared_folder
+from lintel.sources import files
+from lintel.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +145,28 @@ def j22_valid_requests(spark, sf_dir):
     sessions = events.where("event_id % 5 = 0").select(F.col("event_id").alias("session_id"), "user_id", F.sha2(token(3), 256).alias("token_hash"), F.col("ts").alias("issued_at"), (F.col("ts") + day(336)).alias("expires_at"), F.when(F.col("event_id") % 7 == 0, F.col("ts") + day(30)).alias("revoked_at"))
     users = events.select("user_id", F.when(F.col("user_id") % 6 == 0, "disabled").otherwise("active").alias("status")).distinct()
     return summaries.valid_requests(events.select(F.col("event_id").alias("request_id"), token(4).alias("token"), "ts"), sessions, users)
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS job_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, ts FROM events),
+n AS (SELECT *, CASE WHEN status IN ('completed', 'failed') AND coalesce(lead(ts) OVER w > ts + INTERVAL 6 HOUR, true) THEN ts + INTERVAL 6 HOUR END AS expired_at FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+l AS (SELECT *, coalesce(count(expired_at) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM n)
+SELECT job_id, status, ts AS finished_at, expired_at, n_events FROM (SELECT *, count(*) OVER (PARTITION BY job_id, life) AS n_events FROM l) WHERE expired_at < (SELECT max(ts) FROM events)""")
+def m2_expired_jobs(spark, sf_dir):
+    """Each user's events as those of a job, until the last event of all."""
+    events = views.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    now = events.agg(F.max("ts").alias("now"))
+    jobs = events.select(F.col("user_id").alias("job_id"), "event_id", status.alias("status"), "ts")
+    return state.expired_jobs(jobs, F.lit(now.first()["now"]))
+
+
+@query("SELECT 'source=' || source AS folder, 1::BIGINT AS files, 'source' || replace(source, '_', '') AS key, true AS filled FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def s14_listed_files(spark, sf_dir):
+    """The folders that documents are written to, one for each source, listed by the data source; the folder is deleted afterwards."""
+    docs, path = views.table(spark, sf_dir, "documents").where("source IS NOT NULL"), f"{shared_folder(spark).rstrip('/')}/listed-{uuid.uuid4().hex}"
+    docs.select("source", "text").repartition("source").write.option("maxRecordsPerFile", 0).partitionBy("source").parquet(path)
+    found = files.identified(files.listed(spark, path, ".parquet"), path)
+    folder = F.element_at(F.split("path", "/"), -2)
+    counted = settled(found.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), (F.min("length") > 0).alias("filled")))
+    remove_table(spark, path)
+    return counted.select("folder", "files", F.regexp_replace("folder", "[^A-Za-z0-9]", "").alias("key"), "filled")

@@ -5,14 +5,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions.normalise import project_id
+from lintel.sources.listing import Listing
 
 #: Headers of a master list that mean each field, in order of preference.
 MASTER_HEADERS = {"description": ("description", "component", "item"), "category": ("category", "type"), "install_time_mins": ("time", "mins", "install"), "default_unit_price": ("price", "cost", "rate")}
 
 
+def listed(spark: SparkSession, folder: str, suffix: str = "", stream: bool = False) -> DataFrame:
+    """The files below a folder by the listing data source, one task for each subfolder; as a stream, new files once."""
+    spark.dataSource.register(Listing)
+    reader = (spark.readStream if stream else spark.read).format("listing").option("suffix", suffix)
+    return reader.load(folder)
+
+
 def inventory(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Files below a folder of any file system that Spark reads, with project and a stable id; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length", "modificationTime")
+    return identified(files, folder)
+
+
+def identified(files: DataFrame, folder: str) -> DataFrame:
+    """Files (path) below a folder with their name, project and stable id."""
     relative = F.replace("path", F.lit(folder.rstrip("/") + "/"), F.lit(""))
     name = F.element_at(F.split("path", "/"), -1)
     parent = F.element_at(F.split("path", "/"), -2)

@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import datetime as dt
+import os
 
 from lintel.sources import files, sinks
 from lintel.streaming import state
@@ -87,3 +88,58 @@ def test_rate_limit_stream_agrees_with_batch(spark, tmp_path):
 def test_windows_and_sessions(spark):
     assert sum(r.n for r in state.event_windows(events(spark)).collect()) == 7
     assert sorted((r.user_id, r.n) for r in state.sessions(events(spark), "15 minutes").collect()) == [(1, 3), (1, 3), (2, 1)]
+
+
+def test_listing(spark, tmp_path):
+    """Top level and subfolders of any depth, one suffix; nothing where there is no folder."""
+    for name in ("b.pdf", "Project 7/a.pdf", "Project 7/deep/c.pdf", "Project 7/d.txt", "x/e.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"xy")
+    for folder in (f"{tmp_path}", f"file://{tmp_path}/", f"file:{tmp_path}"):
+        found = files.identified(files.listed(spark, folder, ".pdf"), folder.rstrip("/")).collect()
+        assert {(r.file_name, r.length) for r in found} == {("b.pdf", 2), ("a.pdf", 2), ("c.pdf", 2), ("e.pdf", 2)}
+        assert len({r.file_id for r in found}) == 4
+    assert files.listed(spark, f"{tmp_path}", ".pdf").rdd.getNumPartitions() == 3
+    assert files.listed(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_listing_stream(spark, tmp_path):
+    """New files come in once, also over a restart."""
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+
+    def run():
+        stream = files.listed(spark, str(source), stream=True)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted(r.path.rsplit("/", 1)[-1] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    for k, names in enumerate((["a", "b"], ["c"], [])):
+        for name in names:
+            (source / name).write_bytes(b"x")
+            os.utime(source / name, ns=(10**18 + k, 10**18 + k))
+        seen += names
+        assert run() == sorted(seen)
+
+
+def test_expired_jobs_stream(spark, tmp_path):
+    """What the stream says, over restarts, is what the batch says; late events within the watermark count."""
+    start = dt.datetime(2026, 1, 1)
+    steps = [(1, "running", 0), (1, "completed", 60), (2, "failed", 10), (2, "running", 200), (3, "completed", 5), (3, "failed", 380), (3, "running", 381), (4, "completed", 30), (4, "completed", 30 + 360), (5, "running", 0), (1, "running", 500), (1, "failed", 700)]
+    rows = [(j, k, s, start + dt.timedelta(minutes=m)) for k, (j, s, m) in enumerate(sorted(steps, key=lambda x: (x[2] // 100, -x[2])))]
+    schema = "job_id long, event_id long, status string, ts timestamp"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(4):
+            own = rows[part * 4 : part * 4 + 4] if part < 3 else [(9, 99, "running", start + dt.timedelta(days=2)), (8, 98, "running", start + dt.timedelta(days=2))]
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+            stream = state.expired_jobs_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), "100 minutes")
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            query.awaitTermination(180)
+        got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    frame = spark.createDataFrame(rows, schema)
+    want = sorted(map(tuple, state.expired_jobs(frame, state.F.lit(start + dt.timedelta(days=2))).collect()))
+    assert got == want
+    assert [(j, s, n) for j, s, *_, n in want] == [(1, "completed", 2), (1, "failed", 2), (3, "completed", 1), (4, "completed", 2)]
