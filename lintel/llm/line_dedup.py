@@ -11,8 +11,9 @@ link is left out, unless the caller bounds them by rare and few.
 
 Each linked pair is aligned with patience diff over line hashes: lines unique in both, longest increasing subsequence,
 recursion between, and matching ends. Aligned blocks of LEAST_LINES lines or LEAST_CHARS characters leave the later
-document (larger doc_id). So do blocks as large that both have and no alignment in order can pair: moved across a
-longer passage, or repeated. Thus a unit leaves whichever earlier text holds it, and one link for each unit
+document (larger doc_id). Blocks as large that both have and no alignment in order can pair, moved across a
+longer passage or repeated, are aligned by patience diff once more, each stretch that holds a common unit with its first place in the
+earlier text. Nothing leaves that was not aligned. Thus a unit leaves whichever earlier text holds it, and one link for each unit
 gives what all pairs give. Pairs carry line hashes and lengths and no texts. A unit that very many texts have, and a text that
 very many are linked to, goes to their rows by broadcast, up to a size that is checked; those rows never gather on it.
 
@@ -20,7 +21,8 @@ Lines end at a newline; space at the ends of a line does not count; blank lines
 block's size. Line equality is by 64-bit hash and length.
 
 Defined cases: a null or empty text has no lines; null doc_id counts as the largest; rows that repeat a doc_id and text are
-copies of which the row of the group's first doc_id stays whole; other columns are not read.
+copies of which the row of the group's first doc_id stays whole; a very long text is one row of line hashes and is aligned whole; an
+empty table gives no rows; other columns are not read.
 """
 
 import hashlib
@@ -118,18 +120,32 @@ def common_lines(earlier: list, later: list, chars: list[int], least_lines: int,
         block.append((i, j))
     if len(out) == len(later):
         return out
-    # Lines of the earlier text that the later one lacks are in no common unit, whatever their length.
+    # Blocks that both have and no alignment in order pairs: each stretch that holds a common unit is aligned with its first place in
+    # the earlier text. Lines of that text that the later one lacks are in no common unit, whatever their length.
     codes: dict = {}
     own = mixed(np.array([codes.setdefault(x, len(codes)) for x in later], np.uint64))
     size = dict(zip(later, chars))
     other = mixed(np.array([codes.get(x, len(codes)) for x in earlier], np.uint64))
     hashes, begins, ends = units(own, np.array(chars), least_lines, least_chars)
-    known = units(other, np.array([size.get(x, 1) for x in earlier]), least_lines, least_chars)[0]
-    met = np.isin(hashes, known)
-    change = np.zeros(len(later) + 1, np.int64)
-    np.add.at(change, begins[met], 1)
-    np.add.at(change, ends[met], -1)
-    return sorted({*out, *np.flatnonzero(np.cumsum(change)[:-1] > 0).tolist()})
+    known, places, _ = units(other, np.array([size.get(x, 1) for x in earlier]), least_lines, least_chars)
+    order = np.lexsort((places, known))
+    known, places = known[order], places[order]
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    met = np.flatnonzero(known[at] == hashes) if len(known) else np.zeros(0, np.int64)
+    begins, ends, moved = begins[met], ends[met], places[at[met]] - begins[met]
+    gone = np.zeros(len(later), bool)
+    gone[out] = True
+    stretches: list[list[int]] = []
+    for k in np.lexsort((begins, moved)):
+        lo, hi, by = int(begins[k]), int(ends[k]), int(moved[k])
+        if stretches and stretches[-1][2] == by and stretches[-1][1] >= lo:
+            stretches[-1][1] = max(stretches[-1][1], hi)
+        else:
+            stretches.append([lo, hi, by])
+    for lo, hi, by in stretches:
+        if not gone[lo:hi].all():
+            gone[[lo + j for _, j in patience(earlier[lo + by : hi + by], later[lo:hi])]] = True
+    return np.flatnonzero(gone).tolist()
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

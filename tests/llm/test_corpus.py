@@ -276,3 +276,20 @@ def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
     assert Counter(tuple(r) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == Counter(clean)
     spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_hypergeometric_law():
+    """Draws follow the exact law, counted with whole numbers; far beyond what generators take, mean and spread are the law's."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    for own, others, draws in ((5, 3, 4), (10, 2, 11), (40, 60, 30), (1, 9, 5), (7, 0, 3), (0, 5, 2)):
+        n = 20_000
+        seen = Counter(mixing.hypergeometric(rng, own, others, draws) for _ in range(n))
+        law = {k: math.comb(own, k) * math.comb(others, draws - k) / math.comb(own + others, draws) for k in range(max(0, draws - others), min(own, draws) + 1)}
+        assert set(seen) <= set(law)
+        assert sum((seen[k] - n * p) ** 2 / (n * p) for k, p in law.items() if n * p >= 5) < 60
+    own, others, draws = 3 * 10**12, 10**13, 4 * 10**10
+    found = np.array([mixing.hypergeometric(rng, own, others, draws) for _ in range(200)], dtype=float)
+    p = own / (own + others)
+    spread = (draws * p * (1 - p) * (own + others - draws) / (own + others - 1)) ** 0.5
+    assert abs(found.mean() - draws * p) < 5 * spread / 200**0.5 and 0.8 < found.std() / spread < 1.2
+    assert [sum(x) for x in mixing.split_quotas([10**12, 5, 0, 10**11], 7)] == [10**12, 5, 0, 10**11]

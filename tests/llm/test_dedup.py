@@ -258,6 +258,26 @@ def test_line_dedup_in_slices(docs):
     assert digests(held_bytes=1) == digests(with_text=False) == digests()
 
 
+def test_line_dedup_removes_only_what_is_aligned(spark, monkeypatch):
+    """Without the alignment nothing leaves, but for later copies of a whole text; moved and repeated blocks are aligned too."""
+    rng = random.Random(30)
+    for _ in range(400):
+        one, two = ([rng.choice(["aaaa", "bbbb", "cccc", "", "dd"]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        chars = [len(x) for x in two]
+        got = set(line_dedup.common_lines(one, two, chars, 2, 8))
+        want = set()
+        for i in range(len(two)):
+            for k in range(i + 1, len(two) + 1):
+                own = two[i:k]
+                if (sum(map(bool, own)) >= 2 or sum(map(len, own)) >= 8) and any(one[p : p + len(own)] == own for p in range(len(one))):
+                    want |= {*range(i + next(x for x, y in enumerate(own) if y), k - next(x for x, y in enumerate(own[::-1]) if y))}
+        assert want <= got and all(not two[j] for j in got - want), (one, two)
+    monkeypatch.setattr(line_dedup, "patience", lambda one, two: [])
+    for _ in range(50):
+        one = [rng.choice("abc") * 9 for _ in range(10)]
+        assert line_dedup.common_lines(one, list(one), [9] * 10, 2, 8) == []
+
+
 def test_line_dedup_empty(empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
