@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm import decontamination, mixing, quality, sharding, simhash
-from lintel.llm.storage import checkpointed, remove_table, write_table, written
+from lintel.llm.storage import checkpointed, held, release, remove_table, write_table, written
 
 #: Row numbers that may be broadcast (16 MB of them); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -84,10 +84,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, held()
     for name, stage in STAGES:
         result = stage(spark, docs, sf_dir)
         path = write_table(result, name.replace(" ", "-"))
+        release(spark, own)
         if before:
             remove_table(spark, before)
         docs, before = spark.read.schema(result.schema).parquet(path), path
