@@ -24,6 +24,7 @@ stays; an empty table gives no rows; columns other than doc_id and text are not
 """
 
 import pkgutil
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -191,8 +192,10 @@ def _scan(templates: dict[str, str], contained: float):
             size = min(known.lengths[t], k)
             spots = np.arange(lo, hi - size + 1)
             around = shingles[spots] if size == k else span_hashes(words, spots, spots + size)
-            inside = np.isin(around, known.sets[t])
-            share = len(np.unique(around[inside])) / len(known.sets[t])
+            own = known.sets[t]  # in order
+            place = np.minimum(np.searchsorted(own, around), len(own) - 1)
+            inside = own[place] == around
+            share = np.count_nonzero(np.bincount(place[inside], minlength=1)) / len(own)
             if share >= contained:
                 held = spots[inside]
                 out[r].append((known.names[t], share, int(held[0] - first[r]), int(held[-1] + size - first[r]), round(share * len(known.sets[t]))))
@@ -203,8 +206,10 @@ def _scan(templates: dict[str, str], contained: float):
         out = [_best(x) for x in out]
         for (r, t), windows in met.items():
             taken = sorted((m[2] + int(first[r]), m[3] + int(first[r])) for m in out[r] if m[0] == known.names[t])
+            # Gaps between matches lie one behind the other, so each window is looked at for one of them.
+            windows = sorted(windows)
             for lo, hi in zip([int(first[r]), *(e for _, e in taken)], [*(b for b, _ in taken), int(first[r + 1])]):
-                rest = [w for w in windows if w[0] >= lo and w[1] <= hi]
+                rest = [w for w in windows[bisect_left(windows, (lo, 0)) : bisect_left(windows, (hi, 0))] if w[1] <= hi]
                 if rest:  # the edges of a template may be too short for a window of their own
                     count(r, t, max(lo, min(rest)[0] - known.lengths[t]), min(hi, max(e for _, e in rest) + known.lengths[t]))
         return [[m[:4] for m in _strongest(_best(x), known.rivals)] for x in out]
@@ -225,17 +230,36 @@ def _scan(templates: dict[str, str], contained: float):
 
 def _best(matches: list[tuple]) -> list[tuple]:
     """Of matches of one template that overlap, the one with the highest containment, the first of equals."""
-    kept: list[tuple] = []
+    kept: dict[str, list[tuple[int, int]]] = {}
+    out = []
     for m in sorted(matches, key=lambda m: (-m[1], m[2], m[3], m[0])):
-        if not any(m[0] == x[0] and m[2] < x[3] and x[2] < m[3] for x in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[2], m[0], m[3]))
+        # Kept ones are apart, in order of begin and end: the last that begins before this one ends is the only one to look at.
+        own = kept.setdefault(m[0], [])
+        k = bisect_left(own, (m[3], 0))
+        if not (k and own[k - 1][1] > m[2]):
+            own.insert(k, (m[2], m[3]))
+            out.append(m)
+    return sorted(out, key=lambda m: (m[2], m[0], m[3]))
 
 
 def _strongest(matches: list[tuple], rivals: set[tuple[str, str]]) -> list[tuple]:
-    """Without matches that overlap one of a rival template with more shingles, or as many and a higher containment."""
-    beats = lambda x, m: (x[4], x[1]) > (m[4], m[1]) and (x[0], m[0]) in rivals and m[2] < x[3] and x[2] < m[3]
-    return [m for m in matches if not any(beats(x, m) for x in matches)]
+    """Without matches that overlap one of a rival template with more shingles, or as many and a higher containment; matches from _best()."""
+    by_name: dict[str, list[tuple]] = {}
+    for m in matches:
+        by_name.setdefault(m[0], []).append(m)
+    begins = {name: [m[2] for m in own] for name, own in by_name.items()}
+    against = {name: [x for x in by_name if (x, name) in rivals] for name in by_name}
+
+    def beaten(m: tuple) -> bool:
+        for name in against[m[0]]:
+            k = bisect_left(begins[name], m[3]) - 1
+            while k >= 0 and by_name[name][k][3] > m[2]:
+                if (by_name[name][k][4], by_name[name][k][1]) > (m[4], m[1]):
+                    return True
+                k -= 1
+        return False
+
+    return [m for m in matches if not beaten(m)]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
