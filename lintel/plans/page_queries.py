@@ -29,19 +29,19 @@ def query(sql: str | None = None):
 
 #: Planted pages, by page_id; {n} is a number of its own for each page. Each is followed by the page's whole markup.
 _TABLES = [
-    "[Source: pdfplumber_rows]\nCASE OPENING | 1{n} | E | 6'-0\" x 8'-0\" | E | E | NOTE\n[Source: pdfplumber_tables]\n| 101A | A1 | 3'-0\" x 8'-0\" | HM | HW-{n} |\n| 102A | A1 | 3'-0\" x 8'-0\" | HM | existing |\n| 103A note 'x' | A1 | 7'-0\" x 8'-0\" | HM | D103A |\n| D104 | B | 3'-0\" x 7'-0\" | WD | D104 |",
-    "[Source: pdfplumber_tables]\n|  |  | 100A | HALL | LOBBY | 6' - 0\" | 7' - 0\" | 0' - 1 3/4\" | HM | AA | PT | HM | 1 | PT |  |  |  | 90 MIN. | {n} | RATED |  |  |\n|  |  | 100B | EXT | LOBBY | 3' - 0\" | 7' - 0\" | 0' - 1 3/4\" | ALUM | BB | FF | ALUM | 2 | FF | A5.40/02 | A5.40/02 | A5.40/01 |  | 1 | A.C. |  |  |\n"
-    "| SCHED. NOTES | 24 | 140A | JAN | VESTIBULE | 3' - 0\" | 7' - 0\" | 0' - 1 3/4\" | SC | A | PLAM | HM | 1 | PT | A5.40/09 | A5.40/08 | A5.40/07 |  | 13 |  |  |  |\n| 213 12 | NURSERY {n} | DG | 3'-0\" | 8'-0\" | 1 3/4\" | SCWD | P-03 | GL4 | F4A | ALUM | ANOD | GL4 | 06/A6.70 | 17/A6.70 | - | 103U | CMTA |  |  |  |",
-    "Opening List\nOpening | Hdw Set | Label | Door Type | Frame Type\nD101A | 109 |  | H | H{n}\nD101B | 103 |  | I | I\nD102A | D102A |  | A | A\nD102B | {n} | K\n1999 | 4 | x",
-    "DOOR SCHEDULE\n1 | MAIN ENTRY NEW | NEW DOUBLE | 6' - 0\" 7' - 0\" 0' - 1 3/4\" A | SEE A301 | STOREFRONT | ALUM | WIDE (5\") {n} | NEW | 1,2,4\n2 | DINING | NEW SINGLE | 3' - 0\" 7' - 0\" 0' - 1 3/4\" A | SEE A301 | STOREFRONT | ALUM | WIDE (5\") 2A | NEW\n4 | OFFICE | NEW | 3' - 0\" 7' - 0\" C | D1 (SEE A120) 1 | H.M. | - | 4 | NEW",
-    "DOOR SCHEDULE\n201 | WIDTH | STAIR\n6'-0\" | 7'-0\" | HM | HW-7 | 202\nOFFICE | 3'-0\" | 7'-0\" | 1999 | x | HDWR {n}\nROOM 301 | x | 3'-0\" x 7'-0\" | HM | HW-9",
-    "217 | PRESCHOOL | G2 : INT | 3'-0\" | 8'-0\" | 1 3/4\" | SCWD | GL5 | F4A | ALUM | ANOD | GL5 | 06/A6.7\n218 | A{n} | 219 | 3'-0\" | 8'-0\" | 1\n3{n} | HINGE | x | 4'-0\" x 4'-0\"",
+    "[Source: pdfplumber_rows]\nFRAMED OPENING | 6{n} | E | 5'-0\" x 7'-2\" | E | E | NOTE\n[Source: pdfplumber_tables]\n| 611A | B2 | 2'-8\" x 6'-10\" | WD | HW-{n} |\n| 612A | B2 | 2'-8\" x 6'-10\" | WD | existing |\n| 613B note 'x' | B2 | 7'-4\" x 6'-10\" | WD | K613B |\n| K614 | C | 2'-6\" x 6'-8\" | HM | K614 |",
+    "[Source: pdfplumber_tables]\n|  |  | 305A | STAIR | FOYER | 7' - 0\" | 6' - 8\" | 0' - 1 3/4\" | HM | CC | PT | HM | 3 | PT |  |  |  | 60 MIN. | {n} | LABEL |  |  |\n|  |  | 305C | YARD | FOYER | 2' - 8\" | 6' - 8\" | 0' - 1 3/4\" | STEEL | DD | GG | STEEL | 4 | GG | A7.10/03 | A7.10/04 | A7.10/05 |  | 6 | K.P. |  |  |\n"
+    "| GENERAL NOTES | 7 | 318B | STORE | SOUTH | 2' - 6\" | 6' - 8\" | 0' - 1 3/8\" | SC | B | PLAM | WD | 2 | PT | A7.10/11 | A7.10/12 | A7.10/13 |  | 27 |  |  |  |\n| 422 12 | MUSIC {n} | EG | 2'-6\" | 7'-6\" | 1 3/8\" | SCWD | V-01 | GL2 | F7B | STEEL | PAINT | GL2 | 02/A8.10 | 09/A8.10 | - | 58T | KLMN |  |  |  |",
+    "Opening List\nOpening | Hdw Set | Label | Door Type | Frame Type\nE204 | 31 | 45 | P | M{n}\nE205A | 8 |  | Q | N\nW17 | W17 | 90 | P | M\nW18 | {n} | R\n1998 | 3 | x",
+    "DOOR SCHEDULE\n6 | LOADING DOCK NEW | NEW PAIR | 7' - 0\" 8' - 0\" 0' - 2\" B | SEE A610 | STEEL | HM | NARROW (3\") {n} | NEW | 5,6\n7 | ARCHIVE | NEW SINGLE | 2' - 10\" 6' - 8\" 0' - 1 3/8\" D | SEE A610 | WOOD | WD | WIDE (6\") 9B | NEW\n9 | KITCHEN | NEW | 3' - 4\" 7' - 2\" E | F2 (SEE A611) 5 | H.M. | - | 15 | NEW",
+    "DOOR SCHEDULE\n701 | WIDTH | LANDING\n7'-0\" | 6'-8\" | WD | HW-3 | 702\nATTIC | 2'-8\" | 6'-8\" | 1998 | x | HDWR {n}\nROOM 801 | x | 2'-6\" x 6'-8\" | WD | HW-5",
+    "531 | LIBRARY | H4 : EXT | 2'-8\" | 6'-8\" | 1 3/8\" | SCWD | GL3 | F9C | STEEL | PAINT | GL3 | 02/A8.1\n532 | B{n} | 533 | 2'-8\" | 6'-8\" | 1\n5{n} | HINGE | x | 3'-6\" x 3'-6\"",
 ]
 _PARTS = [
-    "DOOR HARDWARE SCHEDULE | Hardware Sets |\nSet #10{n} - EXIT - HOLD OPEN |\n4 Hinge | BB1279 4 1/2 NRP | US10B HA |\n1 Exit Device | 25-R-L | SP313, 313AN FL |\n1 Closer | 8501H | 690 | NO |\nNOTE: x\nSet #104 - BARN\n4 Flush Pull | 106 | US10B | HA |",
-    "HARDWARE SCHEDULE\nSET: {n}.0 | SET: 4.0\n2 EA. CONTINUOUS HINGE | 1 EA. MORTISE DEADLOCK\n1 EA. VERT ROD EXIT | 1 EA. CORE | 1 PR STOP\n2 EA. SURFACE CLOSER | 1 EA. DOOR STOP\n104 | 3'-0\" | 8'-0\" | 1 3/4\"",
-    "Hardware Group No. 01.A | Hardware Group No. {n} | LOG\nProvide | Provide\n1 EA CONT. HINGE | 112XY | 628 IVE | 3 EA HINGE | 5BB1 4.5 | 652 IVE | 001\n1 EA MORTISE CYLINDER | MATCH | CYB | 1 EA WALL STOP | WS406 | 630 FAL\n1 EA CLOSER | SC71",
-    "Hardware Sets\nSet #{n}\n1 SET Weatherstrip | 700S | 628 | NGP",
+    "DOOR HARDWARE SCHEDULE | Hardware Sets |\nSet #6{n} - STORE - WITH DEADBOLT |\n3 Hinge | TA2714 5 x 4 | US32D HA |\n1 Deadbolt | B60-P | SP28, 28AN FL |\n2 Closer | 4110EDA | 691 | NO |\nNOTE: y\nSet #62 - SLIDING\n2 Pull Handle | 77 | US26 | HA |",
+    "HARDWARE SCHEDULE\nSET: {n}.0 | SET: 9.0\n3 EA. BUTT HINGE | 1 EA. MORTISE LOCK\n1 EA. RIM EXIT DEVICE | 2 EA. SILENCER | 1 PR BOLT\n1 EA. OVERHEAD STOP | 1 EA. WALL BUMPER\n305 | 2'-8\" | 6'-8\" | 1 3/8\"",
+    "Hardware Group No. 02.B | Hardware Group No. {n} | LOG\nProvide | Provide\n2 EA PIVOT HINGE | 7215 | 630 IVE | 4 EA HINGE | 3CB1 5 | 626 IVE | 040\n1 EA RIM CYLINDER | MATCH | BLU | 1 EA FLOOR STOP | FS439 | 626 LCN\n1 EA CLOSER | 4040XP",
+    "Hardware Sets\nSet #{n}\n1 SET Seals | 160V | 627 | NGP",
     "SET 5\n1 EA HINGE",
 ]
 
@@ -261,7 +261,7 @@ def r9_vendor_rows(spark, sf_dir):
 
 #: Planted pages of every kind that the classifier tells apart; both groups above come after these.
 _KINDS = [
-    "nothing of the trade at all {n}", "Section 08711 | DOOR HARDWARE SCHEDULE\nOpening List\nOpening\nHdw Set\nD101A\n109\nD101B\n103\nD102A\n101\nD102B\n101", "HARDWARE SET DESCRIPTIONS\nset {n}",
+    "nothing of the trade at all {n}", "DOOR HARDWARE SCHEDULE\nOpening List\nOpening\nHdw Set\nE204\n31\nE205A\n8\nW170\n31\nW18{n}\n5", "HARDWARE SET DESCRIPTIONS\nset {n}",
     "PART 1 GENERAL\nSUBMITTALS and door hardware schedule\nWARRANTY of frames, KEYING", "Manufacturer List\nhinge door codes {n}", "HARDWARE SETS\nSET 1\n3 HINGE\n1 CLOSER\n3'-0\" x 7'-0\"\n4'-0\"", "SET NO. {n}\n3 HINGE\n1 CLOSER 4040",
     "door types 101 102 103 104\nBUTT HINGE, WALL STOP\nSET #4 {n}", "DRAWN BY door SHEET NO 4 CITY 1{n}", "| DOO | R | SCH | EDULE |\n| 101 | 3'-0\" | HM |\n| 102 | 3'-0\" | WD |",
     "| " + " | ".join("A" for _ in range(30)) + " |\n| " + " | ".join("B1" for _ in range(30)) + " |\nframe 2{n}", "(cid:3)(cid:4) opening ‹›", "door 10", "",
@@ -375,13 +375,13 @@ def f15_rescue_gates(spark, sf_dir):
 
 
 @query(O.chain(_planted_sql(_TABLES), _CELLS, _SHAPES, _CHOICE, f"""t AS (SELECT page_id, upper(door_number) AS m, door_width, door_height, door_type, frame_type, frame_material, hardware_set, explicit_blank FROM picked WHERE family = chosen AND table_shape IN ('compact', 'formal')),
-d AS (SELECT page_id, n AS door_number, CASE WHEN n = '101A' THEN '3''-0" x 8''-0"' WHEN n = '102A' THEN 'Door General Notes' ELSE 'HALL' END AS room_name, CASE WHEN page_id % 2 = 0 THEN '9' END AS door_width, 'existing' AS hardware_set FROM pages, (SELECT unnest(['101A', '102A', '140a', '213', '999']) AS n))""",
-    select="""SELECT d.page_id, d.door_number, CASE WHEN d.door_number IN ('101A', '102A') THEN NULL ELSE room_name END AS room_name, coalesce(t.door_width, d.door_width) AS door_width, CASE WHEN t.hardware_set IS NULL AND coalesce(explicit_blank, false) THEN NULL ELSE coalesce(t.hardware_set, d.hardware_set) END AS hardware_set FROM d LEFT JOIN t ON d.page_id = t.page_id AND upper(d.door_number) = t.m"""))
+d AS (SELECT page_id, n AS door_number, CASE WHEN n = '611A' THEN '3''-0" x 8''-0"' WHEN n = '612A' THEN 'Door General Notes' ELSE 'HALL' END AS room_name, CASE WHEN page_id % 2 = 0 THEN '9' END AS door_width, 'existing' AS hardware_set FROM pages, (SELECT unnest(['611A', '612A', '318b', '422', '999']) AS n))""",
+    select="""SELECT d.page_id, d.door_number, CASE WHEN d.door_number IN ('611A', '612A') THEN NULL ELSE room_name END AS room_name, coalesce(t.door_width, d.door_width) AS door_width, CASE WHEN t.hardware_set IS NULL AND coalesce(explicit_blank, false) THEN NULL ELSE coalesce(t.hardware_set, d.hardware_set) END AS hardware_set FROM d LEFT JOIN t ON d.page_id = t.page_id AND upper(d.door_number) = t.m"""))
 def j18_table_fields(spark, sf_dir):
     pages = _planted(spark, sf_dir, _TABLES)
     none = F.lit(None).cast("string")
-    room = F.when(F.col("door_number") == "101A", "3'-0\" x 8'-0\"").when(F.col("door_number") == "102A", "Door General Notes").otherwise("HALL")
-    doors = pages.select("page_id", F.explode(F.array(*(F.lit(m) for m in ("101A", "102A", "140a", "213", "999")))).alias("door_number")).select(
+    room = F.when(F.col("door_number") == "611A", "3'-0\" x 8'-0\"").when(F.col("door_number") == "612A", "Door General Notes").otherwise("HALL")
+    doors = pages.select("page_id", F.explode(F.array(*(F.lit(m) for m in ("611A", "612A", "318b", "422", "999")))).alias("door_number")).select(
         "page_id", "door_number", room.alias("room_name"), F.when(F.col("page_id") % 2 == 0, "9").alias("door_width"), none.alias("door_height"), none.alias("door_type"), none.alias("frame_type"), none.alias("frame_material"), F.lit("existing").alias("hardware_set"),
     )
     return tables.with_table_fields(doors, tables.table_doors(pages)).select("page_id", "door_number", "room_name", "door_width", "hardware_set")
