@@ -28,6 +28,11 @@ def distinct_texts(rows: DataFrame, group: str, order: list[str], value: str) ->
     return rows.where(key != "").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
+def in_common(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+    """The different keys that both sides have, by a semi-join: neither side's keys are gathered."""
+    return one.select(*keys).distinct().join(two.select(*keys), keys, "left_semi")
+
+
 def merged_legends(left: Column, right: Column) -> Column:
     """One map of two, keys in capitals, the right side's value where both have one; blank values go."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))

@@ -107,7 +107,7 @@ def recent(runs: DataFrame, limit: int) -> DataFrame:
 
 def shuffled(rows: DataFrame, key: str, seed: int, limit: int) -> DataFrame:
     """A reproducible sample: the first rows in the order of a seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), key), 256), key).limit(limit)
 
 
 def ground_truth(c: Column) -> Column:

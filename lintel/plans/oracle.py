@@ -217,7 +217,7 @@ SQL: dict[str, str] = {
     "w1_most_complete_door": chain(DOORS, select="""SELECT * EXCLUDE (n, nth) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, door_number ORDER BY n DESC, source_file, page, row_key, hardware_set NULLS FIRST, door_width NULLS FIRST, door_height NULLS FIRST, door_type NULLS FIRST, door_material NULLS FIRST, frame_type NULLS FIRST, fire_rating NULLS FIRST, level_area NULLS FIRST, remarks NULLS FIRST) AS nth
       FROM (SELECT *, (hardware_set IS NOT NULL)::INT + (door_width IS NOT NULL)::INT + (door_height IS NOT NULL)::INT + (door_type IS NOT NULL)::INT + (door_material IS NOT NULL)::INT + (frame_type IS NOT NULL)::INT + (fire_rating IS NOT NULL)::INT + (level_area IS NOT NULL)::INT + (remarks IS NOT NULL)::INT AS n FROM doors)) WHERE nth = 1"""),
     "a3_project_files": chain(DOORS, select="SELECT project_id, array_to_string(list_sort(list(DISTINCT source_file)), ';') AS files, count(*) AS doors FROM doors GROUP BY project_id"),
-    "a4_large_sets": chain(COMPONENTS, select="SELECT project_id, hardware_set_id, count(*) AS items FROM parts GROUP BY ALL HAVING count(*) >= 15"),
+    "a4_large_sets": chain(COMPONENTS, select="SELECT project_id, 'S' || row_key * row_key % 5 AS hardware_set_id, count(*) AS items FROM parts GROUP BY ALL HAVING count(*) >= 15"),
     "a5_join_evidence": chain(DOORS, COMPONENTS, f"h AS (SELECT project_id, {join_id('hardware_set_id', V.BLANK_QA)} AS id FROM parts), r AS (SELECT project_id, {join_id('hardware_set', V.BLANK_QA)} AS id FROM doors)", select="""
       SELECT project_id, coalesce(doors, 0) AS doors, coalesce(hardware, 0) AS hardware, coalesce(set_count, 0) AS set_count, coalesce(door_refs, 0) AS door_refs, coalesce(missing_refs, 0) AS missing_refs, coalesce(joinable_refs, 0) AS joinable_refs, coalesce(unmatched_refs, 0) AS unmatched_refs
       FROM (SELECT r.project_id, count(*) AS doors, count(*) FILTER (r.id <> '') AS door_refs, count(*) FILTER (r.id = '') AS missing_refs, count(k.id) AS joinable_refs, count(*) FILTER (r.id <> '' AND k.id IS NULL) AS unmatched_refs

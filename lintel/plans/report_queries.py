@@ -140,7 +140,7 @@ def t9_sorted_counts(spark, sf_dir):
     return counts.agg(ordered.alias("rows")).select(F.posexplode("rows").alias("at", "r")).select("r.door_material", "r.n", (F.col("at") + 1).alias("place"))
 
 
-@query()
+@query(O.chain(O.RUNS, select="SELECT run_id, row_key FROM runs ORDER BY sha256('42:' || row_key), row_key LIMIT 25"))
 def t11_shuffled_runs(spark, sf_dir):
     return summaries.shuffled(views.runs(spark, sf_dir).select("run_id", "row_key"), "row_key", 42, 25)
 
@@ -159,10 +159,11 @@ def t1_natural_order(spark, sf_dir):
     return ordinals.numbered(values, merge.natural_order(F.col("value")))
 
 
-@query(f"SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower({O.txt('text')}) ORDER BY turn) AS nth FROM (SELECT conv_id, turn, role || ' ' || substr(coalesce(text, ''), 1, 2) AS text FROM conversations)) WHERE nth = 1")
+@query(f"SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower({O.txt('text')}) ORDER BY turn) AS nth FROM (SELECT conv_id, turn + n AS turn, pad || role || ' ' || coalesce(text, '') || pad AS text FROM conversations, (SELECT unnest([0, 1000]) AS n, unnest(['', ' ']) AS pad) WHERE n = 0 OR turn % 2 = 0)) WHERE nth = 1")
 def u4_distinct_texts(spark, sf_dir):
-    """Openings of turns, each once a conversation."""
-    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 2)).alias("text"))
+    """Whole turns, half of them said again with space around them, each once a conversation."""
+    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    turns = turns.unionByName(turns.where("turn % 2 = 0").select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("text")))
     return merge.distinct_texts(turns, "conv_id", ["turn"], "text")
 
 
@@ -175,12 +176,12 @@ def u5_merged_legends(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", F.array_join(F.array_sort(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("legend"))
 
 
-@query(O.chain(O.DOORS, select="""SELECT file_a, file_b FROM (SELECT 'Door Schedule.pdf' AS file_a, 'Division 8 HARDWARE.pdf' AS file_b) WHERE (SELECT count(*) FROM (SELECT hardware_set FROM doors WHERE source_file = 'Door Schedule.pdf' INTERSECT SELECT hardware_set FROM doors WHERE source_file = 'Division 8 HARDWARE.pdf')) > 0"""))
+@query(O.chain(O.DOORS, select="""SELECT project_id, count(*) AS sets FROM (SELECT project_id, hardware_set FROM doors WHERE source_file = 'Door and Hardware.pdf' AND hardware_set <> '' INTERSECT SELECT project_id, hardware_set FROM doors WHERE source_file = 'Division 8 HARDWARE.pdf') GROUP BY project_id"""))
 def u7_files_that_meet(spark, sf_dir):
-    """Pairs of files that name a set in common: the schedule and the hardware file."""
-    sets = views.doors(spark, sf_dir).groupBy("source_file").agg(F.collect_set("hardware_set").alias("sets"))
-    one, two = (sets.where(F.col("source_file") == n).select(F.col("source_file").alias(f), F.col("sets").alias(s)) for n, f, s in (("Door Schedule.pdf", "file_a", "a"), ("Division 8 HARDWARE.pdf", "file_b", "b")))
-    return one.join(F.broadcast(two)).where(F.arrays_overlap("a", "b")).select("file_a", "file_b")  # one row each
+    """Projects whose two hardware files name sets in common, and how many."""
+    doors = views.doors(spark, sf_dir).where("hardware_set <> ''")
+    one, two = (doors.where(F.col("source_file") == name) for name in ("Door and Hardware.pdf", "Division 8 HARDWARE.pdf"))
+    return merge.in_common(one, two, ["project_id", "hardware_set"]).groupBy("project_id").agg(F.count("*").alias("sets"))
 
 
 @query(O.chain(O.DOORS, select="SELECT 'doors' AS origin, source_file, count(*) AS n FROM doors GROUP BY 2 UNION ALL SELECT 'parts', CAST(NULL AS VARCHAR), count(*) FROM part"))
@@ -317,24 +318,27 @@ def f19_incomplete_sets(spark, sf_dir):
     return gates.incomplete_sets(views.doors(spark, sf_dir), sets, "project_id")
 
 
-@query("""WITH d AS (SELECT l_orderkey % (SELECT count(*) FROM documents) AS doc_id, count(*) AS n, count(*) FILTER (l_partkey % 3 > 0) AS missing FROM lineitem WHERE l_orderkey % 4 > 0 GROUP BY 1)
+@query("""WITH d AS (SELECT k - k % 4 AS doc_id, count(*) AS n, count(*) FILTER (l_partkey % 3 > 0) AS missing FROM (SELECT l_partkey, l_orderkey % (SELECT count(*) FROM documents) AS k FROM lineitem) GROUP BY 1)
 SELECT doc_id, (n = 0 AND (short OR keyed)) OR (n >= 3 AND missing >= greatest(3, n // 2) AND (short OR named)) AS needs_rescue FROM (SELECT doc_id, coalesce(n, 0) AS n, coalesce(missing, 0) AS missing, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 200 AS short,
   contains(upper(coalesce(text, '')), 'DOOR SCHED') OR contains(upper(coalesce(text, '')), 'OPENING LIST') AS keyed, contains(upper(coalesce(text, '')), 'HARDWARE SET') OR contains(upper(coalesce(text, '')), 'HW SET') OR contains(upper(coalesce(text, '')), 'HARDWARE GROUP') OR contains(upper(coalesce(text, '')), 'HDWR SET') AS named
-  FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' door schedule hw set' ELSE text END AS text FROM documents) LEFT JOIN d USING (doc_id))""")
+  FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || ' door schedule hw set' ELSE text END AS text FROM documents) LEFT JOIN d USING (doc_id))""")
 def f20_missing_fields(spark, sf_dir):
-    files = views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" door schedule hw set"))).otherwise(F.col("text")).alias("text"))
+    """Every line is a door of one document in four; a third of the documents say that they are schedules."""
+    files = views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" door schedule hw set"))).otherwise(F.col("text")).alias("text"))
     n = files.agg(F.count("*").alias("n"))  # one row
-    doors = views.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 > 0").join(F.broadcast(n)).select((F.col("l_orderkey") % F.col("n")).alias("doc_id"), F.when(F.col("l_partkey") % 3 == 0, "4").otherwise("").alias("hardware_set"))
+    key = F.col("l_orderkey") % F.col("n")
+    doors = views.table(spark, sf_dir, "lineitem").join(F.broadcast(n)).select((key - key % 4).alias("doc_id"), F.when(F.col("l_partkey") % 3 == 0, "4").otherwise("").alias("hardware_set"))
     return gates.missing_fields(files, doors, "doc_id")
 
 
 @query(O.chain(O.DOORS, O.COMPONENTS, f"""f AS (SELECT DISTINCT project_id FROM doors UNION SELECT 'project_none'), d AS (SELECT project_id, count(*) AS doors, count(*) FILTER (row_key % 3 = 0) AS listed, count(*) FILTER (upper({O.txt('door_width')}) IN ({O.listed(V.BLANK)}) OR upper({O.txt('door_height')}) IN ({O.listed(V.BLANK)})) AS unsized FROM doors GROUP BY 1),
-h AS (SELECT project_id, count(*) AS parts, count(DISTINCT nullif({O.join_id('hardware_set_id', V.BLANK)}, '')) AS sets FROM parts WHERE row_key % 40 = 3 GROUP BY 1)""", select="""SELECT project_id, (doors = 0 AND parts = 0) OR (NOT (doors > 0 AND parts >= 3 AND listed >= greatest(3, floor(doors * 0.8))) AND ((doors > 0 AND unsized / greatest(doors, 1) > 0.5) OR (parts > 0 AND parts < 3 AND sets <= 1))) AS wants_witness
+h AS (SELECT 'project_' || CAST(floor(sqrt(row_key)) AS BIGINT) AS project_id, count(*) AS parts, count(DISTINCT nullif({O.join_id('hardware_set_id', V.BLANK)}, '')) AS sets FROM parts GROUP BY 1)""", select="""SELECT project_id, (doors = 0 AND parts = 0) OR (NOT (doors > 0 AND parts >= 3 AND listed >= greatest(3, floor(doors * 0.8))) AND ((doors > 0 AND unsized / greatest(doors, 1) > 0.5) OR (parts > 0 AND parts < 3 AND sets <= 1))) AS wants_witness
   FROM (SELECT project_id, coalesce(doors, 0) AS doors, coalesce(listed, 0) AS listed, coalesce(unsized, 0) AS unsized, coalesce(parts, 0) AS parts, coalesce(sets, 0) AS sets FROM f LEFT JOIN d USING (project_id) LEFT JOIN h USING (project_id))"""))
 def f21_witness_gate(spark, sf_dir):
     doors = views.doors(spark, sf_dir).withColumn("table_shape", F.when(F.col("row_key") % 3 == 0, "opening_list"))
     files = doors.select("project_id").distinct().union(spark.range(1).select(F.lit("project_none")))
-    return gates.wants_witness(files, doors, views.components(spark, sf_dir).where("row_key % 40 = 3"), "project_id", "rescue")
+    parts = views.components(spark, sf_dir).withColumn("project_id", F.concat(F.lit("project_"), F.floor(F.sqrt("row_key"))))  # from few parts to many
+    return gates.wants_witness(files, doors, parts, "project_id", "rescue")
 
 
 @query(f"""WITH t AS (SELECT l_orderkey AS table_id, CASE WHEN l_orderkey % 9 = 0 THEN list_transform(range(45), lambda i: 'ab') WHEN l_orderkey % 9 = 1 THEN ['a', 'b', ' c '] WHEN l_orderkey % 9 = 2 THEN ['(cid:12)(cid:7)', 'x'] WHEN l_orderkey % 9 = 3 THEN ['', '', NULL, '', ' ', '', '', 'word'] ELSE ['D' || l_partkey, l_returnflag, NULL] END AS cells FROM lineitem),
@@ -569,14 +573,37 @@ def k3_replaced_projects(spark, sf_dir):
     return spark.read.schema("row_key long, version string, project_id string").parquet(path)
 
 
-@query("SELECT run_id, CAST(i AS INT) AS log_no, CASE i % 3 WHEN 0 THEN 'warn' ELSE 'info' END AS level, 'm' || i AS message FROM (SELECT 'run_' || o_orderkey AS run_id, unnest(range(least(o_custkey % 4, 2))) AS i FROM orders)")
+@query("""WITH r AS (SELECT 'run_' || o_orderkey AS run_id, * FROM orders), l AS (SELECT *, (l_partkey * 1009 + l_suppkey) * 10 + l_linenumber AS k, l_suppkey % 3 AS s FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS no, row_number() OVER (PARTITION BY l_orderkey, s ORDER BY k) - 1 AS in_set, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY s) - 1 AS set_no FROM l)
+SELECT run_id, 'logs' AS child, i AS no, CASE WHEN i % 3 = 0 THEN 'warn' ELSE 'info' END AS a, 'm' || i AS b FROM (SELECT run_id, unnest(range(least(o_custkey % 4, 2))) AS i FROM r)
+UNION ALL SELECT 'run_' || l_orderkey, 'doors', no, 'D' || l_partkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END FROM d
+UNION ALL SELECT DISTINCT 'run_' || l_orderkey, 'sets', set_no, 'S' || s, 'found' FROM d
+UNION ALL SELECT 'run_' || l_orderkey, 'items', set_no * 1000 + in_set, CAST(CAST(l_quantity AS INT) AS VARCHAR), CASE WHEN l_partkey % 4 = 0 THEN 'other ' ELSE 'item ' END || l_partkey FROM d
+UNION ALL SELECT run_id, 'rfis', 0, CASE WHEN o_custkey % 2 = 0 THEN 'low' ELSE o_orderstatus END, CASE WHEN o_custkey % 3 = 0 THEN 'asked' ELSE 'issue ' || o_custkey END FROM r WHERE o_custkey % 5 > 0
+UNION ALL SELECT run_id, 'audit', 0, 'runs.create', '{"source_filename":"plan ' || o_custkey || '.pdf"}' FROM r""")
 def k5_run_logs(spark, sf_dir):
-    """Child rows of runs with nested logs, two kept of each run."""
-    log = lambda i: F.struct(F.when(i % 3 == 0, "warn").when(i % 3 == 1, "odd").otherwise("info").alias("level"), F.concat(F.lit("m"), i).alias("message"))
-    n = (F.col("o_custkey") % 4).cast("int")
-    logs = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), log))
-    runs = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("run_"), "o_orderkey").alias("run_id"), logs.alias("logs"), F.array(F.struct(F.lit("1").alias("mark"))).alias("doors"))
-    return sinks.run_children(runs, most=2)["logs"]
+    """All child rows of runs with nested results, one run for each order, its lines as doors and as items of sets; two log rows kept."""
+    order, none = F.col("l_orderkey"), F.lit(None).cast("string")
+    lines = views.table(spark, sf_dir, "lineitem").withColumn("k", (F.col("l_partkey") * 1009 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).withColumn("s", F.col("l_suppkey") % 3)
+    door = F.struct("k", F.concat(F.lit("D"), "l_partkey").alias("mark"), F.concat(F.lit("S"), "s").alias("hardware_set"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("risk_level"), F.col("l_discount").cast("double").alias("confidence"))
+    name = F.concat(F.lit("item "), "l_partkey")
+    odd = F.col("l_partkey") % 4 == 0
+    item = F.struct("k", none.alias("item_no"), F.col("l_quantity").cast("int").alias("qty"), F.when(~odd, name).otherwise("").alias("desc"), F.when(odd, F.concat(F.lit("other "), "l_partkey")).otherwise(name).alias("description"), none.alias("part"), none.alias("catalog_number"), none.alias("mfr"), none.alias("manufacturer"), none.alias("finish"))
+    doors = lines.groupBy(order.alias("o_orderkey")).agg(F.array_sort(F.collect_list(door)).alias("doors"))
+    held = lines.groupBy(order.alias("o_orderkey"), "s").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    sets = held.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("s", F.concat(F.lit("S"), "s").alias("hardware_set"), F.lit("found").alias("status"), "items"))).alias("sets"))
+    c = F.col("o_custkey")
+    log = lambda i: F.struct(none.alias("kind"), F.when(i % 3 == 0, "warn").when(i % 3 == 1, "odd").otherwise("info").alias("level"), none.alias("stage"), F.lit("").alias("text"), F.concat(F.lit("m"), i).alias("message"))
+    logs = F.when(c % 4 > 0, F.transform(F.sequence(F.lit(0), (c % 4 - 1).cast("int")), log))
+    rfi = F.struct(F.when(c % 2 == 0, "low").alias("priority"), F.col("o_orderstatus").alias("severity"), none.alias("category"), F.when(c % 3 == 0, "asked").otherwise("").alias("question"), F.concat(F.lit("issue "), c).alias("issue"), none.alias("source"), none.alias("where"))
+    runs = _orders(spark, sf_dir).join(doors, "o_orderkey", "left").join(sets, "o_orderkey", "left").select(
+        F.concat(F.lit("run_"), "o_orderkey").alias("run_id"), F.concat(F.lit("plan "), c, F.lit(".pdf")).alias("source_filename"), logs.alias("logs"), "doors", "sets", F.when(c % 5 > 0, F.array(rfi)).alias("rfis"),
+    )
+    shown = {"logs": ("log_no", "level", "message"), "doors": ("door_no", "door_mark", "risk_level"), "sets": ("set_no", "hardware_set", "status"), "items": (F.col("set_no") * 1000 + F.col("at"), "qty", "description"), "rfis": ("rfi_no", "priority", "question"), "audit": (F.lit(0), "action", "payload")}
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    tables = sinks.run_children(runs, most=2)
+    parts = [tables[n].select("run_id", F.lit(n).alias("child"), col(no).cast("long").alias("no"), F.col(a).alias("a"), F.col(b).alias("b")) for n, (no, a, b) in shown.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT event_id, event_type, n FROM events, (SELECT unnest([1, 2]) AS n)")
@@ -588,11 +615,11 @@ def k6_appended_log(spark, sf_dir):
     return spark.read.schema("event_id long, event_type string, n int").json(path)
 
 
-@query(O.chain(O.DOORS, select="SELECT project_id, door_number, row_key FROM doors WHERE row_key % 3 = 0"))
+@query(O.chain(O.DOORS, select="SELECT project_id, door_number, row_key FROM doors"))
 def k8_witness_file(spark, sf_dir):
     """Witness rows written as JSON lines, and read again."""
     path = _stored(spark, "witness")
-    sinks.write_witness(views.doors(spark, sf_dir).where("row_key % 3 = 0").select("project_id", "door_number", "row_key"), path)
+    sinks.write_witness(views.doors(spark, sf_dir).select("project_id", "door_number", "row_key"), path)
     return spark.read.schema("project_id string, door_number string, row_key long").json(path)
 
 

@@ -71,10 +71,31 @@ def write_witness(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
-def run_children(runs: DataFrame, logs: str = "logs", most: int = 1000) -> dict[str, DataFrame]:
-    """K5: the child tables of runs with nested doors and logs; a run keeps its first log rows, unknown levels are info."""
-    levels = ("info", "ok", "warn", "error", "debug")
-    level = F.when(F.col("log.level").isin(*levels), F.col("log.level")).otherwise("info")
-    logged = runs.select("run_id", F.posexplode(F.slice(logs, 1, most)).alias("log_no", "log")).select("run_id", "log_no", level.alias("level"), F.col("log.message").alias("message"))
-    doors = runs.select("run_id", F.posexplode("doors").alias("door_no", "door")).select("run_id", "door_no", "door.*")
-    return {"logs": logged, "doors": doors}
+#: Levels of a run's log; others are info.
+LEVELS = ("info", "ok", "warn", "error")
+
+
+def run_children(runs: DataFrame, most: int = 1000) -> dict[str, DataFrame]:
+    """K5: the six child tables of nested runs: logs, doors, sets, items, rfis and audit; each row with its run and its place there.
+
+    runs: run_id, source_filename, logs (kind, level, stage, text, message), doors (mark, hardware_set, risk_level, confidence), sets
+    (hardware_set, status, items), rfis (priority, severity, category, question, issue, source, where). A run keeps its first log rows; of two
+    names for one thing the first that is given counts.
+    """
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    either = lambda *c: F.coalesce(*map(given, c))
+    each = lambda rows, c, no, *keys: rows.select("run_id", *keys, F.posexplode(c).alias(no, "x")).where("x is not null")
+    logs = each(runs.withColumn("logs", F.slice("logs", 1, most)), "logs", "log_no")
+    level = either("x.kind", "x.level")
+    sets = each(runs, "sets", "set_no")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return {
+        "logs": logs.select("run_id", "log_no", F.when(level.isin(*LEVELS), level).otherwise("info").alias("level"), "x.stage", F.coalesce(either("x.text", "x.message"), F.lit("")).alias("message")),
+        "doors": each(runs, "doors", "door_no").select("run_id", "door_no", F.col("x.mark").alias("door_mark"), "x.hardware_set", "x.risk_level", F.col("x.confidence").cast("string").alias("confidence")),
+        "sets": sets.select("run_id", "set_no", "x.hardware_set", "x.status"),
+        "items": sets.select("run_id", "set_no", F.posexplode("x.items").alias("at", "i")).where("i is not null").select(
+            "run_id", "set_no", "at", text("i.item_no").alias("item_no"), text("i.qty").alias("qty"), either("i.desc", "i.description").alias("description"), either("i.part", "i.catalog_number").alias("catalog_number"), either("i.mfr", "i.manufacturer").alias("manufacturer"), "i.finish",
+        ),
+        "rfis": each(runs, "rfis", "rfi_no").select("run_id", "rfi_no", either("x.priority", "x.severity").alias("priority"), "x.category", either("x.question", "x.issue").alias("question"), either("x.source", "x.where").alias("source")),
+        "audit": runs.select("run_id", F.lit("runs.create").alias("action"), F.lit("pdf_run").alias("entity"), F.to_json(F.struct("source_filename")).alias("payload")),
+    }

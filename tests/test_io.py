@@ -49,10 +49,25 @@ def test_schedule(spark, tmp_path):
 
 
 def test_run_children(spark):
-    runs = spark.createDataFrame([("r", [("101", "1")], [("loud", "a"), ("warn", "b"), ("ok", "c")])], "run_id string, doors array<struct<mark:string,set:string>>, logs array<struct<level:string,message:string>>")
-    tables = sinks.run_children(runs, most=2)
-    assert [(r.level, r.message) for r in tables["logs"].orderBy("log_no").collect()] == [("info", "a"), ("warn", "b")]
-    assert tables["doors"].first().mark == "101"
+    logs = [("loud", None, "s", "", "a"), (None, "warn", None, "b", "x"), None, ("ok", "error", None, None, None), (None, None, None, "z", None)]
+    items = [(None, 2, "", "hinge", "p1", "p2", None, "m", "626"), None]
+    run = ("r", "f.pdf", logs, [("101", "1", "high", 0.5), None], [("1", "found", items), ("2", None, None)], [(None, "high", "c", "", "why", None, "sheet"), ("low", "x", None, "q", "i", "s", "w")])
+    schema = (
+        "run_id string, source_filename string, logs array<struct<kind:string,level:string,stage:string,text:string,message:string>>, doors array<struct<mark:string,hardware_set:string,risk_level:string,confidence:double>>, "
+        "sets array<struct<hardware_set:string,status:string,items:array<struct<item_no:string,qty:int,desc:string,description:string,part:string,catalog_number:string,mfr:string,manufacturer:string,finish:string>>>>, "
+        "rfis array<struct<priority:string,severity:string,category:string,question:string,issue:string,source:string,where:string>>"
+    )
+    runs = spark.createDataFrame([run, ("empty", None, None, None, None, None)], schema)
+    got = {k: sorted(tuple(r)[1:] for r in t.where("run_id = 'r'").collect()) for k, t in sinks.run_children(runs, most=4).items()}
+    assert got == {
+        "logs": [(0, "info", "s", "a"), (1, "warn", None, "b"), (3, "ok", None, "")],
+        "doors": [(0, "101", "1", "high", "0.5")],
+        "sets": [(0, "1", "found"), (1, "2", None)],
+        "items": [(0, 0, "", "2", "hinge", "p1", "m", "626")],
+        "rfis": [(0, "high", "c", "why", "sheet"), (1, "low", None, "q", "s")],
+        "audit": [("runs.create", "pdf_run", '{"source_filename":"f.pdf"}')],
+    }
+    assert {k: t.where("run_id = 'empty'").count() for k, t in sinks.run_children(runs).items()} == {"logs": 0, "doors": 0, "sets": 0, "items": 0, "rfis": 0, "audit": 1}
 
 
 def events(spark):
