@@ -1,15 +1,18 @@
 """Queries over whole page texts: tables, hardware layouts, classification and gates, each with its SQL."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import classify as C
 from lintel.functions import pages as G
 from lintel.functions import vocabulary as V
-from lintel.operators import gates, hardware, tables
+from lintel.operators import gates, hardware, rescue, tables
 from lintel.plans import oracle as O
 from lintel.plans import views
 from lintel.plans.report_queries import Query
+from lintel.plans.storage import settled
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -395,3 +398,84 @@ SQL["x10_page_evidence"] = O.chain(
   is_door AS is_door_schedule, is_hw AS is_hardware_schedule, {_TITLE_ONLY} AS is_title_block_only, e_len > 0 AND (e_cid / greatest(e_len, 1) > 0.05 OR e_broken >= 1) AS is_corrupt, expected_rows AS expected_door_rows, expected_sets AS expected_hw_sets,
   CASE WHEN e_len <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (e_rows * 4.0 + e_dims * 1.5 + e_headers * 1.5 + e_parts * 2.0 + e_sets * 3.0 + least(e_doors, 50) * 0.5 - (e_cid * 2.0 + e_broken * 8.0 + CASE WHEN {_TITLE_ONLY} THEN e_title * 1.0 ELSE 0.0 END)) / 60.0)) END::DOUBLE AS confidence FROM jj""",
 )
+
+
+# Doors and components of each page, and recorded answers, from the page's number.
+_DOORS21 = {"door_number": "CASE WHEN i % 4 = 3 THEN '' ELSE concat('D', i % 6) END", "hardware_set": "concat('S', i % 3, '.0')", "door_width": "CASE WHEN (page_id + i) % 3 = 0 THEN '3' END", "door_height": "CAST(NULL AS STRING)", "door_material": "CAST(NULL AS STRING)"}
+_MORE21 = {"door_number": "concat('d', i)", "hardware_set": "concat('Set ', i % 5)", "door_width": "CASE WHEN i % 2 = 0 THEN '3' END", "door_height": "CASE WHEN i % 3 > 0 THEN '7' END", "door_material": "CAST(NULL AS STRING)"}
+_CROP21 = _MORE21 | {"door_number": "concat('D', i + 2)", "door_material": "'HM'", "hardware_set": "concat('HW-', i % 6)"}
+_PARTS21 = {"hardware_set_id": "concat('S', i % 2)", "description": "concat('item ', i % 3)"}
+_MORE_PARTS21 = {"hardware_set_id": "concat('S', i % 3)", "description": "concat('ITEM ', i % 5)"}
+
+
+def _made21(n: str, fields: dict[str, str], **more: str) -> dict[str, str]:
+    return {"page_id": "page_id", "row_no": "i"} | fields | more | {"n": n}
+
+
+_DOOR_ROWS21 = _made21("page_id % 9", _DOORS21)
+_DOOR_ANSWERS21 = [_made21("page_id % 26", _MORE21, step="'page'"), _made21("page_id % 14", _CROP21, step="'crop'")]
+_PART_ROWS21 = _made21("page_id % 4", _PARTS21)
+_PART_ANSWERS21 = [_made21("page_id % 12", _MORE_PARTS21, step="'page'", rank="0"), _made21("page_id % 7", _MORE_PARTS21, step="'crop'", rank="0"), _made21("page_id % 15", {"hardware_set_id": "concat('S', i % 7)", "description": "concat('repaired ', i)"}, step="'repair'", rank="(page_id + i) % 3")]
+
+
+def _rows21(pages: DataFrame, made: dict[str, str]) -> DataFrame:
+    counted = pages.selectExpr("page_id", f"explode(sequence(0, cast({made['n']} as int))) as i").where(f"i < {made['n']}")
+    return counted.selectExpr(*(f"{v} as {k}" for k, v in made.items() if k != "n"))
+
+
+def _sql21(*made: dict[str, str]) -> str:
+    one = lambda m: f"SELECT {', '.join(f'{v} AS {k}' for k, v in m.items() if k != 'n')} FROM (SELECT page_id, unnest(range({m['n']})) AS i FROM pages)"
+    return " UNION ALL ".join(map(one, made)).replace("STRING", "VARCHAR")
+
+
+_RICH21 = " + ".join(f"(coalesce(trim({c}), '') NOT IN ({O.listed(V.BLANK)}))::INT" for c in ("door_width", "door_height", "door_material"))
+
+
+def _sized21(p: str = "") -> str:
+    return " OR ".join(f"coalesce(trim({p}{c}), '') <> ''" for c in ("door_width", "door_height", "door_material"))
+
+
+def _counts21(name: str, doors: str, parts: str) -> str:
+    return f"""{name} AS (SELECT b.*, page_id % 4 AS crops, page_id % 4 * (page_id % 2) AS door_crops, coalesce(dn, 0) AS doors, coalesce(un, 0) AS unique_, coalesce(sz, 0) AS physical, coalesce(pn, 0) AS parts, coalesce(sn, 0) AS sets FROM backed b
+  LEFT JOIN (SELECT page_id, count(*) AS dn, count(DISTINCT nullif(upper(trim(door_number)), '')) AS un, count(*) FILTER ({_sized21()}) AS sz FROM {doors} GROUP BY 1) USING (page_id)
+  LEFT JOIN (SELECT page_id, count(*) AS pn, count(DISTINCT nullif(upper(trim(hardware_set_id)), '')) AS sn FROM {parts} GROUP BY 1) USING (page_id))"""
+
+
+_DOOR_GATE21 = """(final_kind <> 'hardware_set' AND (final_kind IN ('door_schedule', 'mixed') OR is_door) AND (is_door OR doors > 0) AND ((unique_ = 0 AND (expected_rows >= 5 OR (expected_rows >= 3 AND e_dims >= 3))) OR (expected_rows >= 20 AND unique_ < expected_rows * 0.3 AND expected_rows - unique_ >= 10)
+  OR (expected_rows BETWEEN 3 AND 14 AND unique_ > 0 AND unique_ < expected_rows) OR (expected_rows >= 15 AND unique_ > 0 AND unique_ < expected_rows * 0.8 AND expected_rows - unique_ >= 2)))"""
+_HW_GATE21 = "((final_kind IN ('hardware_set', 'mixed') OR is_hw) AND (is_hw OR parts > 0) AND ((expected_sets >= 2 AND sets = 0) OR (e_parts >= 8 AND parts < 3)))"
+_CROP_GATE21 = f"""(final_kind <> 'hardware_set' AND crops > 0 AND NOT ((unique_ >= 20 AND physical >= greatest(20, floor(unique_ * 0.8))) OR (final_kind = 'mixed' AND parts >= 50 AND unique_ >= 10 AND physical >= 10)) AND ({_DOOR_GATE21} OR (final_kind IN ('door_schedule', 'mixed') AND doors = 0 AND door_crops > 0)
+  OR (final_kind IN ('door_schedule', 'mixed') AND door_crops >= 2 AND unique_ < 3 AND (e_doors >= 5 OR e_headers >= 2)) OR (doors > 0 AND physical = 0 AND door_crops > 0)))"""
+_CROP_HW_GATE21 = f"""(crops > 0 AND ({_HW_GATE21} OR (door_crops > 0 AND (final_kind IN ('hardware_set', 'mixed') OR is_hw) AND ((parts = 0 AND (final_kind IN ('hardware_set', 'mixed') OR e_parts >= 2 OR e_sets >= 1)) OR (final_kind IN ('hardware_set', 'mixed') AND door_crops >= 2 AND parts < 2 AND e_parts >= 4)))))"""
+
+
+def _merged21(name: str, rows: str, answers: str, step: str, counts: str, gate: str, doors: bool) -> str:
+    key = "upper(trim(door_number))" if doors else "upper(trim(hardware_set_id)), upper(trim(description))"
+    order = f"{_RICH21} DESC, later, row_no" if doors else "later, row_no"
+    blank = " AND coalesce(trim(door_number), '') <> ''" if doors else ""
+    fields = "page_id, row_no, " + ", ".join(_DOORS21 if doors else _PARTS21)
+    return f"""{name}_open AS (SELECT page_id FROM {counts} WHERE coalesce({gate}, false)),
+{name} AS (SELECT * FROM {rows} WHERE page_id NOT IN (SELECT page_id FROM {name}_open) UNION ALL SELECT * EXCLUDE (later, nth) FROM (SELECT *, row_number() OVER (PARTITION BY page_id, {key} ORDER BY {order}) AS nth FROM (SELECT *, 0 AS later FROM {rows} UNION ALL SELECT {fields}, '{step}' AS origin, 1 FROM {answers} WHERE step = '{step}') WHERE page_id IN (SELECT page_id FROM {name}_open){blank}) WHERE nth = 1)"""
+
+
+_R21 = [
+    f"da AS ({_sql21(*_DOOR_ANSWERS21)})", f"pa AS ({_sql21(*_PART_ANSWERS21)})", f"d0 AS (SELECT *, 'extracted' AS origin FROM ({_sql21(_DOOR_ROWS21)}))", f"p0 AS (SELECT *, 'extracted' AS origin FROM ({_sql21(_PART_ROWS21)}))",
+    _counts21("c1", "d0", "p0"), _merged21("d1", "d0", "da", "page", "c1", _DOOR_GATE21, True), _counts21("c2", "d1", "p0"), _merged21("d2", "d1", "da", "crop", "c2", _CROP_GATE21, True),
+    _counts21("c3", "d2", "p0"), _merged21("p1", "p0", "pa", "page", "c3", _HW_GATE21, False), _counts21("c4", "d2", "p1"), _merged21("p2", "p1", "pa", "crop", "c4", _CROP_HW_GATE21, False), _counts21("c5", "d2", "p2"),
+    f"need AS (SELECT DISTINCT page_id, {O.reference_id('hardware_set')} AS set_id FROM d2 EXCEPT SELECT page_id, {O.reference_id('hardware_set_id')} FROM p2)",
+    f"offered AS (SELECT pa.*, min(rank) OVER (PARTITION BY page_id, set_id) AS first_ FROM (SELECT *, {O.reference_id('hardware_set_id')} AS set_id FROM pa WHERE step = 'repair') pa JOIN need USING (page_id, set_id) JOIN c5 USING (page_id) WHERE set_id <> '' AND door_crops > 0 AND (parts > 0 OR is_hw OR final_kind IN ('hardware_set', 'mixed')))",
+    "repairs AS (SELECT * FROM offered WHERE rank = first_)", _merged21("p3", "p2", "repairs", "repair", "(SELECT DISTINCT page_id FROM repairs)", "true", False),
+]
+
+
+@query(O.chain(_BODIES, _SIGNALS, _CLASS, *_R21, select="SELECT page_id, 'door' AS kind, row_no, door_number AS name, coalesce(hardware_set, '') AS detail, origin FROM d2 UNION ALL SELECT page_id, 'component', row_no, hardware_set_id, description, origin FROM p3"))
+def r21_rescued_rows(spark, sf_dir):
+    """Doors and components of every page, few or many, and what answers of three steps add to them."""
+    k = F.col("page_id")
+    pages = _pages(spark, sf_dir).withColumn("kind", C.backstopped(C.page_type(F.col("body"), F.col("answer")), F.col("body"))).select("page_id", "kind", G.evidence(F.col("body")).alias("e"), (k % 4).alias("crops"), (k % 4 * (k % 2)).alias("door_crops"), (k % 4 * (k % 2)).alias("hardware_crops"))
+    pages = settled(pages)  # asked for its evidence by every gate
+    ids = views.table(spark, sf_dir, "pages").select("page_id")
+    union = lambda made: functools.reduce(DataFrame.unionByName, (_rows21(ids, m) for m in made))
+    doors, parts = rescue.rescued(pages, _rows21(ids, _DOOR_ROWS21), _rows21(ids, _PART_ROWS21), union(_DOOR_ANSWERS21), union(_PART_ANSWERS21))
+    found = doors.select("page_id", F.lit("door").alias("kind"), "row_no", F.col("door_number").alias("name"), F.coalesce("hardware_set", F.lit("")).alias("detail"), "origin")
+    return found.unionByName(parts.select("page_id", F.lit("component").alias("kind"), "row_no", F.col("hardware_set_id").alias("name"), F.col("description").alias("detail"), "origin"))
