@@ -76,8 +76,8 @@ _STRATEGIES = ["usual", "text", "lines"]
 _CELL4 = ["CASE WHEN k % 5 = 0 THEN ' ' ELSE 'D' || l_partkey END", "CASE WHEN k % 3 = 0 THEN '' ELSE l_linestatus || l_returnflag END", "''", "CASE WHEN k % 7 = 0 THEN l_comment END"]
 
 
-@query(O.chain(f"""l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, l_returnflag, repeat('word ', CAST(l_quantity AS INT)) AS l_comment, unnest([0, 1, 2]) AS s FROM lineitem),
-c AS (SELECT l_orderkey AS page_id, s, l_linenumber % 2 AS table_no, (l_linenumber * 1000003 + l_partkey) * 1009 + l_suppkey % 1009 AS row_no, unnest(range(4)) AS col_no, trim(coalesce(unnest([{', '.join(_CELL4)}]), '')) AS cell FROM (SELECT *, l_partkey + s * (l_orderkey % 3) AS k FROM l)),
+@query(O.chain(f"""l AS (SELECT *, repeat('word ', q) AS l_comment, unnest([0, 1, 2]) AS s FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_linestatus, l_returnflag, CAST(l_quantity AS INT) AS q FROM lineitem)),
+c AS (SELECT l_orderkey AS page_id, s, l_linenumber % 2 AS table_no, ((l_linenumber * 10000019 + l_partkey) * 100 + q) * 9 + ascii(l_linestatus) % 3 * 3 + ascii(l_returnflag) % 3 AS row_no, unnest(range(4)) AS col_no, trim(coalesce(unnest([{', '.join(_CELL4)}]), '')) AS cell FROM (SELECT *, l_partkey + s * (l_orderkey % 3) AS k FROM l)),
 f AS (SELECT * FROM c WHERE cell <> ''), rw AS (SELECT DISTINCT page_id, s, table_no, row_no FROM f), cl AS (SELECT DISTINCT page_id, s, table_no, col_no FROM f),
 g AS (SELECT page_id, s, table_no, row_no, list(cell ORDER BY col_no) AS cells FROM rw JOIN cl USING (page_id, s, table_no) JOIN c USING (page_id, s, table_no, row_no, col_no) GROUP BY ALL),
 m AS (SELECT page_id, s, table_no, count(*) AS n, max(len(cells)) AS cols, sum(len(list_filter(cells, lambda x: x <> ''))) AS filled, sum(len(cells)) AS total, sum(length(array_to_string(cells, ''))) AS chars,
@@ -86,10 +86,10 @@ q AS (SELECT page_id, s, sum(filled) AS score, string_agg('=== TABLE (' || n ||
     select="SELECT page_id, ['usual', 'text', 'lines'][s + 1] AS strategy, CAST(score AS BIGINT) AS score, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, s) AS nth FROM q) WHERE nth = 1"))
 def s4_best_tables(spark, sf_dir):
     """Each order's lines as the rows of two tables, read in three ways that lose other cells."""
-    lines = views.table(spark, sf_dir, "lineitem").withColumn("s", F.explode(F.array(*map(F.lit, range(3))))).withColumn("k", F.col("l_partkey") + F.col("s") * (F.col("l_orderkey") % 3))
+    lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag", F.col("l_quantity").cast("int").alias("q")).distinct().withColumn("s", F.explode(F.array(*map(F.lit, range(3))))).withColumn("k", F.col("l_partkey") + F.col("s") * (F.col("l_orderkey") % 3))
     none = F.lit(None).cast("string")
-    cells = F.array(F.when(F.col("k") % 5 == 0, " ").otherwise(F.concat(F.lit("D"), "l_partkey")), F.when(F.col("k") % 3 == 0, "").otherwise(F.concat("l_linestatus", "l_returnflag")), F.lit(""), F.when(F.col("k") % 7 == 0, F.repeat(F.lit("word "), F.col("l_quantity").cast("int"))).otherwise(none))
-    rows = lines.select(F.col("l_orderkey").alias("page_id"), F.element_at(F.array(*map(F.lit, _STRATEGIES)), F.col("s") + 1).alias("strategy"), (F.col("l_linenumber") % 2).alias("table_no"), ((F.col("l_linenumber").cast("long") * 1000003 + F.col("l_partkey")) * 1009 + F.col("l_suppkey") % 1009).alias("row_no"), cells.alias("cells"))
+    cells = F.array(F.when(F.col("k") % 5 == 0, " ").otherwise(F.concat(F.lit("D"), "l_partkey")), F.when(F.col("k") % 3 == 0, "").otherwise(F.concat("l_linestatus", "l_returnflag")), F.lit(""), F.when(F.col("k") % 7 == 0, F.repeat(F.lit("word "), F.col("q"))).otherwise(none))
+    rows = lines.select(F.col("l_orderkey").alias("page_id"), F.element_at(F.array(*map(F.lit, _STRATEGIES)), F.col("s") + 1).alias("strategy"), (F.col("l_linenumber") % 2).alias("table_no"), (((F.col("l_linenumber").cast("long") * 10000019 + F.col("l_partkey")) * 100 + F.col("q")) * 9 + F.ascii("l_linestatus") % 3 * 3 + F.ascii("l_returnflag") % 3).alias("row_no"), cells.alias("cells"))
     return texts.best_tables(rows, _STRATEGIES)
 
 

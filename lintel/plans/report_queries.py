@@ -573,7 +573,7 @@ def k3_replaced_projects(spark, sf_dir):
     return spark.read.schema("row_key long, version string, project_id string").parquet(path)
 
 
-@query("""WITH r AS (SELECT 'run_' || o_orderkey AS run_id, * FROM orders), l AS (SELECT *, (l_partkey * 1009 + l_suppkey) * 10 + l_linenumber AS k, l_suppkey % 3 AS s FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+@query("""WITH r AS (SELECT 'run_' || o_orderkey AS run_id, * FROM orders), l AS (SELECT l_orderkey, l_partkey, (l_partkey * 100003 + l_suppkey) * 10 + l_linenumber AS k, l_suppkey % 3 AS s, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber),
 d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS no, row_number() OVER (PARTITION BY l_orderkey, s ORDER BY k) - 1 AS in_set, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY s) - 1 AS set_no FROM l)
 SELECT run_id, 'logs' AS child, i AS no, CASE WHEN i % 3 = 0 THEN 'warn' ELSE 'info' END AS a, 'm' || i AS b FROM (SELECT run_id, unnest(range(least(o_custkey % 4, 2))) AS i FROM r)
 UNION ALL SELECT 'run_' || l_orderkey, 'doors', no, 'D' || l_partkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END FROM d
@@ -584,7 +584,8 @@ UNION ALL SELECT run_id, 'audit', 0, 'runs.create', '{"source_filename":"plan '
 def k5_run_logs(spark, sf_dir):
     """All child rows of runs with nested results, one run for each order, its lines as doors and as items of sets; two log rows kept."""
     order, none = F.col("l_orderkey"), F.lit(None).cast("string")
-    lines = views.table(spark, sf_dir, "lineitem").withColumn("k", (F.col("l_partkey") * 1009 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).withColumn("s", F.col("l_suppkey") % 3)
+    lines = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_returnflag", "l_quantity", "l_discount")))
+    lines = lines.withColumn("k", (F.col("l_partkey") * 100_003 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).withColumn("s", F.col("l_suppkey") % 3)
     door = F.struct("k", F.concat(F.lit("D"), "l_partkey").alias("mark"), F.concat(F.lit("S"), "s").alias("hardware_set"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("risk_level"), F.col("l_discount").cast("double").alias("confidence"))
     name = F.concat(F.lit("item "), "l_partkey")
     odd = F.col("l_partkey") % 4 == 0

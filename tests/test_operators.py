@@ -132,8 +132,6 @@ def test_triage(spark):
 def test_layout(spark):
     boxes = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 0.5, 0.0, 10.0, 10.0), (1, 0, 3, 20.0, 0.0, 30.0, 10.0), (1, 90, 4, 0.0, 0.0, 10.0, 10.0)], "page_id int, rotation int, box_id int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(r.box_id for r in layout.distinct_rectangles(boxes).collect()) == [1, 3, 4]
-    words = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 8.0, "A"), (1, 12.0, 20.0, 0.5, 8.5, "B"), (1, 60.0, 70.0, 0.0, 8.0, "C"), (1, 0.0, 9.0, 30.0, 38.0, "D")], "page_id int, x0 double, x1 double, top double, bottom double, word string")
-    assert sorted(r.line for r in layout.text_rows(words).collect()) == ["A B | C", "D"]
     anchors = spark.createDataFrame([(1, 1, 5.0, 0.0), (1, 2, 50.0, 100.0)], "page_id int, anchor_id int, x double, y double")
     items = spark.createDataFrame([(1, 4.0, 3.0, "near"), (1, 9.0, 1.0, "far"), (1, 5.0, 40.0, "below")], "page_id int, x double, y double, text string")
     assert {(r.anchor_id, r.text) for r in layout.nearest_values(anchors, items, 10.0).collect()} == {(1, "near")}
