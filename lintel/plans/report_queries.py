@@ -657,13 +657,21 @@ def r16_named_rows(spark, sf_dir):
     return rows.select("answer_id", "row_no", F.get_json_object("row", "$.mark").alias("mark"))
 
 
-@query("SELECT event_id // 200 AS page_id, CAST(20 + event_id // 200 % 50 AS INT) AS header_y, 100 AS number_x, NULL AS room_x, 600 AS size_x, 800 AS type_x FROM events GROUP BY ALL")
+@query("""WITH w AS (SELECT DISTINCT event_id // 200 AS p FROM events), l AS (SELECT p, 20 + p % 50 AS y, 100 + p % 30 AS n, CASE WHEN p % 3 = 0 THEN 300 + p % 7 END AS r, 600 + p % 20 AS s, CASE WHEN p % 4 > 0 THEN 800 + p % 10 END AS t FROM w
+  UNION ALL SELECT p, 320 + p % 50, 90, CASE WHEN p % 5 = 0 THEN 250 END, 500, CASE WHEN p % 5 < 2 THEN 700 END FROM w)
+SELECT p AS page_id, CAST(y AS INT) AS header_y, CAST(n AS INT) AS number_x, CAST(r AS VARCHAR) AS room_x, CAST(s AS INT) AS size_x, CAST(t AS INT) AS type_x FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY -((r IS NOT NULL)::INT + (t IS NOT NULL)::INT), y) AS nth FROM l WHERE r IS NOT NULL OR t IS NOT NULL) WHERE nth = 1""")
 def t14_best_headers(spark, sf_dir):
-    """The header line of each page: two lines of labels, of which the second has more."""
+    """The header line of each page: two lines of labels in places of their own, now the one and now the other with more of them."""
     pages = views.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("page_id")).distinct()
     top = (F.lit(20) + F.col("page_id") % 50).cast("int")
-    word = lambda dy, x, t: F.struct((top + dy).cast("int").alias("y"), F.lit(x).alias("x"), F.lit(t).alias("text"))
-    items = pages.select("page_id", F.explode(F.array(word(0, 100, "NUMBER"), word(0, 600, "SIZE"), word(0, 800, "TYPE"), word(5, 90, "hall"), word(300, 90, "NO."), word(300, 500, "SIZE"))).alias("w")).select("page_id", "w.*")
+    word = lambda dy, x, t: F.struct((top + dy).cast("int").alias("y"), x.cast("int").alias("x"), F.lit(t).alias("text"))
+    p = F.col("page_id")
+    when = lambda test, w: F.when(test, w)
+    words = [
+        word(0, 100 + p % 30, "NUMBER"), when(p % 3 == 0, word(0, 300 + p % 7, "ROOM")), word(0, 600 + p % 20, "SIZE"), when(p % 4 > 0, word(0, 800 + p % 10, "TYPE")), word(5, F.lit(90), "hall"),
+        word(300, F.lit(90), "NO."), when(p % 5 == 0, word(300, F.lit(250), "ROOM")), word(300, F.lit(500), "SIZE"), when(p % 5 < 2, word(300, F.lit(700), "TYPE")),
+    ]
+    items = pages.select("page_id", F.explode(F.array_compact(F.array(*words))).alias("w")).select("page_id", "w.*")
     return ocr.best_header(items).select("page_id", "header_y", "number_x", F.col("room_x").cast("string").alias("room_x"), "size_x", "type_x")
 
 
