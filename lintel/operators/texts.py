@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import strip
 from lintel.functions.pages import squeezed_tables, unreversed
-from lintel.operators.gates import quality_tables
+from lintel.operators.gates import cell_counts, is_quality_table
 
 
 def _within(pages: DataFrame, limit: int, marker: int = 0) -> DataFrame:
@@ -47,25 +47,35 @@ def document_markdown(pages: DataFrame, limit: int = 120_000) -> DataFrame:
     return _joined(rows, V.PAGE_BREAK).select("doc_id", F.substring("text", 1, limit).alias("text"))
 
 
+def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a value that is worked out once, however often later columns and filters read it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def best_tables(rows: DataFrame, strategies: list[str]) -> DataFrame:
     """Of several extractions of each page's tables, rows (page_id, strategy, table_no, row_no, cells), the one with most filled cells in
-    good tables of two rows or more; the earlier strategy wins ties. Empty rows and columns go first. (page_id, strategy, score, text)"""
+    good tables of two rows or more; the earlier strategy wins ties. Empty rows and columns go first. (page_id, strategy, score, text)
+
+    A page's text is one value, so its rows come together; rows that are dealt by page_id already are not shuffled again.
+    """
     table = ["page_id", "strategy", "table_no"]
-    cells = rows.select(*table, "row_no", F.posexplode("cells").alias("col_no", "cell")).withColumn("cell", strip(F.coalesce("cell", F.lit(""))))
-    full = F.col("cell") != ""
-    used = cells.where(full).select(*table, "row_no", "col_no")
-    # Rows and columns with a filled cell: the grid of both, blanks where a row is shorter or empty there.
-    grid = used.select(*table, "row_no").distinct().join(used.select(*table, "col_no").distinct(), table)
-    clean = grid.join(cells, [*table, "row_no", "col_no"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
-    lines = clean.groupBy(*table, "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "cell"))), lambda c: c["cell"]).alias("cells"))
-    good = quality_tables(lines.withColumn("table_id", F.struct(*table))).where("is_good").select("table_id.*")
-    shown = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, V.CELL_LENGTH)), " | "), F.lit(" |"))
-    filled = F.size(F.filter("cells", lambda c: c != ""))
-    whole = lines.join(good, table, "left_semi").groupBy(*table).agg(
-        F.count("*").alias("n"), F.max(F.size("cells")).alias("columns"), F.sum(filled).alias("filled"), F.array_sort(F.collect_list(F.struct("row_no", shown.alias("line")))).alias("lines"),
-    )
-    text = F.concat(F.format_string("=== TABLE (%d×%d) ===\n", "n", "columns"), F.array_join(F.col("lines.line"), "\n"))
-    read = whole.groupBy("page_id", "strategy").agg(F.sum("filled").alias("score"), F.array_sort(F.collect_list(F.struct("table_no", text.alias("text")))).alias("tables"))
+    read = rows.select(*table, "row_no", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))).alias("cells"))
+    parts = read.groupBy(*table, "row_no").agg(F.collect_list("cells").alias("parts")).where(F.exists(F.flatten("parts"), lambda c: c != ""))
+    grids = parts.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row_no", "parts"))).alias("lines"))
+    # Columns with a filled cell: the grid has these in every row, blanks where a row is shorter or empty there.
+    places = lambda p: F.filter(F.transform(p, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
+    used = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten("lines.parts"), places))))
+    grids = _held(grids, "used", used)
+    there = lambda parts, i: F.filter(F.transform(parts, lambda p: F.get(p, i)), lambda c: c.isNotNull())
+    several = lambda parts, i: F.when(F.size(there(parts, i)) > 0, F.array_sort(there(parts, i))).otherwise(F.array(F.lit("")))
+    cells = lambda parts, i: F.when(F.size(parts) == 1, F.array(F.coalesce(F.get(F.get(parts, F.lit(0)), i), F.lit("")))).otherwise(several(parts, i))
+    grids = _held(grids, "grid", F.transform("lines", lambda x: F.flatten(F.transform("used", lambda i: cells(x["parts"], i))))).drop("lines", "used")
+    counted = {"n": F.size("grid"), "columns": F.array_max(F.transform("grid", F.size)), "total": F.size("flat"), **cell_counts(F.col("flat"))}
+    counted = _held(_held(grids, "flat", F.flatten("grid")), "counts", F.struct(*(c.alias(k) for k, c in counted.items()))).select(*table, "grid", "counts.*")
+    shown = lambda line: F.concat(F.lit("| "), F.array_join(F.transform(line, lambda c: F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, V.CELL_LENGTH)), " | "), F.lit(" |"))
+    text = F.concat(F.format_string("=== TABLE (%d×%d) ===\n", "n", "columns"), F.array_join(F.transform("grid", shown), "\n"))
+    good = counted.where(is_quality_table()).select(*table, F.col("filled").cast("long").alias("filled"), text.alias("text"))
+    read = good.groupBy("page_id", "strategy").agg(F.sum("filled").alias("score"), F.array_sort(F.collect_list(F.struct("table_no", "text"))).alias("tables"))
     rank = F.array_position(F.array(*(F.lit(s) for s in strategies)), F.col("strategy"))
     best = read.groupBy("page_id").agg(F.max_by(F.struct("strategy", "score", "tables"), F.struct("score", -rank)).alias("best"))
     return best.select("page_id", "best.strategy", "best.score", F.array_join(F.col("best.tables.text"), "\n\n").alias("text"))

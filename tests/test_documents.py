@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lintel.functions import vocabulary as V
 from lintel.functions.pages import salvaged_json
 from lintel.operators import parse, summaries, texts
+from lintel.operators.skew import dealt
 
 
 def rows_of(spark, answers):
@@ -86,6 +87,16 @@ def test_best_tables(spark):
     assert [tuple(r) for r in found] == [(1, "text", 8, "=== TABLE (2×2) ===\n| aa | bb |\n| cc | dd |\n\n=== TABLE (2×2) ===\n| x1 | x2 |\n| x3 | x4 |")]
 
 
+def test_best_tables_shuffles_dealt_rows_once(spark):
+    """Rows that share a number are one line; a short row has blanks."""
+    rows = [(1, "usual", 0, 0, ["bb", "", "cc"]), (1, "usual", 0, 0, ["aa"]), (1, "usual", 0, 1, ["dd"])]
+    frame = spark.createDataFrame(rows, "page_id int, strategy string, table_no int, row_no int, cells array<string>")
+    found = texts.best_tables(dealt(frame, "page_id", 3, 2), ["usual"])
+    assert [tuple(r) for r in found.collect()] == [(1, "usual", 4, "=== TABLE (2×3) ===\n| aa | bb | cc |\n| dd |  |")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
 def test_output_budget(spark):
     rows = [("gpt-5", "s" * 40, "u" * 40, False), ("unknown", "", "u" * 28_000, False), ("qwen2.5", None, "u" * 110_000, True), ("QWEN3-VL", "", "", True), (None, "", "u" * 99_999, False)]
     frame = spark.createDataFrame(rows, "m string, s string, u string, i boolean")
