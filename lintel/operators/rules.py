@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import text
+from lintel.operators.skew import ENTRIES, as_maps, crowded, parted
 from lintel.plans.storage import settled
 
 
@@ -18,10 +19,24 @@ def marks(head: Column, n: Column) -> Column:
     return F.concat(F.array_join(head, ", "), F.when(n > F.size(head), more).otherwise(""))
 
 
+def headed(held: DataFrame, group: list[str], mark: str) -> DataFrame:
+    """(group, n, head): how many rows a group has and its first marks. Each task counts and keeps the first of its own rows, so a group of
+    very many rows sends few; rows that are dealt by one of these columns are not shuffled again."""
+    own = Window.partitionBy(*group, "_task")
+    rows = held.withColumn("_task", F.spark_partition_id())
+    rows = rows.withColumns({"_n": F.count("*").over(own), "_nth": F.row_number().over(own.orderBy(mark))}).where(F.col("_nth") <= SHOWN)
+    first = F.slice(F.sort_array(F.collect_list(F.struct(mark))), 1, SHOWN)
+    head = F.array_compact(F.transform(first, lambda x: x[mark]))
+    return rows.groupBy(*group).agg(F.sum(F.when(F.col("_nth") == 1, F.col("_n"))).alias("n"), head.alias("head"))
+
+
 def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
     """Rules over each project's openings, all in one pass; doors from resolved(). {n} in an issue is the number of openings."""
-    content = sets.select("project_id", F.col("hardware_set").alias("set_label"), (F.col("n_items") > 0).alias("full"))
-    rows = doors.join(content, ["project_id", "set_label"], "left")
+    content = sets.where("n_items > 0").select("project_id", F.col("hardware_set").alias("set_label"), F.lit(True).alias("full")).distinct()
+    usual, apart = parted(doors, "project_id", [crowded(content, "project_id", ENTRIES)])
+    rows = usual.join(as_maps(content, "project_id", "set_label", "full", "known"), "project_id", "left").withColumn("full", F.col("known")[F.col("set_label")]).drop("known")
+    if apart is not None:
+        rows = rows.unionByName(apart.join(content, ["project_id", "set_label"], "left").select(*rows.columns))
     said = F.concat_ws(" ", "remarks", "door_type")
     rated = (F.coalesce("fire_rating", F.lit("")) != "") & ~F.col("fire_rating").rlike(r"(?i)^(-|none|non|n/a)$")
     families = [
@@ -30,12 +45,11 @@ def risks(doors: DataFrame, sets: DataFrame) -> DataFrame:
         (rated, "medium", "Fire-rated openings", "{n} fire-rated opening(s) require coordinated UL-listed door, frame and hardware assemblies."),
         (said.rlike(V.ACCESS_WORDS), "high", "Access control / electrified", "{n} opening(s) involve electrified or access-control hardware."),
     ]
-    holds = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(n).alias("note"))) for test, s, c, n in families)))
-    held = settled(rows.select("project_id", "door_number", F.explode(holds).alias("rule")))  # counted and looked into
-    counts = held.groupBy("project_id", "rule").agg(F.count("*").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("project_id", "rule").orderBy("door_number"))
-    heads = held.withColumn("nth", nth).where(F.col("nth") <= SHOWN).groupBy("project_id", "rule").agg(F.array_sort(F.collect_list("door_number")).alias("head"))
-    found = counts.join(heads, ["project_id", "rule"])
+    holds = F.array_compact(F.array(*(F.when(test, F.lit(i)) for i, (test, *_) in enumerate(families))))
+    held = rows.select("project_id", "door_number", F.explode(holds).alias("family"))
+    found = headed(held, ["project_id", "family"], "door_number")
+    rule = F.element_at(F.array(*(F.struct(F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(n).alias("note")) for _, s, c, n in families)), F.col("family") + 1)
+    found = found.withColumn("rule", rule)
     return found.select("project_id", "rule.severity", "rule.category", "n", F.replace("rule.note", F.lit("{n}"), F.col("n").cast("string")).alias("issue"), marks(F.col("head"), F.col("n")).alias("openings"))
 
 

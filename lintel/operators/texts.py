@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import strip
 from lintel.functions.pages import squeezed_tables, unreversed
+from lintel.operators.distinct import held
 from lintel.operators.gates import cell_counts, is_quality_table
 
 
@@ -47,11 +48,6 @@ def document_markdown(pages: DataFrame, limit: int = 120_000) -> DataFrame:
     return _joined(rows, V.PAGE_BREAK).select("doc_id", F.substring("text", 1, limit).alias("text"))
 
 
-def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a value that is worked out once, however often later columns and filters read it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def best_tables(rows: DataFrame, strategies: list[str]) -> DataFrame:
     """Of several extractions of each page's tables, rows (page_id, strategy, table_no, row_no, cells), the one with most filled cells in
     good tables of two rows or more; the earlier strategy wins ties. Empty rows and columns go first. (page_id, strategy, score, text)
@@ -65,13 +61,13 @@ def best_tables(rows: DataFrame, strategies: list[str]) -> DataFrame:
     # Columns with a filled cell: the grid has these in every row, blanks where a row is shorter or empty there.
     places = lambda p: F.filter(F.transform(p, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
     used = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten("lines.parts"), places))))
-    grids = _held(grids, "used", used)
+    grids = held(grids, "used", used)
     there = lambda parts, i: F.filter(F.transform(parts, lambda p: F.get(p, i)), lambda c: c.isNotNull())
     several = lambda parts, i: F.when(F.size(there(parts, i)) > 0, F.array_sort(there(parts, i))).otherwise(F.array(F.lit("")))
     cells = lambda parts, i: F.when(F.size(parts) == 1, F.array(F.coalesce(F.get(F.get(parts, F.lit(0)), i), F.lit("")))).otherwise(several(parts, i))
-    grids = _held(grids, "grid", F.transform("lines", lambda x: F.flatten(F.transform("used", lambda i: cells(x["parts"], i))))).drop("lines", "used")
+    grids = held(grids, "grid", F.transform("lines", lambda x: F.flatten(F.transform("used", lambda i: cells(x["parts"], i))))).drop("lines", "used")
     counted = {"n": F.size("grid"), "columns": F.array_max(F.transform("grid", F.size)), "total": F.size("flat"), **cell_counts(F.col("flat"))}
-    counted = _held(_held(grids, "flat", F.flatten("grid")), "counts", F.struct(*(c.alias(k) for k, c in counted.items()))).select(*table, "grid", "counts.*")
+    counted = held(held(grids, "flat", F.flatten("grid")), "counts", F.struct(*(c.alias(k) for k, c in counted.items()))).select(*table, "grid", "counts.*")
     shown = lambda line: F.concat(F.lit("| "), F.array_join(F.transform(line, lambda c: F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, V.CELL_LENGTH)), " | "), F.lit(" |"))
     text = F.concat(F.format_string("=== TABLE (%d×%d) ===\n", "n", "columns"), F.array_join(F.transform("grid", shown), "\n"))
     good = counted.where(is_quality_table()).select(*table, F.col("filled").cast("long").alias("filled"), text.alias("text"))

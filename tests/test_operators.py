@@ -148,3 +148,40 @@ def test_parsers(spark):
     assert [r.mark for r in parse.json_rows(answers, "mark: string").orderBy("row_no").collect()] == ["A", "B"]
     table = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "", "y"), (1, 2, "b", "z")], "table_id int, row_no int, first string, rest string")
     assert [(r["first"], r.rest) for r in parse.merged_split_rows(table).orderBy("row_no").collect()] == [("a", "x y"), ("b", "z")]
+
+
+def _many(spark):
+    """Doors of two projects whose sets are named by themselves, by type, remarks, mark or not at all."""
+    doors = [door(str(i), [f"HW-{i % 3}", None, "9", "0 and 1"][i % 4], i, "pq"[i % 2], door_type=["1", "x"][i % 2], remarks=["set 2", None, "NIC"][i % 3]) for i in range(40)]
+    parts = [part(f"Set {i % 3}", f"HINGE {i}", "2", i, "pq"[i // 6]) for i in range(12)]
+    parts = spark.createDataFrame(parts, PARTS)
+    items = mapping.set_items(parts)
+    return spark.createDataFrame(doors, DOORS), items, mapping.set_table(parts, items)
+
+
+def test_resolved_looks_up_in_one_shuffle(spark):
+    """However many keys a door has, it meets its project's sets by project alone; crowded projects give the same."""
+    doors, items, sets = _many(spark)
+    lookup = mapping.set_lookup(sets, ["project_id"])
+    found = mapping.resolved(doors, lookup)
+    for more in ({"entries": 1}, {"rows_apart": 1}):
+        assert Counter(mapping.resolved(doors, lookup, **more).select(found.columns).collect()) == Counter(found.collect())
+    whole = mapping.mapped(found, sets, items)
+    assert Counter(mapping.mapped(found, sets, items, entries=1).collect()) == Counter(whole.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mapping.resolved(doors, lookup)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "key_own" in plan and not [x for x in plan.splitlines() if "hashpartitioning" in x and "key_" in x]
+
+
+def test_mapped_groups_count_openings_once(spark):
+    doors, items, sets = _many(spark)
+    found = mapping.resolved(doors, mapping.set_lookup(sets, ["project_id"]))
+    want = Counter((r.project_id, r.hardware_set, r.description, r.status) for r in mapping.mapped(found, sets, items).collect())
+    got = Counter()
+    for r in mapping.mapped_groups(found, sets, items).collect():
+        got[r.project_id, r.hardware_set, r.description, r.status] += r.n
+    assert got == want
