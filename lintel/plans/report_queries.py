@@ -570,7 +570,7 @@ def k3_replaced_projects(spark, sf_dir):
     path, rows = _stored(spark, "estimations"), views.components(spark, sf_dir).select("row_key", "project_id")
     sinks.replace_projects(rows.withColumn("version", F.lit("old")), path)
     sinks.replace_projects(rows.where("row_key div 50 = 1 and row_key % 2 = 1").withColumn("version", F.lit("new")), path)
-    return spark.read.schema("row_key long, version string, project_id string").parquet(path)
+    return spark.read.parquet(path).select("row_key", "version", "project_id")
 
 
 @query("""WITH r AS (SELECT 'run_' || o_orderkey AS run_id, * FROM orders), l AS (SELECT l_orderkey, l_partkey, (l_partkey * 100003 + l_suppkey) * 10 + l_linenumber AS k, l_suppkey % 3 AS s, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber),

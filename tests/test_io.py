@@ -37,6 +37,17 @@ def test_replace_projects(spark, tmp_path):
     assert {(r.project_id, r.n) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", 2)}
 
 
+def test_replace_projects_keeps_folders_few(spark, tmp_path):
+    """Folders and files do not grow with projects; projects that share a folder with a replaced one stay, null is a project too."""
+    path, n = f"{tmp_path}/est", 3 * sinks.PARTS
+    sinks.replace_projects(spark.range(2 * n).selectExpr(f"nullif(concat('p', id % {n}), 'p1') as project_id", "id as n").repartition(4), path)
+    assert len(list((tmp_path / "est").rglob("*.parquet"))) <= sinks.PARTS
+    sinks.replace_projects(spark.createDataFrame([("p0", -1), (None, -2)], "project_id string, n long"), path)
+    want = {(None if i % n == 1 else f"p{i % n}", i) for i in range(2 * n) if i % n > 1} | {("p0", -1), (None, -2)}
+    found = [(r.project_id, r.n) for r in spark.read.parquet(path).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_schedule(spark, tmp_path):
     doors = spark.createDataFrame([("101", "say \"x\",\ny", "HALL to LOBBY")], "door_number string, remarks string, room_or_location string")
     line = sinks.schedule_lines(doors).first().line
