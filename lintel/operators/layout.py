@@ -63,12 +63,24 @@ def segments(items: DataFrame, is_header: Column) -> DataFrame:
     return rows.where(inside).select("page_id", F.col("above.header").alias("header"), "y", "x", "text")
 
 
+def looked_into(levels: DataFrame, most: float, step: float) -> DataFrame:
+    """levels (boxes with their levels lx, ly) for each cell (lx, ly, cx, cy) that may hold the corner of a box that overlaps them."""
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    # How far a corner of that level may be, with a little more for rounding.
+    far = lambda lo, hi, lev: (1 - most + 1e-6) * F.greatest(F.col(hi) - F.col(lo), F.exp((F.col(lev) + 1) * step))
+    edge = lambda at, lev: F.floor(at / F.exp(F.col(lev) * step))
+    cells = lambda lo, hi, lev: F.explode(F.sequence(edge(F.col(lo) - far(lo, hi, lev), lev), edge(F.col(lo) + far(lo, hi, lev), lev)))
+    looking = levels.withColumn("lx", near("lx")).withColumn("ly", near("ly"))
+    return looking.withColumn("cx", cells("x0", "x1", "lx")).withColumn("cy", cells("y0", "y1", "ly"))
+
+
 def overlapping(boxes: DataFrame, most: float) -> DataFrame:
     """(a, b) of the boxes (page_id, rotation, no, x0, y0, x1, y1; no in order) whose overlap is more than most, the earlier one first.
 
     Such boxes have widths and heights within a factor of 1 / most and corners within (1 - most) of the larger side of each other. So
     a box stands in one cell, for its level of width and of height (powers of 1 / most) and its corner on that level's grid, and
-    looks into the cells beside it on its own level and the ones next to it: pairs of boxes far apart are never met.
+    looks on its own level and the ones next to it into the cells where such a corner may be, mostly one or two a side: pairs of boxes
+    far apart are never met.
     """
     step = math.log(1 / most) * (1 + 1e-6)  # a little more, so that no rounding puts two such sizes two levels apart
     sized = boxes.where("x1 > x0 and y1 > y0")
@@ -77,9 +89,7 @@ def overlapping(boxes: DataFrame, most: float) -> DataFrame:
     levels = sized.withColumns({"lx": level("x0", "x1"), "ly": level("y0", "y1")})
     place = ["page_id", "rotation", "lx", "ly", "cx", "cy"]
     home = levels.withColumns({"cx": cell("x0", "lx"), "cy": cell("y0", "ly")})
-    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    looking = levels.withColumn("lx", near("lx")).withColumn("ly", near("ly")).withColumns({"cx": cell("x0", "lx"), "cy": cell("y0", "ly")})
-    looking = looking.withColumn("cx", near("cx")).withColumn("cy", near("cy"))
+    looking = looked_into(levels, most, step)
     sides = ["no", "x0", "y0", "x1", "y1"]
     first = home.select(*place, *(F.col(c).alias(f"a_{c}") for c in sides))
     second = looking.select(*place, *(F.col(c).alias(f"b_{c}") for c in sides))

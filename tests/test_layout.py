@@ -1,5 +1,6 @@
 """Boxes, sequences, places and vectors against plain loops."""
 
+import math
 import random
 
 import numpy as np
@@ -106,3 +107,9 @@ def test_index_recall(spark):
     assert len(exact & some) >= 0.9 * len(exact) and len(some) == len(exact)
     assert {(r.query_id, r.vec_id) for r in retrieve.nearest_by_index(vectors, queries, cells=8, probes=8).collect()} == exact
     assert retrieve.nearest_by_index(vectors.limit(0), queries).collect() == []
+
+
+def test_boxes_look_into_few_cells(spark):
+    """A box may meet corners in one or two cells a side on each of nine levels, not in three."""
+    boxes = spark.range(200).selectExpr("id * 7.3D as x0", "id * 3.1D as y0", "id * 7.3D + 5 + id % 9 as x1", "id * 3.1D + 4 + id % 5 as y1", "floor(log(5 + id % 9) / log(4 / 3D)) as lx", "floor(log(4 + id % 5) / log(4 / 3D)) as ly")
+    assert 200 * 9 < layout.looked_into(boxes, 0.75, math.log(4 / 3)).count() < 200 * 40
