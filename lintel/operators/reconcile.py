@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.functions.normalise import compare_value, filled_count, is_blank, text
+from lintel.operators.skew import dealt
 
 #: What must hold something, twice at least, for a door that only the second witness has to be added.
 PHYSICAL = ("door_width", "door_height", "door_material", "door_type", "frame_type", "fire_rating")
@@ -49,10 +50,17 @@ def merge_metrics(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if(d.contains("confirmed")).alias("confirmed"), F.count_if(d == "direct_pdf_added").alias("added"), F.count_if(d.contains("conflict")).alias("in_conflict"), F.sum("fields_filled").cast("long").alias("fields_filled"))
 
 
-def richest(rows: DataFrame, key: Column, order: list[Column], fields: list[str]) -> DataFrame:
-    """Of each key, blank ones left out, the row with most fields; the first of equals."""
+#: Rows of a task that sorts whole rows by key.
+ROWS = 200_000
+
+
+def richest(rows: DataFrame, key: Column, order: list[Column], fields: list[str], n_rows: int | None = None) -> DataFrame:
+    """Of each key, blank ones left out, the row with most fields; the first of equals. Where the number of rows is given, they are
+    dealt to as many tasks as sort them in memory."""
     window = Window.partitionBy("_key").orderBy(filled_count(*(F.col(f) for f in fields)).desc(), *order)
-    return rows.withColumn("_key", key).where("_key <> ''").withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_key", "_nth")
+    keyed = rows.withColumn("_key", key).where("_key <> ''")
+    keyed = keyed if n_rows is None else dealt(keyed, "_key", n_rows, ROWS)
+    return keyed.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_key", "_nth")
 
 
 def first_of(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:

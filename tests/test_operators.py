@@ -185,3 +185,11 @@ def test_mapped_groups_count_openings_once(spark):
     for r in mapping.mapped_groups(found, sets, items).collect():
         got[r.project_id, r.hardware_set, r.description, r.status] += r.n
     assert got == want
+
+
+def test_richest_deals_rows_by_their_number(spark):
+    """Tasks grow in number, not in size."""
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", 3, None), ("", 4, "x")], "mark string, n int, w string")
+    found = reconcile.richest(rows, rows.mark, [rows.n], ["w"], 9 * reconcile.ROWS)
+    assert {(r.mark, r.n) for r in found.collect()} == {("a", 2), ("b", 3)}
+    assert ", 9), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
