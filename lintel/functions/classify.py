@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import vocabulary as V
 from lintel.functions.normalise import bound
-from lintel.functions.pages import door_numbers, evidence, judged
+from lintel.functions.pages import evidence_of, judged, read, rows_with
 from lintel.functions.predicates import any_of
 
 DOOR, HARDWARE, MIXED, OTHER = "door_schedule", "hardware_set", "mixed", "other"
@@ -20,18 +20,19 @@ def _year(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, r"(\d+)", 1).try_cast("int").between(1900, 2099), F.lit(False))
 
 
-def signals(c: Column) -> Column:
-    """The lighter counts of a page as one struct; words count once each, marks every time."""
-    c = F.coalesce(c, F.lit(""))
-    upper = F.upper(c)
-    marks = F.filter(F.regexp_extract_all(c, F.lit(V.DOOR_NUMBER), F.lit(0)), lambda m: ~_year(m))
-    rows = F.filter(F.split(c, r"\r\n|\r|\n"), lambda x: x.rlike(V.DOOR_NUMBER) & (x.rlike(V.DIMENSION) | any_of(F.upper(x), V.SIGNAL_ROW_WORDS)))
+def _signals(r: Column) -> Column:
+    upper = r["upper"]
     return F.struct(
-        F.size(marks).alias("real_doors"), F.regexp_count(c, F.lit(V.DIMENSION)).alias("dimensions"), F.size(rows).alias("row_lines"), _said(upper, V.SIGNAL_HEADERS).alias("table_headers"),
+        F.size(F.filter(r["marks"], lambda m: ~_year(m))).alias("real_doors"), r["dimensions"].alias("dimensions"), rows_with(r, V.SIGNAL_ROW_WORDS).alias("row_lines"), _said(upper, V.SIGNAL_HEADERS).alias("table_headers"),
         _said(upper, V.SIGNAL_HARDWARE).alias("hw_keywords"), _said(upper, V.SIGNAL_TITLES).alias("title_block_markers"),
     )
 
 
+def signals(c: Column) -> Column:
+    """The lighter counts of a page as one struct; words count once each, marks every time."""
+    return bound(read(c), _signals)
+
+
 def is_fragmented(c: Column) -> Column:
     """Tables cut into many tiny cells, or headers cut by a pipe; a text without table lines is none."""
     lines = F.filter(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), lambda x: F.ltrim(x).startswith("|"))
@@ -61,48 +62,62 @@ def content_score(c: Column) -> Column:
     return F.when(text == "", 0.0).otherwise(bound(signals(text), score))
 
 
-def page_type(c: Column, answer: Column) -> Column:
-    """The type that fixed rules give, else what the recorded answer of a model says; without one, other.
-
-    A door page with components and set headers in its full text is mixed.
-    """
-    text = F.coalesce(c, F.lit(""))
-    upper = F.upper(text)
-    marks = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(V.DOOR_NUMBER), F.lit(0))))
+def _page_type(r: Column, answer: Column) -> Column:
+    upper = r["upper"]
+    marks = F.size(F.array_distinct(r["marks"]))
     set_column, blocks = any_of(upper, V.SET_COLUMNS), upper.rlike(V.SET_BLOCKS)
     components = F.regexp_count(upper, F.lit(V.PAGE_PARTS)) >= 2
     said = F.upper(answer)
     later = (F.regexp_count(upper, F.lit(V.LATER_PARTS)) >= 2) & upper.rlike(V.LATER_SETS)
     answered = F.when(said.contains("MIXED") | said.contains("BOTH"), MIXED).when(said.contains("DOOR"), F.when(later, MIXED).otherwise(DOOR)).when(said.contains("HARDWARE") | said.contains("HDWR"), HARDWARE).otherwise(OTHER)
+    plain = (r["dimensions"] < 2) & (rows_with(r, V.SIGNAL_ROW_WORDS) < 2) & (F.size(F.filter(r["marks"], lambda m: ~_year(m))) < 4)
+    prose = (_said(upper, V.SPEC_PROSE) >= 3) & ~blocks & ~(set_column & (marks >= 4)) & plain
+    return (
+        F.when(~any_of(upper, V.SCHEDULE_TERMS), OTHER)
+        .when(upper.contains("OPENING LIST") & set_column & (marks >= 4), DOOR)
+        .when(upper.rlike(V.SET_DESCRIPTIONS), HARDWARE)
+        .when(prose, OTHER)
+        .when(upper.rlike(r"\b(?:MANUFACTURER|OPTION|FINISH)\s+LIST\b") & ~blocks, OTHER)
+        .when(blocks & components, F.when(r["dimensions"] >= 2, MIXED).otherwise(HARDWARE))
+        .otherwise(answered)
+    )
+
+
+def _backstopped(kind: Column, r: Column, e: Column) -> Column:
+    upper = r["upper"]
+    sized = r["text"].rlike("\\d+['’]\\s*-?\\s*\\d+\"")
+    numbers = F.size(F.filter(F.regexp_extract_all(r["text"], F.lit(r"\b\d{2,4}[A-Za-z]?\b"), F.lit(0)), lambda m: ~_year(m)))
+
+    def kept(n: Column) -> Column:
+        doors, sized = n["doors"], n["sized"]
+        j = judged(e)
+        signs = j["is_door_schedule"] | j["is_hardware_schedule"] | (any_of(upper, V.BACKSTOP_WORDS) & ((doors >= 2) | sized)) | ((doors >= 5) & sized) | ((doors >= 3) & any_of(upper, V.BACKSTOP_PARTS))
+        return F.when(upper.rlike(V.SET_DESCRIPTIONS) & ~sized, HARDWARE).when(signs, MIXED).otherwise(kind)
+
+    return F.when(kind != OTHER, kind).otherwise(bound(F.struct(numbers.alias("doors"), sized.alias("sized")), kept))
 
-    def ruled(s: Column) -> Column:
-        prose = (_said(upper, V.SPEC_PROSE) >= 3) & ~blocks & ~(set_column & (marks >= 4)) & (s["dimensions"] < 2) & (s["row_lines"] < 2) & (s["real_doors"] < 4)
-        return (
-            F.when(~any_of(upper, V.SCHEDULE_TERMS), OTHER)
-            .when(upper.contains("OPENING LIST") & set_column & (marks >= 4), DOOR)
-            .when(upper.rlike(V.SET_DESCRIPTIONS), HARDWARE)
-            .when(prose, OTHER)
-            .when(upper.rlike(r"\b(?:MANUFACTURER|OPTION|FINISH)\s+LIST\b") & ~blocks, OTHER)
-            .when(blocks & components, F.when(s["dimensions"] >= 2, MIXED).otherwise(HARDWARE))
-            .otherwise(answered)
-        )
 
-    return bound(signals(text), ruled)
+def page_type(c: Column, answer: Column) -> Column:
+    """The type that fixed rules give, else what the recorded answer of a model says; without one, other.
+
+    A door page with components and set headers in its full text is mixed.
+    """
+    return bound(read(c), lambda r: _page_type(r, answer))
 
 
 def backstopped(kind: Column, c: Column) -> Column:
     """Pages called other that have the signs of a schedule are mixed, or hardware if they describe sets without a size."""
-    text = F.coalesce(c, F.lit(""))
-    upper = F.upper(text)
-    doors = F.size(F.filter(F.regexp_extract_all(text, F.lit(r"\b\d{2,4}[A-Za-z]?\b"), F.lit(0)), lambda m: ~_year(m)))
-    sized = text.rlike("\\d+['’]\\s*-?\\s*\\d+\"")
+    return F.when(kind != OTHER, kind).otherwise(bound(read(c), lambda r: bound(evidence_of(r), lambda e: _backstopped(kind, r, e))))
 
-    def kept(e: Column) -> Column:
-        j = judged(e)
-        signs = j["is_door_schedule"] | j["is_hardware_schedule"] | (any_of(upper, V.BACKSTOP_WORDS) & ((doors >= 2) | sized)) | ((doors >= 5) & sized) | ((doors >= 3) & any_of(upper, V.BACKSTOP_PARTS))
-        return F.when(upper.rlike(V.SET_DESCRIPTIONS) & ~sized, HARDWARE).when(signs, MIXED).otherwise(kind)
 
-    return F.when(kind != OTHER, kind).otherwise(bound(evidence(text), kept))
+def classified(c: Column, answer: Column) -> Column:
+    """X10, X19 and X20 of a page that is read once: (kind, e), its type after the backstop and its evidence."""
+
+    def both(r: Column) -> Column:
+        found = F.struct(_page_type(r, answer).alias("type"), evidence_of(r).alias("e"))
+        return bound(found, lambda x: F.struct(_backstopped(x["type"], r, x["e"]).alias("kind"), x["e"].alias("e")))
+
+    return bound(read(c), both)
 
 
 def is_native_text(c: Column) -> Column:

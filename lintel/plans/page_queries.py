@@ -9,6 +9,7 @@ from lintel.functions import classify as C
 from lintel.functions import pages as G
 from lintel.functions import vocabulary as V
 from lintel.operators import gates, hardware, rescue, tables
+from lintel.operators.distinct import held
 from lintel.plans import oracle as O
 from lintel.plans import views
 from lintel.plans.report_queries import Query
@@ -472,7 +473,7 @@ _R21 = [
 def r21_rescued_rows(spark, sf_dir):
     """Doors and components of every page, few or many, and what answers of three steps add to them."""
     k = F.col("page_id")
-    pages = _pages(spark, sf_dir).withColumn("kind", C.backstopped(C.page_type(F.col("body"), F.col("answer")), F.col("body"))).select("page_id", "kind", G.evidence(F.col("body")).alias("e"), (k % 4).alias("crops"), (k % 4 * (k % 2)).alias("door_crops"), (k % 4 * (k % 2)).alias("hardware_crops"))
+    pages = held(_pages(spark, sf_dir), "c", C.classified(F.col("body"), F.col("answer"))).select("page_id", "c.kind", "c.e", (k % 4).alias("crops"), (k % 4 * (k % 2)).alias("door_crops"), (k % 4 * (k % 2)).alias("hardware_crops"))
     pages = settled(pages)  # asked for its evidence by every gate
     ids = views.table(spark, sf_dir, "pages").select("page_id")
     union = lambda made: functools.reduce(DataFrame.unionByName, (_rows21(ids, m) for m in made))

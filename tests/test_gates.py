@@ -1,9 +1,12 @@
 """Page types, gates and merges on small cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintel.functions import classify, pages
-from lintel.operators import gates, merge, summaries
+from lintel.functions import vocabulary as V
+from lintel.operators import gates, merge, rescue, summaries
+from lintel.plans import page_queries
 
 OPENINGS = "\nSection 08711 | DOOR HARDWARE SCHEDULE\nOpening List\nOpening\nHdw Set\nOpening Label\nDoor Type\nFrame Type\nD101A\n109\nH\nH\nD101B\n103\nI\nI\nD102A\n101\nA\nA\nD102B\n101\nA\nA\n"
 CODES = "\nSection 08711 | DOOR HARDWARE SCHEDULE\nManufacturer List\nCode\nName\nHA\nHager\n"
@@ -73,3 +76,16 @@ def test_short_reports(spark):
     assert [r.description for r in summaries.proposal_sheets(empty)["labour"].collect()] == ["No items"]
     assert summaries.next_number(spark.createDataFrame([], "id string"), 2024).first().next_id == "P-2024-001"
     assert summaries.proposal_totals(spark.createDataFrame([], "status string, total double")).first().win_rate == 0
+
+
+@pytest.mark.parametrize("name", ["r21_rescued_rows"])
+def test_pages_are_read_once(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(page_queries, "settled", lambda df: seen.append(df) or df)
+    monkeypatch.setattr(rescue, "rescued", lambda pages, doors, parts, *_: (doors.withColumn("origin", F.lit("")), parts.withColumn("origin", F.lit(""))))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    df = page_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = (seen or [df])[0]._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [plan.count(p) for p in (V.PAGE_COMPONENT, V.PAGE_TITLE, V.PAGE_HEADER, V.SET_HEADER, V.CAD_SIZE)] == [1] * 5
+    assert plan.count(V.DOOR_NUMBER) == 2  # the page's marks, and its lines with one
