@@ -78,7 +78,7 @@ def test_short_reports(spark):
     assert summaries.proposal_totals(spark.createDataFrame([], "status string, total double")).first().win_rate == 0
 
 
-@pytest.mark.parametrize("name", ["r21_rescued_rows"])
+@pytest.mark.parametrize("name", ["f15_rescue_gates", "r21_rescued_rows"])
 def test_pages_are_read_once(spark, monkeypatch, name):
     seen = []
     monkeypatch.setattr(page_queries, "settled", lambda df: seen.append(df) or df)
