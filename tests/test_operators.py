@@ -193,3 +193,18 @@ def test_richest_deals_rows_by_their_number(spark):
     found = reconcile.richest(rows, rows.mark, [rows.n], ["w"], 9 * reconcile.ROWS)
     assert {(r.mark, r.n) for r in found.collect()} == {("a", 2), ("b", 3)}
     assert ", 9), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_browser_findings_of_crowded_projects(spark):
+    columns = "project_id string, mark string, set_label string, fire_rating string, door_type string, opening_type string, room_or_location string, remarks string, interior_or_exterior string, glazing string, confidence double, width string, height string"
+    doors = [(p, f"D{i:02}", [None, "1", "2"][i % 3], "45 MIN" if i % 2 else "-", "A5", None, "STAIR 2" if i < 4 else "hall", "KP at wall" if i == 7 else "exit device" if i == 8 else None, None, "none", None, "3", None if i == 5 else "7") for p in ("p", "q") for i in range(20)]
+    doors = spark.createDataFrame(doors, columns).repartition(3)
+    sets = spark.createDataFrame([("p", "1", [1], None), ("q", "2", [1], "voided"), ("q", "1", [], None)], "project_id string, set_label string, items array<int>, note string")
+    context = rules.contexts(spark.createDataFrame([("p", None, None, None, {"KP": "card reader"}), ("q", None, None, None, None)], "project_id string, general_notes array<string>, hardware_preamble array<string>, keying_notes array<string>, legend map<string,string>"))
+    found = {tuple(r) for r in rules.browser_findings(doors, sets, context).collect()}
+    assert found == {tuple(r) for r in rules.browser_findings(doors, sets, context, entries=0, rows_apart=2).collect()}
+    openings = {(r[0], r[3]): r[4:] for r in found}
+    assert openings["p", "Fire-rated openings"] == (10, "D01, D03, D05, D07, D09, D11, D13, D15, ...+2 more")
+    assert openings["p", "Hardware set definitions"] == (6, "D02, D05, D08, D11, D14, D17") and openings["q", "Hardware set definitions"][0] == 7
+    assert openings["p", "Access control / electrified"] == (1, "D07") and ("q", "Access control / electrified") not in openings
+    assert openings["q", "Stair enclosures"] == (2, "D01, D03") and openings["q", "Voided hardware set"][0] == 1 and openings["p", "Schedule completeness"] == (1, "D05")
