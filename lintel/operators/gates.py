@@ -7,6 +7,7 @@ from lintel.functions import vocabulary as V
 from lintel.functions.classify import DOOR, HARDWARE, MIXED
 from lintel.functions.normalise import is_blank, join_id, ocr_door_mark, set_key, text
 from lintel.functions.predicates import any_of, is_hardware_dimension, is_quote_file, remains
+from lintel.operators.distinct import held
 
 
 def schedule_doors(doors: DataFrame) -> DataFrame:
@@ -141,20 +142,25 @@ def canonical_doors(rows: DataFrame) -> DataFrame:
     Dropped: placeholders and headings, component words, long marks, room names, hinge sizes, single letters without place or size,
     and rows with a mark alone.
     """
-    given = lambda c: text(F.col(c))
-    mark = given("mark")
-    upper = F.upper(mark)
-    bare = (given("room_or_location") == "") & (given("width") == "") & (given("height") == "")
+    meaning = ("door_material", "door_type", "frame_type", "hardware_set", "fire_rating", "remarks")
+    given = {c: text(F.col(c)).alias(c) for c in ("mark", "room_or_location", "width", "height", *meaning)}
+    t = lambda c: F.col(f"_t.{c}")
+    # Each text is worked out once; the tests read it from there, those of few rows last.
+    read = held(rows, "_t", F.struct(*given.values(), F.upper(given["mark"]).alias("upper")))
+    upper = t("upper")
+    bare = (t("room_or_location") == "") & (t("width") == "") & (t("height") == "")
     meaningful = F.lit(False)
-    for c in ("door_material", "door_type", "frame_type", "hardware_set", "fire_rating", "remarks"):
-        meaningful = meaningful | (given(c) != "")
-    noise = upper.isin(V.NO_MARK) | any_of(upper, V.COMPONENT_ROWS) | (F.length(mark) > 15) | upper.isin(V.ROOM_MARKS)
-    noise = noise | is_hardware_dimension(F.col("width")) | is_hardware_dimension(F.col("height")) | (bare & (upper.rlike("^[A-Z]$") | ~meaningful))
+    for c in meaning:
+        meaningful = meaningful | (t(c) != "")
+    size = lambda c: t(c).rlike(r"^\d") & is_hardware_dimension(t(c))
+    noise = upper.isin(V.NO_MARK) | (F.length(t("mark")) > 15) | upper.isin(V.ROOM_MARKS) | any_of(upper, V.COMPONENT_ROWS)
+    noise = noise | (bare & (upper.rlike("^[A-Z]$") | ~meaningful)) | size("width") | size("height")
+    kept = held(read, "_noise", F.coalesce(noise, F.lit(False))).where("not _noise")
     stays = F.coalesce(remains("remarks", "door_material", "door_type", "frame_material", "room_or_location"), F.lit(False))
     blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
     others = [c for c in rows.columns if c not in ("mark", "width", "height", "confidence")]
-    return rows.where(~F.coalesce(noise, F.lit(False))).select(
-        mark.alias("mark"), *(blank(c) if rows.schema[c].dataType.simpleString() == "string" else F.col(c) for c in others),
+    return kept.select(
+        t("mark").alias("mark"), *(blank(c) if rows.schema[c].dataType.simpleString() == "string" else F.col(c) for c in others),
         F.struct(blank("width"), blank("height")).alias("size"), stays.alias("existing_to_remain"), F.coalesce("confidence", F.lit(0.7)).alias("confidence"),
     )
 

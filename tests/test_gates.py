@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lintel.functions import classify, pages
 from lintel.functions import vocabulary as V
 from lintel.operators import gates, merge, rescue, summaries
-from lintel.plans import page_queries
+from lintel.plans import page_queries, report_queries
 
 OPENINGS = "\nSection 08711 | DOOR HARDWARE SCHEDULE\nOpening List\nOpening\nHdw Set\nOpening Label\nDoor Type\nFrame Type\nD101A\n109\nH\nH\nD101B\n103\nI\nI\nD102A\n101\nA\nA\nD102B\n101\nA\nA\n"
 CODES = "\nSection 08711 | DOOR HARDWARE SCHEDULE\nManufacturer List\nCode\nName\nHA\nHager\n"
@@ -89,3 +89,13 @@ def test_pages_are_read_once(spark, monkeypatch, name):
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert [plan.count(p) for p in (V.PAGE_COMPONENT, V.PAGE_TITLE, V.PAGE_HEADER, V.SET_HEADER, V.CAD_SIZE)] == [1] * 5
     assert plan.count(V.DOOR_NUMBER) == 2  # the page's marks, and its lines with one
+
+
+def test_canonical_doors_work_out_a_mark_once(spark):
+    columns = ["mark", "room_or_location", "width", "height", "door_type", "door_material", "frame_type", "frame_material", "hardware_set", "fire_rating", "remarks", "confidence"]
+    rows = [(" 101a ", None, "3'-0\"", None), ("A", "hall", None, None), ("A", None, None, None), ("B2", None, None, None), ("hinge 4", "hall", "3", "7"), ("102", "hall", '4 1/2"', "7'"), ("103", "x", "36", "12 1/2"), ("mark", "x", "3'", None)]
+    frame = spark.createDataFrame([r + (None,) * 8 for r in rows], ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in columns))
+    found = gates.canonical_doors(frame)
+    assert [(r.mark, r.size.width, r.confidence) for r in found.collect()] == [("101a", "3'-0\"", 0.7), ("A", None, 0.7), ("103", "36", 0.7)]
+    plan = report_queries.p26_canonical_doors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and plan.count("HINGE 4") == 1
