@@ -2,7 +2,8 @@
 
 The index is dealt by document: each segment holds some MB of whole documents, with an exact term dictionary and, for
 every term, the ordered positions of its postings (delta coded). Segments are rows of a Parquet table in the shared
-folder; building them needs no shuffle, and no term's postings gather in one task however common it is.
+folder; building them needs no shuffle, and no term's postings gather in one task however common it is. Row groups hold a few
+segments each, so neither writing nor reading holds more of them at once, however large a task's split is.
 
 A benchmark item's windows are looked up segment by segment. A window with a term that the segment lacks is dropped
 at once; for the rest, the positions of its rarest term, less its offset, are intersected with those of the next
@@ -34,6 +35,9 @@ from lintel.llm.text import slices, utf8, word_bounds, word_codes
 WINDOW, SLOP = 10, 2
 #: Text of a segment, and of a block of the benchmark.
 SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
+#: The index's row groups. A reader holds all rows of a row group at once, and segments are large rows: they are measured at each
+#: row. Otherwise Parquet's writer first looks after 100 rows, and after a small one takes those that follow for as small.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20)} | {f"parquet.{x}.size.row.check.{end}": "1" for x in ("block", "page") for end in ("min", "max")}
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -64,7 +68,7 @@ def _segments(segment_bytes: int):
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> str:
     """The path of the positional index of docs (doc_id, text), a table in the shared folder of one row for each segment."""
     built = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_segments(segment_bytes), _INDEX)
-    return write_table(built.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    return write_table(built.withColumn("segment", F.monotonically_increasing_id()), "postings", ROW_GROUPS)
 
 
 def item_words(text: str | None) -> list[bytes]:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lintel.llm import decontamination, licenses, secret_scan
@@ -57,6 +58,22 @@ def test_decontamination_empty(spark, empty, docs, rows, items):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).where("not contaminated").count() == len(rows)
 
 
+def test_decontamination_holds_few_segments_at_once(spark):
+    rng = random.Random(3)
+    texts = ["a short text is the first segment of all that there are", *(" ".join(f"{rng.getrandbits(40):x}" for _ in range(90_000)) for _ in range(24))]
+    large = spark.createDataFrame(pa.table({"doc_id": pa.array(range(25), pa.int64()), "text": texts})).coalesce(1)
+    path = decontamination.build_index(large, 900_000)
+    groups = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in spark.read.parquet(path).inputFiles()]
+    sizes = [(m.row_group(k).num_rows, m.row_group(k).total_byte_size) for m in groups for k in range(m.num_row_groups)]
+    assert sum(n for n, _ in sizes) == 25
+    assert max(size for _, size in sizes) <= 16 << 20, sizes
+    planted = [(str(i), " ".join(t.split()[-12:])) for i, t in enumerate(texts)]
+    found = decontamination.find_items(spark.read.parquet(path), spark.createDataFrame(planted, "item_id string, text string"))
+    expected = [(i, n, [str(i)], [n - 12, n - 11, n - 10], [n - 2, n - 1, n]) for i, n in enumerate([12] + [90_000] * 24)]
+    assert sorted((r.doc_id, r.n_words, r["items"], r.begins, r.ends) for r in found.collect()) == expected
+    decontamination.remove_table(spark, path)
+
+
 def test_secrets_of_long_repetitions(spark):
     """Paths, joined words, dashes and key words of a megabyte: no recursion as deep as the text."""
     texts = ["/a" * 500_000 + "1", "a_" * 500_000 + "a1", "example" + "-" * 1_000_000 + "1", "example" + "key" * 300_000 + "1 " + "aB3dE5gH7jK9mN1pQ3sT", "/abc" * 2 + "/" + "q" * 200_000 + "1/" * 3]
